@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality_rules
-from .common import table
+from . import classifier, language_id, media, mixing, quality_rules, token_counts, token_files
+from .common import remainder, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +16,33 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs))
+    return rows.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_files.round_trip(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judge(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = classifier.train(docs, table(spark, sf_dir, "labels"))
+    rows = classifier.score(docs.select("doc_id", "text"), weights)
+    return rows.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.media_columns(table(spark, sf_dir, "documents"))
     mark = lambda m: F.concat_ws(":", *[m[k].cast("string") for k in ("t", "f1", "f2", "dt")])
@@ -29,7 +51,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_quality_rules, op9_media)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_token_files, op4_quality_rules, op7_token_counts, op8_quality_classifier, op9_media)}
 
 
 def oracle_sql() -> dict[str, str]:
