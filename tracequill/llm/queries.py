@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, language_id, media, mixing, near_dups, quality_rules, token_counts, token_files
+from . import classifier, language_id, media, mixing, near_dups, pieces, quality_rules, token_counts, token_files
 from .common import remainder, table
 
 
@@ -36,6 +36,10 @@ def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_token_files, op4_quality_rules, op5_near_dups, op7_token_counts, op8_quality_classifier, op9_media)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_token_files, op4_quality_rules, op5_near_dups, op6_pieces, op7_token_counts, op8_quality_classifier, op9_media)}
 
 
 def oracle_sql() -> dict[str, str]:
