@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, language_id, media, mixing, near_dups, pieces, quality_rules, token_counts, token_files
+from . import classifier, language_id, media, mixing, near_dups, pieces, quality_rules, surrogates, token_counts, token_files
 from .common import remainder, table
 
 
@@ -58,8 +58,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_entities", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_token_files, op4_quality_rules, op5_near_dups, op6_pieces, op7_token_counts, op8_quality_classifier, op9_media)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_token_files, op4_quality_rules, op5_near_dups, op6_pieces, op7_token_counts, op8_quality_classifier, op9_media, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
