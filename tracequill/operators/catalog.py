@@ -72,6 +72,14 @@ def with_technology(df: DataFrame, vocabulary_rows: DataFrame, platform: str = "
     return rows.drop("__key", "__alias", "__model", "__family", "__technology", "__vendor")
 
 
+def _file_of(rank: int, label: str, kind: str, sums: Column, sizes: Column):
+    """The i-th file of parallel lists as a function of its url and i (from 0)."""
+    return lambda url, i: F.struct(
+        F.lit(rank).alias("rank"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), (i + 1).alias("index"), text.with_scheme(url).alias("uri"),
+        F.lower(F.get(sums, i)).alias("md5"), text.non_negative(F.get(sizes, i)).alias("size_bytes"),
+    )
+
+
 def artifacts(df: DataFrame, key: str, specs: Mapping[str, tuple[str, str, str, str]]) -> DataFrame:
     """A row for each file in parallel ;-lists: key, label, kind, index (from 1), uri, md5, size_bytes, artifact_id.
 
@@ -79,12 +87,9 @@ def artifacts(df: DataFrame, key: str, specs: Mapping[str, tuple[str, str, str,
     """
     parts = []
     for rank, (label, (kind, urls, sums, sizes)) in enumerate(specs.items()):
-        of = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), ";", -1)
-        one = lambda url, i, label=label, kind=kind, rank=rank, sums=of(sums), sizes=of(sizes): F.struct(
-            F.lit(rank).alias("rank"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), (i + 1).alias("index"), text.with_scheme(url).alias("uri"),
-            F.lower(F.get(sums, i)).alias("md5"), text.non_negative(F.get(sizes, i)).alias("size_bytes"),
-        )
-        parts.append(F.when(F.coalesce(F.col(urls), F.lit("")) != "", F.transform(of(urls), one)).otherwise(F.array().cast("array<struct<rank:int,label:string,kind:string,index:int,uri:string,md5:string,size_bytes:bigint>>")))
+        parts_of = [F.split(F.coalesce(F.col(c), F.lit("")), ";", -1) for c in (urls, sums, sizes)]
+        one = _file_of(rank, label, kind, *parts_of[1:])
+        parts.append(F.when(F.coalesce(F.col(urls), F.lit("")) != "", F.transform(parts_of[0], one)).otherwise(F.array().cast("array<struct<rank:int,label:string,kind:string,index:int,uri:string,md5:string,size_bytes:bigint>>")))
     rows = df.select(key, F.explode(F.concat(*parts)).alias("a")).select(key, "a.*")
     best = rows.groupBy(key, "uri").agg(F.min(F.struct("rank", "index", "label", "kind", "md5", "size_bytes")).alias("a"))
     rows = best.select(key, "uri", "a.*").drop("rank").withColumn("md5", F.when(text.is_md5(F.col("md5")), F.col("md5")))
