@@ -201,7 +201,7 @@ class _Scorer:
 _scorers: dict[int, _Scorer] = {}
 
 
-def _predictor(model: Model):
+def _predictor(model: Model, names_out: tuple[str, str]):
     key = zlib.crc32(model.probabilities.tobytes() + repr(model.languages).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,14 +212,14 @@ def _predictor(model: Model):
         for batch in slices(batches):
             names, sure = scorer.texts(batch.column("text").to_pylist())
             keep = [batch.column(c) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(names, pa.string()), pa.array(sure, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(names, pa.string()), pa.array(sure, pa.float64())], [*batch.schema.names, *names_out])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (a doc_id or other columns, and text) with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs (a doc_id or other columns, and text) with the language and its share, under names that docs hasn't."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(_predictor(model), schema)
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return docs.mapInArrow(_predictor(model, names), schema)
