@@ -23,8 +23,9 @@ LEAST_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language of sufficient share; lang becomes what was predicted."""
-    predicted = language_id.predict(docs, language_id.train(docs)).filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
-    return predicted.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    predicted = language_id.predict(docs, language_id.train(docs), ("__lang", "__share"))
+    known = predicted.filter((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__share") >= LEAST_SHARE))
+    return known.select(*[F.col("__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
