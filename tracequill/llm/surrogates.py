@@ -134,7 +134,7 @@ def _secret(x: Column, stream: Column) -> Column:
 
 
 def _name(x: Column, stream: Column, attempt: Column) -> Column:
-    title = F.regexp_extract(x, rf"^({'|'.join((*TITLES_M, *TITLES_F))})\.?", 0)
+    title = F.regexp_extract(x, rf"^({'|'.join((*TITLES_M, *TITLES_F))})\.?(?= )", 0)
     name = F.substring(x, F.length(title) + 2, F.length(x))
     woman = F.regexp_replace(title, r"\.", "").isin(*TITLES_F)
     cyrillic = name.rlike(r"\p{IsCyrillic}")
