@@ -35,10 +35,22 @@ DICTIONARY_BYTES = 64 << 10
 #: The dictionary is trained on so many documents on average, and on so many bytes of ids at most.
 SAMPLE = 1000
 SAMPLE_BYTES = 4 << 20
-REMEMBERED = 400_000
-_NEWLINE = 198
-#: Where a text has this, its white space may span what the quick way takes apart.
-_SPANNING = re.compile(r"\s\s|[^\S \n]|\0")
+REMEMBERED = 800_000
+REMEMBERED_CHARS = 48
+_LEADING = re.compile(r" ?[^\W\d_]+")
+
+
+def _shown() -> dict[int, str]:
+    """The character that stands for each byte in the tokenizer's vocabulary: itself if it can be seen, else the next free one from 256."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_SHOWN = _shown()
+#: Where a text has one of these, what the tokenizer keeps together may span what is cut below:
+#: two white spaces in a row, another white space than space and line end, the cutting mark.
+_SPANNING = ("  ", "\n\n", " \n", "\n ", "\0", *filter(str.isspace, map(chr, [*range(9, 10), *range(11, 32), 0x85, 0xA0, *range(0x1680, 0x3001)])))
 
 _FRAMES = "doc_id long, n_tokens long, ids_crc32 long, frame binary"
 _SHARDS = "part int, seq int, dictionary string, tokens long, doc_ids array<long>, n_tokens array<long>, frame_ends array<long>, frames binary"
@@ -51,12 +63,38 @@ def tokenizer_text() -> str:
         return f.read()
 
 
+class _Parts(dict):
+    """Serialized ids of parts of texts; a part that is asked for the first time is encoded.
+
+    A part begins where one of the tokenizer's own parts begins. Its leading letters (behind a
+    space or not) are one of those, which the tokenizer's model encodes; what follows them is looked up
+    as a part itself, or else encoded as a text.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        self._model, self._whole = tokenizer.model, lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+        self._one = [np.array([i], "<u4").tobytes() for i in range(tokenizer.get_vocab_size())]
+
+    def __missing__(self, part: str) -> bytes:
+        found = _LEADING.match(part)
+        if found is None or not found[0].lstrip().isalpha():  # also letter-like numbers
+            made = b"".join([self._one[i] for i in self._whole(part)])
+        elif found.end() < len(part):
+            made = self[found[0]] + self[part[found.end() :]]
+        else:
+            seen = part.replace(" ", "\u0120") if part.isascii() else part.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
+            made = b"".join([self._one[t.id] for t in self._model.tokenize(seen)])
+        if len(part) <= REMEMBERED_CHARS:
+            self[part] = made
+        return made
+
+
 class Encoder:
     """Serialized ids of whole texts.
 
-    The tokenizer's own splitting never joins characters across a single space or line end between
-    other characters, so such texts are cut there and each distinct part is encoded once and
-    remembered; any other text goes to the tokenizer as a whole.
+    The tokenizer's own splitting never joins what stands before a single space with it, nor
+    characters across a single line end, so texts are cut there and each distinct part is encoded once
+    and remembered. A text for which this isn't sure goes to the tokenizer as a whole.
     """
 
     def __init__(self, spec: str) -> None:
@@ -64,36 +102,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self._start()
-
-    def _start(self) -> None:
-        self.known = {"": b"", " ": self.whole(" "), "\n": self.whole("\n")}
+        self.known = _Parts(self.tokenizer)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode distinct parts, many at a time with line ends between them."""
-        for b in range(0, len(parts), 2000):
-            some = parts[b : b + 2000]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.nonzero(ids == _NEWLINE)[0], len(ids))
-            if len(ends) != len(some):
-                raise ValueError("a part holds the line end's id")
-            begin = 0
-            for part, end in zip(some, ends.tolist(), strict=True):
-                self.known[part] = ids[begin:end].tobytes()
-                begin = end + 1
-
     def many(self, texts: list[str | None]) -> list[bytes]:
-        cut = [None if t is None or _SPANNING.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self._start()
-        seen: set[str] = set()
-        seen.update(*(c for c in cut if c is not None))
-        self._learn(sorted(seen - self.known.keys()))
+        out = []
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c is not None else self.whole(t or "") for c, t in zip(cut, texts, strict=True)]
+        for text in texts:
+            if text is None or any(x in text for x in _SPANNING):
+                out.append(self.whole(text or ""))
+            else:
+                out.append(b"".join(map(get, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))
+        if len(self.known) > REMEMBERED:
+            self.known = _Parts(self.tokenizer)
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
