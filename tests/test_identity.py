@@ -71,3 +71,58 @@ def test_sets(spark):
     assert sorted(tuple(r) for r in sets.key_difference(a.filter("k is not null"), b, "k").collect()) == [(1, "LEFT"), (3, "RIGHT")]
     assert sorted(tuple(r) for r in sets.first_wins(a.filter("k = 2"), "k", "v").collect()) == [(2, "y", 1)]
     assert [r.n_contents for r in sets.content_conflicts(a, "k", ["v"]).collect()] == [2]
+
+
+def test_schemas(spark):
+    from tracequill.functions import schemas
+
+    df = schemas.shaped(spark.createDataFrame([("e", "r", "A", "c", -1, 5, "COMPARATOR_SUPERLOCUS"), ("f", "r", "A", "", 1, 5, "X")], "event_id string, benchmark_run_id string, assembly string, contig string, start_0based long, end_0based long, identity_scope string"), "event")
+    assert df.schema == schemas.schema("event") or df.columns == schemas.schema("event").names
+    assert sorted(tuple(r) for r in schemas.row_violations(df, "event").collect()) == [("e", "START"), ("e", "SUPERLOCUS_SOURCE"), ("f", "ENUM:identity_scope"), ("f", "REQUIRED:contig")]
+    for entity in schemas.ENTITIES:
+        empty = spark.createDataFrame([], schemas.schema(entity))
+        assert schemas.row_violations(empty, entity).count() == 0
+    with pytest.raises(ValueError, match="hasn't"):
+        schemas.shaped(spark.createDataFrame([(1,)], "score int"), "variant")
+    a = spark.createDataFrame([("1", "UNKNOWN"), ("2", "x")], "k string, v string")
+    b = spark.createDataFrame([("1", None), ("2", None)], "k string, v string")
+    assert [r.k for r in schemas.unknown_kept(a, b, "k", ["v"]).collect()] == ["1"]
+
+
+def test_freeze(spark):
+    from tracequill.operators import freeze
+
+    c = spark.createDataFrame([("a", 1)], "candidate_id string, n long")
+    ok = spark.createDataFrame([("a", "ELIGIBLE")], "candidate_id string, status string")
+    assert freeze.admitted(c, ok).first().candidate_id == "a"
+    for bad in ([("a", "REVIEW")], [("a", "ELIGIBLE"), ("b", "ELIGIBLE")], []):
+        with pytest.raises(Exception, match="not admitted"):
+            freeze.admitted(c, spark.createDataFrame(bad, "candidate_id string, status string")).collect()
+    cat = spark.createDataFrame([("x", "p1"), ("y", "p2"), ("z", "p3")], "context_id string, path string")
+    md5 = spark.createDataFrame([("p1", "m1")], "path string, md5 string")
+    frozen = freeze.context_sets(cat, md5, ["x", "y"])
+    assert {r.context_id: r.status for r in frozen.collect()} == {"x": "FROZEN", "y": "NO_OFFICIAL_MD5"}
+    assert {r.context_id: r.status for r in freeze.observed_md5(frozen, spark.createDataFrame([("p1", "zz")], "path string, md5 string")).collect()} == {"x": "CHANGED", "y": "MISSING"}
+    a, b = spark.createDataFrame([("k", "1", "2")], "k string, u string, v string"), spark.createDataFrame([("k", "1", "3")], "k string, u string, v string")
+    assert [tuple(r) for r in freeze.lookup_mismatches(a, b, "k", ["u", "v"]).collect()] == [("k", "v", "2", "3")]
+
+
+def test_explorer(spark):
+    from tracequill.operators import explorer
+
+    make = spark.createDataFrame
+    first = make([("e1", "r1"), ("e2", "r1")], "event_id string, benchmark_run_id string")
+    second = make([("e3", "r2")], "event_id string, benchmark_run_id string")
+    observations = make([("e1", "TP", "SNP"), ("e1", "FP", None), ("e3", "TP", "INDEL")], "event_id string, raw_decision string, raw_variant_type string")
+    links = make([("l1", "e1", "v1", "r1")], "event_variant_link_id string, event_id string, variant_id string, benchmark_run_id string")
+    accounting = make([("e3", "UNRESOLVED", "MULTIPLE_NORMALIZED_ALLELES")], "event_id string, status string, reason string")
+    runs = make([("r1", "x"), ("r2", "x")], "benchmark_run_id string, experiment_id string")
+    experiments = make([("x", "S", "ONT")], "experiment_id string, sample string, technology string")
+    provenance = make([("p", "A", "1", "B", "2")], "provenance_link_id string, source_entity_type string, source_entity_id string, target_entity_type string, target_entity_id string")
+    model = explorer.build(first, second, observations, links, accounting, runs, experiments, provenance)
+    got = {r.event_id: (r.identity_state, r.raw_decisions, r.unresolved_reason) for r in model.events.collect()}
+    assert got == {"e1": ("EXACT_NORMALIZED_ALLELE", "FP;TP", None), "e2": ("NOT_EVALUATED", None, None), "e3": ("UNRESOLVED", "TP", "MULTIPLE_NORMALIZED_ALLELES")}
+    assert {r.name: r.n for r in explorer.manifest(model).collect()} == {"events:EXACT_NORMALIZED_ALLELE": 1, "events:NOT_EVALUATED": 1, "events:UNRESOLVED": 1, "variants": 1, "provenance_entities": 2}
+    assert explorer.example_rows(model, links, "v1").count() == 1
+    with pytest.raises(ValueError, match="both phases"):
+        explorer.build(first, first, observations, links, accounting, runs, experiments, provenance)
