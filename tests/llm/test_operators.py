@@ -8,6 +8,7 @@ import wave
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,18 @@ def test_rules_measures(spark, texts):
         assert not (r.base_failed and r.kept)
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    df = queries.queries()[name](spark, sf)
+    twin = con.sql(queries.oracle_sql()[name])
+    columns = sorted(df.columns)
+    assert columns == sorted(twin.columns)
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(twin.select(*columns).fetchall())
+
+
 def test_rules_follow_the_data(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     got = queries.queries()["op4_quality_rules"](spark, "/root/testdata/sf0.01").filter("not base_failed").collect()

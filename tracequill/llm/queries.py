@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, language_id, media, mixing, near_dups, pieces, quality_rules, surrogates, token_counts, token_files
+from . import classifier, language_id, media, mixing, near_dups, pieces, quality_rules, sql, surrogates, token_counts, token_files
 from .common import remainder, table
 
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
