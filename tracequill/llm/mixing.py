@@ -26,8 +26,8 @@ from .common import materialize, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-GROUP = 20_000
-FAN = 512
+GROUP = 1_000
+FAN = 256
 SEED = 20_240_601
 _UNIT = "unit binary, source string, grp long, size double, p double"
 
