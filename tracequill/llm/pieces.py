@@ -1,26 +1,30 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Text is encoded with the pieces and scores of a public piece model: spaces become marks, a mark
-is put in front, and the segmentation with the highest sum of scores is taken. No piece has a mark
+is put in front, and the segmentation with the highest sum of scores (fixed-point, of 2 ** -14) is taken. No piece has a mark
 behind another character, so every mark begins a part that is segmented by itself; line ends are
-in no longer piece, so they are parts too. The distinct parts of the whole corpus are exploded
+in no longer piece, so they are parts too; a part is cut behind its leading letters where no
+piece has the two characters side by side. The distinct parts of the whole corpus are exploded
 into their substrings of bounded length, equi-joined with the piece table, grouped by part as the
 edges of a lattice, and folded over their positions by a higher-order aggregate, which keeps the
 best score of each position and the piece that ends there (of equal scores the longest). A
 character that no piece covers costs UNKNOWN and becomes its bytes' pieces.
 
-Documents are dealt to buckets of about BUCKET_BYTES by a hash; what is moved are compressed
-blocks of them. A bucket's distinct parts are numbered in their order, meet their encodings where
-the corpus's parts are, and come back as numbers and ids to put the bucket's documents together.
+Documents are dealt to buckets of tens of MB at most by a hash; what is moved are compressed
+blocks of them. A bucket's distinct parts meet their segmentations where the corpus's parts are, and come
+back with them to put the bucket's documents together.
 
 Cases: a null or empty text has no ids and decodes to empty text; parts longer than LONG are cut
-before and after characters that are in no longer piece, and are else folded whole; a mark in
+before and after characters that are in no longer piece, and are else folded whole (beyond MOST
+characters they are cut there); a mark in
 the text itself decodes to a space, as in the model; repeated rows are encoded each; an empty
 table gives no rows; other columns of the input don't matter.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,14 +38,23 @@ from pyspark.sql import functions as F
 from .common import docs_splits, partitions, slices
 from .vocabulary import MARK, default_piece_model, pieces
 
-BUCKET_BYTES = 32 << 20
-#: Penalty of a character without a piece; any constant gives the same segmentations.
+#: Penalty of a character without a piece, and the least score of a piece.
 UNKNOWN = -1e6
 LONG = 64
+#: Characters that stand for the lengths 1, 2, ... of pieces.
+LENGTHS = "0123456789abcdefghijklmnopqrstu"
+# An edge's bits: 22 for its end, 36 for its weight, a fixed-point score above _ZERO, 5 for its length.
+_KBITS, _WBITS, _FRACTION = 5, 36, 14
+_ZERO = 1 << (_WBITS - 1)
+MOST = 1 << 22
 #: Rows are packed into blocks in slices of about so many bytes.
 PACKED = 16 << 20
 _BLOCKS = "bucket int, block binary"
-_PARTS = "bucket int, n int, part string"
+_PARTS = "bucket int, part string"
+
+
+def _weight(score: float) -> int:
+    return round(max(score, UNKNOWN) * (1 << _FRACTION))
 
 
 def piece_table(path: str) -> list[tuple[str, int, float]]:
@@ -49,10 +62,14 @@ def piece_table(path: str) -> list[tuple[str, int, float]]:
     return [(name, i, float(score)) for i, (name, score) in enumerate(pieces(path)) if name]
 
 
+_LEADING = re.compile(f"{MARK}?[^\\W\\d_]+")
+
+
 class Splitter:
-    """The parts of texts; joined they are the marked text."""
+    """The parts of texts, which joined are the marked text, and the atoms of parts."""
 
     def __init__(self, names: list[str]) -> None:
+        self._joined = {name[i : i + 2] for name in names for i in range(len(name) - 1)}
         inside = sorted({ord(ch) for name in names if len(name) > 1 for ch in name})
         self._cut = re.compile("([^%s])" % "".join(f"\\U{c:08x}" for c in inside)) if inside else re.compile("(.)", re.S)
 
@@ -60,12 +77,21 @@ class Splitter:
         if not text:
             return []
         if "\0" in text:
-            return [p for s in re.split("(\0)", MARK + text.replace(" ", MARK)) for p in self._fine(re.split(f"(?={MARK})|(\n)", s))]
-        parts = (MARK + text.replace(" ", "\0" + MARK).replace("\n", "\0\n\0")).split("\0")
-        return self._fine(parts) if max(map(len, parts)) > LONG else parts
+            return [p for p in re.split(f"(?={MARK})|(\n)", MARK + text.replace(" ", MARK)) if p]
+        return (MARK + text.replace(" ", "\0" + MARK).replace("\n", "\0\n\0")).split("\0")
+
+    def atoms(self, part: str) -> list[str]:
+        """What a part is made of: cut behind its leading letters if no piece has the two characters there side by side.
 
-    def _fine(self, parts: list[str]) -> list[str]:
-        return [q for p in parts if p for q in (self._cut.split(p) if len(p) > LONG else [p])]
+        Parts longer than LONG are cut before and after characters that are in no longer piece.
+        """
+        if part[1:].isalpha() and len(part) <= LONG:
+            return [part]
+        if len(part) > LONG:
+            return [p[i : i + MOST - 1] for p in self._cut.split(part) if p for i in range(0, len(p), MOST - 1)]
+        found = _LEADING.match(part)
+        cut = found.end() if found else 0
+        return [part[:cut], part[cut:]] if 0 < cut < len(part) and part[cut - 1 : cut + 1] not in self._joined else [part]
 
 
 _splitters: dict[int, Splitter] = {}
@@ -81,7 +107,7 @@ def _splitter(names: list[str]) -> Splitter:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of each bucket as compressed Arrow streams."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
     for batch in slices(batches, most=PACKED):
         ordered = batch.take(pc.sort_indices(batch.column("bucket")))
         bucket = ordered.column("bucket").to_numpy()
@@ -102,135 +128,194 @@ def _unpack(group: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from pa.ipc.open_stream(block.as_buffer())
 
 
-def _numbered(group: pa.Table, splitter: Splitter) -> list[str]:
-    """The bucket's distinct parts in their order."""
-    seen: set[str] = set()
-    for batch in _unpack(group):
-        for text in batch.column("text").to_pylist():
-            seen.update(splitter.parts(text))
-    seen.discard("")
-    return sorted(seen)
+def _trim() -> None:
+    """Give unused memory back, so that a worker between two groups holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def _parts_of(names: list[str]):
+def _atoms_of(names: list[str]):
+    """The bucket's distinct atoms."""
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        parts = _numbered(group, _splitter(names))
-        return pa.table([pa.array(np.full(len(parts), key[0].as_py(), np.int32)), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.string())], ["bucket", "n", "part"])
+        splitter = _splitter(names)
+        seen: set[str] = set()
+        for batch in _unpack(group):
+            for text in batch.column("text").to_pylist():
+                seen.update(splitter.parts(text))
+        seen.discard("")
+        atoms = sorted({a for p in seen for a in splitter.atoms(p)})
+        del seen
+        _trim()
+        return pa.table([pa.array(np.full(len(atoms), key[0].as_py(), np.int32)), pa.array(atoms, pa.string())], ["bucket", "part"])
 
     return run
 
 
-def _assemble(names: list[str], of_byte: list[int]):
+class _Encoded(dict):
+    """Serialized ids of a bucket's parts, made when they are asked for from those of its atoms."""
+
+    def __init__(self, splitter: Splitter, atoms: dict[str, bytes]) -> None:
+        self[""] = b""
+        self._splitter, self._atoms = splitter, atoms
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = made = b"".join([self._atoms[a] for a in self._splitter.atoms(part)])
+        return made
+
+
+def _atom_ids(found: pa.Table, ids: dict[str, int], of_byte: list[int]) -> dict[str, bytes]:
+    """Serialized ids of atoms (part) by the lengths of their pieces."""
+    one = {name: np.array([i], "<i4").tobytes() for name, i in ids.items()}
+    bytes_ = [np.array([i], "<i4").tobytes() for i in of_byte]
+    length = {ch: k for k, ch in enumerate(LENGTHS, 1)}
+    out: dict[str, bytes] = {}
+    for batch in found.to_batches(max_chunksize=50_000):
+        for atom, lengths in zip(batch.column("part").to_pylist(), batch.column("lengths").to_pylist(), strict=True):
+            at, made = 0, []
+            for ch in lengths:
+                name = atom[at : (at := at + length[ch])]
+                known = one.get(name)
+                made.append(known if known is not None else b"".join([bytes_[b] for b in name.encode("utf-8", "surrogatepass")]))
+            out[atom] = b"".join(made)
+    return out
+
+
+def _assemble(ids: dict[str, int], of_byte: list[int], by_id: list[bytes]):
+    """The ids of a bucket's documents; what they decode to is told by its crc32."""
+
     def run(key: tuple, group: pa.Table, found: pa.Table) -> pa.Table:
-        splitter = _splitter(names)
-        encoded: dict[str, bytes] = {"": b""}
-        parts = _numbered(group, splitter)
-        numbers = found.column("n").to_numpy()
-        if len(numbers) != len(parts):
-            raise ValueError(f"{len(parts)} parts, {len(numbers)} encodings")
-        ids = found.column("ids").combine_chunks()
-        flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
-        plain = (flat >= 0).all()
-        for k, n in enumerate(numbers.tolist()):
-            own = flat[offsets[k] : offsets[k + 1]]
-            if not plain and (own < 0).any():
-                own = np.array([b for i in own.tolist() for b in ([i] if i >= 0 else [of_byte[x] for x in chr(-1 - i).encode("utf-8", "surrogatepass")])], np.int32)
-            encoded[parts[n]] = own.astype("<i4").tobytes()
-        get = encoded.__getitem__
-        doc_ids, out, sums = [], [], []
+        splitter = _splitter(list(ids))
+        get = _Encoded(splitter, _atom_ids(found, ids, of_byte)).__getitem__
+        tables = []
         for batch in _unpack(group):
-            doc_ids += batch.column("doc_id").to_pylist()
-            for text in batch.column("text").to_pylist():
-                out.append(b"".join(map(get, splitter.parts(text))))
-                sums.append(zlib.crc32((text or "").encode("utf-8", "surrogatepass")))
-        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-        values = pa.array(np.frombuffer(b"".join(out), "<i4").astype(np.int32))
-        return pa.table([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(sums, pa.int64())], ["doc_id", "ids", "text_crc32"])
+            texts = batch.column("text").to_pylist()
+            out = [b"".join(map(get, splitter.parts(t))) for t in texts]
+            sums = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
+            del out
+            back = [zlib.crc32(x) for x in decoded(values, by_id)]
+            tables.append(pa.table([batch.column("doc_id").cast(pa.int64()), values, pa.array(sums, pa.int64()), pa.array(back, pa.int64())], ["doc_id", "ids", "text_crc32", "decoded_crc32"]))
+        del get
+        _trim()
+        return pa.concat_tables(tables)
 
     return run
 
 
-def lattices(parts: DataFrame, table: DataFrame, longest: int, *carried: str) -> DataFrame:
-    """part, ids and the carried columns of distinct parts; -1 - its code point is a character without a piece.
+def lattices(parts: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """part, lengths (of the best pieces, a character of LENGTHS each) of distinct parts.
 
-    All steps after the grouping of parts keep a part's rows together, so nothing is dealt again.
+    parts is partitioned by part and all steps keep a part's rows together, so nothing is dealt
+    again. An edge is one long: its end, its weight and its length, so edges sort by ends.
     """
-    starts = parts.select("part", *carried, F.explode(F.sequence(F.lit(1), F.length("part"))).alias("s"))
-    spans = starts.select("part", *carried, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("s") + 1))).alias("k"))
-    first = (F.col("s") == 1) & (F.col("k") == 1)
-    spans = spans.select("part", *[F.when(first, F.col(c)).alias(c) for c in carried], (F.col("s") + F.col("k") - 1).alias("e"), "k", F.substring("part", F.col("s"), F.col("k")).alias("piece"))
+    starts = parts.select("part", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("s"))
+    spans = starts.select("part", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("s") + 1))).alias("k"))
+    spans = spans.select("part", (F.col("s") + F.col("k") - 1).alias("e"), "k", F.substring("part", F.col("s"), F.col("k")).alias("piece"))
     # The piece table is the fixed public vocabulary, so its size is bounded.
-    edges = spans.join(F.broadcast(table), "piece", "left").filter((F.col("k") == 1) | F.col("piece_id").isNotNull())
-    edge = F.struct("k", F.coalesce("score", F.lit(UNKNOWN)).alias("score"), F.coalesce("piece_id", -1 - F.ascii("piece")).alias("id"))
-    at = edges.groupBy("part", "e").agg(F.collect_list(edge).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in carried])
-    lattice = at.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("e", "edges"))).alias("lattice"), *[F.first(c, ignorenulls=True).alias(c) for c in carried])
-    folded = lattice.select("part", *carried, _best(F.col("lattice")).alias("best"))
-    return folded.select("part", *carried, _path(F.col("best")).alias("ids"))
-
-
-def _best(lattice: Column) -> Column:
-    """For position 0 and each that follows: best score, length and id of the piece that ends there."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("k"), F.lit(0).alias("id")))
-    reach = lambda done, x: F.struct((F.element_at(done, -x["k"])["score"] + x["score"]).alias("score"), x["k"].alias("k"), x["id"].alias("id"))
-    return F.aggregate(lattice, start, lambda done, p: F.array_append(done, F.array_max(F.transform(p["edges"], lambda x: reach(done, x)))))
+    edges = spans.join(F.broadcast(table), "piece", "left").filter((F.col("k") == 1) | F.col("weight").isNotNull())
+    weight = F.coalesce("weight", F.lit(_weight(UNKNOWN))) + _ZERO
+    edge = F.shiftleft(F.col("e").cast("long"), _WBITS + _KBITS) + F.shiftleft(weight, _KBITS) + F.col("k")
+    lattice = edges.groupBy("part").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    end = lambda x: F.shiftright(x, _WBITS + _KBITS)
+    first = lambda x, i: (i == 0) | (end(x) != end(F.get(F.col("edges"), i - 1)))
+    begins = F.filter(F.transform("edges", lambda x, i: F.when(first(x, i), i)), lambda i: i.isNotNull())
+    placed = lattice.select("part", "edges", F.array_append(begins, F.size("edges")).alias("begins"))
+    folded = placed.select("part", _best(F.col("edges"), F.col("begins")).alias("best"))
+    return folded.select("part", _lengths(F.col("best")).alias("lengths"))
+
+
+def _best(edges: Column, begins: Column) -> Column:
+    """For position 0 and each that follows one long: best score, and in the low bits the length of the piece that ends there.
+
+    The greatest long has the best score and, of equal scores, the longest piece.
+    """
+    low, own = (1 << _KBITS) - 1, (1 << (_WBITS + _KBITS)) - 1
+    before = lambda done, x: F.element_at(done, -x.bitwiseAND(F.lit(low)).cast("int")).bitwiseAND(F.lit(~low))
+    reach = lambda done, x: before(done, x) + x.bitwiseAND(F.lit(own)) - (_ZERO << _KBITS)
+    here = lambda p: F.slice(edges, F.get(begins, p - 1) + 1, F.get(begins, p) - F.get(begins, p - 1))
+    places = F.sequence(F.lit(1), F.size(begins) - 1)
+    return F.aggregate(places, F.array(F.lit(0).cast("long")), lambda done, p: F.array_append(done, F.array_max(F.transform(here(p), lambda x: reach(done, x)))))
 
 
-def _path(best: Column) -> Column:
-    """The ids of the pieces on the way back from the last position."""
-    start = F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
-    back = F.transform(F.reverse(best), lambda b, i: F.struct((F.size(best) - 1 - i).alias("p"), b["k"].alias("k"), b["id"].alias("id")))
-    step = lambda s, b: F.when((b["p"] == s["at"]) & (b["k"] > 0), F.struct((s["at"] - b["k"]).alias("at"), F.array_append(s["ids"], b["id"]).alias("ids"))).otherwise(s)
-    return F.aggregate(back, start, step, lambda s: F.reverse(s["ids"]))
+def _lengths(best: Column) -> Column:
+    """The lengths of the pieces on the way back from the last position, in reading order."""
+    start = F.struct(F.size(best).alias("at"), F.lit("").alias("found"))
+    back = F.transform(F.reverse(best), lambda b, i: F.struct((F.size(best) - i).alias("p"), b.bitwiseAND(F.lit((1 << _KBITS) - 1)).cast("int").alias("k")))
+    code = lambda k: F.substring(F.lit(LENGTHS), k, F.lit(1))
+    step = lambda s, b: F.when((b["p"] == s["at"]) & (b["k"] > 0), F.struct((s["at"] - b["k"]).alias("at"), F.concat(code(b["k"]), s["found"]).alias("found"))).otherwise(s)
+    return F.aggregate(back, start, step, lambda s: s["found"])
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, ids, text_crc32 (of the text's UTF-8 form) of every row of docs."""
-    from sentencepiece import SentencePieceProcessor
-
+    """doc_id, ids, text_crc32 (of the text's UTF-8 form), decoded_crc32 (of what the ids decode to) of every row of docs."""
     spark = docs.sparkSession
     path = model or default_piece_model()
     rows = piece_table(path)
-    names = [r[0] for r in rows]
-    processor = SentencePieceProcessor(model_file=path)
-    of_byte = [processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-    longest = max(map(len, names))
-    table = spark.createDataFrame(rows, "piece string, piece_id int, score double")
-    buckets = max(partitions(spark, docs) // 2, docs_splits(docs), 1)
+    ids = {name: i for name, i, _ in rows}
+    by_id, of_byte = _bytes_by_id(path)
+    longest = max(map(len, ids))
+    if longest > len(LENGTHS):
+        raise ValueError(f"pieces of {longest} characters")
+    table = spark.createDataFrame([(name, _weight(score)) for name, _, score in rows], "piece string, weight long")
+    dealt = partitions(spark, docs)
+    buckets = max(dealt, docs_splits(docs))
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
     blocks = docs.select("doc_id", "text", bucket.alias("bucket")).mapInArrow(_pack, _BLOCKS)
-    parts = blocks.groupBy("bucket").applyInArrow(_parts_of(names), _PARTS)
-    places = parts.groupBy("part").agg(F.collect_list(F.struct("bucket", "n")).alias("places"))
-    encoded = lattices(places, table, longest, "places").select("ids", F.explode("places").alias("at"))
-    encoded = encoded.select("at.bucket", "at.n", "ids")
+    parts = blocks.groupBy("bucket").applyInArrow(_atoms_of(list(ids)), _PARTS).repartition(dealt, "part")
+    # Both sides of the join below ask for all columns, so that they share one exchange.
+    distinct = parts.groupBy("part").agg(F.max("bucket").alias("b")).filter("b >= 0").select("part")
+    encoded = lattices(distinct, table, longest).withColumnRenamed("part", "e_part")
+    encoded = parts.join(encoded, F.col("part") == F.col("e_part")).select("bucket", "part", "lengths")
     whole = blocks.groupBy("bucket").cogroup(encoded.groupBy("bucket"))
-    return whole.applyInArrow(_assemble(names, of_byte), "doc_id long, ids array<int>, text_crc32 long")
+    return whole.applyInArrow(_assemble(ids, of_byte, by_id), "doc_id long, ids array<int>, text_crc32 long, decoded_crc32 long")
 
 
-def _decoder(table: list[bytes]):
+def _bytes_by_id(path: str) -> tuple[list[bytes], list[int]]:
+    """What each id decodes to, and the id of each byte."""
+    from sentencepiece import SentencePieceProcessor
+
+    processor = SentencePieceProcessor(model_file=path)
+    names = [processor.id_to_piece(i) for i in range(processor.get_piece_size())]
+    by_id = [bytes([int(p[3:5], 16)]) if processor.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
+    return by_id, [processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+
+
+def decoded(ids: pa.ListArray, by_id: list[bytes]) -> Iterator[bytes]:
+    """The UTF-8 forms of the texts of lists of ids, without the space that was put in front; a part of the lists at a time."""
+    texts = pa.array(by_id, pa.large_binary())
+    for k in range(0, len(ids), 256):
+        part = ids.slice(k, 256)
+        offsets = pc.subtract(part.offsets.cast(pa.int64()), pa.scalar(part.offsets[0].as_py(), pa.int64()))
+        named = pa.LargeListArray.from_arrays(offsets, texts.take(part.flatten()))
+        for x in pc.binary_join(named, pa.scalar(b"", pa.large_binary())).to_pylist():
+            yield x[1:] if x[:1] == b" " else x
+
+
+def _decoder(by_id: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = pa.array(table, pa.large_binary())
         for batch in batches:
-            ids = batch.column("ids")
-            named = pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), texts.take(ids.values))
-            whole = pc.binary_join(named, pa.scalar(b"", pa.large_binary())).to_pylist()
-            decoded = [(x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in whole]
             keep = [batch.column(c) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(decoded, pa.string())], [*batch.schema.names, "decoded"])
+            texts = [x.decode("utf-8", "replace") for x in decoded(batch.column("ids"), by_id)]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """encoded (a column ids of no nulls, and others) with decoded, the text of the ids."""
+    """encoded (a column ids without nulls, and others) with decoded, the text of the ids."""
     from pyspark.sql.types import StringType, StructField, StructType
-    from sentencepiece import SentencePieceProcessor
 
-    processor = SentencePieceProcessor(model_file=model or default_piece_model())
-    table = [bytes([int(p[3:5], 16)]) if processor.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(processor.id_to_piece(i) for i in range(processor.get_piece_size()))]
-    return encoded.mapInArrow(_decoder(table), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+    by_id, _ = _bytes_by_id(model or default_piece_model())
+    return encoded.mapInArrow(_decoder(by_id), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_pieces, ids, text_crc32, decoded_crc32 of every row: its ids, and its text by them."""
-    rows = decode(encode(docs, model), model)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_crc32", F.crc32("decoded").alias("decoded_crc32"))
+    """doc_id, n_pieces, ids, text_crc32, decoded_crc32 of every row: its ids, and whether they give its text back.
+
+    Ids are decoded where they are made, so that a task needs one Python worker.
+    """
+    rows = encode(docs, model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_crc32", "decoded_crc32")
