@@ -22,13 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import remainder, slices
 from .vocabulary import MARK, Trie, default_piece_model, pieces
 
 SAMPLE = 400
+#: The most frequent labels are learned, so many at most.
+LANGUAGES = 1_000
+#: Of a language's sample, so many words at most are fitted: the most frequent.
+WORDS = 100_000
 ROUNDS = 3
 SMOOTHING = 0.05
 #: Probability of a character that is in no piece, in any language.
@@ -154,12 +158,15 @@ def train(docs: DataFrame, model: str | None = None, sample: int = SAMPLE) -> Mo
     names = [name for name, _ in pieces(model or default_piece_model())]
     known = docs.filter((remainder(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select("doc_id", "lang", "text")
-    per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs_of"))
+    per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs_of")).orderBy(F.desc("docs_of"), "lang").limit(LANGUAGES)
     draw = F.pmod(F.xxhash64(F.lit("lid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = per.select(F.col("lang").alias("s_lang"), (F.lit(float(sample)) / F.col("docs_of")).alias("share"))
-    drawn = known.withColumn("draw", draw).join(share, F.col("lang") == F.col("s_lang")).filter("draw < share")
+    # A row for each of LANGUAGES at most: they go to the texts, which stay where they are.
+    drawn = known.withColumn("draw", draw).join(F.broadcast(share), F.col("lang") == F.col("s_lang")).filter("draw < share")
     counted = drawn.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    counted = counted.withColumn("place", place).filter(F.col("place") <= WORDS).drop("place")
     by_lang: dict[str, dict[str, int]] = {}
     for row in counted.toArrow().to_pylist():
         by_lang.setdefault(row["lang"], {})[row["word"]] = row["n"]
