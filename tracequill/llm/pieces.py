@@ -145,8 +145,9 @@ def _atoms_of(names: list[str]):
             for text in batch.column("text").to_pylist():
                 seen.update(splitter.parts(text))
         seen.discard("")
-        atoms = sorted({a for p in seen for a in splitter.atoms(p)})
-        del seen
+        whole = {p for p in seen if p[1:].isalpha() and len(p) <= LONG}
+        atoms = sorted(whole.union(*map(splitter.atoms, seen - whole)))
+        del seen, whole
         _trim()
         return pa.table([pa.array(np.full(len(atoms), key[0].as_py(), np.int32)), pa.array(atoms, pa.string())], ["bucket", "part"])
 
@@ -154,41 +155,53 @@ def _atoms_of(names: list[str]):
 
 
 class _Encoded(dict):
-    """Serialized ids of a bucket's parts, made when they are asked for from those of its atoms."""
+    """Serialized ids of a bucket's atoms, and of its parts, made of their atoms' when they are asked for."""
 
     def __init__(self, splitter: Splitter, atoms: dict[str, bytes]) -> None:
+        super().__init__(atoms)
         self[""] = b""
-        self._splitter, self._atoms = splitter, atoms
+        self._splitter = splitter
 
     def __missing__(self, part: str) -> bytes:
-        self[part] = made = b"".join([self._atoms[a] for a in self._splitter.atoms(part)])
+        self[part] = made = b"".join([self[a] for a in self._splitter.atoms(part)])
         return made
 
 
-def _atom_ids(found: pa.Table, ids: dict[str, int], of_byte: list[int]) -> dict[str, bytes]:
-    """Serialized ids of atoms (part) by the lengths of their pieces."""
-    one = {name: np.array([i], "<i4").tobytes() for name, i in ids.items()}
-    bytes_ = [np.array([i], "<i4").tobytes() for i in of_byte]
-    length = {ch: k for k, ch in enumerate(LENGTHS, 1)}
-    out: dict[str, bytes] = {}
-    for batch in found.to_batches(max_chunksize=50_000):
-        for atom, lengths in zip(batch.column("part").to_pylist(), batch.column("lengths").to_pylist(), strict=True):
-            at, made = 0, []
-            for ch in lengths:
-                name = atom[at : (at := at + length[ch])]
-                known = one.get(name)
-                made.append(known if known is not None else b"".join([bytes_[b] for b in name.encode("utf-8", "surrogatepass")]))
-            out[atom] = b"".join(made)
-    return out
+def _atom_ids(found: pa.Table, names: list[str], ids: np.ndarray, of_byte: list[int]) -> dict[str, bytes]:
+    """Serialized ids of atoms (part) by the lengths of their pieces; all atoms' pieces are looked up at once."""
+    atoms, lengths = found.column("part").to_pylist(), found.column("lengths").to_pylist()
+    if not atoms:
+        return {}
+    length = np.zeros(128, np.int64)
+    length[np.frombuffer(LENGTHS.encode(), np.uint8)] = np.arange(1, len(LENGTHS) + 1)
+    sizes = length[np.frombuffer("".join(lengths).encode(), np.uint8)]
+    text = "".join(atoms)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    place = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    if ends[-1] != len(codes):
+        raise ValueError("lengths of pieces don't fit their atoms")
+    data = text.encode("utf-8", "surrogatepass")
+    cut = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(place[ends].astype(np.int32)), pa.py_buffer(data))
+    at = pc.index_in(cut, value_set=pa.array(names)).fill_null(-1).to_numpy()
+    flat = ids[at].astype("<i4")
+    counts = np.array([len(x) for x in lengths])
+    if (unknown := np.nonzero(at < 0)[0]).size:  # characters without a piece: their bytes' ids
+        spelled = {int(i): [of_byte[b] for b in data[place[ends[i]] : place[ends[i + 1]]]] for i in unknown}
+        flat = np.array([x for i, k in enumerate(flat.tolist()) for x in spelled.get(i, (k,))], "<i4")
+        np.add.at(counts, np.repeat(np.arange(len(counts)), counts)[unknown], [len(spelled[int(i)]) - 1 for i in unknown])
+    whole, stops = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
+    return {a: whole[i:j] for a, i, j in zip(atoms, [0, *stops], stops, strict=False)}
 
 
 def _assemble(ids: dict[str, int], of_byte: list[int], by_id: list[bytes]):
     """The ids of a bucket's documents; what they decode to is told by its crc32."""
 
     def run(key: tuple, group: pa.Table, found: pa.Table) -> pa.Table:
-        splitter = _splitter(list(ids))
-        get = _Encoded(splitter, _atom_ids(found, ids, of_byte)).__getitem__
-        tables = []
+        names = list(ids)
+        splitter = _splitter(names)
+        get = _Encoded(splitter, _atom_ids(found, names, np.array(list(ids.values())), of_byte)).__getitem__
+        tables, spelling = [], pa.array(by_id, pa.large_binary())
         for batch in _unpack(group):
             texts = batch.column("text").to_pylist()
             out = [b"".join(map(get, splitter.parts(t))) for t in texts]
@@ -196,7 +209,7 @@ def _assemble(ids: dict[str, int], of_byte: list[int], by_id: list[bytes]):
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
             del out
-            back = [zlib.crc32(x) for x in decoded(values, by_id)]
+            back = [zlib.crc32(x) for x in decoded(values, spelling)]
             tables.append(pa.table([batch.column("doc_id").cast(pa.int64()), values, pa.array(sums, pa.int64()), pa.array(back, pa.int64())], ["doc_id", "ids", "text_crc32", "decoded_crc32"]))
         del get
         _trim()
@@ -249,8 +262,11 @@ def _lengths(best: Column) -> Column:
     return F.aggregate(back, start, step, lambda s: s["found"])
 
 
-def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, ids, text_crc32 (of the text's UTF-8 form), decoded_crc32 (of what the ids decode to) of every row of docs."""
+def encode(docs: DataFrame, model: str | None = None, finer: int = 1) -> DataFrame:
+    """doc_id, ids, text_crc32 (of the text's UTF-8 form), decoded_crc32 (of what the ids decode to) of every row of docs.
+
+    finer: that many times more buckets; they take less memory and move more bytes.
+    """
     spark = docs.sparkSession
     path = model or default_piece_model()
     rows = piece_table(path)
@@ -261,7 +277,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
         raise ValueError(f"pieces of {longest} characters")
     table = spark.createDataFrame([(name, _weight(score)) for name, _, score in rows], "piece string, weight long")
     dealt = partitions(spark, docs)
-    buckets = max(dealt, docs_splits(docs))
+    buckets = finer * max(dealt, docs_splits(docs))
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
     blocks = docs.select("doc_id", "text", bucket.alias("bucket")).mapInArrow(_pack, _BLOCKS)
     parts = blocks.groupBy("bucket").applyInArrow(_atoms_of(list(ids)), _PARTS).repartition(dealt, "part")
@@ -283,9 +299,8 @@ def _bytes_by_id(path: str) -> tuple[list[bytes], list[int]]:
     return by_id, [processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-def decoded(ids: pa.ListArray, by_id: list[bytes]) -> Iterator[bytes]:
-    """The UTF-8 forms of the texts of lists of ids, without the space that was put in front; a part of the lists at a time."""
-    texts = pa.array(by_id, pa.large_binary())
+def decoded(ids: pa.ListArray, texts: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 forms of lists of ids by texts, each id's, without the space that was put in front; some lists at a time."""
     for k in range(0, len(ids), 256):
         part = ids.slice(k, 256)
         offsets = pc.subtract(part.offsets.cast(pa.int64()), pa.scalar(part.offsets[0].as_py(), pa.int64()))
@@ -296,9 +311,10 @@ def decoded(ids: pa.ListArray, by_id: list[bytes]) -> Iterator[bytes]:
 
 def _decoder(by_id: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = pa.array(by_id, pa.large_binary())
         for batch in batches:
             keep = [batch.column(c) for c in batch.schema.names]
-            texts = [x.decode("utf-8", "replace") for x in decoded(batch.column("ids"), by_id)]
+            texts = [x.decode("utf-8", "replace") for x in decoded(batch.column("ids"), spelling)]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
@@ -312,10 +328,10 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return encoded.mapInArrow(_decoder(by_id), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
-def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, model: str | None = None, finer: int = 1) -> DataFrame:
     """doc_id, n_pieces, ids, text_crc32, decoded_crc32 of every row: its ids, and whether they give its text back.
 
     Ids are decoded where they are made, so that a task needs one Python worker.
     """
-    rows = encode(docs, model)
+    rows = encode(docs, model, finer)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_crc32", "decoded_crc32")
