@@ -46,7 +46,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids and checks of every document."""
-    return pieces.round_trip(docs)
+    return pieces.round_trip(docs, finer=2)
 
 
 STAGES = [
