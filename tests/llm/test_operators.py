@@ -227,6 +227,41 @@ def test_classes_equal_all_pairs(spark):
     assert {r.doc_id: r.class_id for r in got.collect()} == want
 
 
+def _edited(base, tag, *spans):
+    words = list(base)
+    for begin, end in spans:
+        words[begin:end] = [f"{tag}{i}" for i in range(begin, end)]
+    return words
+
+
+def _linked(spark, texts):
+    """The labels of texts that are all in one large group."""
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    members = spark.createDataFrame([(7, i, len(texts)) for i in texts], "band long, id long, n long")
+    labels = near_dups._links(members, spark.createDataFrame(list(texts.items()), "id long, text string"))[1]
+    return {i: i for i in texts} | {r.id: r.label for r in labels.collect()}
+
+
+def test_one_badly_linked_partner(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = {0: base} | {k: _edited(base, f"e{k}_", (k, k + 1)) for k in range(1, 10)}
+    texts[10] = _edited(base, "p", (185, 200))
+    texts[11] = _edited(texts[10], "x", (170, 185))
+    sets = _pairs([" ".join(texts[i]) for i in range(12)])
+    assert [i for i in range(11) if near_dups.similarity(sets[i], sets[11]) >= 0.8] == [10]
+    assert set(_linked(spark, texts).values()) == {0}
+
+
+def test_overlaps_of_blocks(monkeypatch):
+    monkeypatch.setattr(near_dups, "COLUMNS", 7)
+    rng = random.Random(6)
+    sets = _pairs([" ".join(rng.choice("ab") for _ in range(rng.randint(1, 60))) for _ in range(30)])
+    got = near_dups.overlaps(sets[:12], sets[12:])
+    for i, x in enumerate(sets[:12]):
+        for j, y in enumerate(sets[12:]):
+            assert got[i, j] / (x[1].sum() + y[1].sum() - got[i, j]) == near_dups.similarity(x, y)
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)]

@@ -13,10 +13,11 @@ bands of ROWS registers. In each group of
 up to SMALL texts with an equal band any two are compared by exact weighted Jaccard similarity.
 In larger groups one text, the hub, is compared with all that are not in its class; rounds with
 other hubs, those with the most links first, follow for the groups that hold more than one
-class until a round finds no link. After the first round a class is represented in a large group by
-its STANDING best linked texts. Links of THRESHOLD or more make classes. A round is linear in the
-rows of its groups, whatever their size. On a corpus of 51,000 documents with groups of
-over a thousand near copies the classes were those of comparing all pairs with an equal band.
+class until a round finds no link or few pairs are left, ROUNDS at most. Then all pairs of different classes in such a
+group are compared, block by block, all overlaps of two blocks by one product of matrices. Links
+of THRESHOLD or more make classes, so classes are those of comparing all pairs with an equal band.
+A round is linear in the rows of its groups; so is the last step where most texts of a group are of
+one class, and else it grows with the square of the group over BLOCK.
 
 The hashes of words and grams have 64 bits. Two texts with a similarity of 0.8 share no band
 with a probability of about (1 - 0.8 ** ROWS) ** BANDS, 7e-6.
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, WORD_RE, materialize, slices
@@ -45,8 +46,12 @@ BANDS = 64
 REGISTERS = ROWS * BANDS
 TICK = 2.0**-32
 SMALL = 8
-#: So many texts of each class stay in a large group after its first round.
-STANDING = 4
+#: Rounds with hubs, and so many pairs a row of the large groups for which none follows; what they leave is compared in blocks.
+ROUNDS = 1
+FEW = 2
+#: Texts of a block, and distinct grams that are looked at together.
+BLOCK = 256
+COLUMNS = 8192
 #: Graphs of up to so many edges are labelled by one task.
 ONE_TASK = 200_000
 REMEMBERED = 400_000
@@ -235,26 +240,92 @@ def _links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")))
     seen, links = _close(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), texts, "near-small")
     labels = components(links, "near-classes")
-    rows, first = members.filter(F.col("n") > SMALL).select("band", "id", F.lit(False).alias("used")), True
-    while True:
+    rows, ended = members.filter(F.col("n") > SMALL).select("band", "id", F.lit(False).alias("used")), False
+    for drawn in range(ROUNDS + 1):
         ends = links.select(F.explode(F.array("a", "b")).alias("e_id")).groupBy("e_id").agg(F.count(F.lit(1)).alias("degree"))
         known = labels.select(F.col("id").alias("m_id"), "label").join(ends, F.col("m_id") == F.col("e_id"), "left")
         rows = rows.join(known, F.col("id") == F.col("m_id"), "left")
-        rows = rows.select("band", "id", "used", F.coalesce("label", "id").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        if not first:  # all have met a hub: from now on a class stands in a group by its best linked texts
-            place = F.row_number().over(Window.partitionBy("band", "label").orderBy(F.desc("degree"), "id"))
-            rows = rows.withColumn("place", place).filter(F.col("place") <= STANDING).drop("place")
-        rows, first = materialize(rows, "near-rows"), False
+        rows = materialize(rows.select("band", "id", "used", F.coalesce("label", "id").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "near-rows")
         best = F.max(F.when(~F.col("used"), F.struct("degree", (-F.col("id")).alias("minus"), "label")))
-        hubs = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), best.alias("hub")).filter("lo < hi and hub is not null")
+        held = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), best.alias("hub"))
+        hubs = held.groupBy("band").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("main"), F.max("hub").alias("hub"), F.count(F.lit(1)).alias("classes"))
+        hubs = materialize(hubs.filter("classes > 1 and hub is not null"), "near-hubs-drawn")
+        left = hubs.agg(F.sum("size").alias("rows"), F.sum(F.expr("(size - main.c) * size")).alias("pairs")).first()
+        if ended or drawn == ROUNDS or left.rows is None or left.pairs <= FEW * left.rows:
+            break
         rows = rows.join(hubs.select("band", (-F.col("hub.minus")).alias("hub"), F.col("hub.label").alias("hub_label")), "band")
         pairs = rows.filter("label <> hub_label").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
         compared, new = _close(pairs.distinct().join(seen, ["a", "b"], "left_anti"), texts, "near-hubs")
-        if new.isEmpty():
-            return links, labels
-        seen, links = seen.unionAll(compared), links.unionAll(new)
-        labels = _merged(labels, new)
+        seen, links, ended = seen.unionAll(compared), links.unionAll(new), new.isEmpty()
+        labels = labels if ended else _merged(labels, new)
         rows = rows.select("band", "id", (F.col("used") | (F.col("id") == F.col("hub"))).alias("used"))
+    if left.rows is None:  # each group is of one class, or all its texts were hubs
+        return links, labels
+    new = materialize(_rest(rows.join(hubs.select("band"), "band", "left_semi"), texts), "near-rest")
+    return (links, labels) if new.isEmpty() else (links.unionAll(new), _merged(labels, new))
+
+
+def _rest(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between all texts of different classes that share a band in rows (band, id, label).
+
+    Groups that share texts are dealt together to blocks, those of their largest class to blocks of its own.
+    """
+    rows = materialize(rows.select("band", "id", "label"), "near-left")
+    least = rows.groupBy("band").agg(F.min("id").alias("a"))
+    together = components(rows.join(least, "band").filter("a <> id").select("a", F.col("id").alias("b")), "near-together")
+    ends = rows.select("id", "label").distinct().join(together.withColumnRenamed("label", "part"), "id")
+    sizes = ends.groupBy("part", "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("part").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("size"))
+    ends = ends.join(sizes, "part").withColumn("is_main", F.col("label") == F.col("main.label"))
+    blocks = F.ceil(F.when(F.col("is_main"), F.col("main.c")).otherwise(F.col("size") - F.col("main.c")) / BLOCK)
+    block = F.xxhash64("part", "is_main", F.pmod(F.xxhash64("id"), blocks))
+    ends = materialize(ends.select("id", "label", block.alias("block")), "near-blocks")
+    held = rows.select("band", "id").join(ends, "id").groupBy("band", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    x, y = held.alias("x"), held.alias("y")
+    differ = F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") <= F.col("y.block")) & differ)
+    pairs = materialize(pairs.select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct(), "near-block-pairs")
+    sides = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    sent = sides.join(ends.join(texts, "id"), "block")
+    return sent.groupBy("p", "q").applyInArrow(_block_links, "a long, b long")
+
+
+def overlaps(xs: list[tuple[np.ndarray, np.ndarray]], ys: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """How many grams any of xs has in common with any of ys, repeated ones as often as both have them."""
+    sides = []
+    for side in (xs, ys):
+        gram, count = np.concatenate([g for g, _ in side]), np.concatenate([c for _, c in side])
+        owner = np.repeat(np.repeat(np.arange(len(side)), [len(g) for g, _ in side]), count)
+        again = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        token = np.repeat(gram, count)
+        sides.append((owner, np.where(again > 0, scramble(token + _B * again.astype(np.uint64)), token)))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    out = np.zeros((len(xs), len(ys)), np.float64)
+    for k in range(0, len(both), COLUMNS):
+        part, dense = both[k : k + COLUMNS], []
+        for side, (owner, token) in zip((xs, ys), sides, strict=True):
+            at = np.minimum(np.searchsorted(part, token), len(part) - 1)
+            found = part[at] == token
+            dense.append(np.zeros((len(side), len(part)), np.float32))
+            dense[-1][owner[found], at[found]] = 1
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    grams, side = Grams(), {}
+    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+    block = table.column("block").to_numpy()
+    for name in {p, q}:
+        rows = table.filter(pa.array(block == name))
+        side[name] = rows.column("id").to_numpy(), rows.column("label").to_numpy(), [grams.of(t) for t in rows.column("text").to_pylist()]
+    (x_id, x_label, xs), (y_id, y_label, ys) = side[p], side[q]
+    both = overlaps(xs, ys)
+    weight = np.array([c.sum() for _, c in xs], np.float64)[:, None] + np.array([c.sum() for _, c in ys], np.float64)[None, :]
+    i, j = np.nonzero((both / np.maximum(1, weight - both) >= THRESHOLD) & (x_label[:, None] != y_label[None, :]))
+    if p == q:
+        i, j = i[i < j], j[i < j]
+    return pa.table({"a": pa.array(np.minimum(x_id[i], y_id[j]), pa.int64()), "b": pa.array(np.maximum(x_id[i], y_id[j]), pa.int64())})
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
