@@ -252,6 +252,14 @@ def test_one_badly_linked_partner(spark):
     assert set(_linked(spark, texts).values()) == {0}
 
 
+def test_close_pair_behind_hubs_without_links(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = {k: _edited(base, f"e{k}_", (13 * k, 13 * k + 12)) for k in range(12)}
+    texts[12] = _edited(texts[11], "x", (198, 199))
+    got = _linked(spark, texts)
+    assert got == {k: k for k in range(12)} | {12: 11}
+
+
 def test_overlaps_of_blocks(monkeypatch):
     monkeypatch.setattr(near_dups, "COLUMNS", 7)
     rng = random.Random(6)
