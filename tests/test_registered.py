@@ -1,6 +1,7 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from tracequill.plans import registered
@@ -38,3 +39,20 @@ def test_greedy_selection(spark):
     for i, a in enumerate(rows):
         for b in rows[i + 1 :]:
             assert selection._overlap(a, b) == 0
+
+
+def test_membership_of_all_windows(spark):
+    from tracequill.plans.roles import Roles
+
+    rows = Roles(spark, SF).intervals.select("id", "contig", "start", "end", "side").collect()
+    held = {}
+    for r in rows:
+        held.setdefault((r.contig, str(r.side)), []).append((r.start, r.end))
+    held = {k: np.array(v) for k, v in held.items()}
+
+    def of(r):
+        meets = lambda v: (np.minimum(v[:, 1], r.end) > np.maximum(v[:, 0], r.start)).any()
+        return ";".join(s for s in "01" if (r.contig, s) in held and meets(held[r.contig, s]))
+
+    got = [tuple(r) for r in registered.queries()["context_membership_all"](spark, SF).collect()]
+    assert sorted(got) == sorted((r.id, of(r)) for r in rows)
