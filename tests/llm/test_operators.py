@@ -421,6 +421,13 @@ def test_surrogates_keep_type_and_format(spark):
     assert re.match(rf"see Mrs ({'|'.join(surrogates.FIRST_F)}) [A-Z]", got[7].text) and re.match(r"see господин [А-Я][а-я]+,", got[9].text)
 
 
+def test_keys_of_letters_alone(spark):
+    keys = ["sk-" + "abcdefghijklmnopqrst", "AKIA" + "ABCDEFGHIJKLMNOP", *[f"gh{c}_" + "abcdefGHIJ" * 3 + "klmnop" for c in "pousr"]]
+    df = spark.createDataFrame([(i, f"the key {k} is ours") for i, k in enumerate(keys)], "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replace(df).collect()}
+    assert all(got[i].n_entities == 1 and k not in got[i].text for i, k in enumerate(keys))
+
+
 def test_surrogates_stay_distinct(spark):
     few = [f"{a}.{b}.{c}.{d}" for a in range(1, 5) for b in range(1, 8) for c in range(1, 8) for d in range(1, 8)]
     entities = spark.createDataFrame([("ip", x) for x in few], "of string, entity string")

@@ -57,7 +57,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity has one of these; the scan for them is cheap.
-TRIGGER = rf"[@0-9]|\b(?:{'|'.join((*TITLES_M, *TITLES_F))})\.? "
+TRIGGER = rf"[@0-9]|AKIA|gh[pousr]_|sk-|\b(?:{'|'.join((*TITLES_M, *TITLES_F))})\.? "
 
 
 def kind(entity: Column) -> Column:
