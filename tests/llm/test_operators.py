@@ -394,6 +394,15 @@ def test_landmarks_of_a_tone():
     assert len(marks) and (marks[:, 1] == want).all() and (marks[:, 2] == want).all()
 
 
+def test_landmarks_reach_the_end():
+    t = np.arange(320)
+    start = (128 + 100 * np.sin(2 * np.pi * 1000 * t / media.RATE)).astype(np.uint8)
+    end = start.copy()
+    end[-64:] = np.where(np.arange(64) % 2, 255, 0)
+    assert len(media.peaks(start.tobytes())) == 2
+    assert media.landmarks(start.tobytes()).tolist() != media.landmarks(end.tobytes()).tolist()
+
+
 ENTITIES = [
     "jo.smith+1@mail.example.org", "+1 (743) 555-3824", "17.255.3.99", "4316522678525456", "4111 1111 1111 1111", "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e", "123-45-6789",
     "Mrs Anna Keller", "Mr. Keller", "господин Иванов", "DE89370400440532013000", "sk-abcdefghijklmnopqrst12",

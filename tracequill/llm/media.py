@@ -5,8 +5,8 @@ back by it, and described by landmarks: the strongest bin of each frame's spectr
 with those of the next FANOUT frames; a pair is (time, bin, later bin, distance).
 
 Cases: a null or empty text is one block of 64 zero bytes; silence (no energy besides the
-constant part) has no peaks, so its fingerprint is empty; payloads shorter than a frame are
-padded with the middle value for the transform only; equal texts give equal values; an empty
+constant part) has no peaks, so its fingerprint is empty; payloads are padded
+with the middle value to a whole last frame for the transform only; equal texts give equal values; an empty
 table gives no rows; other columns of the input don't matter.
 """
 
@@ -65,8 +65,9 @@ _WINDOW = np.hanning(FRAME)
 def peaks(samples: bytes) -> np.ndarray:
     """The strongest bin above 0 of each frame's spectrum; 0 where a frame is silent."""
     x = np.frombuffer(samples, np.uint8)
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.full(FRAME - len(x), 128, np.uint8)])
+    lacking = max(FRAME, -(-len(x) // HOP) * HOP) - len(x)
+    if lacking:
+        x = np.concatenate([x, np.full(lacking, 128, np.uint8)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     out = np.zeros(len(frames), np.int32)
     for k in range(0, len(frames), FRAMES):
