@@ -463,3 +463,31 @@ def test_pipeline(spark):
             assert after.count() == before.count() and after.filter("n_chars <> length(text)").count() == 0
         before = after
     assert corpus_pipeline.run(spark, SF).count() == before.count() and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_long_parts_equal_viterbi(spark):
+    table = {p: (round(max(s, pieces.UNKNOWN) * (1 << 14)), i) for p, i, s in pieces.piece_table(default_piece_model())}
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (64, 65, 1007, 1008, 1009, 1023, 1024, 2048, 5000)]
+
+    def best(word):
+        done = [(0, 0)]
+        for e in range(1, len(word) + 1):
+            done.append(max((done[e - k][0] + table[word[e - k : e]][0], k) for k in range(1, min(16, e) + 1) if word[e - k : e] in table))
+        out, at = [], len(word)
+        while at:
+            out.append(table[word[at - done[at][1] : at]][1])
+            at -= done[at][1]
+        return out[::-1]
+
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pieces.round_trip(df).collect()}
+    assert all(list(got[i].ids) == best(MARK + w) and got[i].text_crc32 == got[i].decoded_crc32 for i, w in enumerate(words))
+
+
+def test_a_million_characters_without_a_space(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choices("etaoinshrdlu", k=1_000_000))
+    df = spark.createDataFrame([(1, text), (2, text[:70]), (3, text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pieces.round_trip(df).collect()}
+    assert got[1].ids == got[3].ids and all(r.text_crc32 == r.decoded_crc32 for r in got.values())

@@ -10,13 +10,19 @@ edges of a lattice, and folded over their positions by a higher-order aggregate,
 best score of each position and the piece that ends there (of equal scores the longest). A
 character that no piece covers costs UNKNOWN and becomes its bytes' pieces.
 
-Documents are dealt to buckets of tens of MB at most by a hash; what is moved are compressed
+A part of more than LONG characters is known by its hash and travels in chunks of CHUNK starting
+places, which are exploded and joined by themselves; its edges are grouped by the place they end at, places
+by chunk, chunks by part, and the fold goes from chunk to chunk with the last scores alone, so work is linear
+in the part's length.
+
+Documents are dealt by a hash to buckets of about BUCKET bytes of text; what is moved are compressed
 blocks of them. A bucket's distinct parts meet their segmentations where the corpus's parts are, and come
-back with them to put the bucket's documents together.
+back with them to put the bucket's documents together. A task holds the segmentations of one bucket and
+one block of documents at a time.
 
 Cases: a null or empty text has no ids and decodes to empty text; parts longer than LONG are cut
-before and after characters that are in no longer piece, and are else folded whole (beyond MOST
-characters they are cut there); a mark in
+before and after characters that are in no longer piece, and are else folded whole, however long
+(the edges of a part must fit one row of Spark, which is some ten million characters without a space); a mark in
 the text itself decodes to a space, as in the model; repeated rows are encoded each; an empty
 table gives no rows; other columns of the input don't matter.
 """
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_splits, partitions, slices
+from .common import partitions, slices
 from .vocabulary import MARK, default_piece_model, pieces
 
 #: Penalty of a character without a piece, and the least score of a piece.
@@ -46,9 +53,14 @@ LENGTHS = "0123456789abcdefghijklmnopqrstu"
 # An edge's bits: 22 for its end, 36 for its weight, a fixed-point score above _ZERO, 5 for its length.
 _KBITS, _WBITS, _FRACTION = 5, 36, 14
 _ZERO = 1 << (_WBITS - 1)
-MOST = 1 << 22
+#: Starting places of a chunk of a long part; its row has a key of KEY characters, 8 of the chunk's number and its text.
+CHUNK = 1024
+KEY = 65
 #: Rows are packed into blocks in slices of about so many bytes.
 PACKED = 16 << 20
+#: Bytes of text of a bucket, and atoms that are sent or looked up together.
+BUCKET = 32 << 20
+TOGETHER = 50_000
 _BLOCKS = "bucket int, block binary"
 _PARTS = "bucket int, part string"
 
@@ -88,7 +100,7 @@ class Splitter:
         if part[1:].isalpha() and len(part) <= LONG:
             return [part]
         if len(part) > LONG:
-            return [p[i : i + MOST - 1] for p in self._cut.split(part) if p for i in range(0, len(p), MOST - 1)]
+            return [p for p in self._cut.split(part) if p]
         found = _LEADING.match(part)
         cut = found.end() if found else 0
         return [part[:cut], part[cut:]] if 0 < cut < len(part) and part[cut - 1 : cut + 1] not in self._joined else [part]
@@ -123,9 +135,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["bucket", "block"])
 
 
-def _unpack(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    for block in group.column("block"):
-        yield from pa.ipc.open_stream(block.as_buffer())
+def _unpack(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks:
+        for block in batch.column("block"):
+            if block.is_valid:
+                yield from pa.ipc.open_stream(block.as_buffer())
 
 
 def _trim() -> None:
@@ -135,21 +149,42 @@ def _trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def _atoms_of(names: list[str]):
-    """The bucket's distinct atoms."""
+def _key(atom: str) -> str:
+    """What stands for an atom of more than LONG characters; no other row's part begins with it."""
+    return "\0" + hashlib.sha256(atom.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _chunks(atom: str, longest: int) -> list[str]:
+    """Key, number and text of each chunk: CHUNK starting places and what a piece can reach from them."""
+    key = _key(atom)
+    return [f"{key}{i:08x}{atom[i * CHUNK : (i + 1) * CHUNK + longest - 1]}" for i in range(-(-len(atom) // CHUNK))]
+
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
+def _atoms_of(names: list[str], longest: int):
+    """The bucket's distinct atoms, long ones as chunks."""
+
+    def run(key: tuple[pa.Scalar, ...], blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = _splitter(names)
         seen: set[str] = set()
-        for batch in _unpack(group):
+        for batch in _unpack(blocks):
             for text in batch.column("text").to_pylist():
                 seen.update(splitter.parts(text))
         seen.discard("")
         whole = {p for p in seen if p[1:].isalpha() and len(p) <= LONG}
-        atoms = sorted(whole.union(*map(splitter.atoms, seen - whole)))
+        seen -= whole
+        atoms = whole.union(*map(splitter.atoms, seen))
         del seen, whole
+        if longer := [x for x in atoms if len(x) > LONG]:
+            atoms.difference_update(longer)
+            atoms.update(c for x in longer for c in _chunks(x, longest))
+        ordered = sorted(atoms)
+        del atoms, longer
+        bucket = key[0].as_py()
+        for i in range(0, len(ordered), TOGETHER):
+            part = pa.array(ordered[i : i + TOGETHER], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket, np.int32)), part], ["bucket", "part"])
+        del ordered
         _trim()
-        return pa.table([pa.array(np.full(len(atoms), key[0].as_py(), np.int32)), pa.array(atoms, pa.string())], ["bucket", "part"])
 
     return run
 
@@ -157,19 +192,29 @@ def _atoms_of(names: list[str]):
 class _Encoded(dict):
     """Serialized ids of a bucket's atoms, and of its parts, made of their atoms' when they are asked for."""
 
-    def __init__(self, splitter: Splitter, atoms: dict[str, bytes]) -> None:
-        super().__init__(atoms)
-        self[""] = b""
-        self._splitter = splitter
+    def __init__(self, splitter: Splitter, ids_of) -> None:
+        super().__init__({"": b""})
+        self._splitter, self._ids_of = splitter, ids_of
+        self._long: dict[str, str] = {}
+
+    def add(self, found: pa.RecordBatch) -> None:
+        """Atoms (part) and the lengths of their pieces; a long atom's are kept by its key."""
+        atoms, lengths = found.column("part").to_pylist(), found.column("lengths").to_pylist()
+        if any(len(a) > LONG for a in atoms):
+            self._long.update((a, n) for a, n in zip(atoms, lengths, strict=True) if len(a) > LONG)
+            lengths = [n for a, n in zip(atoms, lengths, strict=True) if len(a) <= LONG]
+            atoms = [a for a in atoms if len(a) <= LONG]
+        self.update(self._ids_of(atoms, lengths))
 
     def __missing__(self, part: str) -> bytes:
-        self[part] = made = b"".join([self[a] for a in self._splitter.atoms(part)])
+        made = b"".join([self[a] if len(a) <= LONG else self._ids_of([a], [self._long[_key(a)]])[a] for a in self._splitter.atoms(part)])
+        if len(part) <= LONG:
+            self[part] = made
         return made
 
 
-def _atom_ids(found: pa.Table, names: list[str], ids: np.ndarray, of_byte: list[int]) -> dict[str, bytes]:
-    """Serialized ids of atoms (part) by the lengths of their pieces; all atoms' pieces are looked up at once."""
-    atoms, lengths = found.column("part").to_pylist(), found.column("lengths").to_pylist()
+def _atom_ids(atoms: list[str], lengths: list[str], names: list[str], ids: np.ndarray, of_byte: list[int]) -> dict[str, bytes]:
+    """Serialized ids of atoms by the lengths of their pieces; all atoms' pieces are looked up at once."""
     if not atoms:
         return {}
     length = np.zeros(128, np.int64)
@@ -183,7 +228,7 @@ def _atom_ids(found: pa.Table, names: list[str], ids: np.ndarray, of_byte: list[
         raise ValueError("lengths of pieces don't fit their atoms")
     data = text.encode("utf-8", "surrogatepass")
     cut = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(place[ends].astype(np.int32)), pa.py_buffer(data))
-    at = pc.index_in(cut, value_set=pa.array(names)).fill_null(-1).to_numpy()
+    at = pc.index_in(cut, value_set=_names(names)).fill_null(-1).to_numpy()
     flat = ids[at].astype("<i4")
     counts = np.array([len(x) for x in lengths])
     if (unknown := np.nonzero(at < 0)[0]).size:  # characters without a piece: their bytes' ids
@@ -194,71 +239,148 @@ def _atom_ids(found: pa.Table, names: list[str], ids: np.ndarray, of_byte: list[
     return {a: whole[i:j] for a, i, j in zip(atoms, [0, *stops], stops, strict=False)}
 
 
-def _assemble(ids: dict[str, int], of_byte: list[int], by_id: list[bytes]):
-    """The ids of a bucket's documents; what they decode to is told by its crc32."""
+_named: dict[int, pa.Array] = {}
 
-    def run(key: tuple, group: pa.Table, found: pa.Table) -> pa.Table:
-        names = list(ids)
-        splitter = _splitter(names)
-        get = _Encoded(splitter, _atom_ids(found, names, np.array(list(ids.values())), of_byte)).__getitem__
-        tables, spelling = [], pa.array(by_id, pa.large_binary())
-        for batch in _unpack(group):
-            texts = batch.column("text").to_pylist()
-            out = [b"".join(map(get, splitter.parts(t))) for t in texts]
-            sums = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
-            del out
-            back = [zlib.crc32(x) for x in decoded(values, spelling)]
-            tables.append(pa.table([batch.column("doc_id").cast(pa.int64()), values, pa.array(sums, pa.int64()), pa.array(back, pa.int64())], ["doc_id", "ids", "text_crc32", "decoded_crc32"]))
-        del get
+
+def _names(names: list[str]) -> pa.Array:
+    if id(names) not in _named:
+        _named.clear()
+        _named[id(names)] = pa.array(names)
+    return _named[id(names)]
+
+
+def _assemble(ids: dict[str, int], of_byte: list[int], by_id: list[bytes]):
+    """The ids of a bucket's documents, a block at a time; what they decode to is told by its crc32."""
+    names, values_of = list(ids), np.array(list(ids.values()))
+
+    def run(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, spelling = _splitter(names), pa.array(by_id, pa.large_binary())
+        encoded = _Encoded(splitter, lambda atoms, lengths: _atom_ids(atoms, lengths, names, values_of, of_byte))
+        get = encoded.__getitem__
+        for some in rows:  # segmentations come first
+            known = pc.is_valid(some.column("part"))
+            if pc.any(known).as_py():
+                encoded.add(some.filter(known))
+            for block in _unpack(iter([some])):
+                for batch in slices([block], most=PACKED // 4):
+                    texts = batch.column("text").to_pylist()
+                    out = [b"".join(map(get, splitter.parts(t))) for t in texts]
+                    sums = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+                    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
+                    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
+                    del out, texts
+                    back = [zlib.crc32(x) for x in decoded(values, spelling)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), values, pa.array(sums, pa.int64()), pa.array(back, pa.int64())], ["doc_id", "ids", "text_crc32", "decoded_crc32"])
+        del get, encoded
         _trim()
-        return pa.concat_tables(tables)
 
     return run
 
 
+_end = lambda x: F.shiftright(x, _WBITS + _KBITS)
+
+
+def _edge(end: Column, k: Column) -> Column:
+    """An edge as one long: its end, its weight and its length, so edges sort by ends."""
+    weight = F.coalesce("weight", F.lit(_weight(UNKNOWN))) + _ZERO
+    return F.shiftleft(end.cast("long"), _WBITS + _KBITS) + F.shiftleft(weight, _KBITS) + k
+
+
+def _joined(spans: DataFrame, table: DataFrame) -> DataFrame:
+    """Substrings (piece, of k characters) with their weights; those that are no piece only if they are one character."""
+    # The piece table is the fixed public vocabulary, so its size is bounded.
+    return spans.join(F.broadcast(table), "piece", "left").filter((F.col("k") == 1) | F.col("weight").isNotNull())
+
+
 def lattices(parts: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """part, lengths (of the best pieces, a character of LENGTHS each) of distinct parts.
+    """part, lengths (of the best pieces, a character of LENGTHS each) of distinct parts of up to LONG characters.
 
     parts is partitioned by part and all steps keep a part's rows together, so nothing is dealt
-    again. An edge is one long: its end, its weight and its length, so edges sort by ends.
+    again.
     """
     starts = parts.select("part", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("s"))
     spans = starts.select("part", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("s") + 1))).alias("k"))
     spans = spans.select("part", (F.col("s") + F.col("k") - 1).alias("e"), "k", F.substring("part", F.col("s"), F.col("k")).alias("piece"))
-    # The piece table is the fixed public vocabulary, so its size is bounded.
-    edges = spans.join(F.broadcast(table), "piece", "left").filter((F.col("k") == 1) | F.col("weight").isNotNull())
-    weight = F.coalesce("weight", F.lit(_weight(UNKNOWN))) + _ZERO
-    edge = F.shiftleft(F.col("e").cast("long"), _WBITS + _KBITS) + F.shiftleft(weight, _KBITS) + F.col("k")
-    lattice = edges.groupBy("part").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    end = lambda x: F.shiftright(x, _WBITS + _KBITS)
-    first = lambda x, i: (i == 0) | (end(x) != end(F.get(F.col("edges"), i - 1)))
+    lattice = _joined(spans, table).groupBy("part").agg(F.sort_array(F.collect_list(_edge(F.col("e"), F.col("k")))).alias("edges"))
+    first = lambda x, i: (i == 0) | (_end(x) != _end(F.get(F.col("edges"), i - 1)))
     begins = F.filter(F.transform("edges", lambda x, i: F.when(first(x, i), i)), lambda i: i.isNotNull())
     placed = lattice.select("part", "edges", F.array_append(begins, F.size("edges")).alias("begins"))
     folded = placed.select("part", _best(F.col("edges"), F.col("begins")).alias("best"))
     return folded.select("part", _lengths(F.col("best")).alias("lengths"))
 
 
+def long_lattices(chunks: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """part (a key), lengths of the long parts whose distinct chunks (part: key, number, text) are given."""
+    cut = chunks.select(F.substring("part", 1, KEY).alias("key"), (F.conv(F.substring("part", KEY + 1, 8), 16, 10).cast("int") * CHUNK).alias("at"), F.expr(f"substring(part, {KEY + 9})").alias("text"))
+    starts = cut.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.length("text")))).alias("s"))
+    spans = starts.select("key", "at", "text", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("text") - F.col("s") + 1))).alias("k"))
+    spans = spans.select("key", (F.col("at") + F.col("s") + F.col("k") - 2).alias("e"), "k", F.substring("text", F.col("s"), F.col("k")).alias("piece"))
+    # Ends count from 0 here; inside an edge the end is that within its chunk.
+    edges = _joined(spans, table).select("key", F.expr(f"e div {CHUNK}").alias("chunk"), _edge(F.col("e") % CHUNK, F.col("k")).alias("edge"))
+    by_chunk = edges.groupBy("key", "chunk").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    whole = by_chunk.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "edges"))), lambda x: x["edges"]).alias("chunks"))
+    folded = whole.select("key", _forward("chunks", longest).alias("codes"))
+    return folded.select(F.col("key").alias("part"), _backward("codes").alias("lengths"))
+
+
+def _code(k: Column) -> Column:
+    return F.substring(F.lit(LENGTHS), k, F.lit(1))
+
+
+def _forward(chunks: str, longest: int) -> Column:
+    """For each chunk the length of the best piece that ends at each of its places, as characters of LENGTHS.
+
+    The fold over a chunk's edges keeps the last scores only: what a fold holds is copied at each step.
+    """
+    state = lambda recent, codes, end, best: F.struct(recent.alias("recent"), codes.alias("codes"), end.alias("end"), best.alias("best"))
+    length = lambda best: best.bitwiseAND(F.lit((1 << _KBITS) - 1)).cast("int")
+    more = lambda s: F.array_append(F.slice(s["recent"], F.greatest(F.lit(1), F.size(s["recent"]) - longest + 2), F.lit(longest)), s["best"])
+    recent = lambda s: F.when(s["end"] < 0, s["recent"]).otherwise(more(s))
+    codes = lambda s: F.when(s["end"] < 0, s["codes"]).otherwise(F.concat(s["codes"], _code(length(s["best"]))))
+    here = lambda s, x: state(s["recent"], s["codes"], s["end"], F.greatest(s["best"], _reach(s["recent"], x)))
+    on = lambda s, x: state(recent(s), codes(s), _end(x), _reach(recent(s), x))
+    step = lambda s, x: F.when(s["end"] == _end(x), here(s, x)).otherwise(on(s, x))
+    begin = lambda done: state(F.element_at(done, -1)["recent"], F.lit(""), F.lit(-1).cast("long"), F.lit(0).cast("long"))
+    settled = lambda s: F.struct(recent(s).alias("recent"), codes(s).alias("codes"))
+    zero = F.array(F.struct(F.array(F.lit(0).cast("long")).alias("recent"), F.lit("").alias("codes")))
+    done = F.aggregate(chunks, zero, lambda done, edges: F.array_append(done, F.aggregate(edges, begin(done), step, settled)))
+    return F.transform(done, lambda d: d["codes"])
+
+
+def _backward(codes: str) -> Column:
+    """The lengths of the pieces on the way back from the last place, in reading order."""
+    state = lambda skip, tail: F.struct(skip.cast("int").alias("skip"), tail.alias("tail"))
+    chars = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.substring(c, F.greatest(F.lit(1), F.length(c)) - i + 1, F.lit(1)))
+    taken = lambda s, ch: state(F.call_function("instr", F.lit(LENGTHS), ch) - 1, F.concat(s["tail"], ch))
+    step = lambda s, ch: F.when(s["skip"] > 0, state(s["skip"] - 1, s["tail"])).otherwise(taken(s, ch))
+    some = F.filter(F.reverse(codes), lambda c: c != "")
+    zero = F.array(state(F.lit(0), F.lit("")))
+    done = F.aggregate(some, zero, lambda done, c: F.array_append(done, F.aggregate(chars(c), state(F.element_at(done, -1)["skip"], F.lit("")), step)))
+    return F.reverse(F.array_join(F.transform(done, lambda d: d["tail"]), ""))
+
+
+def _reach(done: Column, x: Column) -> Column:
+    """The score at the end of an edge over the scores so far, with the edge's length in the low bits."""
+    low, own = (1 << _KBITS) - 1, (1 << (_WBITS + _KBITS)) - 1
+    before = F.element_at(done, -x.bitwiseAND(F.lit(low)).cast("int")).bitwiseAND(F.lit(~low))
+    return before + x.bitwiseAND(F.lit(own)) - (_ZERO << _KBITS)
+
+
 def _best(edges: Column, begins: Column) -> Column:
     """For position 0 and each that follows one long: best score, and in the low bits the length of the piece that ends there.
 
     The greatest long has the best score and, of equal scores, the longest piece.
     """
-    low, own = (1 << _KBITS) - 1, (1 << (_WBITS + _KBITS)) - 1
-    before = lambda done, x: F.element_at(done, -x.bitwiseAND(F.lit(low)).cast("int")).bitwiseAND(F.lit(~low))
-    reach = lambda done, x: before(done, x) + x.bitwiseAND(F.lit(own)) - (_ZERO << _KBITS)
     here = lambda p: F.slice(edges, F.get(begins, p - 1) + 1, F.get(begins, p) - F.get(begins, p - 1))
     places = F.sequence(F.lit(1), F.size(begins) - 1)
-    return F.aggregate(places, F.array(F.lit(0).cast("long")), lambda done, p: F.array_append(done, F.array_max(F.transform(here(p), lambda x: reach(done, x)))))
+    return F.aggregate(places, F.array(F.lit(0).cast("long")), lambda done, p: F.array_append(done, F.array_max(F.transform(here(p), lambda x: _reach(done, x)))))
 
 
 def _lengths(best: Column) -> Column:
     """The lengths of the pieces on the way back from the last position, in reading order."""
     start = F.struct(F.size(best).alias("at"), F.lit("").alias("found"))
     back = F.transform(F.reverse(best), lambda b, i: F.struct((F.size(best) - i).alias("p"), b.bitwiseAND(F.lit((1 << _KBITS) - 1)).cast("int").alias("k")))
-    code = lambda k: F.substring(F.lit(LENGTHS), k, F.lit(1))
-    step = lambda s, b: F.when((b["p"] == s["at"]) & (b["k"] > 0), F.struct((s["at"] - b["k"]).alias("at"), F.concat(code(b["k"]), s["found"]).alias("found"))).otherwise(s)
+    step = lambda s, b: F.when((b["p"] == s["at"]) & (b["k"] > 0), F.struct((s["at"] - b["k"]).alias("at"), F.concat(_code(b["k"]), s["found"]).alias("found"))).otherwise(s)
     return F.aggregate(back, start, step, lambda s: s["found"])
 
 
@@ -276,16 +398,28 @@ def encode(docs: DataFrame, model: str | None = None, finer: int = 1) -> DataFra
     if longest > len(LENGTHS):
         raise ValueError(f"pieces of {longest} characters")
     table = spark.createDataFrame([(name, _weight(score)) for name, _, score in rows], "piece string, weight long")
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = partitions(spark, docs)
-    buckets = finer * max(dealt, docs_splits(docs))
+    buckets = finer * max(dealt, -(-held // BUCKET))
+    tasks = min(buckets, 100_000)
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
-    blocks = docs.select("doc_id", "text", bucket.alias("bucket")).mapInArrow(_pack, _BLOCKS)
-    parts = blocks.groupBy("bucket").applyInArrow(_atoms_of(list(ids)), _PARTS).repartition(dealt, "part")
-    # Both sides of the join below ask for all columns, so that they share one exchange.
-    distinct = parts.groupBy("part").agg(F.max("bucket").alias("b")).filter("b >= 0").select("part")
-    encoded = lattices(distinct, table, longest).withColumnRenamed("part", "e_part")
+    blocks = docs.select("doc_id", "text", bucket.alias("bucket")).mapInArrow(_pack, _BLOCKS).repartition(tasks, "bucket")
+    parts = blocks.groupBy("bucket").applyInArrow(_atoms_of(list(ids), longest), _PARTS).filter("part is not null").repartition(dealt, "part")
+    # All that reads parts asks for the same rows and columns, so that they share one exchange; size is always
+    # the length, but the optimizer can't move a filter on it below that exchange.
+    size = F.when(F.rand(0) >= 0, F.length("part")).alias("size")
+    distinct = parts.groupBy("part").agg(F.max("bucket").alias("b")).filter("b >= 0").select("part", size).filter(F.col("size") <= LONG)
+    encoded = lattices(distinct.select("part"), table, longest).withColumnRenamed("part", "e_part")
     encoded = parts.join(encoded, F.col("part") == F.col("e_part")).select("bucket", "part", "lengths")
-    whole = blocks.groupBy("bucket").cogroup(encoded.groupBy("bucket"))
+    long = parts.select("bucket", "part", size).filter(F.col("size") > LONG)
+    chunked = long_lattices(long.select("part").distinct(), table, longest).withColumnRenamed("part", "e_part")
+    asked = long.select("bucket", F.substring("part", 1, KEY).alias("part")).distinct()
+    chunked = asked.join(chunked, F.col("part") == F.col("e_part")).select("bucket", "part", "lengths")
+    # The union keeps the dealing by bucket; a bucket's segmentations sort before its blocks.
+    found = encoded.unionAll(chunked).repartition(tasks, "bucket")
+    found = found.select("bucket", F.lit(0).alias("kind"), "part", "lengths", F.lit(None).cast("binary").alias("block"))
+    whole = found.unionAll(blocks.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("part"), F.lit(None).cast("string").alias("lengths"), "block"))
+    whole = whole.sortWithinPartitions("bucket", "kind").groupBy("bucket")
     return whole.applyInArrow(_assemble(ids, of_byte, by_id), "doc_id long, ids array<int>, text_crc32 long, decoded_crc32 long")
 
 
@@ -299,14 +433,16 @@ def _bytes_by_id(path: str) -> tuple[list[bytes], list[int]]:
     return by_id, [processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-def decoded(ids: pa.ListArray, texts: pa.Array) -> Iterator[bytes]:
+def decoded(ids: pa.ListArray, texts: pa.Array) -> Iterator[memoryview]:
     """The UTF-8 forms of lists of ids by texts, each id's, without the space that was put in front; some lists at a time."""
     for k in range(0, len(ids), 256):
         part = ids.slice(k, 256)
-        offsets = pc.subtract(part.offsets.cast(pa.int64()), pa.scalar(part.offsets[0].as_py(), pa.int64()))
-        named = pa.LargeListArray.from_arrays(offsets, texts.take(part.flatten()))
-        for x in pc.binary_join(named, pa.scalar(b"", pa.large_binary())).to_pylist():
-            yield x[1:] if x[:1] == b" " else x
+        ends = part.offsets.to_numpy().astype(np.int64)
+        taken = texts.take(part.flatten())
+        place = np.frombuffer(taken.buffers()[1], np.int64)[ends - ends[0]].tolist() if len(taken) else [0] * len(ends)
+        data = memoryview(taken.buffers()[2] or b"") if len(taken) else memoryview(b"")
+        for i, j in zip(place, place[1:], strict=False):
+            yield data[i + 1 : j] if i < j and data[i] == 32 else data[i:j]
 
 
 def _decoder(by_id: list[bytes]):
@@ -314,7 +450,7 @@ def _decoder(by_id: list[bytes]):
         spelling = pa.array(by_id, pa.large_binary())
         for batch in batches:
             keep = [batch.column(c) for c in batch.schema.names]
-            texts = [x.decode("utf-8", "replace") for x in decoded(batch.column("ids"), spelling)]
+            texts = [bytes(x).decode("utf-8", "replace") for x in decoded(batch.column("ids"), spelling)]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
