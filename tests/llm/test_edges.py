@@ -92,6 +92,15 @@ def test_near_dups(docs, none):
     assert near_dups.classes(none).count() == 0 and near_dups.deduplicate(none).count() == 0
 
 
+def test_near_dups_in_other_partitions(spark, docs):
+    rows = [(1, ENGLISH, "en", "b"), (1, ENGLISH, "en", "a"), (1, ENGLISH, None, "a"), (2, f"{ENGLISH} {ENGLISH}", "en", "a")]
+    twice = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {tuple(near_dups.deduplicate(twice.repartition(n)).filter("doc_id = 1").first()) for n in (1, 2, 4)}
+    assert len(kept) == 1
+    found = [sorted(map(str, near_dups.classes(docs.repartition(n)).collect())) for n in (1, 5)]
+    assert found[0] == found[1]
+
+
 def test_pieces(docs, none):
     got = {r.doc_id: r for r in pieces.round_trip(docs).collect()}
     assert len(got) == 11

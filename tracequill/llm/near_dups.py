@@ -24,7 +24,9 @@ with a probability of about (1 - 0.8 ** ROWS) ** BANDS, 7e-6.
 
 Cases: null, empty and wordless texts are classes of their own; repeated rows and equal texts
 are one class; a class without any id has a null class_id; an empty table gives no rows; other
-columns don't matter to classes() and are kept by deduplicate().
+columns don't matter to classes() and are kept by deduplicate(), which of rows that agree in id and
+text keeps the one whose other columns have the least hash. Ids of texts only tell them apart, so
+classes don't depend on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -374,6 +376,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     kept = kept.select(F.col("k.least").alias("__least"), F.col("k.text_key").alias("__text_key"))
     keyed = docs.filter(F.col("text").rlike(WORD)).withColumn("__key", F.unhex(F.sha2("text", 256)))
     worded = keyed.join(kept, (F.col("__key") == F.col("__text_key")) & F.col("doc_id").eqNullSafe(F.col("__least")))
-    worded = worded.dropDuplicates(["__text_key"])
+    rest = F.sha2(F.to_json(F.struct(*[c for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"}), 256)
+    worded = worded.groupBy("__text_key").agg(F.min_by(F.struct(*docs.columns), rest).alias("__row")).select("__row.*")
     bare = docs.filter(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     return worded.select(*docs.columns).unionAll(bare)
