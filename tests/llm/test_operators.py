@@ -440,11 +440,60 @@ def test_keys_of_letters_alone(spark):
 def test_surrogates_stay_distinct(spark):
     few = [f"{a}.{b}.{c}.{d}" for a in range(1, 5) for b in range(1, 8) for c in range(1, 8) for d in range(1, 8)]
     entities = spark.createDataFrame([("ip", x) for x in few], "of string, entity string")
-    got = surrogates.assigned(entities).collect()
+    got = surrogates.assigned(entities, "k").collect()
     made = [r.surrogate for r in got]
     assert len(made) == len(few) == len(set(made)) and not set(made) & set(few)
 
 
+def test_drawing_ends_where_a_format_is_full(spark):
+    short = [f"{a}{b}@c.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    digits = [f"{i}" for i in range(10)]
+    entities = spark.createDataFrame([("email", x) for x in short] + [("ssn", x) for x in digits], "of string, entity string")
+    got = surrogates.assigned(entities, "k").collect()
+    made = {(r.of, r.surrogate) for r in got}
+    assert len(made) == len(got) == 686 and not made & {("email", x) for x in short} and not made & {("ssn", x) for x in digits}
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.de", x) for k, x in made if k == "email")
+    assert all(re.fullmatch(r"ssn-[0-9a-f]{24}", x) for k, x in made if k == "ssn")
+
+
+COREFERENT = [
+    ("Mrs Anna Keller called. Mrs. Keller knows Dr Anna Keller; Anna Keller left, and Keller's hat too. Kellermann stays.", r"Mrs (F) (L) called\. Mrs\. (L) knows Dr (F) (L); (F) (L) left, and (L)'s hat too\. Kellermann stays\."),
+    ("4111 1111 1111 1111 and 4111111111111111 or 4111-1111-1111-1111", r"(\d{4}) (\d{4}) (\d{4}) (\d{4}) and \1\2\3\4 or \1-\2-\3-\4"),
+    ("+1 (743) 555-3824, (743) 555-3824, 743-555-3824", r"\+1 \((\d{3})\) (\d{3})-(\d{4}), \(\1\) \2-\3, \1-\2-\3"),
+    ("Jo.Smith@Mail.example.org or jo.smith@mail.example.org", r"([A-Z][a-z]\.[A-Z][a-z]{4}@[A-Z][a-z]{3}\.[a-z]{7}\.org) or ([a-z.@]+)"),
+    ("Mr van Dyk, Mr O'Brien, Mrs McDonald-Smith, Prof Lee", r"Mr van ([A-Z][a-z]+), Mr ([A-Z][a-z]+), Mrs ([A-Z][a-z]+), Prof ([A-Z][a-z]+)"),
+]
+
+
+def test_mentions_of_one_entity_agree(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(COREFERENT)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.replace(df, "k").collect()}
+    names = re.fullmatch(COREFERENT[0][1].replace("(F)", "([A-Z][a-z]+)").replace("(L)", "([A-Z][a-z]+)"), got[0]).groups()
+    assert len({names[i] for i in (0, 3, 5)}) == 1 and len({names[i] for i in (1, 2, 4, 6, 7)}) == 1 and names[0] in surrogates.FIRST_F
+    for i in (1, 2, 3, 4):
+        assert (found := re.fullmatch(COREFERENT[i][1], got[i])) and got[i] != COREFERENT[i][0]
+        if i == 3:
+            assert found[1].lower() == found[2]
+    assert not any(x in got[4] for x in ("Dyk", "Brien", "Donald", "Smith", "Lee"))
+
+
+def test_key_is_configured(spark):
+    df = spark.createDataFrame([(1, "mail jo@example.org")], "doc_id long, text string")
+    of = lambda key: surrogates.replace(df, key).first().text
+    assert of("a") != of("b")
+    spark.conf.set(surrogates.CONF, "a")
+    assert of(None) == of("a")
+    spark.conf.unset(surrogates.CONF)
+    assert of(None) == of(None) != of("a")
+
+
+def test_every_pattern_has_a_trigger():
+    import itertools
+
+    some = ["a@b.de", "1.2.3.4", "123-45-6789", "(743) 555-3824", "DE89370400440532013000", "AKIA" + "A" * 16, "ghp_" + "a" * 36, "sk-" + "a" * 20, "4111111111111111", *[f"{t}{d} Keller" for t, d in itertools.product(surrogates.TITLES, (".", ""))]]
+    assert all(re.search(surrogates.TRIGGER, x) for x in some)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
