@@ -405,13 +405,13 @@ def encode(docs: DataFrame, model: str | None = None, finer: int = 1) -> DataFra
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
     blocks = docs.select("doc_id", "text", bucket.alias("bucket")).mapInArrow(_pack, _BLOCKS).repartition(tasks, "bucket")
     parts = blocks.groupBy("bucket").applyInArrow(_atoms_of(list(ids), longest), _PARTS).filter("part is not null").repartition(dealt, "part")
-    # All that reads parts asks for the same rows and columns, so that they share one exchange; size is always
-    # the length, but the optimizer can't move a filter on it below that exchange.
-    size = F.when(F.rand(0) >= 0, F.length("part")).alias("size")
-    distinct = parts.groupBy("part").agg(F.max("bucket").alias("b")).filter("b >= 0").select("part", size).filter(F.col("size") <= LONG)
+    # All that reads parts asks for the same rows and columns, so that they share one exchange. A number below 1 changes
+    # no comparison of lengths, but the optimizer can't move such a filter below that exchange.
+    size = F.length("part") + F.rand(0)
+    distinct = parts.groupBy("part").agg(F.max("bucket").alias("b")).filter("b >= 0").filter(size < LONG + 1)
     encoded = lattices(distinct.select("part"), table, longest).withColumnRenamed("part", "e_part")
     encoded = parts.join(encoded, F.col("part") == F.col("e_part")).select("bucket", "part", "lengths")
-    long = parts.select("bucket", "part", size).filter(F.col("size") > LONG)
+    long = parts.filter(size >= LONG + 1)
     chunked = long_lattices(long.select("part").distinct(), table, longest).withColumnRenamed("part", "e_part")
     asked = long.select("bucket", F.substring("part", 1, KEY).alias("part")).distinct()
     chunked = asked.join(chunked, F.col("part") == F.col("e_part")).select("bucket", "part", "lengths")
