@@ -11,12 +11,13 @@ of time and only until no later one can be the earliest of a register.
 Equal texts are one class from the start. The signatures of distinct texts are cut into BANDS
 bands of ROWS registers. In each group of
 up to SMALL texts with an equal band any two are compared by exact weighted Jaccard similarity.
-In larger groups one text, the hub, is compared with all that are not in its class; rounds with
+In each larger group one text is the hub, and every text is compared with that hub of another class with
+which it shares the most groups; rounds with
 other hubs, those with the most links first, follow for the groups that hold more than one
 class until a round finds no link or few pairs are left, ROUNDS at most. Then all pairs of different classes in such a
 group are compared, block by block, all overlaps of two blocks by one product of matrices. Links
 of THRESHOLD or more make classes, so classes are those of comparing all pairs with an equal band.
-A round is linear in the rows of its groups; so is the last step where most texts of a group are of
+A round compares a text once at most; the last step is linear where most texts of a group are of
 one class, and else it grows with the square of the group over BLOCK.
 
 The hashes of words and grams have 64 bits. Two texts with a similarity of 0.8 share no band
@@ -49,7 +50,7 @@ REGISTERS = ROWS * BANDS
 TICK = 2.0**-32
 SMALL = 8
 #: Rounds with hubs, and so many pairs a row of the large groups for which none follows; what they leave is compared in blocks.
-ROUNDS = 1
+ROUNDS = 3
 FEW = 2
 #: Texts of a block, and distinct grams that are looked at together.
 BLOCK = 256
@@ -251,17 +252,19 @@ def _links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         best = F.max(F.when(~F.col("used"), F.struct("degree", (-F.col("id")).alias("minus"), "label")))
         held = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), best.alias("hub"))
         hubs = held.groupBy("band").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("main"), F.max("hub").alias("hub"), F.count(F.lit(1)).alias("classes"))
-        hubs = materialize(hubs.filter("classes > 1 and hub is not null"), "near-hubs-drawn")
+        hubs = materialize(hubs.filter("classes > 1"), "near-hubs-drawn")  # of more than SMALL texts, so some weren't hubs
         left = hubs.agg(F.sum("size").alias("rows"), F.sum(F.expr("(size - main.c) * size")).alias("pairs")).first()
         if ended or drawn == ROUNDS or left.rows is None or left.pairs <= FEW * left.rows:
             break
         rows = rows.join(hubs.select("band", (-F.col("hub.minus")).alias("hub"), F.col("hub.label").alias("hub_label")), "band")
-        pairs = rows.filter("label <> hub_label").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+        met = rows.filter("label <> hub_label").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
+        met = met.groupBy("id").agg(F.max(F.struct("c", (-F.col("hub")).alias("minus"))).alias("best")).select("id", (-F.col("best.minus")).alias("hub"))
+        pairs = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
         compared, new = _close(pairs.distinct().join(seen, ["a", "b"], "left_anti"), texts, "near-hubs")
         seen, links, ended = seen.unionAll(compared), links.unionAll(new), new.isEmpty()
         labels = labels if ended else _merged(labels, new)
         rows = rows.select("band", "id", (F.col("used") | (F.col("id") == F.col("hub"))).alias("used"))
-    if left.rows is None:  # each group is of one class, or all its texts were hubs
+    if left.rows is None:  # each group is of one class
         return links, labels
     new = materialize(_rest(rows.join(hubs.select("band"), "band", "left_semi"), texts), "near-rest")
     return (links, labels) if new.isEmpty() else (links.unionAll(new), _merged(labels, new))
