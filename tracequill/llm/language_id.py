@@ -4,17 +4,21 @@ Each language has a probability for every piece of one fixed public vocabulary.
 probability of a word is the sum over all its segmentations into pieces, by the forward
 algorithm; that of a text the product over its words. Piece probabilities are fitted by
 expectation maximisation (forward and backward) on the words of a bounded sample of labelled
-texts, SAMPLE documents of each language at most on average, chosen by a hash of their id.
-Words are maximal runs of letters in lower case, so marks, digits and case don't matter.
+texts, SAMPLE documents of each language at most on average, chosen by a hash of their id; each
+language is fitted by a task of its own. Words are maximal runs of letters (Unicode's category L) in
+lower case, so marks, digits and case don't matter. Words of any length are scored whole: those of over
+LONG letters with the last positions' sums alone, scaled as they go. Only for fitting are such runs cut into parts.
 
 Cases: a text that is null or has no letter is 'und' with score 0; ties go to the language
 that comes first by code point; a corpus without labelled text knows no language, so all is
-'und'; equal texts get equal results; an empty table gives no rows.
+'und'; equal texts get equal results; an empty table gives no rows. The model has a number for each piece and
+language; with more than LANGUAGES labels train() fails, as that many models are a parameter for its caller to raise.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,37 +26,41 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, slices
 from .vocabulary import MARK, Trie, default_piece_model, pieces
 
 SAMPLE = 400
-#: The most frequent labels are learned, so many at most.
+#: More labels than this are refused (a language's table has 256 KB).
 LANGUAGES = 1_000
-#: Of a language's sample, so many words at most are fitted: the most frequent.
-WORDS = 100_000
 ROUNDS = 3
 SMOOTHING = 0.05
 #: Probability of a character that is in no piece, in any language.
 UNKNOWN = 1e-7
-#: Longer runs of letters are scored in parts of so many characters.
+#: Longer runs of letters are scored position by position; SEGMENT of their pieces are looked up together.
 LONG = 48
+SEGMENT = 8192
 #: Factor for each character that keeps products of probabilities near 1.
 LIFT = np.exp(2.5)
-REMEMBERED = 300_000
+#: Scores of words that are remembered: so many numbers, a word's for each language.
+REMEMBERED = 1_500_000
 UNDETERMINED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
 CHUNK = 4096
 
 
+def _letters() -> re.Pattern:
+    """Runs of letters: what Python takes for a word's characters without digits, marks of its own and other numerals."""
+    numerals = [i for i in range(0x110000) if chr(i).isnumeric() and not unicodedata.category(chr(i)).startswith("L")]
+    return re.compile("[^\\W\\d_%s]+" % "".join(f"\\U{i:08x}" for i in numerals))
+
+
+LETTERS = _letters()
+
+
 def letter_words(text: str | None) -> list[str]:
-    """Marked words of letters; runs over LONG characters come in parts."""
-    found = LETTERS.findall(text.lower()) if text else []
-    if any(len(w) > LONG for w in found):
-        found = [w[i : i + LONG] for w in found for i in range(0, len(w), LONG)]
-    return found
+    return LETTERS.findall(text.lower()) if text else []
 
 
 @dataclass
@@ -98,10 +106,33 @@ def _forward(ids: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     return alpha
 
 
+def long_score(trie: Trie, word: str, table: np.ndarray) -> np.ndarray:
+    """Log probability of one word of any length in each language."""
+    text, unknown = MARK + word, len(table) - 2
+    # ahead[k]: the sum over segmentations that end k characters on, times exp(-scale).
+    ahead, scale = np.zeros((trie.longest + 1, table.shape[1])), np.zeros(table.shape[1])
+    ahead[0] = 1.0
+    for begin in range(0, len(text), SEGMENT):
+        ids, _ = trie.edges([text[begin : begin + SEGMENT + trie.longest - 1]])
+        here = min(SEGMENT, len(text) - begin)
+        ids = ids[:, 0, :here].T.astype(np.int64)
+        ids[ids[:, 0] < 0, 0] = unknown
+        for row in ids:
+            k = np.nonzero(row >= 0)[0]
+            ahead[k + 1] += ahead[0] * table[row[k]]
+            most = np.maximum(ahead[1:].max(axis=0), 1e-300)
+            ahead[:-1] = ahead[1:] / most
+            ahead[-1] = 0.0
+            scale += np.log(most)
+    return np.log(np.maximum(ahead[0], 1e-300)) + scale
+
+
 def word_scores(trie: Trie, words: list[str], table: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
     out = np.zeros((len(words), table.shape[1]))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    for i in [i for i, w in enumerate(words) if len(w) > LONG]:
+        out[i] = long_score(trie, words[i], table)
+    order = sorted((i for i, w in enumerate(words) if len(w) <= LONG), key=lambda i: len(words[i]))
     for b in range(0, len(order), CHUNK):
         part = order[b : b + CHUNK]
         ids, lengths = _edges(trie, [words[i] for i in part], len(table) - 2)
@@ -149,30 +180,38 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         seen: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            seen.update((lang, w) for w in letter_words(text))
+            seen.update((lang, w[i : i + LONG]) for w in letter_words(text) for i in range(0, len(w), LONG))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
 
+def _fitted(names: list[str]):
+    def run(key: tuple, words: pa.Table) -> pa.Table:
+        counts = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist(), strict=True))
+        table = fit_table(_trie(names), len(names), counts)
+        return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([table], pa.list_(pa.float64()))], ["lang", "probabilities"])
+
+    return run
+
+
 def train(docs: DataFrame, model: str | None = None, sample: int = SAMPLE) -> Model:
     """Fit on text and lang of the rows whose remainder is not 2, a bounded sample of them."""
     names = [name for name, _ in pieces(model or default_piece_model())]
     known = docs.filter((remainder(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select("doc_id", "lang", "text")
-    per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs_of")).orderBy(F.desc("docs_of"), "lang").limit(LANGUAGES)
     draw = F.pmod(F.xxhash64(F.lit("lid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = per.select(F.col("lang").alias("s_lang"), (F.lit(float(sample)) / F.col("docs_of")).alias("share"))
+    share = known.groupBy(F.col("lang").alias("s_lang")).agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
+    share = share.limit(LANGUAGES + 1).collect()
+    if len(share) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     # A row for each of LANGUAGES at most: they go to the texts, which stay where they are.
+    share = docs.sparkSession.createDataFrame([tuple(r) for r in share], "s_lang string, share double")
     drawn = known.withColumn("draw", draw).join(F.broadcast(share), F.col("lang") == F.col("s_lang")).filter("draw < share")
     counted = drawn.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    counted = counted.withColumn("place", place).filter(F.col("place") <= WORDS).drop("place")
-    by_lang: dict[str, dict[str, int]] = {}
-    for row in counted.toArrow().to_pylist():
-        by_lang.setdefault(row["lang"], {})[row["word"]] = row["n"]
-    trie = _trie(names)
+    fitted = counted.groupBy("lang").applyInArrow(_fitted(names), "lang string, probabilities array<double>").toArrow()
+    by_lang = dict(zip(fitted.column("lang").to_pylist(), fitted.column("probabilities").combine_chunks() if fitted.num_rows else [], strict=True))
     languages = sorted(by_lang)
-    tables = [fit_table(trie, len(names), by_lang[lang]) for lang in languages]
+    tables = [by_lang[lang].values.to_numpy() for lang in languages]
     return Model(names, languages, np.stack(tables, axis=1) if tables else np.zeros((len(names) + 2, 0)))
 
 
@@ -187,7 +226,7 @@ class _Scorer:
         flat = [w for ws in words for w in ws]
         if not flat or not self.model.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) * len(self.model.languages) > REMEMBERED:
             self.known, self.scores = {}, self.scores[:0]
         if new := sorted(set(flat) - self.known.keys()):
             self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
@@ -208,13 +247,11 @@ class _Scorer:
 _scorers: dict[int, _Scorer] = {}
 
 
-def _predictor(model: Model, names_out: tuple[str, str]):
-    key = zlib.crc32(model.probabilities.tobytes() + repr(model.languages).encode())
-
+def _predictor(shared, key: int, names_out: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _scorers:
             _scorers.clear()
-            _scorers[key] = _Scorer(model)
+            _scorers[key] = _Scorer(shared.value)
         scorer = _scorers[key]
         for batch in slices(batches):
             names, sure = scorer.texts(batch.column("text").to_pylist())
@@ -229,4 +266,5 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return docs.mapInArrow(_predictor(model, names), schema)
+    key = zlib.crc32(model.probabilities.tobytes() + repr(model.languages).encode())
+    return docs.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model), key, names), schema)
