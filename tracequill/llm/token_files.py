@@ -15,6 +15,7 @@ own; an empty table gives no shards and no rows; other columns don't matter.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -94,14 +95,15 @@ class Encoder:
 
     The tokenizer's own splitting never joins what stands before a single space with it, nor
     characters across a single line end, so texts are cut there and each distinct part is encoded once
-    and remembered. A text for which this isn't sure goes to the tokenizer as a whole.
+    and remembered. A text for which this isn't sure goes to the tokenizer as a whole, and so does one
+    that holds an added token, which the tokenizer takes out first.
     """
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        self._spanning = (*_SPANNING, *(t["content"] for t in json.loads(spec).get("added_tokens", [])))
         self.known = _Parts(self.tokenizer)
 
     def whole(self, text: str) -> bytes:
@@ -111,7 +113,7 @@ class Encoder:
         out = []
         get = self.known.__getitem__
         for text in texts:
-            if text is None or any(x in text for x in _SPANNING):
+            if text is None or any(x in text for x in self._spanning):
                 out.append(self.whole(text or ""))
             else:
                 out.append(b"".join(map(get, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))
