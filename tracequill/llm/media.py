@@ -4,9 +4,12 @@ A payload is stored as the 8-bit mono samples of a WAV file written by the wave
 back by it, and described by landmarks: the strongest bin of each frame's spectrum is paired
 with those of the next FANOUT frames; a pair is (time, bin, later bin, distance).
 
+For the transform only, a payload of under one frame is repeated until it fills one, and HOP samples of their
+mean stand before and behind the samples (and fill the last frame), so every sample bears on the inner part of a
+frame's window, and every payload has several frames.
+
 Cases: a null or empty text is one block of 64 zero bytes; silence (no energy besides the
-constant part) has no peaks, so its fingerprint is empty; payloads are padded
-with the middle value to a whole last frame for the transform only; equal texts give equal values; an empty
+constant part) has no peaks, so its fingerprint is empty; equal texts give equal values; an empty
 table gives no rows; other columns of the input don't matter.
 """
 
@@ -65,9 +68,11 @@ _WINDOW = np.hanning(FRAME)
 def peaks(samples: bytes) -> np.ndarray:
     """The strongest bin above 0 of each frame's spectrum; 0 where a frame is silent."""
     x = np.frombuffer(samples, np.uint8)
-    lacking = max(FRAME, -(-len(x) // HOP) * HOP) - len(x)
-    if lacking:
-        x = np.concatenate([x, np.full(lacking, 128, np.uint8)])
+    if 0 < len(x) < FRAME:
+        x = np.tile(x, -(-FRAME // len(x)))
+    behind = -(-len(x) // HOP) * HOP - len(x) + HOP
+    middle = np.uint8(round(float(x.mean()))) if len(x) else np.uint8(0)
+    x = np.concatenate([np.full(HOP, middle), x, np.full(behind, middle)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     out = np.zeros(len(frames), np.int32)
     for k in range(0, len(frames), FRAMES):
