@@ -138,3 +138,22 @@ def test_surrogates(docs, none):
     assert texts[5] == (None, 0) and texts[1] == (ENGLISH, 0)
     assert texts[10][1] == 1 and "me@host" not in texts[10][0] and texts[10][0].endswith(" \0 now")
     assert surrogates.replace(none).count() == 0
+
+
+def test_a_very_long_text(spark):
+    """A million characters without a space, and 200,000 words, for every operator."""
+    texts = [(1, "abcdefghij" * 100_000, "en", "a"), (2, "one two three four five " * 40_000, "en", "a"), (3, ENGLISH, "en", "b"), (4, FRENCH, "fr", "b")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    sizes = {r.doc_id: r["size"] for r in mixing.taken(df).collect()}
+    assert (sizes[1], sizes[2]) == (1, 200_000)
+    predicted = {r.doc_id: r.lang_pred for r in language_id.predict(df, language_id.train(df.filter("doc_id > 2"))).collect()}
+    assert len(predicted) == 4 and predicted[1] != "und"
+    assert {r.doc_id: r.n_tokens for r in token_files.round_trip(df).collect()}[1] > 100_000
+    judged = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert judged[2].n_repeat_words == 200_000 and judged[1].word_chars == 1_000_000
+    assert {r.doc_id: r.class_id for r in near_dups.classes(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_words for r in token_counts.count_tokens(df).collect()}[2] == 200_000
+    weights = classifier.train(df, spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, quality int"))
+    assert classifier.score(df.select("doc_id", "text"), weights).count() == 4
+    assert {r.doc_id: r.n_bytes for r in media.media_columns(df).collect()}[1] == 1_000_000
+    assert surrogates.replace(df).filter("n_entities > 0").count() == 0

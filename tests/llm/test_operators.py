@@ -111,6 +111,39 @@ def test_forward_sums_all_segmentations():
 
     for word in ("abab", "b", "xaba", "aaabbb"):
         assert np.exp(language_id.word_scores(trie, [word], table)[0]) == pytest.approx(total(MARK + word))
+        assert np.exp(language_id.long_score(trie, word, table)) == pytest.approx(total(MARK + word))
+
+
+def test_long_words_are_scored_whole(monkeypatch):
+    trie = language_id.Trie(["", MARK, "a", "b", "ab", "aba", MARK + "a"])
+    table = np.concatenate([np.random.default_rng(0).random((7, 2)) / 10, [[1e-7, 1e-7], [0, 0]]])
+    word = "abaabxba" * 25
+    text, names = MARK + word, ["", MARK, "a", "b", "ab", "aba", MARK + "a"]
+    logs = [np.zeros(2)]
+    for e in range(1, len(text) + 1):
+        some = [logs[e - k] + np.log(table[names.index(text[e - k : e])] if text[e - k : e] in names else table[7]) for k in range(1, min(4, e) + 1) if text[e - k : e] in names or k == 1]
+        logs.append(np.logaddexp.reduce(some, axis=0))
+    assert language_id.word_scores(trie, [word, "ab"], table)[0] == pytest.approx(logs[-1])
+    monkeypatch.setattr(language_id, "SEGMENT", 7)
+    assert language_id.long_score(trie, word, table) == pytest.approx(logs[-1])
+
+
+def test_letters_alone_are_letters(spark, docs):
+    model = language_id.train(docs)
+    odd = spark.createDataFrame([(i, x) for i, x in enumerate(["½ ² ① Ⅷ", "\u0301", "7", "², a", "ª", "字"])], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(odd, model).collect()}
+    assert [got[i] == "und" for i in range(6)] == [True, True, True, False, False, False]
+    with_l = {r.doc_id for r in odd.filter(F.col("text").rlike(r"\p{L}")).collect()}
+    assert with_l == {i for i in got if got[i] != "und"}
+
+
+def test_ties_go_to_the_first_language(spark):
+    twin = [(i, "same words here", lang) for i, lang in enumerate(["b", "a"] * 20)]
+    df = spark.createDataFrame(twin, "doc_id long, text string, lang string").filter("pmod(crc32(cast(doc_id as string)), 4) <> 2")
+    model = language_id.train(df)
+    table = model.probabilities[:, :1]
+    model.probabilities = np.concatenate([table, table], axis=1)
+    assert model.languages == ["a", "b"] and {r.lang_pred for r in language_id.predict(df.select("doc_id", "text"), model).collect()} == {"a"}
 
 
 def test_token_files_equal_the_tokenizer(spark, texts):
@@ -118,7 +151,6 @@ def test_token_files_equal_the_tokenizer(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got, start = _all(spark, "op3_token_files"), 0
     for i in sorted(texts):
         ids = t.encode(texts[i].text or "", add_special_tokens=False).ids + [2]
@@ -127,10 +159,16 @@ def test_token_files_equal_the_tokenizer(spark, texts):
 
 
 def test_encoder_on_odd_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     encoder, rng = token_files.Encoder(token_files.tokenizer_text()), random.Random(3)
     signs = ["a", "B", "é", "1", "²", ".", ",", "'s", "'", "!", " ", "\n", "\t", "_", "字", "\xa0", "the", "́", "<|endoftext|>", "  ", "\0"]
     made = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
-    assert encoder.many(made) == [encoder.whole(x) for x in made]
+    made += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny <|endoftext"]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.many(made) == [np.array(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in made]
+    assert encoder.many(["a <|endoftext|> b"]) == [np.array([64, 220, 50256, 275], "<u4").tobytes()]
 
 
 def test_single_documents(spark, docs, tmp_path):
@@ -394,13 +432,37 @@ def test_landmarks_of_a_tone():
     assert len(marks) and (marks[:, 1] == want).all() and (marks[:, 2] == want).all()
 
 
-def test_landmarks_reach_the_end():
-    t = np.arange(320)
-    start = (128 + 100 * np.sin(2 * np.pi * 1000 * t / media.RATE)).astype(np.uint8)
-    end = start.copy()
-    end[-64:] = np.where(np.arange(64) % 2, 255, 0)
-    assert len(media.peaks(start.tobytes())) == 2
-    assert media.landmarks(start.tobytes()).tolist() != media.landmarks(end.tobytes()).tolist()
+def test_the_last_byte_counts():
+    rng = np.random.default_rng(3)
+    for n in (64, 128, 192, 256, 320, 384, 640, 4096):
+        data = bytearray(rng.integers(97, 122, n).astype(np.uint8).tobytes())
+        marks = media.landmarks(bytes(data)).tolist()
+        assert marks
+        changed = []
+        for tail in ((0,), (255,), (0, 255), (255, 0), (0, 255) * 8, (255,) * 16):
+            other = data.copy()
+            other[-len(tail) :] = bytes(tail)
+            changed.append(media.landmarks(bytes(other)).tolist() != marks)
+        assert any(changed)
+
+
+def test_landmarks_by_plain_loops(texts):
+    for r in list(texts.values())[:30]:
+        data = np.frombuffer(media.payload(r.text)[0], np.uint8)
+        x = list(data) * max(1, -(-media.FRAME // len(data))) if len(data) < media.FRAME else list(data)
+        middle = round(float(np.mean(x)))
+        x = [middle] * media.HOP + x
+        while (len(x) - media.FRAME) % media.HOP:
+            x.append(middle)
+        x += [middle] * media.HOP
+        strongest = []
+        for t in range(0, len(x) - media.FRAME + 1, media.HOP):
+            frame = np.array(x[t : t + media.FRAME], float)
+            frame = (frame - frame.mean()) * np.hanning(media.FRAME)
+            power = [abs(np.sum(frame * np.exp(-2j * np.pi * k * np.arange(media.FRAME) / media.FRAME))) for k in range(1, media.FRAME // 2 + 1)]
+            strongest.append(int(np.argmax(power)) + 1 if max(power) > 1e-6 else 0)
+        want = [[t, f, strongest[t + d], d] for t, f in enumerate(strongest) for d in (1, 2) if f and t + d < len(strongest) and strongest[t + d]]
+        assert media.landmarks(data.tobytes()).tolist() == want
 
 
 ENTITIES = [

@@ -30,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application that driver and executors share.
 
-    It lies in spark.checkpoint.dir; where that is unset (tests) in a temporary folder.
+    It lies in spark.checkpoint.dir; where that is unset, in a temporary folder if the driver is the only
+    executor (tests), and a cluster is refused.
     """
     app = spark.sparkContext.applicationId
     if app not in _own:
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = base or "file://" + tempfile.mkdtemp(prefix="tracequill-")
         _own[app] = f"{base.rstrip('/')}/tracequill-{app}"
     return _own[app]
@@ -64,8 +67,8 @@ def release() -> None:
             jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
-        except Exception:  # the session has ended before: the folder stays
-            return
+        except Exception:  # the session has ended or the folder can't be deleted: it stays, the others are tried
+            continue
 
 
 def remainder(n: int) -> Column:
