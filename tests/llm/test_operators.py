@@ -212,6 +212,43 @@ def test_rules_follow_the_data(spark):
     assert np.mean(clean) > 0.98 and np.mean(junk) < 0.1
 
 
+def _plain(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def _text(i, symbols):
+    return " ".join(f"w{(i * 37 + k * k) % 1009:04d}x{k:02d}" + ("#" if k < symbols else "") for k in range(100))
+
+
+def test_thresholds_move_with_their_source(spark):
+    calm = [(i, _text(i, i % 2), "en", "prose") for i in range(100)]
+    code = [(1000 + i, _text(i, 20 + i % 10), "en", "code") for i in range(100)]
+    odd = [(5000, _text(7, 28), "en", "prose"), (5001, _text(7, 28), "en", "code"), (5002, _text(7, 90), "en", "code")]
+    got = {r.doc_id: r for r in quality_rules.judge(_plain(spark, calm + code + odd)).collect()}
+    assert not got[5000].kept and got[5001].kept and not got[5002].kept
+    assert got[5000].symbol_rate_high < 10 < 28 <= got[5001].symbol_rate_high
+    assert all(got[i].kept for i, *_ in calm + code)
+
+
+def test_small_groups_use_their_languages_sketch(spark):
+    rows = [(i, _text(i, 10), "en", "big") for i in range(60)] + [(100 + i, _text(i, 40), "en", "at") for i in range(50)] + [(200 + i, _text(i, 40), "en", "under") for i in range(49)]
+    got = {r.source: r.symbol_rate_high for r in quality_rules.judge(_plain(spark, rows)).select("source", "symbol_rate_high").distinct().collect()}
+    assert got["big"] == 10 and got["at"] == 40 and got["under"] == 40 + 3 * (40 - 40) and got["under"] == got["at"]
+    more = [(1000 + i, _text(i, 10), "en", "big") for i in range(500)]
+    got = {r.source: r.symbol_rate_high for r in quality_rules.judge(_plain(spark, rows + more)).select("source", "symbol_rate_high").distinct().collect()}
+    assert got["at"] == 40 and got["under"] == 40 + 3 * 30
+
+
+def test_sketches_of_few_values_are_near(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "SKETCH_K", 16)
+    n = 3000
+    rows = spark.range(n).select(F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(False).alias("base_failed"), *[F.col("id").cast("double").alias(m) for m in quality_rules.MEASURES])
+    r = quality_rules.thresholds(rows).first()
+    # outer + 3 * (outer - inner) with a rank error of 0.2 at each quantile
+    assert abs(r.symbol_rate_high - (0.9 + 3 * 0.4) * n) < 7 * 0.2 * n
+    assert abs(r.word_length_high - (0.75 + 3 * 0.5) * n) < 7 * 0.2 * n and r.word_length_low < 0
+
+
 def test_bisection_of_many_repeats(spark):
     text = " ".join(f"a{i % 3000} b{i % 3000} c{i % 3000}" for i in range(6000)) + " once only here"
     df = spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")

@@ -2,10 +2,12 @@
 
 Measures of each text are taken by built-in functions alone. A KLL sketch of each measure is
 built for each (lang, source) over the documents that pass the base rules, and merged into one
-for each language and one for all. A measure's upper threshold in a group is its third quartile
-plus SPREAD times the distance of its quartiles plus a slack; mean word length has a lower one
-too. Groups of under LEAST documents use their language's sketch, small languages the global one.
-Documents are then joined with their group's thresholds.
+for each language and one for all. A rate's threshold in a group is its quantile HIGH plus SPREAD times that
+quantile's distance from the median, so a source whose texts are full of symbols or refrains sets its own;
+mean word length has two, SPREAD times the distance of its quartiles from the outer one. Where a rate is 0 in most
+of a group its threshold is 0 or little more; then single occurrences would decide, so a rate counts only with more than
+EVENTS occurrences in the document (symbols, repeated lines, repeated phrases of six words). Groups of under LEAST
+documents use their language's sketch, small languages the global one. Documents are then joined with their group's thresholds.
 
 Cases: a null text has no words, so it fails the base rules; null lang or source is a group of
 its own; sketches keep every value while a group has up to SKETCH_K documents and are within
@@ -27,8 +29,11 @@ MOST_REPEATED = 50
 SKETCH_K = 4096
 LEAST = 50
 SPREAD = 3.0
-#: measure: slack that is added to its fence, in its own unit
-SLACK = {"symbol_rate": 5.0, "dup_line_rate": 34.0, "repeat_rate": 30.0, "word_length": 0.75}
+HIGH = 0.9
+EVENTS = 5
+#: measure: quantiles (of the inner and the outer end of its spread) and how many occurrences its rate counts
+MEASURES = {"symbol_rate": (0.5, HIGH), "dup_line_rate": (0.5, HIGH), "repeat_rate": (0.5, HIGH), "word_length": (0.25, 0.75)}
+OCCURRENCES = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words / 6"}
 
 
 def words_of(text: Column) -> Column:
@@ -93,36 +98,39 @@ def thresholds(rows: DataFrame) -> DataFrame:
     """lang, source and for each measure its fences: a row for each group of rows."""
     good = rows.groupBy("lang", "source").agg(
         F.count_if(~F.col("base_failed")).alias("n"),
-        *[F.kll_sketch_agg_double(F.when(~F.col("base_failed"), F.col(m)), F.lit(SKETCH_K)).alias(m) for m in SLACK],
+        *[F.kll_sketch_agg_double(F.when(~F.col("base_failed"), F.col(m)), F.lit(SKETCH_K)).alias(m) for m in MEASURES],
     )
     good = materialize(good, "rules-sketches")
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in SLACK]]
-    fences = lambda df: df.select(*[c for c in df.columns if c not in SLACK], *[x for m in SLACK for x in _fences(m)])
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES]]
+    fences = lambda df: df.select(*[c for c in df.columns if c not in MEASURES], *[x for m in MEASURES for x in _fences(m)])
     own = fences(good)
     by_lang = fences(good.groupBy(F.col("lang").alias("g_lang")).agg(*merged))
-    by_all = fences(good.agg(*merged)).withColumn("one", F.lit(1))
-    names = [f"{m}_{side}" for m in SLACK for side in ("low", "high")]
-    pick = lambda n: F.when(F.col("own.n") >= LEAST, F.col(f"own.{n}")).when(F.col("of_lang.n") >= LEAST, F.col(f"of_lang.{n}")).otherwise(F.col(f"of_all.{n}"))
-    rows = own.withColumn("one", F.lit(1)).alias("own").join(by_lang.alias("of_lang"), F.col("own.lang").eqNullSafe(F.col("of_lang.g_lang")))
-    rows = rows.join(by_all.alias("of_all"), F.col("own.one") == F.col("of_all.one"))
+    overall = fences(good.agg(*merged)).first()  # one row of the whole data set
+    names = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
+    of_all = lambda n: F.lit(overall[n]).cast("double")
+    pick = lambda n: F.when(F.col("own.n") >= LEAST, F.col(f"own.{n}")).when(F.col("of_lang.n") >= LEAST, F.col(f"of_lang.{n}")).otherwise(of_all(n))
+    rows = own.alias("own").join(by_lang.alias("of_lang"), F.col("own.lang").eqNullSafe(F.col("of_lang.g_lang")))
     return rows.select(F.col("own.lang").alias("t_lang"), F.col("own.source").alias("t_source"), *[pick(n).alias(n) for n in names])
 
 
 def _fences(measure: str) -> list[Column]:
     known = F.when(F.col("n") > 0, F.col(measure))
-    low, high = (F.kll_sketch_get_quantile_double(known, F.lit(q)) for q in (0.25, 0.75))
-    reach = SPREAD * (high - low) + SLACK[measure]
-    lower = low - reach if measure == "word_length" else F.lit(None).cast("double")
-    return [lower.alias(f"{measure}_low"), (high + reach).alias(f"{measure}_high")]
+    inner, outer = (F.kll_sketch_get_quantile_double(known, F.lit(q)) for q in MEASURES[measure])
+    reach = SPREAD * (outer - inner)
+    lower = inner - reach if measure == "word_length" else F.lit(None).cast("double")
+    return [lower.alias(f"{measure}_low"), (outer + reach).alias(f"{measure}_high")]
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """The measures, base_failed and kept of every row of docs."""
+    """The measures, thresholds, base_failed and kept of every row of docs."""
     rows = materialize(rated(measures(docs)), "rules-measures")
     limits = thresholds(rows)
     joined = rows.join(limits, rows["lang"].eqNullSafe(limits["t_lang"]) & rows["source"].eqNullSafe(limits["t_source"]), "left")
     inside = F.lit(True)
-    for m in SLACK:
-        inside &= F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True)) & F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True))
+    for m in MEASURES:
+        below = F.col(m) <= F.col(f"{m}_high")
+        if m in OCCURRENCES:
+            below |= F.expr(OCCURRENCES[m]) <= EVENTS
+        inside &= F.coalesce(below, F.lit(True)) & F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True))
     kept = ~F.col("base_failed") & inside
     return joined.withColumn("kept", kept).drop("t_lang", "t_source")

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from .quality_rules import LEAST, LEAST_WORDS, MOST_REPEATED, SLACK, SPREAD
+from .quality_rules import EVENTS, LEAST, LEAST_WORDS, MEASURES, MOST_REPEATED, OCCURRENCES, SPREAD
 
 
 def _quality_rules() -> str:
     """Sketches hold every value of groups of this size, so thresholds are those of sorted lists."""
     word = r"[^\x20\x09-\x0D]+"
     at = lambda m, q: f"list_sort(list({m}) FILTER (WHERE NOT base_failed))[greatest(1, ceil({q} * count(*) FILTER (WHERE NOT base_failed)))::INT]"
-    quartiles = ", ".join(f"{at(m, 0.25)} AS {m}_q1, {at(m, 0.75)} AS {m}_q3" for m in SLACK)
+    quantiles = ", ".join(f"{at(m, inner)} AS {m}_q1, {at(m, outer)} AS {m}_q3" for m, (inner, outer) in MEASURES.items())
     groups = {"own": "lang, source", "of_lang": "lang", "of_all": ""}
-    tables = ",\n".join(f"{name} AS (SELECT {keys + ', ' if keys else ''}count(*) FILTER (WHERE NOT base_failed) AS n, {quartiles} FROM rated {'GROUP BY ' + keys if keys else ''})" for name, keys in groups.items())
+    tables = ",\n".join(f"{name} AS (SELECT {keys + ', ' if keys else ''}count(*) FILTER (WHERE NOT base_failed) AS n, {quantiles} FROM rated {'GROUP BY ' + keys if keys else ''})" for name, keys in groups.items())
     pick = lambda c: f"CASE WHEN own.n >= {LEAST} THEN own.{c} WHEN of_lang.n >= {LEAST} THEN of_lang.{c} ELSE of_all.{c} END"
-    limits = ", ".join(f"{pick(f'{m}_q1')} AS {m}_q1, {pick(f'{m}_q3')} AS {m}_q3" for m in SLACK)
-    inside = " AND ".join(f"coalesce({m} <= {m}_q3 + {SPREAD} * ({m}_q3 - {m}_q1) + {slack}, true)" for m, slack in SLACK.items())
-    m, slack = "word_length", SLACK["word_length"]
-    inside += f" AND coalesce({m} >= {m}_q1 - ({SPREAD} * ({m}_q3 - {m}_q1) + {slack}), true)"
+    limits = ", ".join(f"{pick(f'{m}_q1')} AS {m}_q1, {pick(f'{m}_q3')} AS {m}_q3" for m in MEASURES)
+    rare = lambda m: f"{OCCURRENCES[m].replace('/', '/ 1.0 /')} <= {EVENTS} OR " if m in OCCURRENCES else ""
+    inside = " AND ".join(f"coalesce({rare(m)}{m} <= {m}_q3 + {SPREAD} * ({m}_q3 - {m}_q1), true)" for m in MEASURES)
+    m = "word_length"
+    inside += f" AND coalesce({m} >= {m}_q1 - {SPREAD} * ({m}_q3 - {m}_q1), true)"
     return rf"""WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 worded AS (SELECT doc_id, unnest(regexp_extract_all(text, '{word}')) AS w, generate_subscripts(regexp_extract_all(text, '{word}'), 1) AS i FROM texts),
 grams AS (SELECT doc_id, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM worded WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
