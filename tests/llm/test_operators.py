@@ -444,6 +444,57 @@ def test_classifier_holds_out(spark):
     assert np.mean([(b < np.array(good)).mean() for b in bad]) > 0.95
 
 
+def test_grams_by_plain_loops():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["a", "b", "a1", "X.", "12", "3|", "é"]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    features = classifier.Features()
+    seen = {}
+    for text, (index, value) in zip(texts, features.sparse(texts), strict=True):
+        words = ["0" if w.isdigit() else w for w in re.findall(r"[^\W\d_]+|\d+|[^\w\s]|_", text.lower())]
+        want = Counter()
+        for i, w in enumerate(words):
+            one, two = (words[i - 1] if i else None), (words[i - 2] if i > 1 else None)
+            want[1, w] += 1
+            want[2, "=" if one == w else (one, w)] += 1
+            want[3, ("=", "=" if one == w else one) if two == w else (two, one, w)] += 1
+        got = dict(zip(index.tolist(), value.tolist(), strict=True))
+        assert sorted(got.values()) == pytest.approx(sorted(n * classifier.GAIN / len(words) for n in want.values()))
+        for at in got:
+            seen.setdefault(at, set())
+        assert len(got) == len(want)
+    assert len(seen) > 50
+
+
+def test_long_samples_are_spread():
+    words = [str(i) for i in range(100_000)]
+    some = classifier._spread(words, classifier.SAMPLE_WORDS)
+    assert len(some) == classifier.SAMPLE_WORDS and some[0] == "0" and some[-1] == "99999" and classifier._spread(words[:50], 20_000) == words[:50]
+
+
+def test_ftrl_by_plain_loops():
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(40, 5, replace=False)), rng.random(5), int(rng.random() < 0.5)) for _ in range(120)]
+    z, n, bias = Counter(), Counter(), classifier._SIZE * classifier._KINDS
+    A, B, L1, L2 = classifier.ALPHA, classifier.BETA, classifier.L1, classifier.L2
+
+    def weight(i):
+        if abs(z[i]) <= L1:
+            return 0.0
+        return -(z[i] - (L1 if z[i] > 0 else -L1)) / ((B + n[i] ** 0.5) / A + L2)
+
+    for _ in range(2):
+        for index, value, label in rows:
+            x = dict(zip([*index.tolist(), bias], [*value.tolist(), 1.0], strict=True))
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / A * w[i]
+                n[i] += g * g
+    got = classifier.ftrl(rows, epochs=2)
+    assert [got[i] for i in [*range(40), bias]] == pytest.approx([weight(i) for i in [*range(40), bias]], abs=1e-6)
+
+
 def test_ftrl_learns_a_word():
     rows = [(np.array([k, 10 + k % 3]), np.array([1.0, 1.0]), k % 2) for k in (0, 1)] * 200
     w = classifier.ftrl(rows)
