@@ -87,7 +87,7 @@ class Features:
         one, two = back(1), back(2)
         again, across = (one == word) & (place >= 1), (two == word) & (place >= 2)
         pair = np.where(again, _REPEAT, _mix(one, word))
-        triple = np.where(across, _mix(_REPEAT, np.where(again, _REPEAT, one)), _mix(_mix(two, one), pair))
+        triple = np.where(across, _mix(np.full(len(word), _REPEAT), np.where(again, _REPEAT, one)), _mix(_mix(two, one), pair))
         grams = np.stack([word, pair, triple], axis=1)
         return (grams & np.uint64(_SIZE - 1)).astype(np.int64) + np.arange(_KINDS) * _SIZE, bounds
 

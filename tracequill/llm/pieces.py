@@ -412,7 +412,8 @@ def encode(docs: DataFrame, model: str | None = None, finer: int = 1) -> DataFra
     encoded = lattices(distinct.select("part"), table, longest).withColumnRenamed("part", "e_part")
     encoded = parts.join(encoded, F.col("part") == F.col("e_part")).select("bucket", "part", "lengths")
     long = parts.filter(size >= LONG + 1)
-    chunked = long_lattices(long.select("part").distinct(), table, longest).withColumnRenamed("part", "e_part")
+    chunks = long.groupBy("part").agg(F.max("bucket").alias("b")).filter("b >= 0").select("part")
+    chunked = long_lattices(chunks, table, longest).withColumnRenamed("part", "e_part")
     asked = long.select("bucket", F.substring("part", 1, KEY).alias("part")).distinct()
     chunked = asked.join(chunked, F.col("part") == F.col("e_part")).select("bucket", "part", "lengths")
     # The union keeps the dealing by bucket; a bucket's segmentations sort before its blocks.
