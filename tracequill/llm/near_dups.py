@@ -11,13 +11,11 @@ of time and only until no later one can be the earliest of a register.
 Equal texts are one class from the start. The signatures of distinct texts are cut into BANDS
 bands of ROWS registers. In each group of
 up to SMALL texts with an equal band any two are compared by exact weighted Jaccard similarity.
-In each larger group one text is the hub, and every text is compared with that hub of another class with
-which it shares the most groups; rounds with
-other hubs, those with the most links first, follow for the groups that hold more than one
-class until a round finds no link or few pairs are left, ROUNDS at most. Then all pairs of different classes in such a
-group are compared, block by block, all overlaps of two blocks by one product of matrices. Links
+In each larger group one text is the hub, that with the most links so far, and every text is compared with that hub of
+another class with which it shares the most groups. Then all pairs of different classes in a group that holds more than one
+are compared, block by block, all overlaps of two blocks by one product of matrices. Links
 of THRESHOLD or more make classes, so classes are those of comparing all pairs with an equal band.
-A round compares a text once at most; the last step is linear where most texts of a group are of
+The hubs take one comparison a text; the last step is linear where most texts of a group are of
 one class, and else it grows with the square of the group over BLOCK.
 
 The hashes of words and grams have 64 bits. Two texts with a similarity of 0.8 share no band
@@ -49,8 +47,7 @@ BANDS = 64
 REGISTERS = ROWS * BANDS
 TICK = 2.0**-32
 SMALL = 8
-#: Rounds with hubs, and so many pairs a row of the large groups for which none follows; what they leave is compared in blocks.
-ROUNDS = 3
+#: With so few pairs a row of the large groups, no hub is drawn; all are compared in blocks.
 FEW = 2
 #: Texts of a block, and distinct grams that are looked at together.
 BLOCK = 256
@@ -243,33 +240,37 @@ def _links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")))
     seen, links = _close(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), texts, "near-small")
     labels = components(links, "near-classes")
-    rows, ended = members.filter(F.col("n") > SMALL).select("band", "id", F.lit(False).alias("used")), False
-    for drawn in range(ROUNDS + 1):
-        ends = links.select(F.explode(F.array("a", "b")).alias("e_id")).groupBy("e_id").agg(F.count(F.lit(1)).alias("degree"))
-        known = labels.select(F.col("id").alias("m_id"), "label").join(ends, F.col("m_id") == F.col("e_id"), "left")
-        rows = rows.join(known, F.col("id") == F.col("m_id"), "left")
-        rows = materialize(rows.select("band", "id", "used", F.coalesce("label", "id").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "near-rows")
-        best = F.max(F.when(~F.col("used"), F.struct("degree", (-F.col("id")).alias("minus"), "label")))
-        held = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), best.alias("hub"))
-        hubs = held.groupBy("band").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("main"), F.max("hub").alias("hub"), F.count(F.lit(1)).alias("classes"))
-        hubs = materialize(hubs.filter("classes > 1"), "near-hubs-drawn")  # of more than SMALL texts, so some weren't hubs
-        left = hubs.agg(F.sum("size").alias("rows"), F.sum(F.expr("(size - main.c) * size")).alias("pairs")).first()
-        if ended or drawn == ROUNDS or left.rows is None or left.pairs <= FEW * left.rows:
-            break
-        rows = rows.join(hubs.select("band", (-F.col("hub.minus")).alias("hub"), F.col("hub.label").alias("hub_label")), "band")
-        met = rows.filter("label <> hub_label").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
+    held = members.filter(F.col("n") > SMALL).groupBy("id").agg(F.collect_list("band").alias("bands"))
+    held = materialize(held, "near-held-bands")
+    rows, hubs, left = _drawn(held, labels, links)
+    if left.rows is not None and left.pairs > FEW * left.rows:
+        met = rows.join(hubs.select("band", (-F.col("hub.minus")).alias("hub"), F.col("hub.label").alias("hub_label")), "band").filter("label <> hub_label")
+        met = met.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
         met = met.groupBy("id").agg(F.max(F.struct("c", (-F.col("hub")).alias("minus"))).alias("best")).select("id", (-F.col("best.minus")).alias("hub"))
-        pairs = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
-        compared, new = _close(pairs.distinct().join(seen, ["a", "b"], "left_anti"), texts, "near-hubs")
-        seen, links, ended = seen.unionAll(compared), links.unionAll(new), new.isEmpty()
-        labels = labels if ended else _merged(labels, new)
-        rows = rows.select("band", "id", (F.col("used") | (F.col("id") == F.col("hub"))).alias("used"))
+        pairs = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+        _, new = _close(pairs.join(seen, ["a", "b"], "left_anti"), texts, "near-hubs")
+        if not new.isEmpty():
+            links, labels = links.unionAll(new), _merged(labels, new)
+            rows, hubs, left = _drawn(held, labels, links)
     if left.rows is None:  # each group is of one class
         return links, labels
     new = materialize(_rest(rows.join(hubs.select("band"), "band", "left_semi"), texts), "near-rest")
     return (links, labels) if new.isEmpty() else (links.unionAll(new), _merged(labels, new))
 
 
+def _drawn(held: DataFrame, labels: DataFrame, links: DataFrame):
+    """rows (band, id, label) of held (id, bands), the bands of more than one class with their hubs, and how many rows and pairs these have."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("e_id")).groupBy("e_id").agg(F.count(F.lit(1)).alias("degree"))
+    known = labels.select(F.col("id").alias("m_id"), "label").join(ends, F.col("m_id") == F.col("e_id"), "left")
+    known = held.join(known, F.col("id") == F.col("m_id"), "left").select("id", "bands", F.coalesce("label", "id").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    rows = materialize(known.select("id", "label", "degree", F.explode("bands").alias("band")), "near-rows")
+    best = F.max(F.struct("degree", (-F.col("id")).alias("minus"), "label"))
+    by_class = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), best.alias("hub"))
+    hubs = by_class.groupBy("band").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("main"), F.max("hub").alias("hub"), F.count(F.lit(1)).alias("classes"))
+    hubs = materialize(hubs.filter("classes > 1"), "near-hubs-drawn")
+    return rows, hubs, hubs.agg(F.sum("size").alias("rows"), F.sum(F.expr("(size - main.c) * size")).alias("pairs")).first()
+
+
 def _rest(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between all texts of different classes that share a band in rows (band, id, label).
 
