@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -690,3 +691,19 @@ def test_a_million_characters_without_a_space(spark):
     df = spark.createDataFrame([(1, text), (2, text[:70]), (3, text)], "doc_id long, text string")
     got = {r.doc_id: r for r in pieces.round_trip(df).collect()}
     assert got[1].ids == got[3].ids and all(r.text_crc32 == r.decoded_crc32 for r in got.values())
+
+
+def test_parts_and_atoms_at_once():
+    names = [p for p, _, _ in pieces.piece_table(default_piece_model())]
+    splitter, rng = pieces.Splitter(names), random.Random(5)
+    signs = ["a", "B", "é", "1", "²", ".", ",", "'s", " ", "  ", "\n", "\n\n", "\t", MARK, "字", "\xa0", "x" * 70, "́", "\r"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, "", " "]
+    for made in (texts, ["a\0b c\nd", *texts]):
+        whole = pa.array(["pad", *made, "pad"]).slice(1, len(made))
+        flat, counts = splitter.parts_of(whole)
+        want = [splitter.parts(t) for t in made]
+        assert flat.to_pylist() == [p for ps in want for p in ps] and counts.tolist() == [len(ps) for ps in want]
+        unique = flat.unique()
+        atoms, counts = splitter.cut(unique)
+        assert ["".join(atoms.to_pylist()[e - n : e]) for n, e in zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True)] == unique.to_pylist()
+        assert all(n == 0 or len(a) > 0 for n, a in zip(counts.tolist(), unique.to_pylist(), strict=True))

@@ -61,6 +61,8 @@ PACKED = 16 << 20
 #: Bytes of text of a bucket, and atoms that are sent or looked up together.
 BUCKET = 32 << 20
 TOGETHER = 50_000
+#: Texts are cut, looked up and put together in slices of about so many bytes.
+SLICE = 3 << 20
 _BLOCKS = "bucket int, block binary"
 _PARTS = "bucket int, part string"
 
@@ -105,6 +107,37 @@ class Splitter:
         cut = found.end() if found else 0
         return [part[:cut], part[cut:]] if 0 < cut < len(part) and part[cut - 1 : cut + 1] not in self._joined else [part]
 
+    def parts_of(self, texts: pa.StringArray) -> tuple[pa.Array, np.ndarray]:
+        """parts() of many texts, one after the other, and how many each has."""
+        full = pc.greater(pc.binary_length(texts), 0).fill_null(False)
+        some, counts = texts.filter(full), np.zeros(len(texts), np.int64)
+        if pc.any(pc.match_substring(some, "\0")).as_py():
+            lists = pa.array([self.parts(t) for t in some.to_pylist()], pa.list_(pa.string()))
+        else:
+            marked = pc.replace_substring(pc.replace_substring(some, " ", "\0" + MARK), "\n", "\0\n\0")
+            lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(MARK), marked, ""), "\0")
+        counts[full.to_numpy(zero_copy_only=False)] = pc.list_value_length(lists).to_numpy()
+        return lists.flatten(), counts
+
+    def cut(self, parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The atoms of many parts, one after the other, and how many each has; empty parts have none."""
+        whole = pc.and_(pc.utf8_is_alpha(pc.utf8_slice_codeunits(parts, 1)), pc.less_equal(pc.utf8_length(parts), LONG)).to_numpy(zero_copy_only=False)
+        rest = [self.atoms(p) if p else [] for p in parts.filter(pa.array(~whole)).to_pylist()]
+        counts, begin = np.ones(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        counts[~whole] = [len(x) for x in rest]
+        n = int(whole.sum())
+        begin[whole], begin[~whole] = np.arange(n), n + np.cumsum(counts[~whole]) - counts[~whole]
+        both = pa.concat_arrays([parts.filter(pa.array(whole)), pa.array([a for x in rest for a in x], pa.string())])
+        return both.take(pa.array(spread(begin, counts))), counts
+
+
+def spread(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, counts of them, one run after the other."""
+    shift = (begin - (np.cumsum(counts) - counts)).astype(np.int32)
+    out = np.repeat(shift, counts)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
 
 _splitters: dict[int, Splitter] = {}
 
@@ -165,113 +198,127 @@ def _atoms_of(names: list[str], longest: int):
 
     def run(key: tuple[pa.Scalar, ...], blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = _splitter(names)
-        seen: set[str] = set()
+        seen: list[pa.Array] = []
         for batch in _unpack(blocks):
-            for text in batch.column("text").to_pylist():
-                seen.update(splitter.parts(text))
-        seen.discard("")
-        whole = {p for p in seen if p[1:].isalpha() and len(p) <= LONG}
-        seen -= whole
-        atoms = whole.union(*map(splitter.atoms, seen))
-        del seen, whole
-        if longer := [x for x in atoms if len(x) > LONG]:
-            atoms.difference_update(longer)
-            atoms.update(c for x in longer for c in _chunks(x, longest))
-        ordered = sorted(atoms)
-        del atoms, longer
+            for some in slices([batch], most=SLICE):
+                seen.append(splitter.parts_of(some.column("text"))[0].unique())
+        parts = pa.chunked_array(seen, pa.string()).unique()
+        del seen
+        atoms = splitter.cut(parts)[0].unique()
+        del parts
+        longer = pc.greater(pc.utf8_length(atoms), LONG)
+        if pc.any(longer).as_py():
+            chunks = pa.array([c for x in atoms.filter(longer).to_pylist() for c in _chunks(x, longest)], pa.string()).unique()
+            atoms = pa.concat_arrays([atoms.filter(pc.invert(longer)), chunks])
+        atoms = atoms.take(pc.sort_indices(atoms))
         bucket = key[0].as_py()
-        for i in range(0, len(ordered), TOGETHER):
-            part = pa.array(ordered[i : i + TOGETHER], pa.string())
+        for i in range(0, len(atoms), TOGETHER):
+            part = atoms.slice(i, TOGETHER)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket, np.int32)), part], ["bucket", "part"])
-        del ordered
+        del atoms
         _trim()
 
     return run
 
 
-class _Encoded(dict):
-    """Serialized ids of a bucket's atoms, and of its parts, made of their atoms' when they are asked for."""
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of text without nulls, and where each begins and the last ends."""
+    places = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    return data[places[0] : places[-1]], places - places[0]
 
-    def __init__(self, splitter: Splitter, ids_of) -> None:
-        super().__init__({"": b""})
-        self._splitter, self._ids_of = splitter, ids_of
-        self._long: dict[str, str] = {}
 
-    def add(self, found: pa.RecordBatch) -> None:
-        """Atoms (part) and the lengths of their pieces; a long atom's are kept by its key."""
-        atoms, lengths = found.column("part").to_pylist(), found.column("lengths").to_pylist()
-        if any(len(a) > LONG for a in atoms):
-            self._long.update((a, n) for a, n in zip(atoms, lengths, strict=True) if len(a) > LONG)
-            lengths = [n for a, n in zip(atoms, lengths, strict=True) if len(a) <= LONG]
-            atoms = [a for a in atoms if len(a) <= LONG]
-        self.update(self._ids_of(atoms, lengths))
-
-    def __missing__(self, part: str) -> bytes:
-        made = b"".join([self[a] if len(a) <= LONG else self._ids_of([a], [self._long[_key(a)]])[a] for a in self._splitter.atoms(part)])
-        if len(part) <= LONG:
-            self[part] = made
-        return made
-
-
-def _atom_ids(atoms: list[str], lengths: list[str], names: list[str], ids: np.ndarray, of_byte: list[int]) -> dict[str, bytes]:
-    """Serialized ids of atoms by the lengths of their pieces; all atoms' pieces are looked up at once."""
-    if not atoms:
-        return {}
-    length = np.zeros(128, np.int64)
-    length[np.frombuffer(LENGTHS.encode(), np.uint8)] = np.arange(1, len(LENGTHS) + 1)
-    sizes = length[np.frombuffer("".join(lengths).encode(), np.uint8)]
-    text = "".join(atoms)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    place = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    if ends[-1] != len(codes):
-        raise ValueError("lengths of pieces don't fit their atoms")
-    data = text.encode("utf-8", "surrogatepass")
-    cut = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(place[ends].astype(np.int32)), pa.py_buffer(data))
-    at = pc.index_in(cut, value_set=_names(names)).fill_null(-1).to_numpy()
-    flat = ids[at].astype("<i4")
-    counts = np.array([len(x) for x in lengths])
-    if (unknown := np.nonzero(at < 0)[0]).size:  # characters without a piece: their bytes' ids
-        spelled = {int(i): [of_byte[b] for b in data[place[ends[i]] : place[ends[i + 1]]]] for i in unknown}
-        flat = np.array([x for i, k in enumerate(flat.tolist()) for x in spelled.get(i, (k,))], "<i4")
-        np.add.at(counts, np.repeat(np.arange(len(counts)), counts)[unknown], [len(spelled[int(i)]) - 1 for i in unknown])
-    whole, stops = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
-    return {a: whole[i:j] for a, i, j in zip(atoms, [0, *stops], stops, strict=False)}
-
-
-_named: dict[int, pa.Array] = {}
-
-
-def _names(names: list[str]) -> pa.Array:
-    if id(names) not in _named:
-        _named.clear()
-        _named[id(names)] = pa.array(names)
-    return _named[id(names)]
+class _Ids:
+    """The ids of a bucket's atoms: one array of all, and each atom's place in it."""
+
+    def __init__(self, names: list[str], ids: np.ndarray, of_byte: list[int]) -> None:
+        self._pieces, self._ids, self._of_byte = pa.array(names), ids, of_byte
+        self._found: list[tuple[pa.Array, pa.Array]] = []
+        self._long: dict[str, str] = {}
+        self._ready = False
+
+    def add(self, part: pa.Array, lengths: pa.Array) -> None:
+        """Atoms and the lengths of their pieces; a long atom's are kept by its key."""
+        longer = pc.greater(pc.utf8_length(part), LONG)
+        if pc.any(longer).as_py():
+            self._long.update(zip(part.filter(longer).to_pylist(), lengths.filter(longer).to_pylist(), strict=True))
+            part, lengths = part.filter(pc.invert(longer)), lengths.filter(pc.invert(longer))
+        self._found.append((part, lengths))
+
+    def _of(self, part: pa.Array, lengths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of atoms, one atom after the other, and how many each has."""
+        size = np.zeros(256, np.int64)
+        size[np.frombuffer(LENGTHS.encode(), np.uint8)] = np.arange(1, len(LENGTHS) + 1)
+        (data, _), (codes, ends) = _texts(part), _texts(lengths)
+        sizes, counts = size[codes], np.diff(ends).astype(np.int64)
+        chars = np.append(np.nonzero((data & 0xC0) != 0x80)[0], len(data))
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        if stops[-1] != len(chars) - 1:
+            raise ValueError("lengths of pieces don't fit their atoms")
+        place = chars[stops]
+        cut = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(place.astype(np.int32)), pa.py_buffer(data.tobytes()))
+        at = pc.index_in(cut, value_set=self._pieces).fill_null(-1).to_numpy()
+        flat = self._ids[at].astype(np.int32)
+        if (unknown := np.nonzero(at < 0)[0]).size:  # characters without a piece: their bytes' ids
+            spelled = [[self._of_byte[b] for b in data[place[i] : place[i + 1]].tolist()] for i in unknown.tolist()]
+            extra = np.array([len(x) for x in spelled])
+            flat = np.insert(np.delete(flat, unknown), np.repeat(unknown - np.arange(len(unknown)), extra), [x for ids in spelled for x in ids])
+            np.add.at(counts, np.repeat(np.arange(len(counts)), counts)[unknown], extra - 1)
+        return flat, counts
+
+    def _prepare(self) -> None:
+        made = [self._of(*x) for x in self._found]
+        self._atoms = pa.chunked_array([a for a, _ in self._found], pa.string()).combine_chunks()
+        self._flat = np.concatenate([np.zeros(0, np.int32), *[f for f, _ in made]])
+        self._count = np.concatenate([np.zeros(0, np.int64), *[c for _, c in made]])
+        self._begin = np.cumsum(self._count) - self._count
+        self._found, self._ready = [], True
+
+    def of(self, splitter: Splitter, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text."""
+        if not self._ready:
+            self._prepare()
+        parts, n_parts = splitter.parts_of(texts)
+        dealt = parts.dictionary_encode()
+        atoms, n_atoms = splitter.cut(dealt.dictionary)
+        at = pc.index_in(atoms, value_set=self._atoms).fill_null(-1).to_numpy()
+        flat, begin, count = self._flat, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        known = at >= 0
+        begin[known], count[known] = self._begin[at[known]], self._count[at[known]]
+        for i in np.nonzero(~known)[0].tolist():  # atoms of over LONG characters
+            atom = atoms[i].as_py()
+            ids, _ = self._of(pa.array([atom]), pa.array([self._long[_key(atom)]]))
+            begin[i], count[i], flat = len(flat), len(ids), np.concatenate([flat, ids])
+        flat = flat[spread(begin, count)]
+        ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(n_atoms)])]
+        place = dealt.indices.to_numpy()
+        of_part = np.diff(ends)[place]
+        values = flat[spread(ends[:-1][place], of_part)]
+        stops = np.concatenate([[0], np.cumsum(of_part)])[np.concatenate([[0], np.cumsum(n_parts)])]
+        return pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(values))
 
 
 def _assemble(ids: dict[str, int], of_byte: list[int], by_id: list[bytes]):
     """The ids of a bucket's documents, a block at a time; what they decode to is told by its crc32."""
-    names, values_of = list(ids), np.array(list(ids.values()))
+    names, values_of = list(ids), np.array(list(ids.values()), np.int32)
 
     def run(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, spelling = _splitter(names), pa.array(by_id, pa.large_binary())
-        encoded = _Encoded(splitter, lambda atoms, lengths: _atom_ids(atoms, lengths, names, values_of, of_byte))
-        get = encoded.__getitem__
+        found = _Ids(names, values_of, of_byte)
         for some in rows:  # segmentations come first
             known = pc.is_valid(some.column("part"))
             if pc.any(known).as_py():
-                encoded.add(some.filter(known))
+                found.add(some.column("part").filter(known), some.column("lengths").filter(known))
             for block in _unpack(iter([some])):
-                for batch in slices([block], most=PACKED // 4):
-                    texts = batch.column("text").to_pylist()
-                    out = [b"".join(map(get, splitter.parts(t))) for t in texts]
-                    sums = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-                    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-                    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
-                    del out, texts
+                for batch in slices([block], most=SLICE):
+                    texts = batch.column("text").take(pa.array(np.arange(batch.num_rows)))  # slices of their own
+                    values = found.of(splitter, texts)
+                    data, ends = _texts(texts.fill_null(""))
+                    view, ends = memoryview(data), ends.tolist()
+                    sums = [zlib.crc32(view[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
                     back = [zlib.crc32(x) for x in decoded(values, spelling)]
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), values, pa.array(sums, pa.int64()), pa.array(back, pa.int64())], ["doc_id", "ids", "text_crc32", "decoded_crc32"])
-        del get, encoded
+        del found
         _trim()
 
     return run
