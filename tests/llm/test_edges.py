@@ -140,6 +140,27 @@ def test_surrogates(docs, none):
     assert surrogates.replace(none).count() == 0
 
 
+def test_pipeline(spark, docs, none, tmp_path):
+    """All stages over nulls, empty texts, repeated rows, long texts, extra columns with clashing names, and no rows."""
+    import corpus_pipeline
+
+    for name, df, least in (("rows", docs.filter("doc_id is null or doc_id <> 7").unionAll(docs.filter("doc_id = 7").withColumn("text", F.repeat(F.lit("longword"), 40_000))), 1), ("none", none, 0)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        stage_docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            after = function(spark, stage_docs, str(tmp_path / name))
+            assert after.columns == df.columns, stage
+            path = str(tmp_path / name / stage)
+            after.write.parquet(path)
+            stage_docs = spark.read.parquet(path)
+        last = corpus_pipeline.STAGES[-1][1](spark, stage_docs, str(tmp_path / name)).collect()
+        assert len(last) == stage_docs.count() >= least and all(r.text_crc32 == r.decoded_crc32 for r in last)
+        whole = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert len(whole) >= least and all(r.text_crc32 == r.decoded_crc32 for r in whole)
+        if name == "rows":
+            assert all(r.doc_id not in (4, 5, 6, 9) for r in whole)
+
+
 def test_a_very_long_text(spark):
     """A million characters without a space, and 200,000 words, for every operator."""
     texts = [(1, "abcdefghij" * 100_000, "en", "a"), (2, "one two three four five " * 40_000, "en", "a"), (3, ENGLISH, "en", "b"), (4, FRENCH, "fr", "b")]

@@ -56,7 +56,23 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it again, which cuts its lineage."""
     path = shared_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what materialize() wrote for these frames, which nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_written_at", None)
+        if path and (df.sparkSession, path) in _written:
+            _written.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release() -> None:
@@ -64,9 +80,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session has ended or the folder can't be deleted: it stays, the others are tried
             continue
 

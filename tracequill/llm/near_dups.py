@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORD_RE, materialize, slices
+from .common import WORD, WORD_RE, discard, materialize, slices
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -196,11 +196,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     round's labels are written to the shared folder.
     """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, f"{name}-edges")
+    both = edges_written = materialize(both, f"{name}-edges")
     small = both.limit(ONE_TASK + 1).count() <= ONE_TASK
     if small:  # needs no dealing: one task holds all
         both = both.coalesce(1)
-    labels = None
+    labels = before = None
     while True:
         if labels is None:
             step = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.col("a").alias("label"), F.least("a", "m").alias("next"))
@@ -210,9 +210,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             jump = labels.select(F.col("id").alias("j"), F.col("label").alias("far"))
             step = step.join(jump, F.col("next") == F.col("j"), "left").select("id", "label", F.least("next", F.coalesce("far", "next")).alias("next"))
         step = materialize(step, f"{name}-labels")
+        discard(before)
         if step.filter("label <> next").isEmpty():
+            discard(edges_written)
             return step.select("id", "label")
-        labels = step.select("id", F.col("next").alias("label"))
+        before, labels = step, step.select("id", F.col("next").alias("label"))
         labels = labels.coalesce(1) if small else labels
 
 
