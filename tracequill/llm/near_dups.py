@@ -9,13 +9,14 @@ two texts with the probability of their weighted Jaccard similarity. Points are
 of time and only until no later one can be the earliest of a register.
 
 Equal texts are one class from the start. The signatures of distinct texts are cut into BANDS
-bands of ROWS registers. In each group of
-up to SMALL texts with an equal band any two are compared by exact weighted Jaccard similarity.
-In each larger group one text is the hub, that with the most links so far, and every text is compared with that hub of
-another class with which it shares the most groups. Then all pairs of different classes in a group that holds more than one
+bands of ROWS registers; texts with an equal band are a group. First every text is compared by exact weighted
+Jaccard similarity with one other, that among the least ids of its groups with which it shares the most groups. Then, in
+groups of up to SMALL texts, any two that aren't in one class yet are compared. Each larger group that holds
+more than one class gets a hub, the text with the most links so far, and every text is compared with that hub of
+another class with which it shares the most groups. At last all pairs of different classes in such a group
 are compared, block by block, all overlaps of two blocks by one product of matrices. Links
 of THRESHOLD or more make classes, so classes are those of comparing all pairs with an equal band.
-The hubs take one comparison a text; the last step is linear where most texts of a group are of
+Both rounds take one comparison a text; the last step is linear where most texts of a group are of
 one class, and else it grows with the square of the group over BLOCK.
 
 The hashes of words and grams have 64 bits. Two texts with a similarity of 0.8 share no band
@@ -46,6 +47,7 @@ ROWS = 8
 BANDS = 64
 REGISTERS = ROWS * BANDS
 TICK = 2.0**-32
+#: In groups of up to so many texts all pairs of different classes are compared at once.
 SMALL = 8
 #: With so few pairs a row of the large groups, no hub is drawn; all are compared in blocks.
 FEW = 2
@@ -235,22 +237,30 @@ def _close(pairs: DataFrame, texts: DataFrame, name: str) -> tuple[DataFrame, Da
     return seen.select("a", "b"), seen.filter(F.col("similarity") >= THRESHOLD).select("a", "b")
 
 
+def _nearest(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each id with that of its hubs (id, hub: a row for each group) that it meets most often."""
+    met = met.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
+    met = met.groupBy("id").agg(F.max(F.struct("c", (-F.col("hub")).alias("minus"))).alias("best")).select("id", (-F.col("best.minus")).alias("hub"))
+    return met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+
+
 def _links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links (a, b) found among members (band, id, n: members of the band), and labels (id, label)."""
-    small = members.filter(F.col("n") <= SMALL)
-    x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")))
-    seen, links = _close(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), texts, "near-small")
+    """links (a, b) found among members (band, id, n: members of the band, hub: the least of them), and labels (id, label)."""
+    held = materialize(members.groupBy("id").agg(F.collect_list(F.struct("band", "n")).alias("bands")), "near-held-bands")
+    seen, links = _close(_nearest(members.filter("id <> hub").select("id", "hub")), texts, "near-first")
     labels = components(links, "near-classes")
-    held = members.filter(F.col("n") > SMALL).groupBy("id").agg(F.collect_list("band").alias("bands"))
-    held = materialize(held, "near-held-bands")
+    small = _rows(held, labels, links).filter(F.col("n") <= SMALL)
+    x, y = small.alias("x"), small.alias("y")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    compared, new = _close(pairs.join(seen, ["a", "b"], "left_anti"), texts, "near-small")
+    if not new.isEmpty():
+        links, labels = links.unionAll(new), _merged(labels, new)
+    seen = seen.unionAll(compared)
     rows, hubs, left = _drawn(held, labels, links)
     if left.rows is not None and left.pairs > FEW * left.rows:
         met = rows.join(hubs.select("band", (-F.col("hub.minus")).alias("hub"), F.col("hub.label").alias("hub_label")), "band").filter("label <> hub_label")
-        met = met.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
-        met = met.groupBy("id").agg(F.max(F.struct("c", (-F.col("hub")).alias("minus"))).alias("best")).select("id", (-F.col("best.minus")).alias("hub"))
-        pairs = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-        _, new = _close(pairs.join(seen, ["a", "b"], "left_anti"), texts, "near-hubs")
+        _, new = _close(_nearest(met.select("id", "hub")).join(seen, ["a", "b"], "left_anti"), texts, "near-hubs")
         if not new.isEmpty():
             links, labels = links.unionAll(new), _merged(labels, new)
             rows, hubs, left = _drawn(held, labels, links)
@@ -260,12 +270,17 @@ def _links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (links, labels) if new.isEmpty() else (links.unionAll(new), _merged(labels, new))
 
 
-def _drawn(held: DataFrame, labels: DataFrame, links: DataFrame):
-    """rows (band, id, label) of held (id, bands), the bands of more than one class with their hubs, and how many rows and pairs these have."""
+def _rows(held: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """band, n, id, label, degree (the number of its links) of the groups of held (id, bands)."""
     ends = links.select(F.explode(F.array("a", "b")).alias("e_id")).groupBy("e_id").agg(F.count(F.lit(1)).alias("degree"))
     known = labels.select(F.col("id").alias("m_id"), "label").join(ends, F.col("m_id") == F.col("e_id"), "left")
     known = held.join(known, F.col("id") == F.col("m_id"), "left").select("id", "bands", F.coalesce("label", "id").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    rows = materialize(known.select("id", "label", "degree", F.explode("bands").alias("band")), "near-rows")
+    return materialize(known.select("id", "label", "degree", F.explode("bands").alias("b")).select("b.band", "b.n", "id", "label", "degree"), "near-rows")
+
+
+def _drawn(held: DataFrame, labels: DataFrame, links: DataFrame):
+    """rows of the large groups, those of their bands that hold more than one class with their hubs, and how many rows and pairs these have."""
+    rows = _rows(held, labels, links).filter(F.col("n") > SMALL)
     best = F.max(F.struct("degree", (-F.col("id")).alias("minus"), "label"))
     by_class = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), best.alias("hub"))
     hubs = by_class.groupBy("band").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("main"), F.max("hub").alias("hub"), F.count(F.lit(1)).alias("classes"))
@@ -348,8 +363,8 @@ def _groups(docs: DataFrame) -> DataFrame:
     reps = signed.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "near-texts")
     banded = reps.select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(banded.join(shared, "band").select("band", "id", "n"), "near-members")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1")
+    members = materialize(banded.join(shared, "band").select("band", "id", "n", "hub"), "near-members")
     held = reps.join(members.select(F.col("id").alias("m")).distinct(), F.col("id") == F.col("m"), "left_semi")
     held = held.select("id", F.col("text_key").alias("h_key"), "least")
     texts = _keyed(docs.select("doc_id", "text")).join(held, (F.col("text_key") == F.col("h_key")) & F.col("doc_id").eqNullSafe(F.col("least")))
