@@ -62,7 +62,7 @@ PACKED = 16 << 20
 BUCKET = 32 << 20
 TOGETHER = 50_000
 #: Texts are cut, looked up and put together in slices of about so many bytes.
-SLICE = 3 << 20
+SLICE = 4 << 20
 _BLOCKS = "bucket int, block binary"
 _PARTS = "bucket int, part string"
 
@@ -175,6 +175,22 @@ def _unpack(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from pa.ipc.open_stream(block.as_buffer())
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of about ``most`` bytes of text, small ones together, large ones cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in slices([batch], most=most):
+            n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if held and size + n > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _trim() -> None:
     """Give unused memory back, so that a worker between two groups holds little."""
     pa.default_memory_pool().release_unused()
@@ -199,9 +215,8 @@ def _atoms_of(names: list[str], longest: int):
     def run(key: tuple[pa.Scalar, ...], blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = _splitter(names)
         seen: list[pa.Array] = []
-        for batch in _unpack(blocks):
-            for some in slices([batch], most=SLICE):
-                seen.append(splitter.parts_of(some.column("text"))[0].unique())
+        for batch in _gathered(_unpack(blocks), SLICE):
+            seen.append(splitter.parts_of(batch.column("text"))[0].unique())
         parts = pa.chunked_array(seen, pa.string()).unique()
         del seen
         atoms = splitter.cut(parts)[0].unique()
@@ -305,19 +320,22 @@ def _assemble(ids: dict[str, int], of_byte: list[int], by_id: list[bytes]):
     def run(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, spelling = _splitter(names), pa.array(by_id, pa.large_binary())
         found = _Ids(names, values_of, of_byte)
-        for some in rows:  # segmentations come first
-            known = pc.is_valid(some.column("part"))
-            if pc.any(known).as_py():
-                found.add(some.column("part").filter(known), some.column("lengths").filter(known))
-            for block in _unpack(iter([some])):
-                for batch in slices([block], most=SLICE):
-                    texts = batch.column("text").take(pa.array(np.arange(batch.num_rows)))  # slices of their own
-                    values = found.of(splitter, texts)
-                    data, ends = _texts(texts.fill_null(""))
-                    view, ends = memoryview(data), ends.tolist()
-                    sums = [zlib.crc32(view[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
-                    back = [zlib.crc32(x) for x in decoded(values, spelling)]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), values, pa.array(sums, pa.int64()), pa.array(back, pa.int64())], ["doc_id", "ids", "text_crc32", "decoded_crc32"])
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            for some in rows:  # segmentations come first
+                known = pc.is_valid(some.column("part"))
+                if pc.any(known).as_py():
+                    found.add(some.column("part").filter(known), some.column("lengths").filter(known))
+                yield from _unpack(iter([some]))
+
+        for batch in _gathered(blocks(), SLICE):
+            texts = batch.column("text").take(pa.array(np.arange(batch.num_rows)))  # slices of their own
+            values = found.of(splitter, texts)
+            data, ends = _texts(texts.fill_null(""))
+            view, ends = memoryview(data), ends.tolist()
+            sums = [zlib.crc32(view[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+            back = [zlib.crc32(x) for x in decoded(values, spelling)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), values, pa.array(sums, pa.int64()), pa.array(back, pa.int64())], ["doc_id", "ids", "text_crc32", "decoded_crc32"])
         del found
         _trim()
 
