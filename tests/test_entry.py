@@ -20,6 +20,16 @@ def test_imports_without_the_subpackage(tmp_path):
     assert len(names) > 60 and "pipeline" not in names and not any(n.startswith("op1_") for n in names)
 
 
+def test_a_missing_library_leaves_the_other_queries(tmp_path):
+    """A library that only the subpackage needs can't be imported."""
+    for name in ("zstandard", "xxhash", "sentencepiece", "tokenizers"):
+        (tmp_path / f"{name}.py").write_text("raise ImportError('blocked')")
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(*q)"
+    env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{ROOT}"}
+    names = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env=env).stdout.split()
+    assert len(names) > 60 and "pipeline" not in names and not any(n.startswith("op1_") for n in names)
+
+
 def test_all_is_registered():
     if (ROOT / "tracequill/llm").exists():
         names = _names(ROOT)

@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracequill.functions import canonical, text
@@ -49,7 +50,9 @@ def test_text_functions(spark):
     assert _one(spark, text.non_negative, "-4") is None
     assert _one(spark, text.non_negative, "x") is None
     assert _one(spark, text.non_negative, "12") == 12
-    assert _one(spark, text.media_type, "a.VCF.gz") == "application/gzip"
+    assert _one(spark, text.media_type, "a.vcf.gz") == "application/gzip"
+    assert _one(spark, text.media_type, "a.bed") == "text/tab-separated-values" and _one(spark, text.media_type, "a.VCF.gz") == "application/octet-stream"
+    assert _one(spark, lambda c: text.media_type(c, text.MEDIA_TYPES_1A), "a.fasta") == "application/octet-stream"
     assert _one(spark, text.list_literal, "['a' 'b', \"c\"]") == ["a", "b", "c"]
     assert _one(spark, text.release_kind, "1.2.3", "1.2.4") == "PATCH"
     assert _one(spark, text.release_kind, "1.2.3", "1.3.1") == "MINOR_MUST_RESET"
@@ -60,3 +63,40 @@ def test_text_functions(spark):
     assert not _one(spark, lambda c: text.json_has_exactly(c, ["a"]), '{"b":"1","a":"2"}')
     contigs = spark.createDataFrame([(c,) for c in ("chrX", "chr10", "chr2", "chrM", "chrUn")], "c string")
     assert [r[0] for r in contigs.orderBy(text.karyotype_key(F.col("c"))).collect()] == ["chr2", "chr10", "chrX", "chrM", "chrUn"]
+
+
+def test_canonical_json_of_all_characters(spark):
+    import json
+
+    texts = [chr(i) for i in range(0xA0)] + ["\\u000B", "\\\u000B", "\\\\u001F x", '"\\', "\u2028", "\ud7ff\ue000", "\U0001f600", "a\x0bb\x1fc\x7fd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, s string")
+    both = df.select("i", canonical.canonical_json({"s": F.col("s"), "k": F.col("s")}).alias("a"), canonical.canonical_json({"s": F.col("s")}, ascii=False).alias("u")).collect()
+    for r in both:
+        assert r.a == json.dumps({"k": texts[r.i], "s": texts[r.i]}, sort_keys=True, separators=(",", ":"))
+        assert r.u == json.dumps({"s": texts[r.i]}, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_doubles_are_refused(spark):
+    df = spark.range(1).select("id", F.lit(1.5).alias("x"))
+    for payload in ({"x": F.col("x")}, {"x": F.array("x")}, {"x": F.struct("x")}):
+        with pytest.raises(Exception, match="doubles"):
+            df.select(canonical.canonical_json(payload)).collect()
+    with pytest.raises(Exception, match="doubles"):
+        df.select(canonical.row_json(df)).collect()
+    assert df.select(canonical.canonical_json({"x": F.col("id")})).first()[0] == '{"x":0}'
+
+
+def test_alias_keys(spark):
+    texts = ["\tIllumina ", "\x0b HiSeq__2500\n", "_x", "a -\u00a0b"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "s string").select(text.alias_key(F.col("s"))).collect()]
+    import re
+
+    assert got == [re.sub(r"[\s_-]+", " ", x.strip().casefold()) for x in texts]
+
+
+def test_json_objects(spark):
+    df = lambda x: spark.createDataFrame([(x,)], "s string").select(text.json_object(F.col("s")))
+    assert df(' {"a":1}').first()[0] == ' {"a":1}' and df(None).first()[0] is None
+    for bad in ("[1]", "1", "", "{", "null"):
+        with pytest.raises(Exception, match="not a JSON object"):
+            df(bad).collect()

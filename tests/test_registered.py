@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tracequill.plans import registered
+from tracequill.plans import registered, rules, stored  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -41,18 +41,21 @@ def test_greedy_selection(spark):
             assert selection._overlap(a, b) == 0
 
 
-def test_membership_of_all_windows(spark):
-    from tracequill.plans.roles import Roles
-
-    rows = Roles(spark, SF).intervals.select("id", "contig", "start", "end", "side").collect()
-    held = {}
-    for r in rows:
-        held.setdefault((r.contig, str(r.side)), []).append((r.start, r.end))
-    held = {k: np.array(v) for k, v in held.items()}
-
-    def of(r):
-        meets = lambda v: (np.minimum(v[:, 1], r.end) > np.maximum(v[:, 0], r.start)).any()
-        return ";".join(s for s in "01" if (r.contig, s) in held and meets(held[r.contig, s]))
+def test_greedy_evaluation(spark):
+    from tracequill.operators import selection
 
-    got = [tuple(r) for r in registered.queries()["context_membership_all"](spark, SF).collect()]
-    assert sorted(got) == sorted((r.id, of(r)) for r in rows)
+    rows = registered._candidates(registered.Roles(spark, SF)).select("candidate_id", "selection_hash", "contig", "start", "end").collect()
+    rules, chosen, seen = registered._RULES, [], {}
+    for rank, c in enumerate(sorted(rows, key=lambda r: (r.selection_hash, r.candidate_id)), 1):
+        same = [w for w in chosen if w.contig == c.contig]
+        why = "MAX_WINDOWS_PER_CHROMOSOME" if len(same) >= rules.per_contig else "WITHIN_CONTEXT_OVERLAP" if any(w.start < c.end and c.start < w.end for w in same) else ""
+        n, _ = seen.get(why, (0, 0))
+        seen[why] = (n + 1, rank)
+        if not why:
+            chosen.append(c)
+        if len(chosen) == rules.per_context:
+            break
+    got = {r.rejection_reason: (r.n, r.last_rank) for r in registered.queries()["greedy_evaluation"](spark, SF).collect()}
+    assert got == seen
+    with pytest.raises(ValueError, match="of 99 windows"):
+        selection.select_context(registered._candidates(registered.Roles(spark, SF)), [], selection.Rules(per_context=99, per_contig=1))

@@ -56,7 +56,12 @@ def test_portal_tables(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.strict_tsv(spark, _file(tmp_path, "c.tsv", "\n1\n"))
     assert readers.count_result(spark, _file(tmp_path, "n.tsv", "count\n12\n")) == 12
-    assert readers.field_descriptions(spark, _file(tmp_path, "f.tsv", "columnId\ttype\tdescription\nx\ttext\n")).first() == ("x", "text", "")
+    fields = readers.field_descriptions(spark, _file(tmp_path, "f.tsv", "columnId\tdescription\ttype\nx\ttext\ny\twhat it is\tnumber\n"))
+    assert {tuple(r) for r in fields.collect()} == {("x", "", "text"), ("y", "what it is", "number")}
+    with pytest.raises(ValueError, match="header"):
+        readers.field_descriptions(spark, _file(tmp_path, "g.tsv", "columnId\ttype\tdescription\nx\ttext\n"))
+    twice = readers.strict_tsv(spark, _file(tmp_path, "d.tsv", "a\tb\na\tb\n\n1\t2\n"))
+    assert sorted(tuple(r) for r in twice.collect()) == [("1", "2"), ("a", "b")]
     with pytest.raises(ValueError):
         readers.criteria("<b>\n2. two\n<e>", "<b>", "<e>")
     assert readers.criteria("<b>\n1. one\n two\n2. three\n<e>\n3. x", "<b>", "<e>") == ["one two", "three"]
@@ -105,6 +110,69 @@ def test_microbatches(spark, tmp_path):
 
     spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, v long").parquet(str(tmp_path / "in"))
-    run = microbatch.gated(stream, lambda b: gates.violation(b, "SMALL", "k", F.col("v") > 5), str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp"))
+    run = microbatch.gated(stream, lambda b: gates.violation(b, "SMALL", "k", F.col("v") > 1), "k", str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp"))
     run.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "good")).count() == 2
+    assert [r.k for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["a"]
+    assert [r.key for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["b"]
+
+
+def test_order_of_lines_over_splits(spark, tmp_path):
+    """One file in many splits, several of them in a partition."""
+    path = _file(tmp_path, "many.txt", "".join(f"k{i % 50} = {i}\n" for i in range(4000)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(path).rdd.getNumPartitions() > 10
+        numbered = {r.line: r.value for r in readers.numbered_lines(spark, path).collect()}
+        assert numbered == {i + 1: f"k{i % 50} = {i}" for i in range(4000)}
+        assert {r.key: r.value for r in readers.lock(spark, path, last_wins=True).collect()} == {f"k{i}": str(3950 + i) for i in range(50)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_trees_and_manifests(spark, tmp_path):
+    for name, text in {"x/c/p": "1", "y/c/p": "2", "top": "3", "a.b": "4", "a/z": "5"}.items():
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text(text)
+    folder = str(tmp_path / "t")
+    rows = {r.path: r.sha256 for r in sinks.checksum_manifest(spark, folder).collect()}
+    assert rows == {n: hashlib.sha256(x.encode()).hexdigest() for n, x in {"x/c/p": "1", "y/c/p": "2", "top": "3", "a.b": "4", "a/z": "5"}.items()}
+    digest = hashlib.sha256()
+    for item in sorted(p for p in (tmp_path / "t").rglob("*") if p.is_file()):
+        digest.update(str(item.relative_to(tmp_path / "t")).encode() + b"\0" + hashlib.sha256(item.read_bytes()).hexdigest().encode() + b"\n")
+    assert readers.tree_hash(spark, folder) == readers.tree_hash(spark, f"file://{folder}/") == digest.hexdigest()
+    stored = sinks.checksum_manifest(spark, folder).select("sha256", "path").filter("path <> 'top'")
+    assert [tuple(r) for r in sinks.manifest_violations(spark, folder, stored).collect()] == [("top", "UNLISTED")]
+
+
+def test_publish_refuses_what_stands_in_the_way(spark, tmp_path, monkeypatch):
+    """A target that can't be moved away stays, and nothing is moved into it."""
+    target = tmp_path / "held" / "out"
+    spark.range(3).write.parquet(str(target))
+    target.parent.chmod(0o500)
+    try:
+        if not __import__("os").access(target.parent, __import__("os").W_OK):
+            with pytest.raises(Exception):
+                sinks.publish(spark, str(target), lambda p: spark.range(9).write.parquet(p), lambda p: None)
+    finally:
+        target.parent.chmod(0o700)
+    assert spark.read.parquet(str(target)).count() == 3
+
+
+def test_shared_folder_is_demanded_on_a_cluster(spark, monkeypatch):
+    from tracequill.sources import storage
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.scratch(Session())

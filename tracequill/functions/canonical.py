@@ -1,7 +1,8 @@
 """Canonical JSON and the identities that are hashes of it, as column expressions.
 
 Payloads are given as name -> column; keys are put in code-point order, as canonical JSON wants
-them. Integers stay integers, nulls are kept, and doubles are refused: their text is not stable.
+them. Integers stay integers, nulls are kept, and doubles are refused by the query: their text is not stable.
+Characters are escaped as Python's json does it, with lower-case digits.
 """
 
 from __future__ import annotations
@@ -22,19 +23,32 @@ def _escaped(ch: Column) -> Column:
     code = F.ascii(ch)
     high = F.lit(0xD800) + F.shiftright(code - _SURROGATES, 10)
     low = F.lit(0xDC00) + F.pmod(code - _SURROGATES, F.lit(0x400))
-    return F.when(code < 0x80, ch).when(code < _SURROGATES, _hex4(code)).otherwise(F.concat(_hex4(high), _hex4(low)))
+    return F.when(code < 0x7F, ch).when(code < _SURROGATES, _hex4(code)).otherwise(F.concat(_hex4(high), _hex4(low)))
 
 
 def ascii_only(json: Column) -> Column:
-    r"""JSON text with every character beyond ASCII as \uXXXX; ASCII text is passed on as it is."""
+    r"""JSON text with every character beyond ASCII, and DEL, as \uXXXX; other text is passed on as it is."""
     chars = F.transform(F.sequence(F.lit(1), F.length(json)), lambda i: F.substring(json, i, F.lit(1)))
-    return F.when(json.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(chars, _escaped), "")).otherwise(json)
+    return F.when(json.rlike(r"[^\x00-\x7e]"), F.array_join(F.transform(chars, _escaped), "")).otherwise(json)
+
+
+def _lower_escapes(json: Column) -> Column:
+    r"""\u000B as \u000b, and so on; a backslash that is itself escaped begins no escape."""
+    out = json
+    for digit in "ABCDEF":
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    return F.when(json.rlike(r"\\u00[01][A-F]"), out).otherwise(json)
+
+
+def _stable(c: Column) -> Column:
+    """c, unless its type holds doubles, which fails the query; the check is folded when it is planned."""
+    return F.when(F.typeof(c).rlike(r"\b(double|float)\b"), F.raise_error(F.lit("doubles have no canonical text"))).otherwise(c)
 
 
 def canonical_json(payload: Mapping[str, Column], ascii: bool = True) -> Column:
     """Compact JSON of payload with sorted keys and kept nulls; ascii escapes other characters."""
-    fields = [payload[k].alias(k) for k in sorted(payload)]
-    text = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    fields = [_stable(payload[k]).alias(k) for k in sorted(payload)]
+    text = _lower_escapes(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
     return ascii_only(text) if ascii else text
 
 

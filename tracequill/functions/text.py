@@ -16,22 +16,42 @@ ACCESSIONS = {
 DECISIONS = ("TP", "FP", "FN", "N", "UNK", "IGN")
 MEDIA_TYPES = (
     (".vcf.gz", "application/gzip"),
-    (".bed.gz", "application/gzip"),
-    (".gz", "application/gzip"),
+    (".tbi", "application/octet-stream"),
+    (".bed", "text/tab-separated-values"),
+    (".fasta.gz", "application/gzip"),
+    (".fasta", "text/plain"),
+    (".fai", "text/plain"),
+    (".gzi", "application/octet-stream"),
+    (".parquet", "application/vnd.apache.parquet"),
+    (".tsv", "text/tab-separated-values"),
     (".json", "application/json"),
+    (".yaml", "text/yaml"),
+    (".md", "text/markdown"),
+    (".zip", "application/zip"),
+    (".log", "text/plain"),
+)
+MEDIA_TYPES_1A = (
+    (".vcf.gz", "application/gzip"),
+    (".tbi", "application/octet-stream"),
+    (".bed", "text/tab-separated-values"),
+    (".fasta.gz", "application/gzip"),
+    (".fai", "text/plain"),
+    (".gzi", "application/octet-stream"),
     (".tsv", "text/tab-separated-values"),
-    (".csv", "text/csv"),
-    (".bed", "text/plain"),
-    (".vcf", "text/plain"),
     (".txt", "text/plain"),
-    (".parquet", "application/vnd.apache.parquet"),
-    (".bam", "application/octet-stream"),
+    (".md", "text/markdown"),
+    (".zip", "application/zip"),
 )
 
 
+def stripped(x: Column) -> Column:
+    """x without white space of any kind at its ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def alias_key(x: Column) -> Column:
-    """Lookup key of a vocabulary term: trimmed, lower case, runs of space, _ and - as one space."""
-    return F.regexp_replace(F.lower(F.trim(x)), r"[\s_-]+", " ")
+    """Lookup key of a vocabulary term: stripped, lower case, runs of white space, _ and - as one space."""
+    return F.regexp_replace(F.lower(stripped(x)), r"(?U)[\s_-]+", " ")
 
 
 def accession(x: Column, kind: str) -> Column:
@@ -71,10 +91,11 @@ def genotype_text(alleles: Column, phased: Column) -> Column:
     return F.when(alleles.isNull(), F.lit("UNKNOWN")).when(phased, F.array_join(texts, "|", ".")).otherwise(F.array_join(texts, "/", "."))
 
 
-def media_type(name: Column) -> Column:
+def media_type(name: Column, types: tuple[tuple[str, str], ...] = MEDIA_TYPES) -> Column:
+    """The type of the first suffix that a name has; MEDIA_TYPES_1A is the first phase's table."""
     out = F.lit("application/octet-stream")
-    for suffix, kind in reversed(MEDIA_TYPES):
-        out = F.when(F.lower(name).endswith(suffix), F.lit(kind)).otherwise(out)
+    for suffix, kind in reversed(types):
+        out = F.when(name.endswith(suffix), F.lit(kind)).otherwise(out)
     return out
 
 
@@ -174,6 +195,12 @@ def json_value(text: Column, key: str) -> Column:
     return F.get_json_object(text, f"$.{key}")
 
 
+def json_object(text: Column) -> Column:
+    """text if it is a JSON object; anything else fails the query. Null stays null."""
+    good = text.isNull() | (F.substring(stripped(text), 1, 1) == "{") & F.json_object_keys(text).isNotNull()
+    return F.when(F.coalesce(good, F.lit(False)), text).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.coalesce(text, F.lit("")))).cast("string"))
+
+
 def json_has_exactly(text: Column, keys: list[str]) -> Column:
     """Whether a JSON object has just these keys, each with a non-empty value."""
     wanted = F.array(*[F.lit(k) for k in keys])

@@ -113,13 +113,53 @@ def normalize_runs(rows: DataFrame, vocabulary_rows: DataFrame, response_sha256:
     sample = F.when(~several, F.coalesce(F.when(F.size(bio) == 1, bio[0]), F.when(F.size(other) == 1, other[0])))
     study = F.coalesce(single(studies, "bioproject"), single(studies, "study"))
     named = lambda kind, x: F.coalesce(F.concat(F.lit(f"{kind}:"), F.lower(x)), F.concat(F.lit(f"{kind}:unknown:"), token))
+    record = F.concat(F.lit("source-record:ena:"), token, F.lit(":" + response_sha256[:16]))
+    of_kind = lambda values, kind: F.filter(values, lambda v: v.rlike(text.ACCESSIONS[kind]))
+    only = lambda values: F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+    projects, insdc_studies = of_kind(studies, "bioproject"), of_kind(studies, "study")
+    accessions = F.struct(
+        text.optional(F.col("experiment_accession")).alias("experiment_accession"), only(insdc_studies).alias("study_accession"), only(projects).alias("bioproject_accession"), only(other).alias("sample_accession"),
+        only(bio).alias("biosample_accession"), other.alias("sample_accessions"), bio.alias("biosample_accessions"), insdc_studies.alias("study_accessions"), projects.alias("bioproject_accessions"),
+    )
+    relationship = lambda v: F.struct(
+        F.col("run_accession").alias("run_accession"), v.alias("sample_accession"), F.when(v.rlike(text.ACCESSIONS["biosample"]), F.lit("BIOSAMPLE")).otherwise(F.lit("INSDC_SAMPLE")).alias("accession_type"),
+        F.lit("SOURCE_REPORTED_SAMPLE").alias("relationship"), F.lit("ena").alias("source"),
+    )
+    status = F.when(several, F.lit("MULTIPLE_SOURCE_SAMPLES")).when(sample.isNotNull(), F.lit("ONE_SOURCE_SAMPLE")).otherwise(F.lit("UNKNOWN"))
+    cardinality = F.struct(F.size(bio).alias("biosample_accession_count"), F.size(other).alias("insdc_sample_accession_count"), status.alias("normalization_status"))
+    tax = text.optional(F.col("tax_id"))
+    tax_id = F.when(text.non_negative(tax) > 0, text.non_negative(tax).cast("string"))
+    taxonomy = F.struct(tax.alias("raw_source_taxon_value"), resolved(tax, tax_id, "SOURCE_CONTROLLED").alias("normalized_ncbi_taxonomy_id"), text.optional(F.col("scientific_name")).alias("scientific_name"), record.alias("source_record_id"))
     out = df.select(
         "*", F.concat(F.lit("run:"), token).alias("run_id"), F.concat(F.lit("catalog-record:insdc:"), token).alias("catalog_record_id"),
-        F.concat(F.lit("source-record:ena:"), token, F.lit(":" + response_sha256[:16])).alias("source_record_id"),
-        named("sample", sample).alias("sample_id"), named("study", study).alias("study_id"), several.alias("multiple_samples"),
+        record.alias("source_record_id"), F.concat(F.lit("insdc-run:"), token).alias("duplicate_cluster_id"),
+        named("sample", sample).alias("sample_id"), named("study", study).alias("study_id"), several.alias("multiple_samples"), accessions.alias("accessions"),
+        F.transform(samples, relationship).alias("source_sample_relationships"), cardinality.alias("source_sample_cardinality"), taxonomy.alias("taxonomy"), sample.isNull().alias("__no_sample"),
         *[from_source(F.col(f"library_{c}")).alias(f"library_{c}_value") for c in ("strategy", "source", "selection", "layout")],
     )
-    return out.withColumn("read_type", text.read_type(F.col("library_layout_value.value"), F.col("technology_family.value")))
+    unknown = lambda column, name: F.when(F.col(f"{column}.value") == "UNKNOWN", F.lit(name))
+    gates = F.array_sort(F.array_compact(F.array(
+        F.lit("assembly_id"), F.when(F.col("__no_sample"), F.lit("sample_id")), unknown("technology_family", "technology_family_id"), unknown("vendor", "vendor_id"),
+        unknown("instrument_family_value", "instrument_family_id"), unknown("library_strategy_value", "library_strategy"), unknown("library_source_value", "library_source"),
+    )))
+    out = out.withColumn("unresolved_hard_gate_fields", gates).withColumn("normalization_state", F.when(F.size("unresolved_hard_gate_fields") > 0, F.lit("PARTIAL")).otherwise(F.lit("NORMALIZED")))
+    return out.drop("__no_sample").withColumn("read_type", text.read_type(F.col("library_layout_value.value"), F.col("technology_family.value")))
+
+
+# The two groups of files of a source row; a file that both name counts for the first.
+FILES = {"fastq": ("FASTQ", "fastq_ftp", "fastq_md5", "fastq_bytes"), "submitted": ("SUBMITTED", "submitted_ftp", "submitted_md5", "submitted_bytes")}
+
+
+def bundles(rows: DataFrame, vocabulary_rows: DataFrame, response_sha256: str, files: Mapping[str, tuple[str, str, str, str]] = FILES) -> DataFrame:
+    """normalize_runs() with each run's derived artifacts, in order of their group and place."""
+    runs = normalize_runs(rows, vocabulary_rows, response_sha256)
+    found = artifacts(runs.select("run_id", *[c for spec in files.values() for c in spec[1:]]), "run_id", files)
+    order = {label: i for i, label in enumerate(files)}
+    rank = F.coalesce(*[F.when(F.col("label") == label, F.lit(i)) for label, i in order.items()])
+    lists = found.groupBy(F.col("run_id").alias("a_run")).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "index", F.struct("artifact_id", "kind", "uri", "md5", "size_bytes").alias("file")))), lambda x: x["file"]).alias("derived_artifacts"))
+    out = runs.join(lists, F.col("run_id") == F.col("a_run"), "left").drop("a_run")
+    none = F.array().cast("array<struct<artifact_id:string,kind:string,uri:string,md5:string,size_bytes:bigint>>")
+    return out.withColumn("derived_artifacts", F.coalesce("derived_artifacts", none))
 
 
 def rejected_runs(rows: DataFrame) -> DataFrame:

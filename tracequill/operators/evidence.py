@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequill.sources.storage import cut
+
 
 def event_evidence(events: DataFrame, observations: DataFrame, runs: DataFrame, experiments: DataFrame, provenance: DataFrame, artifacts: DataFrame, event_id: str | None = None) -> DataFrame:
-    """One row for each observation and source artifact of an event, or of all events.
+    """One row for each observation and source artifact of an event, or of all events; one event's rows are ordered.
 
     The filter stands on the event table, so it reaches the scan; small sides are broadcast by Spark
     where their statistics allow it.
@@ -17,15 +19,16 @@ def event_evidence(events: DataFrame, observations: DataFrame, runs: DataFrame,
         (F.col("target_entity_type") == "OBSERVATION") & (F.col("source_entity_type") == "SOURCE_ARTIFACT") & (F.col("relation") == "NORMALIZED_FROM")
     ).select("provenance_link_id", F.col("target_entity_id").alias("observation_id"), F.col("source_entity_id").alias("source_artifact_id"))
     rows = chosen.join(observations, ["event_id", "benchmark_run_id"]).join(runs, "benchmark_run_id").join(experiments, "experiment_id")
-    return rows.join(lineage, "observation_id").join(artifacts, "source_artifact_id").orderBy("side", "source_record_ordinal", "observation_id")
+    rows = rows.join(lineage, "observation_id").join(artifacts, "source_artifact_id")
+    return rows if event_id is None else rows.orderBy("side", "source_record_ordinal", "observation_id")
 
 
 def variant_evidence(variants: DataFrame, links: DataFrame, events: DataFrame, observations: DataFrame, runs: DataFrame, experiments: DataFrame, variant_id: str | None = None) -> DataFrame:
-    """One row for each observation of each event that is linked to a variant."""
+    """One row for each observation of each event that is linked to a variant, or to any; one variant's rows are ordered."""
     chosen = variants if variant_id is None else variants.filter(F.col("variant_id") == variant_id)
     rows = chosen.join(links.select("variant_id", "event_id"), "variant_id").join(events, "event_id")
     rows = rows.join(observations, ["event_id", "benchmark_run_id"]).join(runs, "benchmark_run_id").join(experiments, "experiment_id")
-    return rows.orderBy("technology", "benchmark_run_id", "event_id", "side", "source_record_ordinal", "observation_id")
+    return rows if variant_id is None else rows.orderBy("technology", "benchmark_run_id", "event_id", "side", "source_record_ordinal", "observation_id")
 
 
 def slim_events(events: DataFrame, observations: DataFrame, runs: DataFrame, experiments: DataFrame) -> DataFrame:
@@ -46,16 +49,98 @@ def candidate_pairs(events: DataFrame, key: str, run: str, identity: str, same:
     return side("a_").join(side("b_"), on).select(F.col(f"a_{key}").alias(key), f"a_{run}", f"b_{run}", f"a_{identity}", f"b_{identity}", F.lit(False).alias("equivalence_asserted"))
 
 
+def candidate_events(pairs: DataFrame, events: DataFrame, key: str, run: str, identity: str) -> DataFrame:
+    """Pairs with both events' columns (a_, b_) and what disagrees: an event that isn't there, its run, or its key."""
+    names = [c for c in events.columns if c != identity]
+    side = lambda p: events.select(F.col(identity).alias(f"__{p}"), *[F.col(c).alias(f"{p}_{c}_of_event") for c in names])
+    rows = pairs
+    for p in ("a", "b"):
+        rows = rows.join(side(p), F.col(f"{p}_{identity}") == F.col(f"__{p}"), "left")
+    checks = [F.when(F.col(f"__{p}").isNull(), F.lit(f"{p.upper()}_EVENT_MISSING")).when(F.col(f"{p}_{run}_of_event") != F.col(f"{p}_{run}"), F.lit(f"{p.upper()}_RUN_DIFFERS")) for p in ("a", "b")]
+    if key in names:
+        checks += [F.when(~F.col(f"{p}_{key}_of_event").eqNullSafe(F.col(key)), F.lit(f"{p.upper()}_KEY_DIFFERS")) for p in ("a", "b")]
+    return rows.withColumn("inconsistencies", F.array_compact(F.array(*checks))).drop("__a", "__b")
+
+
+def classified(candidates: DataFrame, classification: DataFrame, number: str = "candidate_number") -> DataFrame:
+    """Candidates with their classification by number, and the shared columns in which the two differ, or that one is missing."""
+    shared = [c for c in candidates.columns if c in classification.columns and c != number]
+    other = classification.select(*[F.col(c).alias(f"c_{c}") if c in shared or c == number else F.col(c) for c in classification.columns])
+    rows = candidates.join(other, F.col(number) == F.col(f"c_{number}"), "full_outer")
+    differ = [F.when(~F.col(c).eqNullSafe(F.col(f"c_{c}")), F.lit(c)) for c in shared]
+    what = F.when(F.col(f"c_{number}").isNull(), F.array(F.lit("NOT_CLASSIFIED"))).when(F.col(number).isNull(), F.array(F.lit("NO_CANDIDATE"))).otherwise(F.array_compact(F.array(*differ)) if differ else F.array().cast("array<string>"))
+    return rows.withColumn("mismatches", what).withColumn(number, F.coalesce(number, f"c_{number}")).drop(*[f"c_{c}" for c in [*shared, number]])
+
+
+def admitted_links(links: DataFrame, runs: DataFrame, experiments: DataFrame, admitted: DataFrame) -> DataFrame:
+    """Links with the admitted source of their run's (sample, technology); a pair that is admitted twice fails the query."""
+    once = admitted.groupBy("sample", "technology").agg(F.count(F.lit(1)).alias("__n"), F.min("candidate_id").alias("candidate_id"))
+    refuse = F.raise_error(F.concat(F.lit("admitted twice: "), "sample", F.lit(" "), "technology")).cast(dict(admitted.dtypes)["candidate_id"])
+    once = once.select("sample", "technology", F.when(F.col("__n") == 1, F.col("candidate_id")).otherwise(refuse).alias("candidate_id"))
+    return links.join(runs, "benchmark_run_id").join(experiments, "experiment_id").join(once, ["sample", "technology"])
+
+
+# The columns of the two evidence queries as table.column, with the names that they get; in the order they come.
+EVENT_EVIDENCE = (
+    "events.event_id events.identity_scope events.assembly events.contig events.start_0based events.end_0based events.source_event_id observations.observation_id observations.side "
+    "observations.raw_decision observations.normalized_decision observations.raw_match_kind observations.region_status observations.source_contig observations.source_pos_1based observations.source_ref "
+    "observations.source_alt observations.source_genotype observations.source_filter runs.benchmark_run_id runs.observation_origin runs.comparator runs.comparator_version runs.engine runs.engine_version "
+    "runs.environment_lock_id runs.runtime_image_digest runs.query_artifact_id runs.truth_artifact_id runs.benchmark_bed_artifact_id runs.reference_artifact_id experiments.experiment_id "
+    "experiments.source_submission_id experiments.sample_id experiments.technology experiments.platform experiments.coverage experiments.pipeline_name experiments.caller_names experiments.caller_versions "
+    "provenance.provenance_link_id:raw_record_provenance_link_id artifacts.source_artifact_id:annotated_output_artifact_id artifacts.uri:annotated_output_uri artifacts.checksums:annotated_output_checksums"
+).split()
+VARIANT_EVIDENCE = (
+    "variants.variant_id variants.assembly variants.contig variants.normalized_start_0based variants.normalized_end_0based variants.normalized_ref variants.normalized_alt links.event_variant_link_id "
+    "links.identity_status links.identity_method links.identity_method_version links.provenance:phase1b_identity_provenance events.event_id events.identity_scope:event_identity_scope runs.benchmark_run_id "
+    "runs.observation_origin runs.comparator runs.comparator_version runs.engine runs.engine_version runs.truth_artifact_id runs.benchmark_bed_artifact_id runs.reference_artifact_id experiments.experiment_id "
+    "experiments.source_corpus experiments.source_submission_id experiments.sample_id experiments.technology experiments.platform experiments.coverage experiments.pipeline_name experiments.pipeline_version "
+    "experiments.caller_names experiments.caller_versions observations.observation_id observations.side observations.raw_decision observations.normalized_decision observations.raw_match_kind "
+    "observations.raw_variant_type observations.raw_location_type observations.source_contig observations.source_pos_1based observations.source_ref observations.source_alt observations.source_genotype "
+    "observations.source_filter observations.source_output_artifact_id observations.source_record_ordinal observations.normalization_method:observation_normalization_method "
+    "observations.normalization_version:observation_normalization_version"
+).split()
+
+
+def _projected(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """table.column or table.column:name of tables that were joined under their names."""
+    pairs = [c.partition(":")[::2] for c in columns]
+    return rows.select(*[F.col(of).alias(name or of.split(".")[1]) for of, name in pairs])
+
+
+def event_evidence_columns(events: DataFrame, observations: DataFrame, runs: DataFrame, experiments: DataFrame, provenance: DataFrame, artifacts: DataFrame, event_id: str | None = None) -> DataFrame:
+    """The 44 columns of the event evidence query, of one event or of all; its order is left to the caller."""
+    c = F.col
+    chosen = events if event_id is None else events.filter(c("event_id") == event_id)
+    edges = provenance.filter((c("target_entity_type") == "OBSERVATION") & (c("source_entity_type") == "SOURCE_ARTIFACT") & (c("relation") == "NORMALIZED_FROM"))
+    rows = chosen.alias("events").join(observations.alias("observations"), (c("observations.event_id") == c("events.event_id")) & (c("observations.benchmark_run_id") == c("events.benchmark_run_id")))
+    rows = rows.join(runs.alias("runs"), c("runs.benchmark_run_id") == c("events.benchmark_run_id")).join(experiments.alias("experiments"), c("experiments.experiment_id") == c("runs.experiment_id"))
+    rows = rows.join(edges.alias("provenance"), c("provenance.target_entity_id") == c("observations.observation_id"))
+    return _projected(rows.join(artifacts.alias("artifacts"), c("artifacts.source_artifact_id") == c("provenance.source_entity_id")), EVENT_EVIDENCE)
+
+
+def variant_evidence_columns(variants: DataFrame, links: DataFrame, events: DataFrame, observations: DataFrame, runs: DataFrame, experiments: DataFrame, variant_id: str | None = None) -> DataFrame:
+    """The 51 columns of the variant evidence query, of one variant or of all; its order is left to the caller."""
+    c = F.col
+    chosen = variants if variant_id is None else variants.filter(c("variant_id") == variant_id)
+    rows = chosen.alias("variants").join(links.alias("links"), c("links.variant_id") == c("variants.variant_id")).join(events.alias("events"), c("events.event_id") == c("links.event_id"))
+    rows = rows.join(observations.alias("observations"), (c("observations.event_id") == c("events.event_id")) & (c("observations.benchmark_run_id") == c("events.benchmark_run_id")))
+    rows = rows.join(runs.alias("runs"), c("runs.benchmark_run_id") == c("events.benchmark_run_id")).join(experiments.alias("experiments"), c("experiments.experiment_id") == c("runs.experiment_id"))
+    return _projected(rows, VARIANT_EVIDENCE)
+
+
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Rows numbered from 1 in a total order without bringing them into one task.
 
-    Rows are dealt by range, counted by partition, and numbered within theirs.
+    Rows are dealt by range and written once with their partition and place, partitions are counted, and rows
+    take their number from both.
     """
     from pyspark.sql import Window
 
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    dealt = cut(dealt)
     counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     counts = counts.select(F.col("__part").alias("__p"), "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     joined = dealt.join(F.broadcast(counts), F.col("__part") == F.col("__p"))
     return joined.withColumn(name, F.col("__before") + F.col("__at") - F.col("__first") + 1).drop("__part", "__at", "__p", "__first", "__before")

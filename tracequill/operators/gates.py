@@ -78,6 +78,15 @@ def forbidden_json_keys(json: Column, names: tuple[str, ...] = FORBIDDEN) -> Col
     return F.array_distinct(F.regexp_extract_all(json, F.lit(rf'"({"|".join(names)})"\s*:'), F.lit(1)))
 
 
+def forbidden_values(df: DataFrame, key: str, pattern: str) -> DataFrame:
+    """key, column, value of text values, in columns and in lists of text, that match a pattern (a genomic context, say)."""
+    cells = [F.array(F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))) for c, kind in df.dtypes if kind == "string"]
+    of = lambda c: lambda v: F.struct(F.lit(c).alias("column"), v.alias("value"))
+    cells += [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), of(c)) for c, kind in df.dtypes if kind == "array<string>"]
+    rows = df.select(F.col(key).cast("string").alias("key"), F.explode(F.concat(*cells)).alias("x")).select("key", "x.*")
+    return rows.filter(F.col("value").rlike(pattern))
+
+
 def reproducible(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows that one of two builds has more often than the other."""
     return first.exceptAll(second).withColumn("only_in", F.lit("FIRST")).unionAll(second.exceptAll(first).withColumn("only_in", F.lit("SECOND")))

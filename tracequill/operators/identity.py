@@ -136,6 +136,46 @@ def materialize(events: DataFrame, observations: DataFrame, known: DataFrame, me
     return Materialized(links, accounting, provenance, variants)
 
 
+def allele_text(assembly: Column, contig: Column, start: Column, end: Column, ref: Column, alt: Column) -> Column:
+    """The canonical text of an allele: its parts joined by bars."""
+    return F.concat_ws("|", F.trim(assembly), F.trim(contig), start.cast("string"), end.cast("string"), F.trim(ref), F.trim(alt))
+
+
+@dataclass
+class Endpoints:
+    links: DataFrame
+    variants: DataFrame
+    accounting: DataFrame
+    conflicts: DataFrame
+
+
+def materialize_candidates(candidates: DataFrame, method: Method = Method()) -> Endpoints:
+    """Links and variants of classified candidate pairs (candidate_number, status, a_ and b_ of event_id, benchmark_run_id and the allele).
+
+    Each exact pair gives its two endpoints one variant; a pair with another status gives none and is accounted for with its
+    status. conflicts (key, conflict) tells events with two variants or two runs, exact pairs whose ends differ, and
+    candidates that come twice; rows in conflict give no link.
+    """
+    side = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("event_id", "benchmark_run_id", *ALLELE)])
+    named = lambda e: canonical.variant_id(method.variant_schema, e["assembly"], e["contig"], e["start"], e["end"], e["ref"], e["alt"])
+    rows = candidates.withColumn("really", classify())
+    exact = rows.filter(F.col("status") == EXACT)
+    ends = exact.filter(F.col("really") == EXACT).select("candidate_number", F.explode(F.array(side("a_"), side("b_"))).alias("e"))
+    ends = ends.withColumn("variant_id", named(F.col("e"))).select("candidate_number", "variant_id", "e.*")
+    per_event = ends.groupBy("event_id").agg(F.count_distinct("variant_id").alias("n_variants"), F.count_distinct("benchmark_run_id").alias("n_runs"))
+    key = lambda df, k, what: df.select(F.col(k).cast("string").alias("key"), F.lit(what).alias("conflict"))
+    conflicts = key(per_event.filter("n_variants > 1"), "event_id", "EVENT_HAS_TWO_VARIANTS").unionAll(key(per_event.filter("n_runs > 1"), "event_id", "EVENT_HAS_TWO_RUNS"))
+    conflicts = conflicts.unionAll(key(exact.filter(~F.col("really").eqNullSafe(F.lit(EXACT))), "candidate_number", "EXACT_ENDS_DIFFER"))
+    conflicts = conflicts.unionAll(key(rows.groupBy("candidate_number").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "candidate_number", "CANDIDATE_TWICE"))
+    good = ends.join(per_event.filter("n_variants = 1 and n_runs = 1").select(F.col("event_id").alias("g_event")), F.col("event_id") == F.col("g_event"), "left_semi")
+    links = good.groupBy("event_id", "variant_id", "benchmark_run_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("candidate_number").cast("string"))), ";").alias("candidate_numbers"))
+    link = canonical.link_id(F.col("event_id"), F.col("variant_id"), F.col("benchmark_run_id"), method.link_schema, EXACT, method.name, method.version)
+    links = links.select(link.alias("event_variant_link_id"), "*", F.lit(EXACT).alias("identity_status"))
+    variants = good.groupBy("variant_id").agg(*[F.min(c).alias(c) for c in ALLELE], *support())
+    accounting = rows.groupBy("candidate_number").agg(F.min("status").alias("status"), F.count(F.lit(1)).alias("n"))
+    return Endpoints(links, variants, accounting, conflicts)
+
+
 def support() -> list[Column]:
     """Sorted sets of what stands behind a variant, joined by ;."""
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ";")

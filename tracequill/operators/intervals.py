@@ -148,3 +148,16 @@ def crossing_pairs(df: DataFrame, key: str, least: int, group: str | None = None
     if group:
         kept = kept.filter(F.col(f"a_{group}") != F.col(f"b_{group}"))
     return kept.select(f"a_{key}", f"b_{key}", length.alias("overlap"))
+
+
+def boundary_diagnostics(records: DataFrame, core: DataFrame, key: str, event: str) -> DataFrame:
+    """Records with their classification: CORE_EXPORTED if their event's bounds as a whole lie in the merged core.
+
+    A record of another event is BOUNDARY_EVENT_DIAGNOSTIC if it lies in the core itself, else PADDING_OR_OUTSIDE_CORE_DIAGNOSTIC.
+    """
+    bounds = records.groupBy(event).agg(F.min("contig").alias("contig"), F.max("contig").alias("__other"), F.min("start").alias("start"), F.max("end").alias("end"))
+    of_event = region_status(bounds.filter(F.col("contig") == F.col("__other")), core, event).withColumnRenamed(event, "__event").withColumnRenamed("status", "__of_event")
+    own = region_status(records, core, key).withColumnRenamed(key, "__key").withColumnRenamed("status", "__own")
+    rows = records.join(of_event, F.col(event) == F.col("__event"), "left").join(own, F.col(key) == F.col("__key"))
+    what = F.when(F.col("__of_event") == "INSIDE", F.lit("CORE_EXPORTED")).when(F.col("__own") == "INSIDE", F.lit("BOUNDARY_EVENT_DIAGNOSTIC")).otherwise(F.lit("PADDING_OR_OUTSIDE_CORE_DIAGNOSTIC"))
+    return rows.withColumn("classification", what).drop("__event", "__of_event", "__key", "__own")

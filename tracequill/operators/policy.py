@@ -119,13 +119,51 @@ def hard_gate(policy: Mapping[str, Any], value: Column, method: Column) -> Colum
 
 
 def derived_gate(policy: Mapping[str, Any], values: DataFrame, key: str = "record_id") -> DataFrame:
-    """key, decision of the criterion that all hard-gate fields (field, value, method) are backed."""
+    """key, decision of the criterion that all hard-gate fields (field, value, method) are backed; another field fails the query."""
     fields = list(policy["hard_gate_fields"])
     passed = F.when(hard_gate(policy, F.col("value"), F.col("method")) == "PASS", F.col("field"))
-    rows = values.filter(F.col("field").isin(fields)).groupBy(key).agg(F.count_distinct(passed).alias("n"))
+    refuse = F.raise_error(F.concat(F.lit("not a hard-gate field: "), F.coalesce("field", F.lit("null")))).cast("string")
+    rows = values.withColumn("field", F.when(F.col("field").isin(fields), F.col("field")).otherwise(refuse))
+    rows = rows.groupBy(key).agg(F.count_distinct(passed).alias("n"))
     return rows.select(key, F.when(F.col("n") == len(fields), F.lit("PASS")).otherwise(F.lit("UNKNOWN")).alias("decision"))
 
 
+def evaluate(policy: Mapping[str, Any], decisions: DataFrame, values: DataFrame, key: str = "record_id", derived: str = "E13") -> DataFrame:
+    """Eligibility whose derived criterion comes from the hard-gate values alone: decisions that assert it fail the query.
+
+    A record without any value has it UNKNOWN.
+    """
+    refuse = F.raise_error(F.concat(F.lit(f"{derived} is derived and can't be supplied: "), F.col(key).cast("string"))).cast("string")
+    own = decisions.select(key, F.when(F.col("criterion_id") == derived, refuse).otherwise(F.col("criterion_id")).alias("criterion_id"), "decision")
+    found = derived_gate(policy, values, key).withColumnRenamed(key, "g_key").withColumnRenamed("decision", "g_decision")
+    gate = decisions.select(key).distinct().join(found, F.col(key) == F.col("g_key"), "left")
+    gate = gate.select(key, F.lit(derived).alias("criterion_id"), F.coalesce("g_decision", F.lit("UNKNOWN")).alias("decision"))
+    return eligibility(policy, own.unionAll(gate), key)
+
+
+def assessment_violations(policy: Mapping[str, Any], assessments: DataFrame, key: str = "assessment_id", derived: str = "E13") -> DataFrame:
+    """key, violation of assessments (policy_version, criteria, hard_gate_fields, outcome); the outcome must be the aggregated one.
+
+    criteria: array of (criterion_id, decision); hard_gate_fields: array of (field, value, method, curation_ref).
+    """
+    hard = [c["id"] for c in policy["criteria"] if c["hard"]]
+    wanted = F.array(*[F.lit(f) for f in policy["hard_gate_fields"]])
+    ids, fields = F.transform("criteria", lambda c: c["criterion_id"]), F.transform("hard_gate_fields", lambda f: f["field"])
+    having = lambda d: F.exists("criteria", lambda c: c["criterion_id"].isin(hard) & (c["decision"] == d))
+    backed = F.forall("hard_gate_fields", lambda f: f["method"].isin(list(policy["hard_gate_accepted_methods"])))
+    passed = F.exists("criteria", lambda c: (c["criterion_id"] == derived) & (c["decision"] == "PASS"))
+    outcome = F.when(having("FAIL"), F.lit("INELIGIBLE")).when(having("UNKNOWN"), F.lit("NEEDS_REVIEW")).otherwise(F.lit("ELIGIBLE"))
+    checks = F.array(
+        F.when(~F.col("policy_version").eqNullSafe(F.lit(policy["policy_version"])), F.lit("POLICY_VERSION")),
+        F.when(F.size(ids) > F.size(F.array_distinct(ids)), F.lit("EVALUATED_TWICE")),
+        F.when((F.size(fields) != F.size(wanted)) | (F.size(F.array_except(wanted, fields)) > 0), F.lit("HARD_GATE_FIELDS")),
+        F.when(F.exists("hard_gate_fields", lambda f: (f["method"] == "CURATED") & f["curation_ref"].isNull()), F.lit("NO_CURATION_REF")),
+        F.when(passed & ~backed, F.lit("NOT_BACKED")),
+        F.when(~F.col("outcome").eqNullSafe(outcome), F.concat(F.lit("OUTCOME:"), outcome)),
+    )
+    return assessments.select(key, F.explode(F.array_compact(checks)).alias("violation"))
+
+
 def ml_gate(thresholds: Mapping[str, Any], confidence: Column) -> Column:
     """Where a proposal goes; everything to REVIEW while thresholds are inactive, null if out of range."""
     fits = (confidence >= 0) & (confidence <= 1)
@@ -161,6 +199,22 @@ def frozen_violations(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("path", what.alias("violation")).filter("violation is not null")
 
 
+def lock_violations(lock: DataFrame, files: DataFrame, status: str) -> DataFrame:
+    """path, violation of a lock (key, value) with <path>_sha256 rows: its STATUS, its COUNT, its PROTOCOL, and files that are MISSING or CHANGED."""
+    locked = lock.filter(F.col("key").endswith("_sha256") & F.col("key").contains("/")).select(F.expr("substring(key, 1, length(key) - 7)").alias("path"), F.col("value").alias("sha256"))
+    of = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
+    entries = F.map_from_entries(F.collect_list(F.when(F.col("key").endswith("_sha256") & F.col("key").contains("/"), F.struct("key", "value"))))
+    facts = lock.agg(of("status").alias("status"), of("locked_file_count").alias("n"), of("protocol").alias("protocol"), of("protocol_sha256").alias("sha"), entries.alias("entries"))
+    of_protocol = F.try_element_at(F.col("entries"), F.concat("protocol", F.lit("_sha256")))
+    checks = F.array(
+        F.when(~F.col("status").eqNullSafe(F.lit(status)), F.struct(F.lit("status").alias("path"), F.lit("STATUS").alias("violation"))),
+        F.when(~F.col("n").eqNullSafe(F.size("entries").cast("string")), F.struct(F.lit("locked_file_count").alias("path"), F.lit("COUNT").alias("violation"))),
+        F.when(F.col("protocol").isNull() | ~of_protocol.eqNullSafe(F.col("sha")), F.struct(F.lit("protocol").alias("path"), F.lit("PROTOCOL").alias("violation"))),
+    )
+    own = facts.select(F.explode(F.array_compact(checks)).alias("v")).select("v.*")
+    return own.unionAll(frozen_violations(locked, files))
+
+
 def admission(checks: dict[str, Column]) -> list[Column]:
     """eligible and reasons columns of a conjunction of named checks; a null check fails."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()]))

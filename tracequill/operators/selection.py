@@ -20,8 +20,8 @@ class Rules:
     per_contig: int = 2
     per_context: int = 10
     cross_overlap: int = 12_500
-    first_limit: int = 10_000
     last_limit: int = 320_000
+    least_contigs: int = 1
 
 
 def candidates(anchors: DataFrame, cover: DataFrame, payload: dict, prefix: str, salt: str, rules: Rules = Rules()) -> DataFrame:
@@ -74,13 +74,16 @@ def greedy(ordered: Iterable[dict], earlier: list[dict], rules: Rules = Rules())
 
 
 def select_context(rows: DataFrame, earlier: list[dict], rules: Rules = Rules()) -> tuple[list[dict], list[dict]]:
-    """Greedy choice over growing frontiers; the ordered rows stream to the driver and stop when it is full."""
-    limit = rules.first_limit
-    while True:
-        selected, evaluated = greedy((r.asDict() for r in frontier(rows, limit).toLocalIterator()), earlier, rules)
-        if len(selected) == rules.per_context or limit >= rules.last_limit or len(evaluated) < limit:
-            return selected, evaluated
-        limit *= 2
+    """Greedy choice over the frontier of last_limit rows, which are ordered once and stream to the driver until it is full.
+
+    A context that can't be filled from it, or whose windows lie on too few contigs, fails.
+    """
+    selected, evaluated = greedy((r.asDict() for r in frontier(rows, rules.last_limit).toLocalIterator()), earlier, rules)
+    if len(selected) < rules.per_context:
+        raise ValueError(f"{len(selected)} of {rules.per_context} windows after {len(evaluated)} candidates")
+    if (contigs := len({s["contig"] for s in selected})) < rules.least_contigs:
+        raise ValueError(f"windows on {contigs} contigs, {rules.least_contigs} are asked for")
+    return selected, evaluated
 
 
 def context_membership(windows: DataFrame, contexts: DataFrame, order: list[str], key: str = "candidate_id") -> DataFrame:

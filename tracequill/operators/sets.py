@@ -65,5 +65,20 @@ def top_by(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def checked_limits(per_key: int, keys: int, most: int = 100, total: int = 400) -> int:
+    """per_key, if it is from 1 to most and makes up total at most over all keys; else an error."""
+    if not 1 <= per_key <= most:
+        raise ValueError(f"a limit of {per_key} is not from 1 to {most}")
+    if per_key * keys > total:
+        raise ValueError(f"{keys} keys with {per_key} rows each are over {total}")
+    return per_key
+
+
+def pages(df: DataFrame, key: str, per_key: int, keys: int, *order: str | Column, most: int = 100, total: int = 400) -> DataFrame:
+    """The first rows of each key in an order, so many as checked_limits() lets pass."""
+    n = checked_limits(per_key, keys, most, total)
+    return ranked(df, "__rank", [key], *order).filter(F.col("__rank") <= n).drop("__rank")
+
+
 def ranked(df: DataFrame, name: str, by: list[str], *order: str | Column) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -21,7 +21,7 @@ def query(sql: str | None = None, plain: bool = False):
     def register(f: Callable[[Roles], DataFrame]):
         _QUERIES[f.__name__] = lambda spark, sf_dir: f(Roles(spark, sf_dir))
         if sql:
-            _SQL[f.__name__] = sql if plain else SQL + sql
+            _SQL[f.__name__] = sql if plain else (SQL.replace("WITH ", "WITH RECURSIVE ", 1) if sql.startswith(",") else SQL) + sql
         return f
 
     return register
@@ -78,9 +78,9 @@ FROM items a JOIN items b ON a.variant_id = b.variant_id AND a.source_artifact_i
 JOIN registry_events x ON x.event_id = p.a_event_id JOIN registry_events y ON y.event_id = p.b_event_id""")
 def candidate_events(r: Roles) -> DataFrame:
     pairs = evidence.candidate_pairs(r.items, "variant_id", "source_artifact_id", "event_id", same=("quantity",))
-    of = lambda p: r.registry_events.select(F.col("event_id").alias(f"{p}_e"), F.col("event_status").alias(f"{p}_status"), F.col("benchmark_run_id").alias(f"{p}_run"))
-    rows = pairs.join(of("a"), F.col("a_event_id") == F.col("a_e")).join(of("b"), F.col("b_event_id") == F.col("b_e"))
-    return rows.select("variant_id", "a_source_artifact_id", "b_source_artifact_id", "a_status", "b_status", (F.col("a_run") == F.col("b_run")).alias("same_run"))
+    events = r.registry_events.select("event_id", "event_status", F.col("benchmark_run_id").alias("run"))
+    rows = evidence.candidate_events(pairs.withColumns({"a_run": F.lit(0), "b_run": F.lit(0)}), events, "variant_id", "run", "event_id")
+    return rows.select("variant_id", "a_source_artifact_id", "b_source_artifact_id", F.col("a_event_status_of_event").alias("a_status"), F.col("b_event_status_of_event").alias("b_status"), (F.col("a_run_of_event") == F.col("b_run_of_event")).alias("same_run"))
 
 
 @query("SELECT row_number() OVER (ORDER BY event_id)::BIGINT AS candidate_number, event_id, event_status FROM registry_events")
@@ -423,7 +423,7 @@ def crossing_pairs(r: Roles) -> DataFrame:
     return intervals.crossing_pairs(r.intervals, "id", 900, "side")
 
 
-_RULES = selection.Rules(half_window=3000, least_assessable=2000, per_contig=2, per_context=6, cross_overlap=3000, first_limit=50, last_limit=400)
+_RULES = selection.Rules(half_window=3000, least_assessable=2000, per_contig=2, per_context=6, cross_overlap=3000, last_limit=400, least_contigs=3)
 
 
 def _candidates(r: Roles) -> DataFrame:
@@ -445,24 +445,33 @@ def frontier_topk(r: Roles) -> DataFrame:
     return selection.frontier(_candidates(r), 50).select("candidate_id", "contig", "start", "assessable_bp")
 
 
-@query()
+_GREEDY = f""", chosen_from AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY selection_hash, candidate_id) AS place FROM (SELECT candidate_id, contig, start, "end", sha256('salt|' || candidate_id) AS selection_hash FROM {_CANDIDATES}) ORDER BY place LIMIT {_RULES.last_limit}),
+greedy AS (SELECT 0::BIGINT AS place, []::STRUCT(id VARCHAR, contig VARCHAR, s BIGINT, e BIGINT)[] AS chosen UNION ALL
+SELECT c.place, CASE WHEN len(list_filter(g.chosen, lambda x: x.contig = c.contig)) < {_RULES.per_contig} AND len(list_filter(g.chosen, lambda x: x.contig = c.contig AND x.s < c."end" AND x.e > c.start)) = 0
+THEN list_append(g.chosen, {{'id': c.candidate_id, 'contig': c.contig, 's': c.start, 'e': c."end"}}) ELSE g.chosen END FROM greedy g JOIN chosen_from c ON c.place = g.place + 1 WHERE len(g.chosen) < {_RULES.per_context}),
+ended AS (SELECT unnest(chosen) AS w, generate_subscripts(chosen, 1) AS n FROM greedy WHERE place = (SELECT max(place) FROM greedy))
+SELECT w.id AS candidate_id, w.contig AS contig, w.s AS start, w.e AS "end", n::INT AS selection_rank, row_number() OVER (PARTITION BY w.contig ORDER BY n)::INT AS chromosome_selection_rank FROM ended"""
+
+
+@query(_GREEDY)
 def greedy_selection(r: Roles) -> DataFrame:
-    """Windows chosen one after the other, so no one SQL statement says the same; tests hold it against a brute force."""
+    """Windows chosen one after the other; the SQL twin walks the ordered candidates by recursion."""
     chosen, _ = selection.select_context(_candidates(r).select("candidate_id", "selection_hash", "contig", "start", "end"), [], _RULES)
     rows = [(c["candidate_id"], c["contig"], c["start"], c["end"], c["selection_rank"], c["chromosome_selection_rank"]) for c in chosen]
     return r.spark.createDataFrame(rows, "candidate_id string, contig string, start long, end long, selection_rank int, chromosome_selection_rank int")
 
 
-@query("""SELECT w.id, string_agg(c.side::VARCHAR, ';' ORDER BY c.side) FILTER (WHERE bp > 0) AS memberships FROM (SELECT * FROM intervals WHERE id % 50 = 0) w LEFT JOIN LATERAL (SELECT side, sum(least(w."end", m."end") - greatest(w.start, m.start)) AS bp FROM """ + _MERGED.format(", side", "") + """ m WHERE m.contig = w.contig AND m.start < w."end" AND m."end" > w.start GROUP BY side) c ON true GROUP BY w.id""")
-def context_membership(r: Roles) -> DataFrame:
-    contexts = r.intervals.select(F.col("side").cast("string").alias("context_id"), "contig", "start", "end")
-    windows = r.intervals.filter(F.pmod("id", F.lit(50)) == 0).select("id", "contig", "start", "end")
-    return selection.context_membership(windows, contexts, ["0", "1"], key="id").select("id", "memberships")
+@query()
+def greedy_evaluation(r: Roles) -> DataFrame:
+    """How many candidates were looked at until the choice was full, by decision and reason; tests hold it against plain loops."""
+    _, seen = selection.select_context(_candidates(r).select("candidate_id", "selection_hash", "contig", "start", "end"), [], _RULES)
+    rows = r.spark.createDataFrame([(c["evaluation_rank"], c["decision"], c["rejection_reason"]) for c in seen], "evaluation_rank int, decision string, rejection_reason string")
+    return rows.groupBy("decision", "rejection_reason").agg(F.count(F.lit(1)).alias("n"), F.max("evaluation_rank").alias("last_rank"))
 
 
-@query()
-def context_membership_all(r: Roles) -> DataFrame:
-    """Memberships of all windows; context_membership and its SQL twin take those with an id divisible by 50."""
+@query("""SELECT w.id, coalesce(string_agg(c.side::VARCHAR, ';' ORDER BY c.side), '') AS memberships FROM intervals w LEFT JOIN (SELECT DISTINCT w.id AS w_id, m.side FROM intervals w JOIN """ + _MERGED.format(", side", "") + """ m ON m.contig = w.contig AND m.start < w."end" AND m."end" > w.start) c ON c.w_id = w.id GROUP BY w.id""")
+def context_membership(r: Roles) -> DataFrame:
+    """Memberships of all windows."""
     contexts = r.intervals.select(F.col("side").cast("string").alias("context_id"), "contig", "start", "end")
     return selection.context_membership(r.intervals.select("id", "contig", "start", "end"), contexts, ["0", "1"], key="id").select("id", "memberships")
 
