@@ -26,8 +26,17 @@ def _escaped(ch: Column) -> Column:
     return F.when(code < 0x7F, ch).when(code < _SURROGATES, _hex4(code)).otherwise(F.concat(_hex4(high), _hex4(low)))
 
 
+def _with(value: Column, f) -> Column:
+    """f(value), where value is evaluated once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ascii_only(json: Column) -> Column:
     r"""JSON text with every character beyond ASCII, and DEL, as \uXXXX; other text is passed on as it is."""
+    return _with(json, _ascii)
+
+
+def _ascii(json: Column) -> Column:
     chars = F.transform(F.sequence(F.lit(1), F.length(json)), lambda i: F.substring(json, i, F.lit(1)))
     return F.when(json.rlike(r"[^\x00-\x7e]"), F.array_join(F.transform(chars, _escaped), "")).otherwise(json)
 
@@ -48,7 +57,7 @@ def _stable(c: Column) -> Column:
 def canonical_json(payload: Mapping[str, Column], ascii: bool = True) -> Column:
     """Compact JSON of payload with sorted keys and kept nulls; ascii escapes other characters."""
     fields = [_stable(payload[k]).alias(k) for k in sorted(payload)]
-    text = _lower_escapes(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    text = _with(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), _lower_escapes)
     return ascii_only(text) if ascii else text
 
 
