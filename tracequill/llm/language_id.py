@@ -18,7 +18,6 @@ language; with more than LANGUAGES labels train() fails, as that many models are
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices
+from .common import kept, remainder, slices
 from .vocabulary import MARK, Trie, default_piece_model, pieces
 
 SAMPLE = 400
@@ -50,17 +49,16 @@ UNDETERMINED = "und"
 CHUNK = 4096
 
 
-def _letters() -> re.Pattern:
-    """Runs of letters: what Python takes for a word's characters without digits, marks of its own and other numerals."""
-    numerals = [i for i in range(0x110000) if chr(i).isnumeric() and not unicodedata.category(chr(i)).startswith("L")]
-    return re.compile("[^\\W\\d_%s]+" % "".join(f"\\U{i:08x}" for i in numerals))
-
-
-LETTERS = _letters()
+#: Runs of what Python takes for a word's characters, without digits; other numerals are still among them.
+ALNUM = re.compile(r"[^\W\d_]+")
 
 
 def letter_words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, that is of Unicode's category L, in lower case."""
+    found = ALNUM.findall(text.lower()) if text else []
+    if found and not "".join(found).isalpha():
+        found = [p for w in found for p in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    return found
 
 
 @dataclass
@@ -72,15 +70,13 @@ class Model:
     probabilities: np.ndarray
 
 
-_tries: dict[int, Trie] = {}
-
-
 def _trie(names: list[str]) -> Trie:
+    tries = kept("language").setdefault("tries", {})
     key = hash(tuple(names))
-    if key not in _tries:
-        _tries.clear()
-        _tries[key] = Trie(names)
-    return _tries[key]
+    if key not in tries:
+        tries.clear()
+        tries[key] = Trie(names)
+    return tries[key]
 
 
 def _edges(trie: Trie, words: list[str], unknown: int):
@@ -244,15 +240,13 @@ class _Scorer:
         return names, sure
 
 
-_scorers: dict[int, _Scorer] = {}
-
-
 def _predictor(shared, key: int, names_out: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = _Scorer(shared.value)
-        scorer = _scorers[key]
+        scorers = kept("language").setdefault("scorers", {})
+        if key not in scorers:
+            scorers.clear()
+            scorers[key] = _Scorer(shared.value)
+        scorer = scorers[key]
         for batch in slices(batches):
             names, sure = scorer.texts(batch.column("text").to_pylist())
             keep = [batch.column(c) for c in batch.schema.names]
