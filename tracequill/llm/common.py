@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -94,6 +97,27 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task; what another operator kept is dropped first.
+
+    Freed memory goes back to the system, so that a worker holds what it works on and little else.
+    """
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = {}
+        gc.collect()
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20)  # larger blocks are mapped by themselves and unmapped when they are freed
+            libc.mallopt(-1, 1 << 20)
+            libc.malloc_trim(0)
+    return _kept[owner]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds about ``most`` bytes of text, one row at least."""
     for batch in batches:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORD_RE, discard, materialize, slices
+from .common import WORD, WORD_RE, discard, kept, materialize, slices
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -149,6 +149,7 @@ def signatures(grams: list[np.ndarray], counts: list[np.ndarray], registers: int
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept("near duplicates")
     grams = Grams()
     salt = scramble(np.arange(1, BANDS + 1, dtype=np.uint64) * _A)
     for batch in slices(batches, most=SIGNED_CHARS):

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices
+from .common import kept, partitions, slices
 from .vocabulary import MARK, default_piece_model, pieces
 
 #: Penalty of a character without a piece, and the least score of a piece.
@@ -139,19 +139,17 @@ def spread(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-_splitters: dict[int, Splitter] = {}
-
-
 def _splitter(names: list[str]) -> Splitter:
-    key = hash(tuple(names))
-    if key not in _splitters:
-        _splitters.clear()
-        _splitters[key] = Splitter(names)
-    return _splitters[key]
+    splitters, key = kept("pieces"), hash(tuple(names))
+    if key not in splitters:
+        splitters.clear()
+        splitters[key] = Splitter(names)
+    return splitters[key]
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of each bucket as compressed Arrow streams."""
+    kept("pieces")
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
     for batch in slices(batches, most=PACKED):
         ordered = batch.take(pc.sort_indices(batch.column("bucket")))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_path, slices
+from .common import kept, partitions, shared_path, slices
 
 END_ID = 2
 SHARD_BYTES = 4 << 20
@@ -122,15 +122,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoder(spec: str) -> Encoder:
-    key = zlib.crc32(spec.encode())
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(spec)
-    return _encoders[key]
+    encoders, key = kept("token files"), zlib.crc32(spec.encode())
+    if key not in encoders:
+        encoders.clear()
+        encoders[key] = Encoder(spec)
+    return encoders[key]
 
 
 def _end(end_id: int) -> bytes:
