@@ -104,6 +104,8 @@ def single(values: Column, kind: str) -> Column:
 
 def normalize_runs(rows: DataFrame, vocabulary_rows: DataFrame, response_sha256: str) -> DataFrame:
     """Catalog entities of source rows; rows without a run accession are left out (see rejected_runs)."""
+    absent = [c for c in ("experiment_accession", "tax_id", "scientific_name") if c not in rows.columns]
+    rows = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in absent])
     df = with_technology(rows.filter(F.col("run_accession").rlike(text.ACCESSIONS["run"])), vocabulary_rows)
     token = F.lower("run_accession")
     samples, studies = text.split_distinct(F.col("sample_accession"), F.col("secondary_sample_accession")), text.split_distinct(F.col("study_accession"), F.col("secondary_study_accession"))
