@@ -313,7 +313,7 @@ def _edited(base, tag, *spans):
 def _linked(spark, texts):
     """The labels of texts that are all in one large group."""
     texts = {i: " ".join(w) for i, w in texts.items()}
-    members = spark.createDataFrame([(7, i, len(texts), min(texts)) for i in texts], "band long, id long, n long, hub long")
+    members = spark.createDataFrame([(7, i, len(t.split()) - 4, len(texts), min(texts)) for i, t in texts.items()], "band long, id long, weight long, n long, hub long")
     labels = near_dups._links(members, spark.createDataFrame(list(texts.items()), "id long, text string"))[1]
     return {i: i for i in texts} | {r.id: r.label for r in labels.collect()}
 

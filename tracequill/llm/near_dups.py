@@ -11,7 +11,7 @@ of time and only until no later one can be the earliest of a register.
 Equal texts are one class from the start. The signatures of distinct texts are cut into BANDS
 bands of ROWS registers; texts with an equal band are a group. First every text is compared by exact weighted
 Jaccard similarity with one other, that among the least ids of its groups with which it shares the most groups. Then, in
-groups of up to SMALL texts, any two that aren't in one class yet are compared. Each larger group that holds
+groups of up to SMALL texts, any two that aren't in one class yet are compared, unless one is too short to be similar enough. Each larger group that holds
 more than one class gets a hub, the text with the most links so far, and every text is compared with that hub of
 another class with which it shares the most groups. At last all pairs of different classes in such a group
 are compared, block by block, all overlaps of two blocks by one product of matrices. Links
@@ -246,13 +246,15 @@ def _nearest(met: DataFrame) -> DataFrame:
 
 
 def _links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links (a, b) found among members (band, id, n: members of the band, hub: the least of them), and labels (id, label)."""
-    held = materialize(members.groupBy("id").agg(F.collect_list(F.struct("band", "n")).alias("bands")), "near-held-bands")
+    """links (a, b) found among members (band, id, weight, n: members of the band, hub: the least of them), and labels (id, label)."""
+    held = materialize(members.groupBy("id").agg(F.collect_list(F.struct("band", "n")).alias("bands"), F.first("weight").alias("weight")), "near-held-bands")
     seen, links = _close(_nearest(members.filter("id <> hub").select("id", "hub")), texts, "near-first")
     labels = components(links, "near-classes")
     small = _rows(held, labels, links).filter(F.col("n") <= SMALL)
     x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")))
+    # Two texts share no more grams than the shorter one has, so far shorter ones can't be similar enough.
+    near = F.least("x.weight", "y.weight") >= THRESHOLD * F.greatest("x.weight", "y.weight") - 1e-6
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & near)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     compared, new = _close(pairs.join(seen, ["a", "b"], "left_anti"), texts, "near-small")
     if not new.isEmpty():
@@ -272,11 +274,11 @@ def _links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _rows(held: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
-    """band, n, id, label, degree (the number of its links) of the groups of held (id, bands)."""
+    """band, n, id, weight, label, degree (the number of its links) of the groups of held (id, bands, weight)."""
     ends = links.select(F.explode(F.array("a", "b")).alias("e_id")).groupBy("e_id").agg(F.count(F.lit(1)).alias("degree"))
     known = labels.select(F.col("id").alias("m_id"), "label").join(ends, F.col("m_id") == F.col("e_id"), "left")
-    known = held.join(known, F.col("id") == F.col("m_id"), "left").select("id", "bands", F.coalesce("label", "id").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    return materialize(known.select("id", "label", "degree", F.explode("bands").alias("b")).select("b.band", "b.n", "id", "label", "degree"), "near-rows")
+    known = held.join(known, F.col("id") == F.col("m_id"), "left").select("id", "bands", "weight", F.coalesce("label", "id").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    return materialize(known.select("id", "weight", "label", "degree", F.explode("bands").alias("b")).select("b.band", "b.n", "id", "weight", "label", "degree"), "near-rows")
 
 
 def _drawn(held: DataFrame, labels: DataFrame, links: DataFrame):
@@ -361,11 +363,11 @@ def _groups(docs: DataFrame) -> DataFrame:
     """text_key, least (its least doc_id), copies, links, label: a row for each text with words."""
     signed = _keyed(docs.select("doc_id", "text")).select("doc_id", "text_key", "text")
     signed = materialize(signed.mapInArrow(_signer, "doc_id long, text_key binary, weight long, bands array<long>"), "near-signed")
-    reps = signed.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    reps = signed.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
     reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "near-texts")
-    banded = reps.select("id", F.explode("bands").alias("band"))
+    banded = reps.select("id", "weight", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1")
-    members = materialize(banded.join(shared, "band").select("band", "id", "n", "hub"), "near-members")
+    members = materialize(banded.join(shared, "band").select("band", "id", "weight", "n", "hub"), "near-members")
     held = reps.join(members.select(F.col("id").alias("m")).distinct(), F.col("id") == F.col("m"), "left_semi")
     held = held.select("id", F.col("text_key").alias("h_key"), "least")
     texts = _keyed(docs.select("doc_id", "text")).join(held, (F.col("text_key") == F.col("h_key")) & F.col("doc_id").eqNullSafe(F.col("least")))
