@@ -62,7 +62,7 @@ PACKED = 16 << 20
 BUCKET = 32 << 20
 TOGETHER = 50_000
 #: Texts are cut, looked up and put together in slices of about so many bytes.
-SLICE = 4 << 20
+SLICE = 2 << 20
 _BLOCKS = "bucket int, block binary"
 _PARTS = "bucket int, part string"
 
