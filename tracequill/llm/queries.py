@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fill_middle, filter_audit, language_id, media, mixing, near_dups, pieces, quality_rules, sql, surrogates, token_counts, token_files
+from . import classifier, fill_middle, filter_audit, language_id, media, mixing, near_dups, pieces, quality_rules, repeats, sql, surrogates, token_counts, token_files
 from .common import remainder, table
 
 
@@ -71,8 +71,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_token_files, op4_quality_rules, op5_near_dups, op6_pieces, op7_token_counts, op8_quality_classifier, op9_media, op10_surrogates, op11_fill_middle, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_token_files, op4_quality_rules, op5_near_dups, op6_pieces, op7_token_counts, op8_quality_classifier, op9_media, op10_surrogates, op11_fill_middle, op12_filter_audit, op13_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
