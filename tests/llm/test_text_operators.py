@@ -284,8 +284,23 @@ def test_prefixes_of_neighbours():
     rng = np.random.default_rng(4)
     contexts = [bytes(rng.integers(97, 99, 300).astype(np.uint8)) for _ in range(6)]
     contexts += [contexts[0][:100] + contexts[1][100:], contexts[0][:140] + contexts[2][140:]]
-    off = np.full(len(contexts), 60)
+    off = np.full(len(contexts), 120)
     rows, begin, length, number = repeats.maximal_repeats(np.zeros(len(contexts), np.int64), off, np.ones(len(contexts), np.int64), pa.array(contexts, pa.binary()), every=True)
     for k in set(number.tolist()):
         strings = {contexts[r][b : b + n] for r, b, n in zip(rows[number == k], begin[number == k], length[number == k], strict=True)}
         assert len(strings) == 1 and (number == k).sum() >= 2
+    covered = {(r, i) for r, b, n in zip(rows.tolist(), begin.tolist(), length.tolist(), strict=True) for i in range(b, b + n - 199)}
+    windows = Counter((i, c[i : i + 200]) for c in contexts for i in range(101))
+    assert covered == {(r, i) for r, c in enumerate(contexts) for i in range(101) if windows[i, c[i : i + 200]] > 1}
+    assert len(covered) > 0
+
+
+def test_periods_are_one_run():
+    texts = ["x" * 5000, "ab" * 900, "abc" * 400 + "tail" * 60, "no period " + "".join(map(chr, range(97, 123))) * 8]
+    batch = pa.record_batch({"text": pa.array(texts), "k1": pa.array(range(4), pa.int64()), "k2": pa.array([0] * 4, pa.int32())})
+    runs = pa.Table.from_batches(repeats._runs(iter([batch]))).to_pylist()
+    assert sum(r["starts"] * r["times"] for r in runs) == sum(len(t) - 199 for t in texts)
+    assert len([r for r in runs if r["k1"] == 0]) == 1 and len(runs) < 100
+    for r in runs:
+        spans = {texts[r["k1"]][r["first"] + t * r["starts"] :][: r["starts"] + 199] for t in range(r["times"])}
+        assert len(spans) == 1

@@ -96,11 +96,23 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-RUNS = "gram long, k1 long, k2 int, first int, off int, starts int"
+RUNS = "gram long, k1 long, k2 int, first int, off int, starts int, times int"
+
+
+def _periods(data: np.ndarray, gram: np.ndarray, row: np.ndarray, change: np.ndarray, off: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs stand for themselves, and for how many: runs that follow one of the same bytes at once (one character again
+    and again, or any other period) are counted with it."""
+    like = (gram[1:] == gram[:-1]) & (row[1:] == row[:-1]) & (off[1:] == off[:-1]) & (starts[1:] == starts[:-1]) & (change[1:] == change[:-1] + starts[:-1])
+    for i in np.flatnonzero(like).tolist():
+        a, b, n = int(change[i]), int(change[i + 1]), int(starts[i]) + LENGTH - 1
+        like[i] = np.array_equal(data[a : a + n], data[b : b + n])
+    own = np.flatnonzero(np.concatenate([[True], ~like]))
+    return own, np.diff(np.append(own, len(gram)))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of windows with one anchor: its hash, the first window, the anchor's distance from it, the number of windows."""
+    """The runs of windows with one anchor: its hash, the first window, the anchor's distance from it, the number of windows, and
+    how often the run's bytes follow each other, a run apart."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -118,9 +130,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             change, ends = change[real], ends[real]
             of = np.searchsorted(edges, change, "right") - 1
             place, rows = at[change], row + of
+            own, times = _periods(data[begin:end], h[place], rows, change, place - change, ends - change)
+            change, ends, place, rows = change[own], ends[own], place[own], rows[own]
             first = change + begin - offsets[rows]
-            columns = (h[place].view(np.int64), k1[rows], k2[rows], first.astype(np.int32), (place - change).astype(np.int32), (ends - change).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "k1", "k2", "first", "off", "starts"])
+            columns = (h[place].view(np.int64), k1[rows], k2[rows], first.astype(np.int32), (place - change).astype(np.int32), (ends - change).astype(np.int32), times.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "k1", "k2", "first", "off", "starts", "times"])
 
 
 def _fingerprint(gram: int, context: bytes) -> bytes:
@@ -136,14 +150,14 @@ def _contexts(fingerprints: bool) -> Callable:
             lists, runs = batch.column("runs"), batch.column("runs").flatten()
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            gram, first, off, starts = (runs.field(c).to_numpy() for c in ("gram", "first", "off", "starts"))
+            gram, first, off, starts, times = (runs.field(c).to_numpy() for c in ("gram", "first", "off", "starts", "times"))
             for begin in range(0, len(gram), ROWS):
                 some = slice(begin, begin + ROWS)
                 size = starts[some].astype(np.int64) + LENGTH - 1
                 ends = np.cumsum(size)
                 cut_out = data[np.repeat(offsets[row[some]] + first[some] - (ends - size), size) + np.arange(ends[-1])]
                 context = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(cut_out)])
-                columns = {"gram": gram[some], "off": off[some], "k1": k1[row[some]], "k2": k2[row[some]], "first": first[some]}
+                columns = {"gram": gram[some], "off": off[some], "k1": k1[row[some]], "k2": k2[row[some]], "first": first[some], "stride": starts[some], "times": times[some]}
                 if fingerprints:
                     seen: set[bytes] = set()
                     bytes_of = context.to_pylist()
@@ -262,18 +276,23 @@ def _scan(owners: tuple[str, ...], every: bool = False) -> Callable:
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         gram = batch.column("gram").to_numpy()
         bucket = np.concatenate([[0], np.cumsum(gram[1:] != gram[:-1])])
-        weight = batch.column("weight").to_numpy() if "weight" in batch.schema.names else np.ones(len(gram), np.int64)
-        contexts = batch.column("context")
+        times = batch.column("times").to_numpy().astype(np.int64) if "times" in batch.schema.names else np.ones(len(gram), np.int64)
+        weight = batch.column("weight").to_numpy() if "weight" in batch.schema.names else times
+        contexts, stride = batch.column("context"), batch.column("stride").to_numpy().astype(np.int64) if "stride" in batch.schema.names else np.zeros(len(gram), np.int64)
         rows, begin, depth, number = maximal_repeats(bucket, batch.column("off").to_numpy(), weight, contexts, every)
         columns = {}
         if every:
             again = np.unique(np.stack([number, rows, begin]), axis=1, return_index=True)[1] if len(rows) else rows  # a context of weight 2 stands once
             rows, begin, depth = rows[again], begin[again], depth[again]
-            columns["group"] = pa.array([hashlib.blake2b(contexts[r].as_py()[b : b + d], digest_size=16).digest() for r, b, d in zip(rows.tolist(), begin.tolist(), depth.tolist(), strict=True)], pa.binary())
+            names = np.array([hashlib.blake2b(contexts[r].as_py()[b : b + d], digest_size=16).digest() for r, b, d in zip(rows.tolist(), begin.tolist(), depth.tolist(), strict=True)], object)
+            turn = np.concatenate([np.arange(k) for k in times[rows].tolist()]) if len(rows) else rows  # at every turn of a period
+            names, begin, depth, rows = (np.repeat(x, times[rows]) for x in (names, begin, depth, rows))
+            begin = begin + turn * stride[rows]
+            columns["group"] = pa.array(names.tolist(), pa.binary())
         else:
             rows, begin, end = _merged(rows, begin, begin + depth)
-            depth = end - begin
-        first = batch.column("first").to_numpy()[rows] if "first" in batch.schema.names else 0
+            depth = end - begin + (times[rows] - 1) * stride[rows]  # what occurs again at once is covered whole
+        first = batch.column("first").to_numpy()[rows].astype(np.int64) if "first" in batch.schema.names else 0
         kept = {c: batch.column(c).take(pa.array(rows)) for c in owners}
         yield pa.RecordBatch.from_pydict(kept | columns | {"begin": pa.array((begin + first).astype(np.int32)), "length": pa.array(depth.astype(np.int32))})
 
@@ -370,11 +389,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _spans(texts: DataFrame, every: bool = False) -> DataFrame:
     """k1, k2, begin and length of the repeats' occurrences in distinct texts."""
     runs = texts.select(*KEYS, "text").mapInArrow(_runs, RUNS)
-    counts = materialize(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-grams")
+    counts = materialize(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("turns")).filter("turns > 1"), "repeat-grams")
 
     def contexts(grams: DataFrame, fingerprints: bool) -> DataFrame:
-        by_text = runs.join(grams.select("gram"), "gram").groupBy(*KEYS).agg(F.collect_list(F.struct("gram", "first", "off", "starts")).alias("runs"))
-        schema = "gram long, off int, k1 long, k2 int, first int, " + "id binary, " * fingerprints + "context binary"
+        by_text = runs.join(grams.select("gram"), "gram").groupBy(*KEYS).agg(F.collect_list(F.struct("gram", "first", "off", "starts", "times")).alias("runs"))
+        schema = "gram long, off int, k1 long, k2 int, first int, stride int, times int, " + "id binary, " * fingerprints + "context binary"
         return texts.select(*KEYS, "text").join(by_text.hint("shuffle_hash"), [*KEYS]).mapInArrow(_contexts(fingerprints), schema)
 
     spans = _bucket_scan(contexts(counts.filter(F.col("n") <= MOST), False), KEYS, every)
@@ -382,9 +401,13 @@ def _spans(texts: DataFrame, every: bool = False) -> DataFrame:
     if hot.isEmpty():
         return spans
     cut = materialize(contexts(hot, True), "repeat-hot")
-    found = _hot_spans(_distinct(cut, F.count(F.lit(1))), every)
-    placed = cut.select("id", *KEYS, "first").join(found, "id").withColumn("begin", F.col("begin") + F.col("first")).drop("id", "first")
-    return spans.unionByName(placed)
+    found = _hot_spans(_distinct(cut, F.sum("times")), every)
+    placed = cut.select("id", *KEYS, "first", "stride", "times").join(found, "id")
+    if every:
+        placed = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).withColumn("begin", F.col("begin") + F.col("first") + F.col("turn") * F.col("stride")).drop("turn")
+    else:
+        placed = placed.withColumn("begin", F.col("begin") + F.col("first")).withColumn("length", F.col("length") + (F.col("times") - 1) * F.col("stride"))
+    return spans.unionByName(placed.drop("id", "first", "stride", "times"))
 
 
 REMOVED = "k1 long, k2 int, n_removed long, n_spans long, kept binary"
