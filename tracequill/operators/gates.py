@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-# Names that must not be columns or keys.
-FORBIDDEN = ("trust_score", "confidence_score", "rank", "ranking", "consensus", "consensus_call", "winner", "best_caller", "final_truth", "pathogenicity", "clinical_significance")
-FRAGMENTS = ("confidence", "ranking", "trust_score", "consensus", "pathogenic", "clinical")
+from tracequill.sources.storage import cut
+
+# Names that must not be columns or keys, of the explorer's export (also of its web delivery) and of the second phase's actions;
+# parts of names that the identity phase must not write; names and values of genomic contexts; the artifacts that a run refers to.
+FORBIDDEN = ("reliability_score", "trust_score", "confidence_score", "consensus", "consensus_decision", "trusted", "technology_winner", "caller_winner", "preferred_technology", "pathogenicity", "clinical_significance")
+FORBIDDEN_ACTIONS = ("reliability_score", "trust_score", "confidence_score", "technology_rank", "consensus_label", "trusted_label")
+FRAGMENTS = ("reliability", "confidence", "trusted", "ranking", "consensus")
+CONTEXT_FIELDS = ("genomic_context", "genomic_contexts", "context_class", "context_classes", "context_label", "context_labels", "homopolymer", "tandem_repeat", "low_mappability", "segmental_duplication", "non_difficult")
+CONTEXT_VALUES = ("HOMOPOLYMER", "TANDEM_REPEAT", "LOW_MAPPABILITY", "SEGMENTAL_DUPLICATION", "NON_DIFFICULT")
+RUN_ARTIFACTS = ("query_artifact_id", "truth_artifact_id", "benchmark_bed_artifact_id", "reference_artifact_id")
 
 
 def violation(df: DataFrame, rule: str, key: str | Column, bad: Column | None = None) -> DataFrame:
@@ -43,6 +50,31 @@ def bundle_violations(events: DataFrame, observations: DataFrame, runs: DataFram
     ])
 
 
+def reference_violations(events: DataFrame, observations: DataFrame, runs: DataFrame, experiments: DataFrame, provenance: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """References of a registry's entities that lead nowhere, and runs whose intervals or evidence don't fit.
+
+    runs have a field for each of RUN_ARTIFACTS, output_artifact_ids, run_status, and core and padded as structs of assembly, contig,
+    start_0based, end_0based. A null reference leads nowhere; an entity type of a link that the registry hasn't leads nowhere too.
+    """
+    known = artifacts.select(F.col("source_artifact_id").cast("string").alias("__k")).distinct()
+
+    def lost(df: DataFrame, rule: str, column: str, own: str, of: DataFrame = known) -> DataFrame:
+        return violation(df.join(of, F.col(column).cast("string") == F.col("__k"), "left_anti"), rule, own)
+
+    ids = {"EVENT": (events, "event_id"), "OBSERVATION": (observations, "observation_id"), "BENCHMARK_RUN": (runs, "benchmark_run_id"), "EXPERIMENT": (experiments, "experiment_id"), "SOURCE_ARTIFACT": (artifacts, "source_artifact_id"), "PROVENANCE_LINK": (provenance, "provenance_link_id")}
+    entities = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("__type"), F.col(key).cast("string").alias("__id")) for kind, (df, key) in ids.items()])
+    ends = [violation(provenance.join(entities, (F.col(f"{end}_entity_type") == F.col("__type")) & (F.col(f"{end}_entity_id").cast("string") == F.col("__id")), "left_anti"), f"LINK_{end.upper()}_EXISTS", "provenance_link_id") for end in ("source", "target")]
+    no_order = lambda c: (F.col(f"{c}.start_0based") < 0) | (F.col(f"{c}.end_0based") <= F.col(f"{c}.start_0based"))
+    apart = ~F.col("core.assembly").eqNullSafe(F.col("padded.assembly")) | ~F.col("core.contig").eqNullSafe(F.col("padded.contig"))
+    seen = observations.select(F.col("benchmark_run_id").alias("__run")).distinct()
+    return together([
+        lost(events, "EVENT_REFERENCE_ARTIFACT", "reference_artifact_id", "event_id"), *[lost(runs, f"RUN_{f.upper()}", f, "benchmark_run_id") for f in RUN_ARTIFACTS], lost(runs.select("benchmark_run_id", F.explode("output_artifact_ids").alias("a")), "RUN_OUTPUT_ARTIFACT", "a", "benchmark_run_id"),
+        lost(experiments.select("experiment_id", F.explode("metadata_artifact_ids").alias("a")), "EXPERIMENT_METADATA_ARTIFACT", "a", "experiment_id"), lost(observations, "OBSERVATION_RUN_EXISTS", "benchmark_run_id", "observation_id", runs.select(F.col("benchmark_run_id").cast("string").alias("__k")).distinct()),
+        lost(observations, "OBSERVATION_OUTPUT_ARTIFACT", "source_output_artifact_id", "observation_id"), *ends, *[violation(runs.filter(F.col(c).isNotNull()), f"RUN_{c.upper()}_INTERVAL", "benchmark_run_id", no_order(c)) for c in ("core", "padded")],
+        violation(runs.filter("core is not null and padded is not null"), "RUN_INTERVALS_AGREE", "benchmark_run_id", apart), violation(runs.filter("run_status = 'SUCCEEDED'").join(seen, F.col("benchmark_run_id") == F.col("__run"), "left_anti"), "SUCCEEDED_RUN_OBSERVED", "benchmark_run_id"),
+    ])
+
+
 def gates(spark: SparkSession, rules: list[str], violations: DataFrame) -> DataFrame:
     """gate, status, n_violations: a row for each rule, also for those without a violation."""
     counts = violations.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
@@ -73,8 +105,40 @@ def forbidden_fields(df: DataFrame, names: tuple[str, ...] = FORBIDDEN, fragment
     return [p for p in field_names(df.schema) if last(p) in names or any(x in last(p) for x in fragments)]
 
 
+def json_walk(df: DataFrame, key: str, value: Column) -> DataFrame:
+    """key, path and value (variant) of everything inside JSON values, at any depth, the values themselves at path "" included.
+
+    A round opens what the last one found, objects by their names and lists by their places, until nothing opens; there are
+    as many rounds as the deepest value has levels.
+    """
+    rows = level = cut(df.select(F.col(key).alias("key"), F.lit("").alias("path"), value.alias("value")).filter("value is not null"))
+    while True:
+        names = F.transform(F.map_entries(F.try_variant_get("value", "$", "map<string, variant>")), lambda e: F.struct(e["key"].alias("step"), e["value"].alias("value")))
+        places = F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda v, i: F.struct(i.cast("string").alias("step"), v.alias("value")))
+        inner = level.select("key", "path", F.explode(F.coalesce(F.when(F.schema_of_variant("value").startswith("OBJECT"), names), F.when(F.schema_of_variant("value").startswith("ARRAY"), places))).alias("x"))
+        level = cut(inner.select("key", F.when(F.col("path") == "", F.col("x.step")).otherwise(F.concat("path", F.lit("/"), "x.step")).alias("path"), F.col("x.value").alias("value")))
+        if level.isEmpty():
+            return rows
+        rows = rows.unionByName(level)
+
+
+def forbidden_paths(df: DataFrame, key: str, value: Column, names: tuple[str, ...] = FORBIDDEN, fragments: tuple[str, ...] = ()) -> DataFrame:
+    """key, path and name of every forbidden name inside JSON values (a variant column), at any depth."""
+    found = json_walk(df, key, value).select("key", "path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return found.filter(F.col("name").isin(*names) | (F.array_contains(F.array(*[F.contains(F.lower("name"), F.lit(f)) for f in fragments]), True) if fragments else F.lit(False)))
+
+
+def context_paths(df: DataFrame, key: str, value: Column) -> DataFrame:
+    """key, path and what was found of genomic contexts inside JSON values: names in any case, and texts that are a context."""
+    walked = json_walk(df, key, value)
+    name = F.element_at(F.split("path", "/"), -1)
+    text = F.when(F.schema_of_variant("value") == "STRING", F.variant_get("value", "$", "string"))
+    found = F.when(F.lower(name).isin(*CONTEXT_FIELDS), name).when(text.isin(*CONTEXT_VALUES), text)
+    return walked.select("key", "path", found.alias("found")).filter("found is not null")
+
+
 def forbidden_json_keys(json: Column, names: tuple[str, ...] = FORBIDDEN) -> Column:
-    """Forbidden keys anywhere in a JSON text."""
+    """Forbidden keys anywhere in a JSON text, by a pattern; ``forbidden_paths`` says where, and reads texts as what they are."""
     return F.array_distinct(F.regexp_extract_all(json, F.lit(rf'"({"|".join(names)})"\s*:'), F.lit(1)))
 
 
