@@ -1,6 +1,6 @@
 """JSON Schema documents compiled to columns of violations over VARIANT values.
 
-``Compiler`` turns a schema (draft 2020-12; the keywords of KEYWORDS) into one expression that gives, for a document, an array of
+``Compiler`` turns a schema (draft 2020-12; the keywords of KEYWORDS) into one SQL expression that gives, for a document, an array of
 (path, keyword, detail): path is the place in the document ("" is its root, then names and indices joined by "/"), detail
 names the missing or stray property, or what was expected. Schemas refer to each other by ``$ref`` within a registry of
 documents. A keyword that isn't known is refused when a schema is compiled, never skipped; so is a cycle of references.
@@ -61,113 +61,135 @@ class Registry:
         return document, found
 
 
-class Value:
-    """A value inside a document: a variant column and the path to the value in it, and how violations name its place."""
+def _text(value: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def __init__(self, root: Column, steps: tuple[str, ...], place: Column, empty: bool) -> None:
-        self.root, self.steps, self.place, self.empty = root, steps, place, empty
 
-    @property
-    def _path(self) -> str:
-        return "$" + "".join(f"['{s}']" if '"' in s else f'["{s}"]' for s in self.steps)
+def _shown(value: Any) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+_NONE = f"cast(array() AS {NONE})"
+
+
+class Value:
+    """A value inside a document: the SQL of a variant and the path to the value in it, and the SQL of its place in the document."""
+
+    def __init__(self, root: str, steps: tuple[str, ...], place: tuple[str, ...]) -> None:
+        self.root, self.steps, self.place = root, steps, place
 
-    def get(self, kind: str) -> Column:
-        return F.try_variant_get(self.root, self._path, kind)
+    def get(self, kind: str) -> str:
+        path = "$" + "".join(f"['{s}']" if '"' in s else f'["{s}"]' for s in self.steps)
+        return f"try_variant_get({self.root}, {_text(path)}, '{kind}')"
 
     @property
-    def variant(self) -> Column:
+    def variant(self) -> str:
         return self.root if not self.steps else self.get("variant")
 
     @property
-    def kind(self) -> Column:
-        return F.schema_of_variant(self.variant)
+    def fields(self) -> str:
+        """The properties of an object; null for any other value."""
+        return self.get("map<string, variant>")
+
+    @property
+    def items(self) -> str:
+        """The items of an array; null for any other value."""
+        return self.get("array<variant>")
 
     def child(self, name: str) -> Value:
-        place = F.concat(self.place, F.lit(name if self.empty else f"/{name}"))
+        place = (*self.place, _text(name))
         if '"' in name and "'" in name:  # no path can say it
-            return Value(F.try_element_at(self.get("map<string, variant>"), F.lit(name)), (), place, False)
-        return Value(self.root, (*self.steps, name), place, False)
+            return Value(f"try_element_at({self.fields}, {_text(name)})", (), place)
+        return Value(self.root, (*self.steps, name), place)
 
-    def at(self, value: Column, step: Column) -> Value:
+    def at(self, value: str, step: str) -> Value:
         """A value that a lambda gets, at a step below this one."""
-        return Value(value, (), F.concat(self.place, step) if self.empty else F.concat(self.place, F.lit("/"), step), False)
-
-    def is_(self, name: str) -> Column:
-        kind = self.kind
-        whole = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT")
-        if name == "object":
-            return kind.startswith("OBJECT")
-        if name == "array":
-            return kind.startswith("ARRAY")
-        if name == "number":
-            return whole | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
-        if name == "integer":
-            part = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
-            return whole | (part & (self.get("double") == F.floor(self.get("double"))))
+        return Value(value, (), (*self.place, step))
+
+    def is_(self, name: str) -> str:
+        if name in ("object", "array"):
+            return f"({self.fields if name == 'object' else self.items} IS NOT NULL)"
+        kind = f"schema_of_variant({self.variant})"
+        if name in ("number", "integer"):
+            part = f"({kind} LIKE 'DECIMAL%' OR {kind} IN ('DOUBLE', 'FLOAT'))"
+            whole = f"{kind} IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT')"
+            return f"({whole} OR {part})" if name == "number" else f"({whole} OR ({part} AND {self.get('double')} = floor({self.get('double')})))"
         try:
-            return kind == {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[name]
+            return f"({kind} = '{ {'string': 'STRING', 'boolean': 'BOOLEAN', 'null': 'VOID'}[name] }')"
         except KeyError:
             raise SchemaError(f"no type {name}") from None
 
-    @property
-    def names(self) -> Column:
-        return F.map_keys(self.get("map<string, variant>"))
-
-    @property
-    def present(self) -> Column:
-        return self.variant.isNotNull()
-
-    def equals(self, wanted: Any) -> Column:
+    def equals(self, wanted: Any) -> str:
         if wanted is None:
             return self.is_("null")
         if isinstance(wanted, bool):
-            return self.is_("boolean") & (self.get("boolean") == wanted)
+            return f"({self.is_('boolean')} AND {self.get('boolean')} = {str(wanted).lower()})"
         if isinstance(wanted, (int, float)):
-            return self.is_("number") & (self.get("double") == float(wanted))
+            return f"({self.is_('number')} AND {self.get('double')} = {float(wanted)!r}D)"
         if isinstance(wanted, str):
-            return self.is_("string") & (self.get("string") == wanted)
-        same = F.to_json(self.variant) == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
-        return self.is_("array" if isinstance(wanted, list) else "object") & same
+            return f"({self.is_('string')} AND {self.get('string')} = {_text(wanted)})"
+        same = f"to_json({self.variant}) = to_json(parse_json({_text(json.dumps(wanted))}))"
+        return f"({self.is_('array' if isinstance(wanted, list) else 'object')} AND {same})"
 
-    def violation(self, broken: Column, keyword: str, detail: Column | str = "") -> Column:
-        detail = F.lit(detail) if isinstance(detail, str) else detail
-        row = F.struct(self.place.alias("path"), F.lit(keyword).alias("keyword"), detail.alias("detail"))
-        return F.when(broken, F.array(row)).otherwise(F.array().cast(NONE))
+    def found(self, keyword: str, detail: str) -> str:
+        """A violation here; detail is SQL."""
+        place = "''" if not self.place else f"concat_ws('/', {', '.join(self.place)})"
+        return f"struct({place} AS path, '{keyword}' AS keyword, {detail} AS detail)"
 
+    def violation(self, broken: str, keyword: str, detail: str = "") -> str:
+        return f"IF({broken}, array({self.found(keyword, _text(detail))}), {_NONE})"
+
+    def violations(self, names: str, keyword: str, variable: str) -> str:
+        """A violation for each of an array of names, which is null for a value that the keyword doesn't bear on."""
+        return f"coalesce(transform({names}, {variable} -> {self.found(keyword, variable)}), {_NONE})"
 
-def _shown(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+def _concat(parts: list[str]) -> str:
+    return _NONE if not parts else parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
 class Compiler:
-    """Compiles the schemas of a registry; ``formats`` are the names of the formats to assert."""
+    """Compiles the schemas of a registry; ``formats`` are the names of the formats to assert.
+
+    Schemas become SQL text, which Spark parses once: a column for each step would be thousands of calls into the JVM.
+    """
 
     def __init__(self, registry: Registry, formats: tuple[str, ...] = ()) -> None:
-        self.registry, self.formats = registry, formats
+        self.registry, self.formats, self._variables = registry, formats, 0
+
+    def variable(self) -> str:
+        """A name that no other lambda of this compiler has."""
+        self._variables += 1
+        return f"v{self._variables}"
 
-    def violations(self, name: str, document: Column) -> Column:
-        """The violations of a variant column by the schema of this name."""
+    def sql(self, name: str, document: str) -> str:
+        """The SQL of the violations of a variant column of this name by the schema ``name``."""
         base = self.registry.names[name]
-        return self._all(self.registry.documents[base], base, Value(document, (), F.lit(""), True), ())
+        return self.all(self.registry.documents[base], base, Value(f"`{document}`", (), ()), ())
 
-    def _all(self, schema: Schema, base: str, v: Value, seen: tuple[tuple[str, str], ...]) -> Column:
-        parts = self._parts(schema, base, v, seen)
-        return F.array().cast(NONE) if not parts else parts[0] if len(parts) == 1 else F.concat(*parts)
+    def violations(self, name: str, document: str) -> Column:
+        return F.expr(self.sql(name, document))
 
-    def _parts(self, schema: Schema, base: str, v: Value, seen: tuple[tuple[str, str], ...]) -> list[Column]:
+    def all(self, schema: Schema, base: str, v: Value, seen: Seen) -> str:
+        return _concat(self.parts(schema, base, v, seen))
+
+    def parts(self, schema: Schema, base: str, v: Value, seen: Seen) -> list[str]:
         if schema is True:
             return []
         if schema is False:
-            return [v.violation(F.lit(True), "false")]
+            return [v.violation("true", "false")]
         if unknown := [k for k in schema if k not in NOTES and k not in KEYWORDS]:
             raise SchemaError(f"keywords that aren't known: {unknown}")
-        return [c for k in schema if k not in NOTES for c in KEYWORDS[k](self, schema, base, v, seen)]
+        return [part for k in schema if k not in NOTES for part in KEYWORDS[k](self, schema, base, v, seen)]
 
-    def _holds(self, schema: Schema, base: str, v: Value, seen: tuple) -> Column:
-        return F.size(self._all(schema, base, v, seen)) == 0
+    def holds(self, schema: Schema, base: str, v: Value, seen: Seen) -> str:
+        parts = self.parts(schema, base, v, seen)
+        return "(" + " AND ".join(f"size({part}) = 0" for part in parts) + ")" if parts else "true"
 
 
-Keyword = Callable[[Compiler, Mapping[str, Any], str, Value, tuple], list[Column]]
+Seen = tuple[tuple[str, str], ...]
+Keyword = Callable[[Compiler, Mapping[str, Any], str, Value, Seen], list[str]]
 KEYWORDS: dict[str, Keyword] = {}
 
 
@@ -185,66 +207,57 @@ def _ref(c, schema, base, v, seen):
     if step in seen:
         raise SchemaError(f"a cycle of references through {schema['$ref']}")
     document, found = c.registry.resolved(*step)
-    return c._parts(found, document, v, (*seen, step))
+    return c.parts(found, document, v, (*seen, step))
 
 
 @keyword("type")
 def _type(c, schema, base, v, seen):
     wanted = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
-    fits = v.is_(wanted[0])
-    for name in wanted[1:]:
-        fits = fits | v.is_(name)
-    return [v.violation(~fits, "type", ",".join(wanted))]
+    return [v.violation(f"NOT ({' OR '.join(map(v.is_, wanted))})", "type", ",".join(wanted))]
 
 
 @keyword("enum")
 def _enum(c, schema, base, v, seen):
     strings = [x for x in schema["enum"] if isinstance(x, str)]
-    fits = v.is_("string") & v.get("string").isin(*strings) if strings else F.lit(False)
-    for value in schema["enum"]:
-        if not isinstance(value, str):
-            fits = fits | v.equals(value)
-    return [v.violation(~fits, "enum", _shown(schema["enum"]))]
+    fits = [f"({v.is_('string')} AND {v.get('string')} IN ({', '.join(map(_text, strings))}))"] * bool(strings) + [v.equals(x) for x in schema["enum"] if not isinstance(x, str)]
+    return [v.violation(f"NOT ({' OR '.join(fits) or 'false'})", "enum", _shown(schema["enum"]))]
 
 
 @keyword("const")
 def _const(c, schema, base, v, seen):
-    return [v.violation(~v.equals(schema["const"]), "const", _shown(schema["const"]))]
+    return [v.violation(f"NOT {v.equals(schema['const'])}", "const", _shown(schema["const"]))]
 
 
-def _of_type(name: str, test: Callable[[Value, Any], Column]):
-    """A keyword that bounds the values of one type."""
+#: What breaks a bound, by keyword: the type that it bears on, and SQL of the value and the bound.
+_BOUNDS = {
+    "minLength": ("string", "length({string}) < {x}"), "maxLength": ("string", "length({string}) > {x}"), "pattern": ("string", "NOT rlike({string}, {x})"),
+    "minimum": ("number", "{double} < {x}"), "maximum": ("number", "{double} > {x}"), "exclusiveMinimum": ("number", "{double} <= {x}"), "exclusiveMaximum": ("number", "{double} >= {x}"),
+    "multipleOf": ("number", "pmod({decimal}, cast({x} AS decimal(38, 12))) <> 0"), "minItems": ("array", "size({items}) < {x}"), "maxItems": ("array", "size({items}) > {x}"),
+    "minProperties": ("object", "size({fields}) < {x}"), "maxProperties": ("object", "size({fields}) > {x}"),
+}
 
-    def make(key: str) -> Keyword:
-        return lambda c, schema, base, v, seen: [v.violation(v.is_(name) & test(v, schema[key]), key, _shown(schema[key]))]
 
-    return make
+def _bound(name: str, kind: str, broken: str) -> Keyword:
+    def make(c, schema, base, v, seen):
+        x = schema[name]
+        shown = _text(x) if isinstance(x, str) else f"{float(x)!r}D" if kind == "number" else str(x)
+        sql = broken.format(x=shown, string=v.get("string"), double=v.get("double"), decimal=v.get("decimal(38, 12)"), items=v.items, fields=v.fields)
+        return [v.violation(f"coalesce({v.is_(kind)} AND {sql}, false)", name, _shown(x))]
 
-
-def _number(v: Value) -> Column:
-    return v.get("double")
-
-
-def _items(v: Value) -> Column:
-    return v.get("array<variant>")
+    return make
 
 
-for _key, _name, _test in (
-    ("minLength", "string", lambda v, x: F.length(v.get("string")) < x), ("maxLength", "string", lambda v, x: F.length(v.get("string")) > x), ("pattern", "string", lambda v, x: ~v.get("string").rlike(x)),
-    ("minimum", "number", lambda v, x: _number(v) < x), ("maximum", "number", lambda v, x: _number(v) > x), ("exclusiveMinimum", "number", lambda v, x: _number(v) <= x), ("exclusiveMaximum", "number", lambda v, x: _number(v) >= x),
-    ("multipleOf", "number", lambda v, x: F.pmod(v.get("decimal(38, 12)"), F.lit(x).cast("decimal(38, 12)")) != 0),
-    ("minItems", "array", lambda v, x: F.size(_items(v)) < x), ("maxItems", "array", lambda v, x: F.size(_items(v)) > x),
-    ("minProperties", "object", lambda v, x: F.size(v.names) < x), ("maxProperties", "object", lambda v, x: F.size(v.names) > x),
-):
-    KEYWORDS[_key] = _of_type(_name, _test)(_key)
+for _name, (_kind, _broken) in _BOUNDS.items():
+    KEYWORDS[_name] = _bound(_name, _kind, _broken)
 
 
 @keyword("uniqueItems")
 def _unique(c, schema, base, v, seen):
     if not schema["uniqueItems"]:
         return []
-    shown = F.transform(_items(v), lambda x: F.to_json(x))
-    return [v.violation(v.is_("array") & (F.size(F.array_distinct(shown)) < F.size(shown)), "uniqueItems")]
+    x = c.variable()
+    shown = f"transform({v.items}, {x} -> to_json({x}))"
+    return [v.violation(f"coalesce(size(array_distinct({shown})) < size({v.items}), false)", "uniqueItems")]
 
 
 @keyword("format")
@@ -254,17 +267,22 @@ def _format(c, schema, base, v, seen):
         return []
     if name not in FORMATS:
         raise SchemaError(f"no format {name}")
-    return [v.violation(v.is_("string") & ~v.get("string").rlike(FORMATS[name]), "format", name)]
+    return [v.violation(f"{v.is_('string')} AND NOT rlike({v.get('string')}, {_text(FORMATS[name])})", "format", name)]
+
+
+def _names(names) -> str:
+    return f"array({', '.join(map(_text, names))})" if names else "cast(array() AS array<string>)"
 
 
 @keyword("required")
 def _required(c, schema, base, v, seen):
-    return [v.violation(v.is_("object") & ~v.child(name).present, "required", name) for name in schema["required"]]
+    return [v.violations(f"array_except({_names(schema['required'])}, map_keys({v.fields}))", "required", c.variable())] if schema["required"] else []
 
 
 @keyword("dependentRequired")
 def _dependent(c, schema, base, v, seen):
-    return [v.violation(v.is_("object") & v.child(one).present & ~v.child(other).present, "dependentRequired", other) for one, others in schema["dependentRequired"].items() for other in others]
+    there = lambda n: f"{v.child(n).variant} IS NOT NULL"
+    return [v.violations(f"IF({there(one)}, array_except({_names(others)}, map_keys({v.fields})), NULL)", "dependentRequired", c.variable()) for one, others in schema["dependentRequired"].items() if others]
 
 
 @keyword("properties")
@@ -272,95 +290,85 @@ def _properties(c, schema, base, v, seen):
     out = []
     for name, inner in schema["properties"].items():
         child = v.child(name)
-        if parts := c._parts(inner, base, child, seen):
-            found = parts[0] if len(parts) == 1 else F.concat(*parts)
-            out.append(F.when(v.is_("object") & child.present, found).otherwise(F.array().cast(NONE)))
+        if parts := c.parts(inner, base, child, seen):
+            out.append(f"IF({child.variant} IS NULL, {_NONE}, {_concat(parts)})")  # absent, or no object
     return out
 
 
-def _matching(names: Column, pattern: str, wanted: bool = True) -> Column:
-    return F.filter(names, lambda n: n.rlike(pattern) if wanted else ~n.rlike(pattern))
-
-
-def _others(schema: Mapping[str, Any], v: Value) -> Column:
-    """Names that neither properties nor patternProperties speak of."""
-    rest = F.array_except(v.names, F.array(*map(F.lit, schema["properties"])) if schema.get("properties") else F.array().cast("array<string>"))
+def _others(c: Compiler, schema: Mapping[str, Any], v: Value) -> str:
+    """Names that neither properties nor patternProperties speak of; null for what is no object."""
+    rest = f"array_except(map_keys({v.fields}), {_names(schema.get('properties', ()))})"
     for pattern in schema.get("patternProperties", ()):
-        rest = _matching(rest, pattern, False)
-    return F.when(v.is_("object"), F.array_sort(rest)).otherwise(F.array().cast("array<string>"))
+        x = c.variable()
+        rest = f"filter({rest}, {x} -> NOT rlike({x}, {_text(pattern)}))"
+    return f"array_sort({rest})"
 
 
-def _of_names(c: Compiler, inner: Schema, base: str, v: Value, seen: tuple, names: Column) -> Column:
+def _of_names(c: Compiler, inner: Schema, base: str, v: Value, seen: Seen, names: str) -> str:
     """The violations of the properties of these names."""
-    values = v.get("map<string, variant>")
-    return F.flatten(F.transform(names, lambda n: c._all(inner, base, v.at(F.try_element_at(values, n), n), seen)))
+    x = c.variable()
+    return f"coalesce(flatten(transform({names}, {x} -> {c.all(inner, base, v.at(f'try_element_at({v.fields}, {x})', x), seen)})), {_NONE})"
 
 
 @keyword("additionalProperties")
 def _additional(c, schema, base, v, seen):
-    inner, others = schema["additionalProperties"], _others(schema, v)
+    inner = schema["additionalProperties"]
     if inner is True:
         return []
-    if inner is False:
-        return [F.transform(others, lambda n: F.struct(v.place.alias("path"), F.lit("additionalProperties").alias("keyword"), n.alias("detail")))]
-    return [_of_names(c, inner, base, v, seen, others)]
+    return [v.violations(_others(c, schema, v), "additionalProperties", c.variable()) if inner is False else _of_names(c, inner, base, v, seen, _others(c, schema, v))]
 
 
 @keyword("patternProperties")
 def _patterned(c, schema, base, v, seen):
-    names = F.when(v.is_("object"), F.array_sort(v.names)).otherwise(F.array().cast("array<string>"))
-    return [_of_names(c, inner, base, v, seen, _matching(names, pattern)) for pattern, inner in schema["patternProperties"].items()]
+    out = []
+    for pattern, inner in schema["patternProperties"].items():
+        x = c.variable()
+        out.append(_of_names(c, inner, base, v, seen, f"filter(array_sort(map_keys({v.fields})), {x} -> rlike({x}, {_text(pattern)}))"))
+    return out
 
 
 @keyword("propertyNames")
-def _names(c, schema, base, v, seen):
-    names = F.when(v.is_("object"), F.array_sort(v.names)).otherwise(F.array().cast("array<string>"))
-    as_value = lambda n: F.parse_json(F.to_json(F.array(n)))
-    return [F.flatten(F.transform(names, lambda n: c._all(schema["propertyNames"], base, v.at(F.try_variant_get(as_value(n), "$[0]", "variant"), n), seen)))]
+def _property_names(c, schema, base, v, seen):
+    x = c.variable()
+    name = v.at(f"try_variant_get(parse_json(to_json(array({x}))), '$[0]', 'variant')", x)
+    return [f"coalesce(flatten(transform(array_sort(map_keys({v.fields})), {x} -> {c.all(schema['propertyNames'], base, name, seen)})), {_NONE})"]
 
 
 @keyword("items")
 def _each(c, schema, base, v, seen):
-    if schema["items"] is True or not c._parts(schema["items"], base, v, seen):
-        return []
-    inner = lambda x, i: c._all(schema["items"], base, v.at(x, i.cast("string")), seen)
-    return [F.when(v.is_("array"), F.flatten(F.transform(_items(v), inner))).otherwise(F.array().cast(NONE))]
+    x, i = c.variable(), c.variable()
+    parts = c.parts(schema["items"], base, v.at(x, f"cast({i} AS string)"), seen)
+    return [f"coalesce(flatten(transform({v.items}, ({x}, {i}) -> {_concat(parts)})), {_NONE})"] if parts else []
 
 
 @keyword("allOf")
 def _all_of(c, schema, base, v, seen):
-    return [part for inner in schema["allOf"] for part in c._parts(inner, base, v, seen)]
-
-
-def _held(c: Compiler, schemas: list[Schema], base: str, v: Value, seen: tuple) -> Column:
-    return sum((c._holds(inner, base, v, seen).cast("int") for inner in schemas), F.lit(0))
+    return [part for inner in schema["allOf"] for part in c.parts(inner, base, v, seen)]
 
 
 @keyword("anyOf")
 def _any_of(c, schema, base, v, seen):
-    return [v.violation(_held(c, schema["anyOf"], base, v, seen) == 0, "anyOf")]
+    return [v.violation(f"NOT ({' OR '.join(c.holds(inner, base, v, seen) for inner in schema['anyOf'])})", "anyOf")]
 
 
 @keyword("oneOf")
 def _one_of(c, schema, base, v, seen):
-    return [v.violation(_held(c, schema["oneOf"], base, v, seen) != 1, "oneOf")]
+    return [v.violation(f"({' + '.join(f'int({c.holds(inner, base, v, seen)})' for inner in schema['oneOf'])}) <> 1", "oneOf")]
 
 
 @keyword("not")
 def _not(c, schema, base, v, seen):
-    return [v.violation(c._holds(schema["not"], base, v, seen), "not")]
+    return [v.violation(c.holds(schema["not"], base, v, seen), "not")]
 
 
 @keyword("if")
 def _if(c, schema, base, v, seen):
-    holds, none = c._holds(schema["if"], base, v, seen), F.array().cast(NONE)
-    then = c._all(schema["then"], base, v, seen) if "then" in schema else none
-    other = c._all(schema["else"], base, v, seen) if "else" in schema else none
-    return [F.when(holds, then).otherwise(other)]
+    branch = lambda name: c.all(schema[name], base, v, seen) if name in schema else _NONE
+    return [f"IF({c.holds(schema['if'], base, v, seen)}, {branch('then')}, {branch('else')})"]
 
 
-for _key in ("then", "else"):  # read with if
-    KEYWORDS[_key] = lambda c, schema, base, v, seen: []
+for _name in ("then", "else"):  # read with if
+    KEYWORDS[_name] = lambda c, schema, base, v, seen: []
 
 
 def document(value: Column) -> Column:
@@ -370,13 +378,13 @@ def document(value: Column) -> Column:
 
 def violations(df: DataFrame, compiler: Compiler, name: str, value: Column, *keep: str) -> DataFrame:
     """The columns ``keep`` with path, keyword and detail of every violation; a null value is no document and has none."""
-    rows = df.select(*keep, F.explode(F.when(value.isNotNull(), compiler.violations(name, value))).alias("__violation"))
-    return rows.select(*keep, "__violation.path", "__violation.keyword", "__violation.detail")
+    rows = df.select(*keep, value.alias("__document")).filter("__document is not null")
+    return rows.select(*keep, F.explode(compiler.violations(name, "__document")).alias("__violation")).select(*keep, "__violation.path", "__violation.keyword", "__violation.detail")
 
 
 def text_violations(df: DataFrame, compiler: Compiler, name: str, text: Column, *keep: str) -> DataFrame:
     """As ``violations``, of JSON texts; a text that isn't JSON has the one violation "json"."""
-    rows = df.select(*keep, text.alias("__text")).withColumn("__value", F.try_parse_json("__text"))
+    rows = df.select(*keep, text.alias("__text")).withColumn("__document", F.try_parse_json("__text")).filter("__text is not null")
     no_json = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("keyword"), F.lit("").alias("detail")))
-    found = F.when(F.col("__value").isNotNull(), compiler.violations(name, F.col("__value"))).when(F.col("__text").isNotNull(), no_json)
+    found = F.when(F.col("__document").isNull(), no_json).otherwise(compiler.violations(name, "__document"))
     return rows.select(*keep, F.explode(found).alias("__violation")).select(*keep, "__violation.path", "__violation.keyword", "__violation.detail")
