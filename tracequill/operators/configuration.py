@@ -69,8 +69,8 @@ def taxonomy_errors(t: Tables) -> DataFrame:
         _lost(instruments, "vendor_id", vendors, "id", "INSTRUMENT_VENDOR_UNKNOWN", "id"), _lost(instruments, "technology_family_id", families, "id", "INSTRUMENT_TECHNOLOGY_UNKNOWN", "id"), _lost(models, "instrument_family_id", instruments, "id", "MODEL_FAMILY_UNKNOWN", "id"),
     ]
 
-    claim = lambda df, place, alias: df.select(F.lower(alias).alias("alias"), F.lit(place).alias("place"), F.col("id").alias("owner"))
-    claims = claim(models, 1, F.col("label")).unionByName(claim(models, 1, F.explode("source_aliases"))).unionByName(claim(instruments, 2, F.explode("family_level_aliases"))).distinct()
+    claim = lambda df, place, aliases: df.select(F.explode(F.transform(aliases, F.lower)).alias("alias"), F.lit(place).alias("place"), F.col("id").alias("owner"))
+    claims = claim(models, 1, F.concat(F.array("label"), "source_aliases")).unionByName(claim(instruments, 2, "family_level_aliases")).distinct()
     first = claims.groupBy("alias").agg(F.min(F.struct("place", "owner")).alias("first"))
     parts.append(_rows(claims.join(first, "alias").filter(F.struct("place", "owner") != F.col("first")), "ALIAS_CLAIMED_TWICE", "alias", F.when(F.col("place") == 1, "model").otherwise("family"), "owner"))
 

@@ -156,11 +156,11 @@ def model_policy_integrity(r: Roles) -> DataFrame:
     return configuration.model_policy_errors({"thresholds": thresholds, "models": models, "prohibited_decisions": prohibited, "allowed_tasks": tasks, "methods": methods})
 
 
-@query("""WITH RECURSIVE edges AS (SELECT DISTINCT s_nationkey AS f, c_nationkey AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08 AND s_nationkey < c_nationkey),
+@query("""WITH RECURSIVE edges AS (SELECT DISTINCT s_nationkey AS f, c_nationkey AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 48 AND l_discount = 0.1 AND s_nationkey < c_nationkey),
 reached AS (SELECT 0::INTEGER AS state UNION SELECT t FROM reached JOIN edges ON f = state) SELECT state::VARCHAR AS state FROM reached""", plain=True)
 def reachable_nations(r: Roles) -> DataFrame:
     """Nations that goods of the first can get to, from customer to supplier of the same nation, step by step."""
     c = F.col
-    rows = r.raw("lineitem").filter("l_quantity = 50 and l_discount = 0.1 and l_tax = 0.08").join(r.raw("supplier"), c("l_suppkey") == c("s_suppkey")).join(r.raw("orders"), c("l_orderkey") == c("o_orderkey")).join(r.raw("customer"), c("o_custkey") == c("c_custkey"))
+    rows = r.raw("lineitem").filter("l_quantity >= 48 and l_discount = 0.1").join(r.raw("supplier"), c("l_suppkey") == c("s_suppkey")).join(r.raw("orders"), c("l_orderkey") == c("o_orderkey")).join(r.raw("customer"), c("o_custkey") == c("c_custkey"))
     edges = rows.filter("s_nationkey < c_nationkey").select(c("s_nationkey").cast("string").alias("from_state"), c("c_nationkey").cast("string").alias("to_state"))
     return configuration.reachable(edges, r.raw("nation").filter("n_nationkey = 0").select(c("n_nationkey").cast("string").alias("state")))

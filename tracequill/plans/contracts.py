@@ -204,13 +204,13 @@ def delivery_violations(r: Roles) -> DataFrame:
 
 # ---- panel of several contexts --------------------------------------------------------------
 
-_RULES = selection.Rules(half_window=3000, least_assessable=2000, per_contig=2, per_context=6, cross_overlap=3000, least_contigs=3)
+_RULES = selection.Rules(half_window=3000, least_assessable=2000, per_contig=4, per_context=16, cross_overlap=1500, least_contigs=3)
 _ORDER = ["c2", "c0", "c1"]
 
 
 def _contexts(r: Roles) -> DataFrame:
     """Every interval in one of three contexts."""
-    return r.intervals.withColumn("context_id", F.concat(F.lit("c"), F.pmod("user_id", F.lit(3)).cast("string")))
+    return r.intervals.withColumn("context_id", F.concat(F.lit("c"), F.pmod("id", F.lit(3)).cast("string")))
 
 
 def _candidates(r: Roles) -> DataFrame:
@@ -223,21 +223,25 @@ def _candidates(r: Roles) -> DataFrame:
     return first
 
 
-_PLACED = """, contexts AS (SELECT *, 'c' || (user_id % 3) AS context_id FROM intervals),
+_PLACED = """, contexts AS (SELECT *, 'c' || (id % 3) AS context_id FROM intervals),
 cover AS (SELECT contig, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY start, "end", id) AS g FROM (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY contig ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM intervals WHERE side = 1)) GROUP BY contig, g),
 windows AS (SELECT DISTINCT context_id, contig, w AS start, w + 6000 AS "end" FROM (SELECT context_id, contig, greatest(0, (start + "end") // 2 - 3000) AS w FROM contexts)),
 named AS (SELECT *, 'window:sha256:' || sha256('{"assembly":"A1","chromosome":"' || contig || '","context_id":"' || context_id || '","nominal_end_0based":' || "end" || ',"nominal_start_0based":' || start || '}') AS candidate_id FROM windows),
-eligible AS (SELECT n.context_id, candidate_id, n.contig, n.start, n."end" FROM named n JOIN cover b ON b.contig = n.contig AND b.start < n."end" AND b."end" > n.start GROUP BY ALL HAVING sum(least(n."end", b."end") - greatest(n.start, b.start)) >= 2000),
+eligible AS (SELECT n.context_id, candidate_id, n.contig, n.start, n."end" FROM named n JOIN cover b ON b.contig = n.contig AND b.start < n."end" AND b."end" > n.start GROUP BY ALL HAVING sum(least(n."end", b."end") - greatest(n.start, b.start)) >= @least_assessable),
 placed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY list_position(['c2', 'c0', 'c1'], context_id), sha256('salt|' || candidate_id), candidate_id) AS place FROM eligible),
 firsts AS (SELECT context_id, min(place) AS first, max(place) AS last FROM placed GROUP BY 1),
 walk AS (SELECT 0::BIGINT AS place, ''::VARCHAR AS context_id, ''::VARCHAR AS candidate_id, ''::VARCHAR AS why, []::STRUCT(k VARCHAR, id VARCHAR, contig VARCHAR, s BIGINT, e BIGINT)[] AS chosen UNION ALL
 SELECT place, context_id, candidate_id, why, CASE WHEN why = '' THEN list_append(chosen, {'k': context_id, 'id': candidate_id, 'contig': contig, 's': start, 'e': "end"}) ELSE chosen END FROM
-(SELECT c.*, w.chosen, CASE WHEN len(list_filter(w.chosen, lambda x: x.k = c.context_id AND x.contig = c.contig)) >= 2 THEN 'MAX_WINDOWS_PER_CHROMOSOME' WHEN len(list_filter(w.chosen, lambda x: x.k = c.context_id AND x.contig = c.contig AND x.s < c."end" AND x.e > c.start)) > 0 THEN 'WITHIN_CONTEXT_OVERLAP'
-WHEN len(list_filter(w.chosen, lambda x: x.k <> c.context_id AND x.contig = c.contig AND least(x.e, c."end") - greatest(x.s, c.start) >= 3000)) > 0 THEN 'CROSS_CONTEXT_OVERLAP_GE_50_PERCENT' ELSE '' END AS why
-FROM walk w LEFT JOIN firsts f ON f.context_id = w.context_id JOIN placed c ON c.place = CASE WHEN len(list_filter(w.chosen, lambda x: x.k = w.context_id)) >= 6 THEN f.last + 1 ELSE w.place + 1 END))
+(SELECT c.*, w.chosen, CASE WHEN len(list_filter(w.chosen, lambda x: x.k = c.context_id AND x.contig = c.contig)) >= @per_contig THEN 'MAX_WINDOWS_PER_CHROMOSOME' WHEN len(list_filter(w.chosen, lambda x: x.k = c.context_id AND x.contig = c.contig AND x.s < c."end" AND x.e > c.start)) > 0 THEN 'WITHIN_CONTEXT_OVERLAP'
+WHEN len(list_filter(w.chosen, lambda x: x.k <> c.context_id AND x.contig = c.contig AND least(x.e, c."end") - greatest(x.s, c.start) >= @cross_overlap)) > 0 THEN 'CROSS_CONTEXT_OVERLAP_GE_50_PERCENT' ELSE '' END AS why
+FROM walk w LEFT JOIN firsts f ON f.context_id = w.context_id JOIN placed c ON c.place = CASE WHEN len(list_filter(w.chosen, lambda x: x.k = w.context_id)) >= @per_context THEN f.last + 1 ELSE w.place + 1 END))
 """
 
 
+for _name in ("per_contig", "per_context", "cross_overlap", "least_assessable"):
+    _PLACED = _PLACED.replace(f"@{_name}", str(getattr(_RULES, _name)))
+
+
 @query(_PLACED + """SELECT context_id, candidate_id, contig, start, "end", row_number() OVER (PARTITION BY context_id ORDER BY place)::INT AS selection_rank, row_number() OVER (PARTITION BY context_id, contig ORDER BY place)::INT AS chromosome_selection_rank
 FROM walk JOIN placed USING (place, context_id, candidate_id) WHERE why = ''""")
 def panel_selection(r: Roles) -> DataFrame:
