@@ -33,7 +33,7 @@ def test_a_missing_library_leaves_the_other_queries(tmp_path):
 def test_all_is_registered():
     if (ROOT / "tracequill/llm").exists():
         names = _names(ROOT)
-        assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+        assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_flagship(spark):

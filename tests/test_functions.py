@@ -54,6 +54,11 @@ def test_text_functions(spark):
     assert _one(spark, text.media_type, "a.bed") == "text/tab-separated-values" and _one(spark, text.media_type, "a.VCF.gz") == "application/octet-stream"
     assert _one(spark, lambda c: text.media_type(c, text.MEDIA_TYPES_1A), "a.fasta") == "application/octet-stream"
     assert _one(spark, text.list_literal, "['a' 'b', \"c\"]") == ["a", "b", "c"]
+    assert _one(spark, text.list_literal, "[1, 2]") == ["1", "2"] and _one(spark, text.list_literal, """['it\\'s', "a, b"]""") == ["it's", "a, b"]
+    assert _one(spark, text.list_literal, "('a', 'b',)") == ["a", "b"] and _one(spark, text.list_literal, "") == _one(spark, text.list_literal, "[]") == []
+    for bad in ("['a'", "a", "{'a': 1}"):
+        with pytest.raises(Exception, match="no list"):
+            _one(spark, text.list_literal, bad)
     assert _one(spark, text.release_kind, "1.2.3", "1.2.4") == "PATCH"
     assert _one(spark, text.release_kind, "1.2.3", "1.3.1") == "MINOR_MUST_RESET"
     assert _one(spark, text.release_kind, "1.2.3", "2.0.0") == "MAJOR"

@@ -121,8 +121,8 @@ def test_explorer(spark):
     provenance = make([("p", "A", "1", "B", "2")], "provenance_link_id string, source_entity_type string, source_entity_id string, target_entity_type string, target_entity_id string")
     model = explorer.build(first, second, observations, links, accounting, runs, experiments, provenance)
     got = {r.event_id: (r.identity_state, r.raw_decisions, r.unresolved_reason) for r in model.events.collect()}
-    assert got == {"e1": ("EXACT_NORMALIZED_ALLELE", "FP;TP", None), "e2": ("NOT_EVALUATED", None, None), "e3": ("UNRESOLVED", "TP", "MULTIPLE_NORMALIZED_ALLELES")}
-    assert {r.name: r.n for r in explorer.manifest(model).collect()} == {"events:EXACT_NORMALIZED_ALLELE": 1, "events:NOT_EVALUATED": 1, "events:UNRESOLVED": 1, "variants": 1, "provenance_entities": 2}
+    assert got == {"e1": ("EXACT_NORMALIZED_ALLELE", "FP;TP", None), "e2": ("NOT_EVALUATED_FOR_CROSS_RUN_IDENTITY", None, None), "e3": ("UNRESOLVED", "TP", "MULTIPLE_NORMALIZED_ALLELES")}
+    assert {r.name: r.n for r in explorer.manifest(model).collect()} == {"events:EXACT_NORMALIZED_ALLELE": 1, "events:NOT_EVALUATED_FOR_CROSS_RUN_IDENTITY": 1, "events:UNRESOLVED": 1, "variants": 1, "provenance_entities": 2}
     assert explorer.example_rows(model, links, "v1").count() == 1
     with pytest.raises(ValueError, match="both phases"):
         explorer.build(first, first, observations, links, accounting, runs, experiments, provenance)

@@ -81,12 +81,53 @@ def test_gates(spark):
     assert sorted(tuple(r) for r in rows.collect()) == [("KEY", "PASS", 0), ("POSITIVE", "FAIL", 2)]
     assert gates.verdict(rows, ["POSITIVE"]).first()[0] == "STOP"
     assert gates.verdict(rows, ["KEY"]).first()[0] == "MODIFY"
-    assert gates.forbidden_fields(spark.createDataFrame([], "a struct<ranking:int,x:array<struct<winner:int>>>, b int")) == ["a.ranking", "a.x.winner"]
+    assert gates.forbidden_fields(spark.createDataFrame([], "a struct<trusted:int,x:array<struct<caller_winner:int>>>, b int, ranking int")) == ["a.trusted", "a.x.caller_winner"]
     assert gates.reproducible(df, df).count() == 0
     json = spark.createDataFrame([('{"a":{"consensus" : 1}}',)], "j string")
     assert json.select(gates.forbidden_json_keys(F.col("j"))).first()[0] == ["consensus"]
 
 
+def test_forbidden_names_of_every_family(spark):
+    names = lambda schema, *a, **k: gates.forbidden_fields(spark.createDataFrame([], schema), *a, **k)
+    assert names("reliability_score int, trusted int, technology_winner int, caller_winner int, preferred_technology int, consensus_decision int, technology_rank int, rank int") == ["reliability_score", "trusted", "technology_winner", "caller_winner", "preferred_technology", "consensus_decision"]
+    assert names("technology_rank int, consensus_label int, trusted int", gates.FORBIDDEN_ACTIONS) == ["technology_rank", "consensus_label"]
+    assert names("my_reliability int, trusted_x int, b int", (), fragments=gates.FRAGMENTS) == ["my_reliability", "trusted_x"]
+
+
+def test_deep_scans(spark):
+    docs = [(1, '{"a":[{"b":{"trusted":1}},{"Homopolymer":0}],"text":"consensus"}'), (2, '["LOW_MAPPABILITY",{"x/y":{"consensus":null}}]'), (3, '"consensus"'), (4, None), (5, '{"my_reliability_x":{"note":"\\"trusted\\": 1"}}')]
+    df = spark.createDataFrame(docs, "k int, doc string").withColumn("v", F.parse_json("doc"))
+    found = lambda rows: sorted(tuple(r) for r in rows.collect())
+    assert found(gates.forbidden_paths(df, "k", F.col("v"))) == [(1, "a/0/b/trusted", "trusted"), (2, "1/x/y/consensus", "consensus")]
+    assert found(gates.forbidden_paths(df, "k", F.col("v"), (), gates.FRAGMENTS)) == [(1, "a/0/b/trusted", "trusted"), (2, "1/x/y/consensus", "consensus"), (5, "my_reliability_x", "my_reliability_x")]
+    assert found(gates.context_paths(df, "k", F.col("v"))) == [(1, "a/1/Homopolymer", "Homopolymer"), (2, "0", "LOW_MAPPABILITY")]
+    assert gates.json_walk(df.limit(0), "k", F.col("v")).count() == 0
+
+
+def test_references(spark):
+    make = spark.createDataFrame
+    interval = "struct<assembly:string,contig:string,start_0based:long,end_0based:long>"
+    good = {
+        "events": ([["e1", "f"]], "event_id string, reference_artifact_id string"), "observations": ([["o1", "r1", "f"]], "observation_id string, benchmark_run_id string, source_output_artifact_id string"),
+        "runs": ([["r1", "f", "f", "f", "f", ["f"], "SUCCEEDED", ("A", "1", 5, 9), ("A", "1", 0, 20)]], f"benchmark_run_id string, query_artifact_id string, truth_artifact_id string, benchmark_bed_artifact_id string, reference_artifact_id string, output_artifact_ids array<string>, run_status string, core {interval}, padded {interval}"),
+        "experiments": ([["x1", ["f"]]], "experiment_id string, metadata_artifact_ids array<string>"), "provenance": ([["p1", "SOURCE_ARTIFACT", "f", "OBSERVATION", "o1"]], "provenance_link_id string, source_entity_type string, source_entity_id string, target_entity_type string, target_entity_id string"),
+        "artifacts": ([["f"]], "source_artifact_id string"),
+    }
+
+    def rules(*changes):
+        rows = {k: [list(r) for r in v] for k, (v, _) in good.items()}
+        for table, column, value in changes:
+            rows[table][0][column] = value
+        return sorted(r.rule for r in gates.reference_violations(*[make([tuple(r) for r in rows[k]], good[k][1]) for k in ("events", "observations", "runs", "experiments", "provenance", "artifacts")]).collect())
+
+    assert rules() == []
+    changes = [("events", 1, "x"), *[("runs", i, None) for i in (1, 2, 3, 4)], ("runs", 5, ["f", "x"]), ("experiments", 1, ["x"]), ("observations", 1, "r9"), ("observations", 2, "x"), ("provenance", 1, "VARIANT"), ("provenance", 4, "o9"), ("runs", 7, ("A", "2", 9, 9)), ("runs", 8, ("A", "1", -1, 20))]
+    assert rules(*changes) == [
+        "EVENT_REFERENCE_ARTIFACT", "EXPERIMENT_METADATA_ARTIFACT", "LINK_SOURCE_EXISTS", "LINK_TARGET_EXISTS", "OBSERVATION_OUTPUT_ARTIFACT", "OBSERVATION_RUN_EXISTS", "RUN_BENCHMARK_BED_ARTIFACT_ID", "RUN_CORE_INTERVAL", "RUN_INTERVALS_AGREE", "RUN_OUTPUT_ARTIFACT", "RUN_PADDED_INTERVAL",
+        "RUN_QUERY_ARTIFACT_ID", "RUN_REFERENCE_ARTIFACT_ID", "RUN_TRUTH_ARTIFACT_ID", "SUCCEEDED_RUN_OBSERVED",
+    ]
+
+
 def test_bundle(spark):
     make = spark.createDataFrame
     events = make([("e1", "r1", 0, 5), ("e2", "r9", 5, 5)], "event_id string, benchmark_run_id string, start_0based long, end_0based long")

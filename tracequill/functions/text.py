@@ -187,8 +187,17 @@ def karyotype_key(contig: Column, variant: str = "sex") -> Column:
 
 
 def list_literal(x: Column) -> Column:
-    """The texts of a list in brackets, quoted by ' or " and parted by commas or white space."""
-    return F.transform(F.regexp_extract_all(x, F.lit(r"""'([^']*)'|"([^"]*)\""""), F.lit(0)), lambda s: F.substring(s, F.lit(2), F.length(s) - 2))
+    """The items of a list in brackets as texts: numbers, texts quoted by ' or ", escapes; parted by commas, or texts by white space.
+
+    No text and an empty one are an empty list; anything that is no list fails the query.
+    """
+    held = F.trim(x)
+    listed = F.when(held.startswith("("), F.regexp_replace(held, r"^\((.*)\)$", "[$1]")).otherwise(held)
+    listed = F.regexp_replace(listed, r",\s*\]$", "]")
+    parsed = lambda t: F.from_json(t, "array<string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
+    items = F.coalesce(parsed(listed), parsed(F.regexp_replace(listed, r"""(?<=['"])\s+(?=['"])""", ", ")))
+    empty = F.array().cast("array<string>")
+    return F.when(x.isNull() | (held == ""), empty).when(items.isNull(), F.raise_error(F.concat(F.lit("no list: "), x)).cast("array<string>")).otherwise(items)
 
 
 def json_value(text: Column, key: str) -> Column:

@@ -165,13 +165,13 @@ def search(events: DataFrame, *, event: str | None = None, variant: str | None =
 def with_identity_state(events: DataFrame, links: DataFrame, accounting: DataFrame) -> DataFrame:
     """Identity state of events of both phases, nothing invented.
 
-    First-phase events without a link are NOT_EVALUATED; second-phase events have their accounting's status.
+    First-phase events without a link are NOT_EVALUATED_FOR_CROSS_RUN_IDENTITY; second-phase events have their accounting's status.
     """
     l = links.select(F.col("event_id").alias("l_event"), F.col("variant_id").alias("l_variant"), F.col("benchmark_run_id").alias("l_run"))
     a = accounting.select(F.col("event_id").alias("a_event"), F.col("status").alias("a_status"), F.col("reason").alias("a_reason"))
     rows = events.join(l, F.col("event_id") == F.col("l_event"), "left").join(a, F.col("event_id") == F.col("a_event"), "left")
     first = F.col("phase") == 1
-    state = F.when(first & F.col("l_event").isNull(), F.lit("NOT_EVALUATED")).when(first, F.lit("EXACT_NORMALIZED_ALLELE")).otherwise(F.col("a_status"))
+    state = F.when(first & F.col("l_event").isNull(), F.lit("NOT_EVALUATED_FOR_CROSS_RUN_IDENTITY")).when(first, F.lit("EXACT_NORMALIZED_ALLELE")).otherwise(F.col("a_status"))
     exact = F.col("identity_state") == "EXACT_NORMALIZED_ALLELE"
     rows = rows.withColumn("identity_state", state).withColumn("variant_id", F.when(exact, F.col("l_variant"))).withColumn("unresolved_reason", F.when(F.col("identity_state") == "UNRESOLVED", F.col("a_reason")))
     return rows.withColumn("run_matches", F.col("l_run").isNull() | (F.col("l_run") == F.col("benchmark_run_id"))).drop("l_event", "l_variant", "l_run", "a_event", "a_status", "a_reason")

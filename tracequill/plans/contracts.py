@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequill.functions import documents, entities
-from tracequill.operators import delivery, intervals, selection
+from tracequill.operators import delivery, gates, intervals, selection
 from tracequill.plans.registered import query
 from tracequill.plans.roles import Roles
 from tracequill.plans.stored import _path
@@ -260,3 +260,42 @@ def other_contexts(r: Roles) -> DataFrame:
     """The contexts that each candidate overlaps beside its own."""
     windows = _candidates(r).select("candidate_id", "context_id", "contig", "start", "end").withColumnRenamed("context_id", "own_context")
     return selection.context_membership(windows, _contexts(r), sorted(_ORDER), own="own_context").select("candidate_id", "memberships")
+
+
+# ---- references and deep scans --------------------------------------------------------------
+
+
+@query("""WITH runs AS (SELECT c_custkey AS id, c_nationkey AS q, c_nationkey + 10 AS t, c_nationkey * 5 AS b, c_custkey % 120 AS f, CASE WHEN c_acctbal < 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, c_mktsegment AS segment, floor(c_acctbal)::BIGINT AS place FROM customer), known AS (SELECT s_suppkey AS k FROM supplier WHERE s_acctbal > 0),
+lines AS (SELECT DISTINCT l_orderkey, l_suppkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS o FROM lineitem), seen AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
+SELECT 'EVENT_REFERENCE_ARTIFACT' AS rule, o_orderkey::VARCHAR AS key FROM orders WHERE o_custkey NOT IN (SELECT k FROM known) UNION ALL SELECT 'RUN_QUERY_ARTIFACT_ID', id::VARCHAR FROM runs WHERE q NOT IN (SELECT k FROM known) UNION ALL SELECT 'RUN_TRUTH_ARTIFACT_ID', id::VARCHAR FROM runs WHERE t NOT IN (SELECT k FROM known)
+UNION ALL SELECT 'RUN_BENCHMARK_BED_ARTIFACT_ID', id::VARCHAR FROM runs WHERE b NOT IN (SELECT k FROM known) UNION ALL SELECT 'RUN_REFERENCE_ARTIFACT_ID', id::VARCHAR FROM runs WHERE f NOT IN (SELECT k FROM known) UNION ALL SELECT 'RUN_OUTPUT_ARTIFACT', id::VARCHAR FROM (SELECT id, unnest([q, t]) AS x FROM runs) WHERE x NOT IN (SELECT k FROM known)
+UNION ALL SELECT 'EXPERIMENT_METADATA_ARTIFACT', n_nationkey::VARCHAR FROM nation WHERE n_nationkey NOT IN (SELECT k FROM known) UNION ALL SELECT 'OBSERVATION_RUN_EXISTS', o FROM lines JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey NOT IN (SELECT id FROM runs)
+UNION ALL SELECT 'OBSERVATION_OUTPUT_ARTIFACT', o FROM lines JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey NOT IN (SELECT k FROM known) UNION ALL SELECT 'LINK_SOURCE_EXISTS', 'p-' || o FROM lines WHERE l_suppkey NOT IN (SELECT k FROM known) UNION ALL SELECT 'LINK_TARGET_EXISTS', 'p-' || o FROM lines WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'RUN_CORE_INTERVAL', id::VARCHAR FROM runs WHERE place < 0 UNION ALL SELECT 'RUN_INTERVALS_AGREE', id::VARCHAR FROM runs WHERE segment = 'BUILDING' UNION ALL SELECT 'SUCCEEDED_RUN_OBSERVED', id::VARCHAR FROM runs WHERE status = 'SUCCEEDED' AND id NOT IN (SELECT o_custkey FROM seen)""", plain=True)
+def registry_references(r: Roles) -> DataFrame:
+    """References of orders, items, customers and nations as a registry, in which artifacts are suppliers with a balance."""
+    c = F.col
+    artifacts = r.raw("supplier").filter("s_acctbal > 0").select(c("s_suppkey").alias("source_artifact_id"))
+    interval = lambda contig, start: F.struct(F.lit("A1").alias("assembly"), contig.alias("contig"), start.alias("start_0based"), (F.greatest(start, F.lit(0)) + 1).alias("end_0based"))
+    place, segment = F.floor("c_acctbal"), c("c_mktsegment")
+    runs = r.raw("customer").select(
+        c("c_custkey").alias("benchmark_run_id"), c("c_nationkey").alias("query_artifact_id"), (c("c_nationkey") + 10).alias("truth_artifact_id"), (c("c_nationkey") * 5).alias("benchmark_bed_artifact_id"), (c("c_custkey") % 120).alias("reference_artifact_id"), F.array("c_nationkey", c("c_nationkey") + 10).alias("output_artifact_ids"),
+        F.when(c("c_acctbal") < 0, "FAILED").otherwise("SUCCEEDED").alias("run_status"), interval(segment, place).alias("core"), interval(F.when(segment == "BUILDING", "other").otherwise(segment), F.lit(0).cast("long")).alias("padded"),
+    )
+    items = r.observations.select("observation_id", "benchmark_run_id", c("source_artifact_id").alias("source_output_artifact_id")).distinct()
+    experiments = r.raw("nation").select(c("n_nationkey").alias("experiment_id"), F.array("n_nationkey").alias("metadata_artifact_ids"))
+    events = r.raw("orders").select(c("o_orderkey").alias("event_id"), c("o_custkey").alias("reference_artifact_id"))
+    return gates.reference_violations(events, items, runs, experiments, r.provenance, artifacts)
+
+
+@query("""WITH docs AS (SELECT o_orderkey AS key, o_orderpriority AS priority, n, lines FROM orders JOIN (SELECT l_orderkey, count(*) AS n, list({'q': l_quantity, 'r': l_returnflag} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+each AS (SELECT key, unnest(lines) AS x, generate_subscripts(lines, 1) - 1 AS i FROM docs)
+SELECT key, 'lines/' || i || '/deep/trusted' AS path, 'trusted' AS name FROM each WHERE x.q > 45 UNION ALL SELECT key, 'lines/' || i || '/consensus', 'consensus' FROM each WHERE x.r = 'R' UNION ALL SELECT key, 'preferred_technology', 'preferred_technology' FROM docs WHERE priority = '1-URGENT'""", plain=True)
+def forbidden_paths(r: Roles) -> DataFrame:
+    """Where JSON documents of orders and items have forbidden names, at any depth; texts that look like names aren't."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    lines = r.raw("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    item = lambda x: F.struct(F.struct(F.when(x["l_quantity"] > 45, 1).alias("trusted"), F.lit('"trusted": 1').alias("note")).alias("deep"), F.when(x["l_returnflag"] == "R", F.array(F.lit("TP"))).alias("consensus"))
+    doc = F.struct(F.transform("lines", item).alias("lines"), F.when(F.col("o_orderpriority") == "1-URGENT", "x").alias("preferred_technology"), F.lit("consensus").alias("text"))
+    rows = r.raw("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("key"), documents.document(doc).alias("document"))
+    return gates.forbidden_paths(rows, "key", F.col("document"))

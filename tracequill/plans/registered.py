@@ -88,7 +88,7 @@ def numbered_candidates(r: Roles) -> DataFrame:
     return evidence.numbered(r.registry_events.select("event_id", "event_status"), "candidate_number", "event_id")
 
 
-@query("""SELECT event_id, benchmark_run_id, CASE WHEN event_id % 2 = 1 AND n IS NULL THEN 'NOT_EVALUATED' WHEN event_id % 2 = 1 THEN 'EXACT_NORMALIZED_ALLELE' WHEN event_status = 'F' THEN 'EXACT_NORMALIZED_ALLELE' ELSE 'UNRESOLVED' END AS identity_state,
+@query("""SELECT event_id, benchmark_run_id, CASE WHEN event_id % 2 = 1 AND n IS NULL THEN 'NOT_EVALUATED_FOR_CROSS_RUN_IDENTITY' WHEN event_id % 2 = 1 THEN 'EXACT_NORMALIZED_ALLELE' WHEN event_status = 'F' THEN 'EXACT_NORMALIZED_ALLELE' ELSE 'UNRESOLVED' END AS identity_state,
 CASE WHEN event_id % 2 = 0 AND event_status <> 'F' THEN event_status END AS unresolved_reason FROM registry_events LEFT JOIN (SELECT event_id, count(*) AS n FROM items WHERE quantity > 25 GROUP BY event_id) USING (event_id)""")
 def identity_state(r: Roles) -> DataFrame:
     events = r.registry_events.withColumn("phase", F.when(F.pmod("event_id", F.lit(2)) == 1, 1).otherwise(2))

@@ -218,7 +218,7 @@ def identity_accounting(r: Roles) -> DataFrame:
     return rows.select("event_id", "status", "reason", "n_observations", "origin", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
-_STATED = """(SELECT event_id, v, CASE WHEN event_id % 2 = 1 AND v IS NULL THEN 'NOT_EVALUATED' WHEN event_id % 2 = 1 OR event_status = 'F' THEN 'EXACT_NORMALIZED_ALLELE' ELSE 'UNRESOLVED' END AS state
+_STATED = """(SELECT event_id, v, CASE WHEN event_id % 2 = 1 AND v IS NULL THEN 'NOT_EVALUATED_FOR_CROSS_RUN_IDENTITY' WHEN event_id % 2 = 1 OR event_status = 'F' THEN 'EXACT_NORMALIZED_ALLELE' ELSE 'UNRESOLVED' END AS state
 FROM registry_events LEFT JOIN (SELECT event_id, min(variant_id) AS v FROM items WHERE quantity > 25 GROUP BY 1) USING (event_id))"""
 
 
@@ -499,7 +499,7 @@ def _registry(r: Roles) -> criteria.Registry:
         "events": events, "observations": observations, "runs": r.runs.select("benchmark_run_id", F.when(c("benchmark_run_id") % 41 == 0, F.lit(-4)).otherwise(c("experiment_id")).cast("long").alias("experiment_id"), F.lit("x").alias("region_set_sha256"), F.when(c("run_kind") == "BUILDING", F.lit("y")).otherwise(F.lit("x")).alias("locked_region_set_sha256")),
         "experiments": r.experiments, "provenance": r.provenance.filter("source_entity_id % 9 <> 0"), "artifacts": r.artifacts.filter("source_artifact_id % 8 <> 0").select("source_artifact_id", F.lit("DERIVED").alias("derivation_state"), F.when(c("source_artifact_id") % 3 != 0, F.lit("x")).alias("sha256")),
         "accounting": accounting, "links": links, "variants": variants, "known": variants.filter("p_partkey % 4 = 0").select("variant_id"), "candidates": pairs, "classification": classification, "windows": windows, "typed_events": typed,
-        "states": o.select(k.alias("event_id"), (1 + k % 2).alias("phase"), F.when(k % 3 == 0, F.lit(identity.UNRESOLVED)).otherwise(F.lit("NOT_EVALUATED")).alias("identity_state")),
+        "states": o.select(k.alias("event_id"), (1 + k % 2).alias("phase"), F.when(k % 3 == 0, F.lit(identity.UNRESOLVED)).otherwise(F.lit("NOT_EVALUATED_FOR_CROSS_RUN_IDENTITY")).alias("identity_state")),
         "annotated": observations.filter("event_id % 37 <> 0"), "regions": rows([("c0", 100, 500), ("c0", 500, 900), ("c1", 100, 900), ("c2", 100, 900), ("c3", 0, 9)], "contig string, start long, end long"),
         "facts": rows(facts, "rule string, name string, expected string, observed string"), "query": query, "query_again": again, "counts": rows([("events", 1, 1), ("links", 2, 3)], "table_name string, expected int, actual int"),
         "sources": r.raw("supplier").select(c("s_suppkey").alias("candidate_id"), F.when(c("s_nationkey") == 1, F.lit("REJECTED")).otherwise(F.lit("ELIGIBLE")).alias("status"), (c("s_nationkey") == 2).alias("performance_consulted")),
@@ -589,12 +589,12 @@ def registry_bundle(r: Roles) -> DataFrame:
     return gates.gates(r.spark, names, found).select("gate", (F.col("status") == "PASS").alias("passed"), "n_violations")
 
 
-@query("SELECT n_nationkey::VARCHAR AS key, 'name' AS \"column\", n_name AS value FROM nation WHERE contains(n_name, '1') UNION ALL SELECT n_nationkey::VARCHAR, 'list', 'chr' || n_nationkey FROM nation UNION ALL SELECT 'field', 'trust_score', 'a.trust_score' UNION ALL SELECT 'json', 'rank', '{\"a\":{\"rank\":1}}'", plain=True)
+@query("SELECT n_nationkey::VARCHAR AS key, 'name' AS \"column\", n_name AS value FROM nation WHERE contains(n_name, '1') UNION ALL SELECT n_nationkey::VARCHAR, 'list', 'chr' || n_nationkey FROM nation UNION ALL SELECT 'field', 'trust_score', 'a.trust_score' UNION ALL SELECT 'json', 'consensus', '{\"a\":{\"consensus\":1}}'", plain=True)
 def forbidden_content(r: Roles) -> DataFrame:
     n = r.raw("nation").select("n_nationkey", F.col("n_name").alias("name"), F.array(F.lit("ok"), F.concat(F.lit("chr"), F.col("n_nationkey").cast("string"))).alias("list"))
     values = gates.forbidden_values(n, "n_nationkey", "1|^chr")
     names = gates.forbidden_fields(r.spark.createDataFrame([], "a struct<trust_score:int,ok:int>, b array<struct<fine:int>>"))
-    doc = r.spark.createDataFrame([('{"a":{"rank":1}}',)], "value string").select("value", F.explode(gates.forbidden_json_keys(F.col("value"))).alias("column"))
+    doc = r.spark.createDataFrame([('{"a":{"consensus":1}}',)], "value string").select("value", F.explode(gates.forbidden_json_keys(F.col("value"))).alias("column"))
     found = r.spark.createDataFrame([("field", f.rsplit(".", 1)[-1], f) for f in names], "key string, column string, value string")
     return values.unionAll(found).unionAll(doc.select(F.lit("json"), "column", "value"))
 
