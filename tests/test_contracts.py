@@ -258,3 +258,30 @@ def test_configuration_from_json(spark):
     doc = spark.createDataFrame([(text,)], "value string")
     assert [r.state for r in configuration.listed(doc, "states", "state string").collect()] == ["A", "B"]
     assert configuration.listed(doc, "deep.list", "id string, alias array<string>").first().alias == ["p", "q"]
+
+
+# ordered hash trees -----------------------------------------------------------------------------------------------------------------
+
+
+def test_hash_trees(spark):
+    from tracequill.operators import hashtree
+
+    df = spark.createDataFrame([(i, f"é{i % 7}", None if i % 5 else i) for i in range(100)], "k int, t string, n int")
+    tree = lambda d: hashtree.hash_tree(d, "k", chunk=8, fan=3)
+    one = tree(df)
+    rows = {(r.level, r.node): r for r in one.collect()}
+    lines = [json.dumps({"k": i, "t": f"é{i % 7}", "n": None if i % 5 else i}, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for i in range(100)]
+    digest = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    level = [digest([hashlib.sha256(x.encode()).hexdigest() for x in lines[i : i + 8]]) for i in range(0, 100, 8)]
+    for n in range(10):
+        assert [rows[n, k].digest for k in range(len(level))] == level
+        if len(level) == 1:
+            break
+        level = [digest(level[i : i + 3]) for i in range(0, len(level), 3)]
+    assert len(rows) == 13 + 5 + 2 + 1 and rows[3, 0].n_rows == 100 and (rows[0, 12].first, rows[0, 12].last) == ('{"k":96}', '{"k":99}')
+    differ = lambda d: [tuple(r) for r in hashtree.first_difference(one, tree(d), 3).collect()]
+    assert differ(df.repartition(7)) == []
+    assert differ(df.withColumn("t", F.when(F.col("k").isin(50, 90), "x").otherwise(F.col("t")))) == [(6, '{"k":48}', '{"k":55}', '{"k":48}', '{"k":55}')]
+    assert differ(df.filter("k <> 20")) == [(2, '{"k":16}', '{"k":23}', '{"k":16}', '{"k":24}')]
+    assert differ(df.filter("k < 96")) == [(12, '{"k":96}', '{"k":99}', None, None)]
+    assert differ(df.filter("k < 20"))[0][0] == 2 and differ(df.limit(0))[0][0] == 0 and hashtree.first_difference(tree(df.limit(0)), tree(df.limit(0)), 3).count() == 0

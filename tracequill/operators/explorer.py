@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequill.functions import canonical
@@ -48,3 +48,44 @@ def example_rows(model: Model, links: DataFrame, variant_id: str) -> DataFrame:
     """The linked events of one variant with sample, technology, run and state, in a fixed order."""
     own = links.filter(F.col("variant_id") == variant_id).select(F.col("event_id").alias("l_event"), "event_variant_link_id")
     return model.events.join(own, F.col("event_id") == F.col("l_event")).drop("l_event").orderBy("technology", "sample", "benchmark_run_id", "event_id")
+
+
+# The columns of the product query of the identity phase and of the validation phase, in order.
+IDENTITY_COLUMNS = (
+    "variant_id", "event_variant_link_id", "identity_status", "identity_method", "variant_origin", "sample_id", "technology", "experiment_id", "benchmark_run_id", "comparator", "comparator_version", "engine", "engine_version",
+    "event_id", "observation_id", "side", "raw_decision", "raw_match_kind", "source_genotype", "source_filter", "source_output_artifact_id", "phase2c_archive_sha256",
+)
+VALIDATION_COLUMNS = (
+    "variant_id", "event_variant_link_id", "identity_status", "identity_method", "identity_method_version", "source_selection_candidate_id", "sample_id", "technology", "platform", "pipeline_name", "experiment_id", "benchmark_run_id", "comparator", "comparator_version", "engine", "engine_version",
+    "event_id", "observation_id", "side", "raw_decision", "raw_match_kind", "raw_variant_type", "source_genotype", "source_filter", "source_output_artifact_id", "reference_artifact_id", "phase1b_archive_sha256", "phase2c_archive_sha256", "admitted_sources_lock_sha256", "interval_panel_lock_sha256",
+)
+LOCKS = ("phase1b_archive_sha256", "phase2c_archive_sha256", "admitted_sources_lock_sha256", "interval_panel_lock_sha256")
+
+
+def _product(links: DataFrame, events: DataFrame, runs: DataFrame, experiments: DataFrame, observations: DataFrame, largest_id: bool) -> DataFrame:
+    """A row for each observation of the best-covered variant: one with the most samples, then technologies, then links.
+
+    The variant is a row that the links are joined with; nothing of it comes to the driver.
+    """
+    c = F.col
+    of_run = runs.join(experiments, "experiment_id")
+    cover = links.join(of_run.select("benchmark_run_id", "sample_id", "technology"), "benchmark_run_id")
+    best = aggregates.best_covered(cover, "variant_id", "sample_id", "technology", "event_variant_link_id", largest_id).select(c("variant_id").alias("best_variant"))
+    own = links.join(best, c("variant_id") == c("best_variant"), "left_semi")
+    rows = own.join(events.drop("benchmark_run_id"), "event_id").join(of_run, "benchmark_run_id")
+    return rows.join(observations.drop("benchmark_run_id"), "event_id")
+
+
+def identity_product(links: DataFrame, events: DataFrame, runs: DataFrame, experiments: DataFrame, observations: DataFrame, archive_sha256: str) -> DataFrame:
+    """The identity phase's product query: IDENTITY_COLUMNS of every observation of the best variant (the largest id of equals)."""
+    rows = _product(links, events.select("event_id"), runs, experiments, observations, largest_id=True).withColumn("phase2c_archive_sha256", F.lit(archive_sha256))
+    return rows.select(*IDENTITY_COLUMNS)
+
+
+def validation_product(links: DataFrame, events: DataFrame, runs: DataFrame, experiments: DataFrame, observations: DataFrame, admitted: DataFrame) -> DataFrame:
+    """The validation phase's: VALIDATION_COLUMNS, with the source that was admitted for the sample and technology (sample_id, technology,
+    candidate_id) and the locks that the link's provenance names. The smallest id of equals."""
+    lock: dict[str, Column] = {n: F.get_json_object("provenance", f"$.{n}") for n in LOCKS}
+    rows = _product(links, events.select("event_id", "reference_artifact_id"), runs, experiments, observations, largest_id=False).withColumns(lock)
+    sources = admitted.select("sample_id", "technology", F.col("candidate_id").alias("source_selection_candidate_id"))
+    return rows.join(sources, ["sample_id", "technology"]).select(*VALIDATION_COLUMNS)

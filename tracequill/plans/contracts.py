@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequill.functions import documents, entities
-from tracequill.operators import delivery, gates, intervals, selection
+from tracequill.operators import delivery, explorer, gates, hashtree, intervals, selection
 from tracequill.plans.registered import query
 from tracequill.plans.roles import Roles
 from tracequill.plans.stored import _path
@@ -299,3 +299,72 @@ def forbidden_paths(r: Roles) -> DataFrame:
     doc = F.struct(F.transform("lines", item).alias("lines"), F.when(F.col("o_orderpriority") == "1-URGENT", "x").alias("preferred_technology"), F.lit("consensus").alias("text"))
     rows = r.raw("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("key"), documents.document(doc).alias("document"))
     return gates.forbidden_paths(rows, "key", F.col("document"))
+
+
+# ---- product queries ------------------------------------------------------------------------
+
+_PRODUCT = """WITH links AS (SELECT DISTINCT l_orderkey AS event_id, l_partkey AS variant_id FROM lineitem WHERE l_quantity > 25), runs AS (SELECT c_custkey AS run, c_nationkey AS experiment, n_name AS sample_id, r_name AS technology, c_mktsegment, c_name, floor(c_acctbal)::BIGINT AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+linked AS (SELECT l.*, o_custkey AS run, o_orderpriority, o_orderstatus FROM links l JOIN orders ON event_id = o_orderkey), cover AS (SELECT variant_id, count(DISTINCT sample_id) AS s, count(DISTINCT technology) AS t, count(DISTINCT event_id) AS n FROM linked JOIN runs USING (run) GROUP BY 1),
+items AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS observation_id, l_orderkey AS event_id, l_returnflag AS side, l_linestatus AS raw_decision, l_linenumber::VARCHAR AS kind, l_suppkey AS artifact, l_quantity::BIGINT::VARCHAR AS genotype FROM lineitem)
+"""
+
+
+def _product_tables(r: Roles) -> tuple[DataFrame, ...]:
+    c, text = F.col, lambda n: F.col(n).cast("string")
+    orders = r.raw("orders").select(c("o_orderkey").alias("event_id"), c("o_custkey").alias("benchmark_run_id"), "o_orderstatus", "o_orderpriority")
+    pairs = r.raw("lineitem").filter("l_quantity > 25").select(c("l_orderkey").alias("event_id"), c("l_partkey").alias("variant_id")).distinct()
+    locks = F.to_json(F.struct(*[F.concat(F.lit(f"{n}-"), c("o_orderpriority")).alias(n) for n in explorer.LOCKS]))
+    links = pairs.join(orders, "event_id").select(
+        "event_id", "variant_id", "benchmark_run_id", F.concat_ws("-", text("event_id"), text("variant_id")).alias("event_variant_link_id"), F.lit("EXACT_NORMALIZED_ALLELE").alias("identity_status"), F.lit("exact").alias("identity_method"), F.lit("1.0.0").alias("identity_method_version"),
+        F.when(c("o_orderstatus") == "F", "PHASE1B_REUSED").otherwise("PHASE2D_NEW").alias("variant_origin"), locks.alias("provenance"),
+    )
+    runs = r.raw("customer").select(c("c_custkey").alias("benchmark_run_id"), c("c_nationkey").alias("experiment_id"), c("c_mktsegment").alias("comparator"), c("c_name").alias("comparator_version"), c("c_mktsegment").alias("engine"), F.floor("c_acctbal").alias("engine_version"))
+    experiments = r.experiments.select("experiment_id", c("sample").alias("sample_id"), "technology", c("sample").alias("platform"), c("technology").alias("pipeline_name"))
+    observations = r.items.select("observation_id", "event_id", "side", "raw_decision", text("source_record_ordinal").alias("raw_match_kind"), c("side").alias("raw_variant_type"), text("quantity").alias("source_genotype"), c("raw_decision").alias("source_filter"), c("source_artifact_id").alias("source_output_artifact_id")).distinct()
+    return links, orders.select("event_id", c("o_orderpriority").alias("reference_artifact_id")), runs, experiments, observations
+
+
+@query(_PRODUCT + """SELECT l.variant_id, l.event_id || '-' || l.variant_id AS event_variant_link_id, 'EXACT_NORMALIZED_ALLELE' AS identity_status, 'exact' AS identity_method, CASE WHEN o_orderstatus = 'F' THEN 'PHASE1B_REUSED' ELSE 'PHASE2D_NEW' END AS variant_origin, sample_id, technology, experiment AS experiment_id, l.run AS benchmark_run_id,
+c_mktsegment AS comparator, c_name AS comparator_version, c_mktsegment AS engine, balance AS engine_version, l.event_id, observation_id, side, raw_decision, kind AS raw_match_kind, genotype AS source_genotype, raw_decision AS source_filter, artifact AS source_output_artifact_id, 'archive' AS phase2c_archive_sha256
+FROM linked l JOIN runs USING (run) JOIN items USING (event_id) WHERE l.variant_id = (SELECT variant_id FROM cover ORDER BY s DESC, t DESC, n DESC, variant_id DESC LIMIT 1)""", plain=True)
+def identity_product(r: Roles) -> DataFrame:
+    """Every observation of the best-covered variant, in the 22 columns of the identity phase."""
+    return explorer.identity_product(*_product_tables(r), "archive")
+
+
+@query(_PRODUCT + """SELECT l.variant_id, l.event_id || '-' || l.variant_id AS event_variant_link_id, 'EXACT_NORMALIZED_ALLELE' AS identity_status, 'exact' AS identity_method, '1.0.0' AS identity_method_version, candidate AS source_selection_candidate_id, sample_id, technology, sample_id AS platform, technology AS pipeline_name, experiment AS experiment_id,
+l.run AS benchmark_run_id, c_mktsegment AS comparator, c_name AS comparator_version, c_mktsegment AS engine, balance AS engine_version, l.event_id, observation_id, side, raw_decision, kind AS raw_match_kind, side AS raw_variant_type, genotype AS source_genotype, raw_decision AS source_filter, artifact AS source_output_artifact_id,
+o_orderpriority AS reference_artifact_id, 'phase1b_archive_sha256-' || o_orderpriority AS phase1b_archive_sha256, 'phase2c_archive_sha256-' || o_orderpriority AS phase2c_archive_sha256, 'admitted_sources_lock_sha256-' || o_orderpriority AS admitted_sources_lock_sha256, 'interval_panel_lock_sha256-' || o_orderpriority AS interval_panel_lock_sha256
+FROM linked l JOIN runs USING (run) JOIN items USING (event_id) JOIN (SELECT s_nationkey, min(s_suppkey) AS candidate FROM supplier GROUP BY 1) ON s_nationkey = experiment WHERE l.variant_id = (SELECT variant_id FROM cover ORDER BY s DESC, t DESC, n DESC, variant_id LIMIT 1)""", plain=True)
+def validation_product(r: Roles) -> DataFrame:
+    """The same in the 30 columns of the validation phase, with the first supplier of a nation as its admitted source."""
+    c = F.col
+    admitted = r.raw("supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("candidate_id")).join(r.experiments, c("s_nationkey") == c("experiment_id")).select(c("sample").alias("sample_id"), "technology", "candidate_id")
+    return explorer.validation_product(*_product_tables(r), admitted)
+
+
+# ---- ordered hash trees ---------------------------------------------------------------------
+
+_LEAVES = """WITH rows AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, sha256(json_object('o_custkey', o_custkey, 'o_orderkey', o_orderkey, 'o_orderpriority', o_orderpriority, 'o_orderstatus', o_orderstatus)::VARCHAR) AS digest FROM orders),
+leaves AS (SELECT place // 256 AS node, sha256(string_agg(digest, '' ORDER BY place)) AS digest, count(*) AS n_rows, min(k) AS first, max(k) AS last FROM rows GROUP BY 1)
+"""
+
+
+def _ordered_orders(r: Roles) -> DataFrame:
+    return r.raw("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+
+
+@query(_LEAVES + """SELECT node::BIGINT AS node, digest, n_rows, '{"o_orderkey":' || first || '}' AS first, '{"o_orderkey":' || last || '}' AS last FROM leaves""", plain=True)
+def hash_tree_leaves(r: Roles) -> DataFrame:
+    return hashtree.hash_tree(_ordered_orders(r), "o_orderkey", chunk=256, fan=4).filter("level = 0").drop("level")
+
+
+@query(_LEAVES + """SELECT node::BIGINT AS node, '{"o_orderkey":' || first || '}' AS one_first, '{"o_orderkey":' || last || '}' AS one_last, '{"o_orderkey":' || first || '}' AS other_first, '{"o_orderkey":' || last || '}' AS other_last
+FROM leaves WHERE node = (SELECT min(place // 256) FROM rows JOIN orders ON o_orderkey = k WHERE o_custkey = (SELECT max(o_custkey) FROM orders))""", plain=True)
+def first_difference(r: Roles) -> DataFrame:
+    """The range of keys in which a second build, with another priority for one customer's orders, first differs."""
+    rows = _ordered_orders(r)
+    last = rows.agg(F.max("o_custkey").alias("last"))
+    other = rows.join(last, F.col("o_custkey") == F.col("last"), "left").withColumn("o_orderpriority", F.when(F.col("last").isNotNull(), "changed").otherwise(F.col("o_orderpriority"))).drop("last")
+    trees = [hashtree.hash_tree(df.repartition(n), "o_orderkey", chunk=256, fan=4) for df, n in ((rows, 3), (other, 5))]
+    return hashtree.first_difference(*trees, fan=4)

@@ -580,12 +580,14 @@ def gate_verdicts(r: Roles) -> DataFrame:
 
 @query("""SELECT gate, (n = 0) AS passed, n AS n_violations FROM (SELECT 'EVENT_ID_UNIQUE' AS gate, 0 AS n UNION ALL SELECT 'RUN_ID_UNIQUE', 0 UNION ALL SELECT 'EVENT_RUN_EXISTS', count(*) FROM ev WHERE run NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'RUN_EXPERIMENT_EXISTS', count(*) FROM customer WHERE c_custkey % 41 = 0
 UNION ALL SELECT 'OBSERVATION_RUN_AGREES', count(*) FROM obs JOIN ev ON id = event_id WHERE obs.run <> ev.run UNION ALL SELECT 'EVENT_INTERVAL', count(*) FROM ev WHERE e <= s UNION ALL SELECT 'PADDED_HOLDS_CORE', count(*) FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'OBSERVATION_HAS_LINEAGE', count(*) FROM obs WHERE observation_id NOT IN (SELECT target_entity_id FROM prov)
-UNION ALL SELECT 'LINEAGE_ARTIFACT_EXISTS', count(*) FROM prov WHERE source_entity_id % 8 = 0 UNION ALL SELECT 'RUN_NOT_EMPTY', count(*) FROM customer WHERE c_custkey NOT IN (SELECT run FROM ev))""".join([_GATE_TABLES, ""]))
+UNION ALL SELECT 'LINEAGE_ARTIFACT_EXISTS', count(*) FROM prov WHERE source_entity_id % 8 = 0 UNION ALL SELECT 'RUN_NOT_EMPTY', count(*) FROM customer WHERE c_custkey NOT IN (SELECT run FROM ev)
+UNION ALL SELECT 'OBSERVATION_ID_UNIQUE', count(*) FROM (SELECT observation_id FROM obs GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'EXPERIMENT_ID_UNIQUE', count(*) FROM (SELECT n_nationkey FROM nation GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'ARTIFACT_ID_UNIQUE', count(*) FROM (SELECT s_suppkey FROM supplier GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'OBSERVATION_EVENT_EXISTS', count(*) FROM obs WHERE event_id NOT IN (SELECT id FROM ev))""".join([_GATE_TABLES, ""]))
 def registry_bundle(r: Roles) -> DataFrame:
     t = _registry(r).tables
     runs = t["runs"].withColumns({"core_start": F.lit(10), "core_end": F.lit(20), "padded_start": F.when(F.col("benchmark_run_id") % 3 == 0, 11).otherwise(0), "padded_end": F.lit(30)})
     found = gates.bundle_violations(t["events"], t["observations"], runs, t["experiments"], t["provenance"], t["artifacts"])
-    names = ["EVENT_ID_UNIQUE", "RUN_ID_UNIQUE", "EVENT_RUN_EXISTS", "RUN_EXPERIMENT_EXISTS", "OBSERVATION_RUN_AGREES", "EVENT_INTERVAL", "PADDED_HOLDS_CORE", "OBSERVATION_HAS_LINEAGE", "LINEAGE_ARTIFACT_EXISTS", "RUN_NOT_EMPTY"]
+    names = ["OBSERVATION_ID_UNIQUE", "EXPERIMENT_ID_UNIQUE", "ARTIFACT_ID_UNIQUE", "OBSERVATION_EVENT_EXISTS", "EVENT_ID_UNIQUE", "RUN_ID_UNIQUE", "EVENT_RUN_EXISTS", "RUN_EXPERIMENT_EXISTS", "OBSERVATION_RUN_AGREES", "EVENT_INTERVAL", "PADDED_HOLDS_CORE", "OBSERVATION_HAS_LINEAGE", "LINEAGE_ARTIFACT_EXISTS", "RUN_NOT_EMPTY"]
     return gates.gates(r.spark, names, found).select("gate", (F.col("status") == "PASS").alias("passed"), "n_violations")
 
 
