@@ -87,6 +87,18 @@ def test_gates(spark):
     assert json.select(gates.forbidden_json_keys(F.col("j"))).first()[0] == ["consensus"]
 
 
+def test_input_errors_of_assessments(spark):
+    rules = {"policy_version": "1", "criteria": [{"id": "E1", "hard": True, "applicability": "ALWAYS"}, {"id": "E2", "hard": True, "applicability": "CONDITIONAL"}], "decision_values": ["PASS", "FAIL", "UNKNOWN", "NOT_APPLICABLE"], "hard_gate_fields": ["f"], "hard_gate_accepted_methods": ["SOURCE"]}
+    good = [("E1", "PASS"), ("E2", "NOT_APPLICABLE")]
+    cases = {"good": good, "stray": [*good, ("E9", "PASS")], "lack": good[:1], "none": [], "invalid": [("E1", "MAYBE"), good[1]], "null": [("E1", None), good[1]], "always": [("E1", "NOT_APPLICABLE"), good[1]], "twice": [*good, good[1]], "outcome": [("E1", "FAIL"), good[1]]}
+    schema = "id string, policy_version string, criteria array<struct<criterion_id:string,decision:string>>, hard_gate_fields array<struct<field:string,value:string,method:string,curation_ref:string>>, outcome string"
+    df = spark.createDataFrame([(k, "1", v, [("f", "v", "SOURCE", None)], "ELIGIBLE") for k, v in cases.items()], schema)
+    found = {}
+    for r in policy.assessment_violations(rules, df, "id").collect():
+        found.setdefault(r.id, []).append(r.violation)
+    assert {k: sorted(v) for k, v in found.items()} == {"stray": ["UNKNOWN_CRITERION"], "lack": ["NOT_EVALUATED"], "none": ["NOT_EVALUATED"], "invalid": ["INVALID_DECISION"], "null": ["INVALID_DECISION"], "always": ["ALWAYS_APPLICABLE"], "twice": ["EVALUATED_TWICE"], "outcome": ["OUTCOME:INELIGIBLE"]}
+
+
 def test_forbidden_names_of_every_family(spark):
     names = lambda schema, *a, **k: gates.forbidden_fields(spark.createDataFrame([], schema), *a, **k)
     assert names("reliability_score int, trusted int, technology_winner int, caller_winner int, preferred_technology int, consensus_decision int, technology_rank int, rank int") == ["reliability_score", "trusted", "technology_winner", "caller_winner", "preferred_technology", "consensus_decision"]

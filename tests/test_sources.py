@@ -176,3 +176,19 @@ def test_shared_folder_is_demanded_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         storage.scratch(Session())
+
+
+def test_leading_lines(spark, tmp_path):
+    """A header is read from the beginning of a file, compressed or not; what follows isn't looked at."""
+    import gzip
+
+    text = "##a\n##FORMAT=<ID=BD,x>\n#CHROM\té\nrow\n#later\n"
+    (tmp_path / "a.vcf").write_text(text)
+    with gzip.open(tmp_path / "b.vcf.gz", "wt") as f:
+        f.write(text + "row\n" * 100_000)
+    (tmp_path / "empty.vcf").write_text("")
+    want = ["##a", "##FORMAT=<ID=BD,x>", "#CHROM\té"]
+    assert readers.leading_lines(spark, str(tmp_path / "a.vcf"), "#") == readers.leading_lines(spark, f"file://{tmp_path}/b.vcf.gz", "#") == want
+    assert readers.leading_lines(spark, str(tmp_path / "a.v*"), "#") == want and readers.leading_lines(spark, str(tmp_path / "empty.vcf"), "#") == []
+    with pytest.raises(FileNotFoundError):
+        readers.leading_lines(spark, str(tmp_path / "none.vcf"), "#")

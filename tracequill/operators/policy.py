@@ -6,6 +6,7 @@ A policy is a plain dict (from its JSON file); its small tables become literals
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -144,6 +145,8 @@ def evaluate(policy: Mapping[str, Any], decisions: DataFrame, values: DataFrame,
 def assessment_violations(policy: Mapping[str, Any], assessments: DataFrame, key: str = "assessment_id", derived: str = "E13") -> DataFrame:
     """key, violation of assessments (policy_version, criteria, hard_gate_fields, outcome); the outcome must be the aggregated one.
 
+    Criteria that aren't the policy's, lack, or have a decision that they can't have are violations; nothing is aggregated from them.
+
     criteria: array of (criterion_id, decision); hard_gate_fields: array of (field, value, method, curation_ref).
     """
     hard = [c["id"] for c in policy["criteria"] if c["hard"]]
@@ -153,13 +156,21 @@ def assessment_violations(policy: Mapping[str, Any], assessments: DataFrame, key
     backed = F.forall("hard_gate_fields", lambda f: f["method"].isin(list(policy["hard_gate_accepted_methods"])))
     passed = F.exists("criteria", lambda c: (c["criterion_id"] == derived) & (c["decision"] == "PASS"))
     outcome = F.when(having("FAIL"), F.lit("INELIGIBLE")).when(having("UNKNOWN"), F.lit("NEEDS_REVIEW")).otherwise(F.lit("ELIGIBLE"))
+    known = F.array(*[F.lit(c["id"]) for c in policy["criteria"]])
+    always = [c["id"] for c in policy["criteria"] if c["applicability"] != "CONDITIONAL"]
+    errors = {
+        "UNKNOWN_CRITERION": F.size(F.array_except(ids, known)) > 0, "NOT_EVALUATED": F.size(F.array_except(known, ids)) > 0, "INVALID_DECISION": F.exists("criteria", lambda c: ~F.coalesce(c["decision"].isin(list(policy["decision_values"])), F.lit(False))),
+        "ALWAYS_APPLICABLE": F.exists("criteria", lambda c: c["criterion_id"].isin(always) & (c["decision"] == "NOT_APPLICABLE")),
+    }
+    wrong = reduce(Column.__or__, errors.values())
     checks = F.array(
+        *[F.when(broken, F.lit(name)) for name, broken in errors.items()],
         F.when(~F.col("policy_version").eqNullSafe(F.lit(policy["policy_version"])), F.lit("POLICY_VERSION")),
         F.when(F.size(ids) > F.size(F.array_distinct(ids)), F.lit("EVALUATED_TWICE")),
         F.when((F.size(fields) != F.size(wanted)) | (F.size(F.array_except(wanted, fields)) > 0), F.lit("HARD_GATE_FIELDS")),
         F.when(F.exists("hard_gate_fields", lambda f: (f["method"] == "CURATED") & f["curation_ref"].isNull()), F.lit("NO_CURATION_REF")),
         F.when(passed & ~backed, F.lit("NOT_BACKED")),
-        F.when(~F.col("outcome").eqNullSafe(outcome), F.concat(F.lit("OUTCOME:"), outcome)),
+        F.when(~wrong & ~F.col("outcome").eqNullSafe(outcome), F.concat(F.lit("OUTCOME:"), outcome)),
     )
     return assessments.select(key, F.explode(F.array_compact(checks)).alias("violation"))
 
