@@ -304,3 +304,21 @@ def test_periods_are_one_run():
     for r in runs:
         spans = {texts[r["k1"]][r["first"] + t * r["starts"] :][: r["starts"] + 199] for t in range(r["times"])}
         assert len(spans) == 1
+
+
+def test_very_long_texts_and_odd_rows(spark):
+    """A million characters without a space, 200,000 words, nulls, empty texts, repeated rows, no doc_id."""
+    rng = random.Random(11)
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    texts = [(1, noise), (2, "one two three four five " * 40_000), (3, noise[300_000:300_500] + "."), (4, None), (5, ""), (None, "short"), (6, "short"), (6, "short"), (7, "漢字" * 200_000)]
+    df = spark.createDataFrame([(i, t, "en", "n", "o", "k") for i, t in texts], SCHEMA).repartition(3)
+    cut = {r.doc_id: r for r in fill_middle.transform(df).collect()}
+    assert (cut[1].n, cut[2].n, cut[7].n, cut[4].n) == (1, 400_000, 400_000, 0)
+    back = fill_middle.transform(df).select("text", fill_middle.restored(F.col("output"), F.col("form")).alias("back")).collect()
+    assert all((r.text or "") == r.back for r in back)
+    audit = filter_audit.interactions(df, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).filter("filter_order = 'ABCDE'").collect()
+    assert {r.step: (r.kept, r.removed) for r in audit} == {1: (1, 8), 2: (0, 1), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+    got = {(r.doc_id, r.text): r for r in repeats.remove(df).collect()}
+    assert (got[1, noise].n_removed, got[1, noise].n_spans) == (500, 1) and got[3, texts[2][1]].n_removed == 500 and bytes(got[3, texts[2][1]].kept) == b"."
+    assert got[2, texts[1][1]].n_removed == len(texts[1][1]) and got[7, texts[8][1]].n_removed == 1_200_000 and got[6, "short"].n_removed == 0 and got[4, None].n_bytes == 0
+    assert repeats.digests(df).count() == 9
