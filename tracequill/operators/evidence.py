@@ -82,26 +82,30 @@ def admitted_links(links: DataFrame, runs: DataFrame, experiments: DataFrame, ad
 
 # The columns of the two evidence queries as table.column, with the names that they get; in the order they come.
 EVENT_EVIDENCE = (
-    "events.event_id events.identity_scope events.assembly events.contig events.start_0based events.end_0based events.source_event_id observations.observation_id observations.side "
-    "observations.raw_decision observations.normalized_decision observations.raw_match_kind observations.region_status observations.source_contig observations.source_pos_1based observations.source_ref "
-    "observations.source_alt observations.source_genotype observations.source_filter runs.benchmark_run_id runs.observation_origin runs.comparator runs.comparator_version runs.engine runs.engine_version "
-    "runs.environment_lock_id runs.runtime_image_digest runs.query_artifact_id runs.truth_artifact_id runs.benchmark_bed_artifact_id runs.reference_artifact_id experiments.experiment_id "
-    "experiments.source_submission_id experiments.sample_id experiments.technology experiments.platform experiments.coverage experiments.pipeline_name experiments.caller_names experiments.caller_versions "
-    "provenance.provenance_link_id:raw_record_provenance_link_id artifacts.source_artifact_id:annotated_output_artifact_id artifacts.uri:annotated_output_uri artifacts.checksums:annotated_output_checksums"
-).split()
+    "events.event_id", "events.identity_scope", "events.assembly", "events.contig", "events.start_0based", "events.end_0based", "events.source_event_id",
+    "observations.observation_id", "observations.side", "observations.raw_decision", "observations.normalized_decision", "observations.raw_match_kind",
+    "observations.region_status", "observations.source_contig", "observations.source_pos_1based", "observations.source_ref", "observations.source_alt",
+    "observations.source_genotype", "observations.source_filter", "runs.benchmark_run_id", "runs.observation_origin", "runs.comparator", "runs.comparator_version", "runs.engine",
+    "runs.engine_version", "runs.environment_lock_id", "runs.runtime_image_digest", "runs.query_artifact_id", "runs.truth_artifact_id", "runs.benchmark_bed_artifact_id",
+    "runs.reference_artifact_id", "experiments.experiment_id", "experiments.source_submission_id", "experiments.sample_id", "experiments.technology", "experiments.platform",
+    "experiments.coverage", "experiments.pipeline_name", "experiments.caller_names", "experiments.caller_versions", "provenance.provenance_link_id:raw_record_provenance_link_id",
+    "artifacts.source_artifact_id:annotated_output_artifact_id", "artifacts.uri:annotated_output_uri", "artifacts.checksums:annotated_output_checksums",
+)
 VARIANT_EVIDENCE = (
-    "variants.variant_id variants.assembly variants.contig variants.normalized_start_0based variants.normalized_end_0based variants.normalized_ref variants.normalized_alt links.event_variant_link_id "
-    "links.identity_status links.identity_method links.identity_method_version links.provenance:phase1b_identity_provenance events.event_id events.identity_scope:event_identity_scope runs.benchmark_run_id "
-    "runs.observation_origin runs.comparator runs.comparator_version runs.engine runs.engine_version runs.truth_artifact_id runs.benchmark_bed_artifact_id runs.reference_artifact_id experiments.experiment_id "
-    "experiments.source_corpus experiments.source_submission_id experiments.sample_id experiments.technology experiments.platform experiments.coverage experiments.pipeline_name experiments.pipeline_version "
-    "experiments.caller_names experiments.caller_versions observations.observation_id observations.side observations.raw_decision observations.normalized_decision observations.raw_match_kind "
-    "observations.raw_variant_type observations.raw_location_type observations.source_contig observations.source_pos_1based observations.source_ref observations.source_alt observations.source_genotype "
-    "observations.source_filter observations.source_output_artifact_id observations.source_record_ordinal observations.normalization_method:observation_normalization_method "
-    "observations.normalization_version:observation_normalization_version"
-).split()
-
-
-def _projected(rows: DataFrame, columns: list[str]) -> DataFrame:
+    "variants.variant_id", "variants.assembly", "variants.contig", "variants.normalized_start_0based", "variants.normalized_end_0based", "variants.normalized_ref",
+    "variants.normalized_alt", "links.event_variant_link_id", "links.identity_status", "links.identity_method", "links.identity_method_version",
+    "links.provenance:phase1b_identity_provenance", "events.event_id", "events.identity_scope:event_identity_scope", "runs.benchmark_run_id", "runs.observation_origin",
+    "runs.comparator", "runs.comparator_version", "runs.engine", "runs.engine_version", "runs.truth_artifact_id", "runs.benchmark_bed_artifact_id", "runs.reference_artifact_id",
+    "experiments.experiment_id", "experiments.source_corpus", "experiments.source_submission_id", "experiments.sample_id", "experiments.technology", "experiments.platform",
+    "experiments.coverage", "experiments.pipeline_name", "experiments.pipeline_version", "experiments.caller_names", "experiments.caller_versions", "observations.observation_id",
+    "observations.side", "observations.raw_decision", "observations.normalized_decision", "observations.raw_match_kind", "observations.raw_variant_type",
+    "observations.raw_location_type", "observations.source_contig", "observations.source_pos_1based", "observations.source_ref", "observations.source_alt",
+    "observations.source_genotype", "observations.source_filter", "observations.source_output_artifact_id", "observations.source_record_ordinal",
+    "observations.normalization_method:observation_normalization_method", "observations.normalization_version:observation_normalization_version",
+)
+
+
+def _projected(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """table.column or table.column:name of tables that were joined under their names."""
     pairs = [c.partition(":")[::2] for c in columns]
     return rows.select(*[F.col(of).alias(name or of.split(".")[1]) for of, name in pairs])
