@@ -383,7 +383,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     name = f"repeat_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found.write.option("path", shared_path(spark, "repeat-texts")).option("compression", "zstd").bucketBy(buckets, *KEYS).saveAsTable(name)
-    return spark.table(name)
+    stored = spark.table(name).select("*")
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry alone: the files are in a folder of ours, and the frame knows them and their buckets
+    return stored
 
 
 def _spans(texts: DataFrame, every: bool = False) -> DataFrame:
