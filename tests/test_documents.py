@@ -287,3 +287,13 @@ def test_entity(spark, name):
     for (_, want), violations in zip([m for m in MUTATIONS if m[0][0] == name], got[1:], strict=False):
         assert any(v[: len(want)] == want for v in violations), (want, violations)
     assert got == [sorted(plain(DOCUMENTS[name], v, name, DOCUMENTS)) for v in values]
+
+
+def test_a_small_file_is_work_for_all_tasks(spark):
+    from tracequill.plans import contracts, registered  # noqa: F401
+
+    parts = spark.read.parquet("/root/testdata/sf0.1/part.parquet")
+    assert parts.rdd.getNumPartitions() == 1
+    spread = documents.spread(parts, "p_partkey")
+    assert spread.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism and spread.exceptAll(parts).isEmpty() and spread.count() == parts.count()
+    assert "REPARTITION_BY_NUM" in registered.queries()["run_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

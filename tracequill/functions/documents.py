@@ -376,6 +376,12 @@ def document(value: Column) -> Column:
     return F.parse_json(F.to_json(value))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys to some tasks for each core: a schema costs milliseconds a document, so a small file of rows, which
+    Spark reads in one task, is work for all."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def violations(df: DataFrame, compiler: Compiler, name: str, value: Column, *keep: str) -> DataFrame:
     """The columns ``keep`` with path, keyword and detail of every violation; a null value is no document and has none."""
     rows = df.select(*keep, value.alias("__document")).filter("__document is not null")

@@ -63,7 +63,7 @@ UNION ALL SELECT key, 'coverage/value', 'type', 'null' FROM p WHERE brand = 'Bra
 UNION ALL SELECT key, 'basecaller', 'oneOf', '' FROM p WHERE price % 2 = 1 UNION ALL SELECT key, 'source_record_ids', 'uniqueItems', '' FROM p WHERE size <= 10""", plain=True)
 def run_documents(r: Roles) -> DataFrame:
     """Parts as sequencing runs: normalized values deep in records and lists, alternatives and conditions."""
-    p, key, size = r.raw("part"), F.col("p_partkey").cast("string"), F.col("p_size")
+    p, key, size = documents.spread(r.raw("part"), "p_partkey"), F.col("p_partkey").cast("string"), F.col("p_size")
     tool = _struct(id="rules", version="1")
     good = _struct(raw_value="raw", value="known", method="RULE_EXACT", confidence=1.0, normalizer=tool)
     value = _struct(raw_value=F.col("p_brand"), value=F.col("p_brand"), method=F.expr(_METHOD), confidence=size / 40.0, normalizer=tool)
