@@ -52,6 +52,19 @@ def test_delivered_files(spark, tmp_path):
     assert [r.part for r in delivery.build_differences(spark, one, two).collect()] == [f"evidence/{shard}.json"]
 
 
+def test_a_large_shard_is_divided_to_files(spark, tmp_path):
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    whole, got = delivery.write(model(spark, parts()), one), delivery.write(model(spark, parts()), many, digits=2, most_bytes=150, divide=True)
+    files = [f for f in (tmp_path / "many" / "evidence").rglob("*.txt")]
+    assert len(files) > len({f.parent for f in files}) and max(f.stat().st_size for f in files) <= 150
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(delivery.shard_digests(spark, many)) == key(delivery.shard_digests(spark, one))
+    assert delivery.build_differences(spark, one, many).isEmpty()
+    assert key(got.manifest) == key(whole.manifest) and key(got.search) == key(whole.search) and key(got.shards) == key(whole.shards)
+    with pytest.raises(ValueError, match="in a line"):
+        delivery.write(model(spark, parts()), str(tmp_path / "none"), most_bytes=50, divide=True)
+
+
 DEFECTS = {
     "OBSERVATION_WITHOUT_EVENT": lambda p: p["events"].pop(), "EVENT_WITHOUT_EVIDENCE": lambda p: p["observations"].pop(0), "OBSERVATION_COUNT": lambda p: p["observations"].pop(), "SAMPLES_DISAGREE": lambda p: p["observations"][-1].__setitem__(2, "other"),
     "TECHNOLOGIES_DISAGREE": lambda p: p["observations"][-1].__setitem__(3, None), "IDENTITY_STATE": lambda p: p["events"][2].__setitem__(1, "NEW"), "EXACT_WITHOUT_VARIANT": lambda p: p["events"][0].__setitem__(2, "none"), "VARIANT_WITHOUT_EXACT": lambda p: p["events"][1].__setitem__(2, "v1"),

@@ -156,14 +156,14 @@ search AS (SELECT event_id, any_value(evidence_shard) AS evidence_shard, CASE WH
 @query(_ITEMS + "SELECT search.*, p_size::BIGINT AS normalized_start_0based, (p_size + 1)::BIGINT AS normalized_end_0based, p_brand AS normalized_ref, p_type AS normalized_alt FROM search LEFT JOIN part ON variant_id = p_partkey::VARCHAR", plain=True)
 def web_search_index(r: Roles) -> DataFrame:
     """The search index as it was delivered and read back."""
-    found = delivery.write(_model(r), _path(r, "web-search")).search
+    found = delivery.write(_model(r), _path(r, "web-search"), divide=True).search
     lists = {n: F.array_join(n, ";") for n in ("raw_decisions", "raw_variant_types")}
     return found.withColumns(lists).drop("assembly", "end_0based")
 
 
 @query(_ITEMS + "SELECT event_id, evidence_shard FROM search", plain=True)
 def web_shard_index(r: Roles) -> DataFrame:
-    return delivery.write(_model(r), _path(r, "web-shards")).shards
+    return delivery.write(_model(r), _path(r, "web-shards"), divide=True).shards
 
 
 @query(_ITEMS + """, lines AS (SELECT evidence_shard, event_id, observation_id, json_object('event_id', event_id, 'observation_id', observation_id, 'raw_decision', raw_decision, 'raw_variant_type', raw_variant_type, 'sample_id', sample_id, 'technology', technology)::VARCHAR || chr(10) AS line FROM evidence)
@@ -171,7 +171,7 @@ SELECT evidence_shard, sum(strlen(line))::BIGINT AS size_bytes, sha256(string_ag
 def web_evidence(r: Roles) -> DataFrame:
     """Size and digest of every shard's file, which are those of its lines in order."""
     path = _path(r, "web-evidence")
-    delivery.write(_model(r), path)
+    delivery.write(_model(r), path, divide=True)
     return delivery.shard_digests(r.spark, path)
 
 
@@ -179,7 +179,7 @@ def web_evidence(r: Roles) -> DataFrame:
 SELECT 'event_count' AS name, count(*)::VARCHAR AS value FROM search UNION ALL SELECT 'observation_count', count(*)::VARCHAR FROM evidence UNION ALL SELECT 'variant_count', count(*)::VARCHAR FROM part UNION ALL SELECT 'identity_state:' || identity_state, count(*)::VARCHAR FROM search GROUP BY identity_state
 UNION ALL SELECT DISTINCT 'sample_id_value', sample_id FROM search UNION ALL SELECT DISTINCT 'technology_value', technology FROM search UNION ALL SELECT 'shard_count', count(*)::VARCHAR FROM sizes UNION ALL SELECT 'maximum_shard_byte_size', max(n)::BIGINT::VARCHAR FROM sizes""", plain=True)
 def web_manifest(r: Roles) -> DataFrame:
-    return delivery.write(_model(r), _path(r, "web-manifest")).manifest
+    return delivery.write(_model(r), _path(r, "web-manifest"), divide=True).manifest
 
 
 @query("""SELECT rule, key FROM (SELECT 'EVENT_WITHOUT_EVIDENCE' AS rule, o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
