@@ -140,9 +140,12 @@ def autosomes(df: DataFrame, without: Sequence[str] = ()) -> DataFrame:
     return df.filter(F.col("contig").isin(names))
 
 
-def crossing_pairs(df: DataFrame, key: str, least: int, group: str | None = None) -> DataFrame:
-    """Pairs of intervals (of different groups, if a group column is given) that share ``least`` positions or more."""
-    pairs = overlap_join(df, df)
+def crossing_pairs(df: DataFrame, key: str, least: int, group: str | None = None, width: int = BIN) -> DataFrame:
+    """Pairs of intervals (of different groups, if a group column is given) that share ``least`` positions or more.
+
+    A bin compares all its intervals, so ``width`` should be near their length.
+    """
+    pairs = overlap_join(df, df, width=width)
     length = overlap_length(*[F.col(c) for c in ("a_start", "a_end", "b_start", "b_end")])
     kept = pairs.filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & (length >= least))
     if group:

@@ -420,7 +420,7 @@ def panel_not_contained(r: Roles) -> DataFrame:
 
 @query('SELECT a.id AS a_id, b.id AS b_id, least(a."end", b."end") - greatest(a.start, b.start) AS overlap FROM intervals a JOIN intervals b ON a.contig = b.contig AND a.id < b.id AND a.side <> b.side AND a.start < b."end" AND a."end" > b.start AND least(a."end", b."end") - greatest(a.start, b.start) >= 900')
 def crossing_pairs(r: Roles) -> DataFrame:
-    return intervals.crossing_pairs(r.intervals, "id", 900, "side")
+    return intervals.crossing_pairs(r.intervals, "id", 900, "side", width=4000)
 
 
 _RULES = selection.Rules(half_window=3000, least_assessable=2000, per_contig=2, per_context=6, cross_overlap=3000, last_limit=400, least_contigs=3)
