@@ -7,19 +7,47 @@ from pyspark.sql import functions as F
 
 BASE = 1_704_067_200  # 2024-01-01 in seconds
 
+#: About how many rows a task reads of a file, and gets of a table by a shuffle.
+READ_ROWS, SHUFFLED_ROWS = 500_000, 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sized(df: DataFrame, read: int = READ_ROWS, shuffled: int = SHUFFLED_ROWS) -> DataFrame:
+    """df, a Parquet table, after the session's tasks were made small enough for its rows.
+
+    Columns of few values are small in a file, so a split of a fixed size may hold any number of rows, and a fixed number of
+    shuffle partitions gets more of them with the table; what a task sorts and hashes would grow with it. Splits get smaller
+    and shuffle partitions more as the table asks for it, never the other way; Spark puts small partitions together again.
+    """
+    spark, n = df.sparkSession, df.count()  # of the files' footers
+    parts, split = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"
+    if (wanted := -(-n // shuffled)) > int(spark.conf.get(parts)):
+        spark.conf.set(parts, wanted)
+    if n > read:
+        folder = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        size = max(1 << 20, sum(f.getFileSystem(conf).getFileStatus(f).getLen() for f in folder) * read // n)
+        now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(split))
+        if size < now:
+            spark.conf.set(split, f"{size}b")
+    return df
+
+
 class Roles:
     """Entity tables by role; each is a projection, so pruning reaches the scans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._sized = spark, sf_dir, set()
 
     def raw(self, name: str) -> DataFrame:
-        return table(self.spark, self.dir, name)
+        df = table(self.spark, self.dir, name)
+        if name not in self._sized:
+            self._sized.add(name)
+            sized(df)
+        return df
 
     @property
     def experiments(self) -> DataFrame:
