@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 25_000
-BLOCK = 25_000
+BLOCK = 1_000_000
 Keys = Sequence[str]
 
 
