@@ -15,9 +15,21 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: dict[str, str], by: str | None = None) -> DataFrame:
-    """Exact numbers of distinct values: name -> column, over all rows or by a key."""
-    found = [F.count_distinct(c).alias(name) for name, c in columns.items()]
-    return df.groupBy(by).agg(*found) if by else df.agg(*found)
+    """Exact numbers of distinct values: name -> column, over all rows or by a key.
+
+    By a key, rows are dealt once by it, and their values are told apart where they lie.
+    """
+    if by is None:
+        return df.agg(*[F.count_distinct(c).alias(name) for name, c in columns.items()])
+    rows = _apart(df.repartition(by), by, {f"__v{i}": F.col(c) for i, c in enumerate(columns.values())}).distinct()
+    return rows.groupBy(by).agg(*[F.count(f"__v{i}").alias(name) for i, name in enumerate(columns)])
+
+
+def _apart(df: DataFrame, by: str, values: dict[str, Column]) -> DataFrame:
+    """A row for each value of each row, with the other values null."""
+    kinds = dict(df.select(*[c.alias(name) for name, c in values.items()]).dtypes)
+    cells = [F.struct(*[(c if name == own else F.lit(None).cast(kinds[name])).alias(name) for name, c in values.items()]) for own in values]
+    return df.select(by, F.explode(F.array(*cells)).alias("__x")).select(by, "__x.*")
 
 
 def zero_filled(dimension: DataFrame, key: str, counts: dict[str, DataFrame]) -> DataFrame:
@@ -53,9 +65,12 @@ def best_covered(df: DataFrame, key: str, samples: str, technologies: str, links
 
 
 def variant_rollup(links: DataFrame, events: DataFrame, key: str = "variant_id") -> DataFrame:
-    """Per variant: linked events, observations, sorted sets of samples and technologies."""
-    rows = links.join(events, "event_id")
-    return rows.groupBy(key).agg(F.count_distinct("event_id").alias("n_events"), F.sum("n_observations").alias("n_observations"), joined_set("sample").alias("samples"), joined_set("technology").alias("technologies"))
+    """Per variant: linked events, observations, sorted sets of samples and technologies. Sets are collected of values that were told apart before."""
+    texts = {f"__{c}": F.col(c).cast("string") for c in ("sample", "technology")}
+    rows = _apart(links.join(events, "event_id").repartition(key), key, {"__event": F.col("event_id"), **texts, "__n": F.col("n_observations")})
+    rows = rows.groupBy(key, "__event", *texts).agg(F.sum("__n").alias("__n"))
+    sets = [F.array_join(F.array_sort(F.collect_list(c)), ";").alias(name) for c, name in zip(texts, ("samples", "technologies"), strict=True)]
+    return rows.groupBy(key).agg(F.count("__event").alias("n_events"), F.sum("__n").alias("n_observations"), *sets)
 
 
 def event_search_index(events: DataFrame, observations: DataFrame) -> DataFrame:

@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 from tracequill.sources.storage import cut
 
 
+def _same(a: Column, b: Column) -> Column:
+    """a = b as a range, which Spark takes for no key of a join: rows that lie dealt by the event aren't dealt again by event and run."""
+    return a.between(b, b)
+
+
+def _observed(events: DataFrame, observations: DataFrame) -> DataFrame:
+    """Observations with the columns of their event, where both name the same run."""
+    own = observations.withColumnRenamed("benchmark_run_id", "__run")
+    return events.join(own, "event_id").filter(_same(F.col("benchmark_run_id"), F.col("__run"))).drop("__run")
+
+
 def event_evidence(events: DataFrame, observations: DataFrame, runs: DataFrame, experiments: DataFrame, provenance: DataFrame, artifacts: DataFrame, event_id: str | None = None) -> DataFrame:
     """One row for each observation and source artifact of an event, or of all events; one event's rows are ordered.
 
     The filter stands on the event table, so it reaches the scan; small sides are broadcast by Spark
-    where their statistics allow it.
+    where their statistics allow it. Runs and experiments are joined with the events, which are fewer than the observations.
     """
     chosen = events if event_id is None else events.filter(F.col("event_id") == event_id)
     lineage = provenance.filter(
         (F.col("target_entity_type") == "OBSERVATION") & (F.col("source_entity_type") == "SOURCE_ARTIFACT") & (F.col("relation") == "NORMALIZED_FROM")
     ).select("provenance_link_id", F.col("target_entity_id").alias("observation_id"), F.col("source_entity_id").alias("source_artifact_id"))
-    rows = chosen.join(observations, ["event_id", "benchmark_run_id"]).join(runs, "benchmark_run_id").join(experiments, "experiment_id")
+    rows = _observed(chosen.join(runs, "benchmark_run_id").join(experiments, "experiment_id"), observations)
     rows = rows.join(lineage, "observation_id").join(artifacts, "source_artifact_id")
     return rows if event_id is None else rows.orderBy("side", "source_record_ordinal", "observation_id")
 
@@ -32,7 +43,7 @@ def variant_evidence(variants: DataFrame, links: DataFrame, events: DataFrame, o
 
 
 def slim_events(events: DataFrame, observations: DataFrame, runs: DataFrame, experiments: DataFrame) -> DataFrame:
-    rows = events.join(observations, ["event_id", "benchmark_run_id"]).join(runs, "benchmark_run_id").join(experiments, "experiment_id")
+    rows = _observed(events.join(runs, "benchmark_run_id").join(experiments, "experiment_id"), observations)
     return rows.select("event_id", "observation_id", "side", "sample", "technology", "raw_decision")
 
 

@@ -115,13 +115,13 @@ def registry_counts(r: Roles) -> DataFrame:
 
 @query("SELECT count(DISTINCT event_id) AS n_events, count(DISTINCT observation_id) AS n_observations, count(DISTINCT benchmark_run_id) AS n_runs, count(DISTINCT experiment_id) AS n_experiments, count(DISTINCT technology) AS n_technologies FROM observations JOIN runs USING (benchmark_run_id) JOIN experiments USING (experiment_id)")
 def linked_registry_totals(r: Roles) -> DataFrame:
-    rows = r.observations.join(r.runs, "benchmark_run_id").join(r.experiments, "experiment_id")
+    rows = r.located
     return aggregates.distinct_counts(rows, {"n_events": "event_id", "n_observations": "observation_id", "n_runs": "benchmark_run_id", "n_experiments": "experiment_id", "n_technologies": "technology"})
 
 
 @query("SELECT variant_id, count(DISTINCT event_id) AS n_events, count(DISTINCT benchmark_run_id) AS n_runs, count(DISTINCT experiment_id) AS n_experiments, count(DISTINCT technology) AS n_technologies FROM observations JOIN runs USING (benchmark_run_id) JOIN experiments USING (experiment_id) GROUP BY variant_id")
 def variant_topology(r: Roles) -> DataFrame:
-    rows = r.observations.join(r.runs, "benchmark_run_id").join(r.experiments, "experiment_id")
+    rows = r.located
     return aggregates.distinct_counts(rows, {"n_events": "event_id", "n_runs": "benchmark_run_id", "n_experiments": "experiment_id", "n_technologies": "technology"}, by="variant_id")
 
 
@@ -160,7 +160,7 @@ _BEST = "SELECT variant_id, count(DISTINCT sample) AS n_samples, count(DISTINCT
 
 
 def _best(r: Roles, largest: bool) -> DataFrame:
-    rows = r.observations.join(r.runs, "benchmark_run_id").join(r.experiments, "experiment_id")
+    rows = r.located
     return aggregates.best_covered(rows, "variant_id", "sample", "technology", "observation_id", largest)
 
 
@@ -177,7 +177,7 @@ def best_variant_largest_id(r: Roles) -> DataFrame:
 @query("""SELECT l.variant_id, count(DISTINCT l.event_id) AS n_events, sum(n_observations)::BIGINT AS n_observations, string_agg(DISTINCT sample, ';' ORDER BY sample) AS samples, string_agg(DISTINCT technology, ';' ORDER BY technology) AS technologies
 FROM links l JOIN (SELECT event_id, sample, technology, count(*) AS n_observations FROM observations JOIN runs USING (benchmark_run_id) JOIN experiments USING (experiment_id) GROUP BY ALL) USING (event_id) GROUP BY 1""")
 def variant_rollup(r: Roles) -> DataFrame:
-    counted = r.observations.join(r.runs, "benchmark_run_id").join(r.experiments, "experiment_id").groupBy("event_id", "sample", "technology").agg(F.count(F.lit(1)).alias("n_observations"))
+    counted = r.located.groupBy("event_id", "sample", "technology").agg(F.count(F.lit(1)).alias("n_observations"))
     return aggregates.variant_rollup(r.links, counted)
 
 
@@ -199,7 +199,7 @@ def runs_with_all_sides(r: Roles) -> DataFrame:
 
 @query("SELECT technology, count(*) AS n_rows, count(*) FILTER (WHERE quantity > 40) AS n_large, count(*) FILTER (WHERE side = 'R') AS n_returned FROM observations JOIN runs USING (benchmark_run_id) JOIN experiments USING (experiment_id) GROUP BY 1")
 def conditional_counts(r: Roles) -> DataFrame:
-    rows = r.observations.join(r.runs, "benchmark_run_id").join(r.experiments, "experiment_id")
+    rows = r.located
     return aggregates.conditional_counts(rows, {"n_large": F.col("quantity") > 40, "n_returned": F.col("side") == "R"}, by="technology")
 
 

@@ -79,11 +79,12 @@ class Roles:
 
     @property
     def provenance(self) -> DataFrame:
-        o = self.items
+        """Links are dealt by the observation that they name, which is what they are joined by; only what tells them apart is compared."""
+        o = self.items.select("observation_id", "source_artifact_id").repartition("observation_id").distinct()
         return o.select(
             F.concat_ws("-", F.lit("p"), "observation_id").alias("provenance_link_id"), F.lit("SOURCE_ARTIFACT").alias("source_entity_type"), F.col("source_artifact_id").alias("source_entity_id"),
             F.lit("NORMALIZED_FROM").alias("relation"), F.lit("OBSERVATION").alias("target_entity_type"), F.col("observation_id").alias("target_entity_id"),
-        ).distinct()
+        )
 
     @property
     def artifacts(self) -> DataFrame:
