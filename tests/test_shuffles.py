@@ -30,7 +30,7 @@ def dealt(spark, name):
     return [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)], plan
 
 
-@pytest.mark.parametrize("name", ["event_evidence"])
+@pytest.mark.parametrize("name", ["event_evidence", "event_evidence_44"])
 def test_evidence_deals_observations_by_event_and_by_id(spark, name):
     keys, _ = dealt(spark, name)
     assert "event_id, benchmark_run_id" not in keys  # once by the event is enough

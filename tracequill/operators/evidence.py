@@ -127,8 +127,8 @@ def event_evidence_columns(events: DataFrame, observations: DataFrame, runs: Dat
     c = F.col
     chosen = events if event_id is None else events.filter(c("event_id") == event_id)
     edges = provenance.filter((c("target_entity_type") == "OBSERVATION") & (c("source_entity_type") == "SOURCE_ARTIFACT") & (c("relation") == "NORMALIZED_FROM"))
-    rows = chosen.alias("events").join(observations.alias("observations"), (c("observations.event_id") == c("events.event_id")) & (c("observations.benchmark_run_id") == c("events.benchmark_run_id")))
-    rows = rows.join(runs.alias("runs"), c("runs.benchmark_run_id") == c("events.benchmark_run_id")).join(experiments.alias("experiments"), c("experiments.experiment_id") == c("runs.experiment_id"))
+    rows = chosen.alias("events").join(runs.alias("runs"), c("runs.benchmark_run_id") == c("events.benchmark_run_id")).join(experiments.alias("experiments"), c("experiments.experiment_id") == c("runs.experiment_id"))
+    rows = rows.join(observations.alias("observations"), (c("observations.event_id") == c("events.event_id")) & _same(c("observations.benchmark_run_id"), c("events.benchmark_run_id")))
     rows = rows.join(edges.alias("provenance"), c("provenance.target_entity_id") == c("observations.observation_id"))
     return _projected(rows.join(artifacts.alias("artifacts"), c("artifacts.source_artifact_id") == c("provenance.source_entity_id")), EVENT_EVIDENCE)
 
