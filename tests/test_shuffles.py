@@ -37,3 +37,16 @@ def test_evidence_deals_observations_by_event_and_by_id(spark, name):
     assert not [k for k in keys if "provenance_link_id" in k]  # links that differ have another observation or artifact
     assert keys.count("observation_id") == 2  # links, and observations
     assert keys.count("benchmark_run_id") == 2  # events and runs
+
+
+def test_distinct_values_of_a_key_are_counted_where_its_rows_lie(spark):
+    keys, plan = dealt(spark, "variant_topology")
+    assert keys.count("variant_id") == 1 and not [k for k in keys if "variant_id, " in k] and "Expand" not in plan
+
+
+def test_distinct_counts_of_odd_values(spark):
+    from tracequill.operators import aggregates
+
+    df = spark.createDataFrame([("a", 1, "x", 1.0), ("a", 1, None, -0.0), ("a", 2, "x", 0.0), (None, None, "y", float("nan")), (None, None, "y", float("nan")), ("b", None, None, None)], "k string, i int, s string, d double")
+    got = aggregates.distinct_counts(df, {"n_i": "i", "n_s": "s", "n_d": "d", "n_k": "k"}, by="k")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 2, 1, 2, 1), ("b", 0, 0, 0, 1), (None, 0, 1, 1, 0)], key=repr)
