@@ -50,3 +50,17 @@ def test_distinct_counts_of_odd_values(spark):
     df = spark.createDataFrame([("a", 1, "x", 1.0), ("a", 1, None, -0.0), ("a", 2, "x", 0.0), (None, None, "y", float("nan")), (None, None, "y", float("nan")), ("b", None, None, None)], "k string, i int, s string, d double")
     got = aggregates.distinct_counts(df, {"n_i": "i", "n_s": "s", "n_d": "d", "n_k": "k"}, by="k")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 2, 1, 2, 1), ("b", 0, 0, 0, 1), (None, 0, 1, 1, 0)], key=repr)
+
+
+def test_rollup_collects_sets_of_values_told_apart(spark):
+    keys, plan = dealt(spark, "variant_rollup")
+    assert keys.count("variant_id") == 1 and "collect_set" not in plan and "variant_id, event_id" not in keys
+
+
+def test_rollup_of_odd_rows(spark):
+    from tracequill.operators import aggregates
+
+    links = spark.createDataFrame([("v", 1), ("v", 2), ("v", 2), ("w", 3), ("none", 9)], "variant_id string, event_id int")
+    events = spark.createDataFrame([(1, "s2", "t", 5), (1, "s1", "t", 1), (2, "s1", None, 7), (3, None, None, None)], "event_id int, sample string, technology string, n_observations long")
+    got = {r[0]: tuple(r)[1:] for r in aggregates.variant_rollup(links, events).collect()}
+    assert got == {"v": (2, 20, "s1;s2", "t"), "w": (1, None, "", "")}

@@ -102,7 +102,8 @@ class Roles:
 
     @property
     def links(self) -> DataFrame:
-        return self.items.select("variant_id", "event_id").distinct()
+        """Links are dealt by the event, which is what they are joined by."""
+        return self.items.select("variant_id", "event_id").repartition("event_id").distinct()
 
     @property
     def intervals(self) -> DataFrame:
