@@ -64,3 +64,21 @@ def test_rollup_of_odd_rows(spark):
     events = spark.createDataFrame([(1, "s2", "t", 5), (1, "s1", "t", 1), (2, "s1", None, 7), (3, None, None, None)], "event_id int, sample string, technology string, n_observations long")
     got = {r[0]: tuple(r)[1:] for r in aggregates.variant_rollup(links, events).collect()}
     assert got == {"v": (2, 20, "s1;s2", "t"), "w": (1, None, "", "")}
+
+
+def test_reconciliation_and_ends_of_links_deal_rows_once(spark):
+    keys, plan = dealt(spark, "decision_reconciliation")
+    assert keys == ["side, raw_decision"] and "Join" not in plan
+    assert not [k for k in dealt(spark, "gates_1a")[0] if k.startswith(("k_type", "e.type", "e["))]
+
+
+def test_ends_of_unknown_types_lead_nowhere(spark):
+    from tracequill.operators import aggregates, criteria
+
+    one = lambda name: spark.createDataFrame([("1",)], f"{name} string")
+    links = [("both", "EVENT", "1", "OBSERVATION", "1"), ("type", "LINK", "1", "EVENT", "1"), ("null", None, "1", "SOURCE_ARTIFACT", None), ("lost", "BENCHMARK_RUN", "2", "EVENT", "1")]
+    tables = {"artifacts": one("source_artifact_id"), "observations": one("observation_id"), "events": one("event_id"), "runs": one("benchmark_run_id")}
+    tables["provenance"] = spark.createDataFrame(links, "provenance_link_id string, source_entity_type string, source_entity_id string, target_entity_type string, target_entity_id string")
+    assert sorted(r.key for r in criteria.RULES["endpoints"](criteria.Registry(tables)).collect()) == ["lost", "null", "null", "type"]
+    a, b = spark.createDataFrame([("x", None), ("x", None), ("y", "z")], "k string, l string"), spark.createDataFrame([("x", None), ("y", "z"), (None, None)], "k string, l string")
+    assert sorted(map(tuple, aggregates.reconcile(a, b, "k", "l").collect()), key=repr) == sorted([("x", None, 2, 1), (None, None, 0, 1)], key=repr)

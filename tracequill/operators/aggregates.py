@@ -43,12 +43,9 @@ def zero_filled(dimension: DataFrame, key: str, counts: dict[str, DataFrame]) ->
 
 def reconcile(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """keys, n_a, n_b of the groups whose numbers of rows differ; null keys count as equal."""
-    left = a.groupBy(*[F.col(k).alias(f"a_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n_a"))
-    right = b.groupBy(*[F.col(k).alias(f"b_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n_b"))
-    on = reduce(Column.__and__, [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in keys])
-    rows = left.join(right, on, "full_outer")
-    rows = rows.select(*[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in keys], F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
-    return rows.filter("n_a <> n_b")
+    one = lambda df, of_a: df.select(*keys, F.lit(of_a).alias("__a"))
+    rows = one(a, True).unionByName(one(b, False)).groupBy(*keys)
+    return rows.agg(F.count_if("__a").alias("n_a"), F.count_if(~F.col("__a")).alias("n_b")).filter("n_a <> n_b")
 
 
 def joined_set(c: str | Column) -> Column:
