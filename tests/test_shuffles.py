@@ -82,3 +82,15 @@ def test_ends_of_unknown_types_lead_nowhere(spark):
     assert sorted(r.key for r in criteria.RULES["endpoints"](criteria.Registry(tables)).collect()) == ["lost", "null", "null", "type"]
     a, b = spark.createDataFrame([("x", None), ("x", None), ("y", "z")], "k string, l string"), spark.createDataFrame([("x", None), ("y", "z"), (None, None)], "k string, l string")
     assert sorted(map(tuple, aggregates.reconcile(a, b, "k", "l").collect()), key=repr) == sorted([("x", None, 2, 1), (None, None, 0, 1)], key=repr)
+
+
+def test_walk_opens_objects_and_lists_alone(spark):
+    from pyspark.sql import functions as F
+
+    from tracequill.operators import gates
+
+    texts = ['{"a": {"b": [1, "x", null, {"c": {}}]}, "d": []}', '"{\\"a\\": 1}"', "[[2.5], true]", "null", '{"e": null, "f": "[1]"}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {(r.key, r.path) for r in gates.json_walk(df, "id", F.parse_json("text")).collect()}
+    inner = {(0, "a"), (0, "a/b"), (0, "a/b/0"), (0, "a/b/1"), (0, "a/b/2"), (0, "a/b/3"), (0, "a/b/3/c"), (0, "d"), (2, "0"), (2, "0/0"), (2, "1"), (4, "e"), (4, "f")}
+    assert got == inner | {(i, "") for i in range(5)}

@@ -115,7 +115,7 @@ def json_walk(df: DataFrame, key: str, value: Column) -> DataFrame:
     while True:
         names = F.transform(F.map_entries(F.try_variant_get("value", "$", "map<string, variant>")), lambda e: F.struct(e["key"].alias("step"), e["value"].alias("value")))
         places = F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda v, i: F.struct(i.cast("string").alias("step"), v.alias("value")))
-        inner = level.select("key", "path", F.explode(F.coalesce(F.when(F.schema_of_variant("value").startswith("OBJECT"), names), F.when(F.schema_of_variant("value").startswith("ARRAY"), places))).alias("x"))
+        inner = level.select("key", "path", F.explode(F.coalesce(names, places)).alias("x"))  # null for what is no object, and no list
         level = cut(inner.select("key", F.when(F.col("path") == "", F.col("x.step")).otherwise(F.concat("path", F.lit("/"), "x.step")).alias("path"), F.col("x.value").alias("value")))
         if level.isEmpty():
             return rows
