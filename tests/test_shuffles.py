@@ -94,3 +94,20 @@ def test_walk_opens_objects_and_lists_alone(spark):
     got = {(r.key, r.path) for r in gates.json_walk(df, "id", F.parse_json("text")).collect()}
     inner = {(0, "a"), (0, "a/b"), (0, "a/b/0"), (0, "a/b/1"), (0, "a/b/2"), (0, "a/b/3"), (0, "a/b/3/c"), (0, "d"), (2, "0"), (2, "0/0"), (2, "1"), (4, "e"), (4, "f")}
     assert got == inner | {(i, "") for i in range(5)}
+
+
+def test_little_is_put_together_for_a_task_of_a_large_table(spark):
+    from tracequill.plans import roles
+
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "64m")
+        df = roles.table(spark, "/root/testdata/sf0.01", "lineitem")
+        roles.sized(df)
+        assert spark.conf.get(names[0]) == "64m"
+        roles.sized(df, read=10_000)
+        assert spark.conf.get(names[0]) == f"{roles.TOGETHER}b"
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

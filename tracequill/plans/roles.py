@@ -10,6 +10,9 @@ BASE = 1_704_067_200  # 2024-01-01 in seconds
 #: About how many rows a task reads of a file, and gets of a table by a shuffle.
 READ_ROWS, SHUFFLED_ROWS = 500_000, 250_000
 
+#: How many bytes Spark may put together for a task of large tables: keys alone take about five bytes a row in a shuffle.
+TOGETHER = 2 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,18 +23,20 @@ def sized(df: DataFrame, read: int = READ_ROWS, shuffled: int = SHUFFLED_ROWS) -
 
     Columns of few values are small in a file, so a split of a fixed size may hold any number of rows, and a fixed number of
     shuffle partitions gets more of them with the table; what a task sorts and hashes would grow with it. Splits get smaller
-    and shuffle partitions more as the table asks for it, never the other way; Spark puts small partitions together again.
+    and shuffle partitions more as the table asks for it, never the other way; Spark puts small partitions together again, up to TOGETHER.
     """
     spark, n = df.sparkSession, df.count()  # of the files' footers
+    in_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     parts, split = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"
     if (wanted := -(-n // shuffled)) > int(spark.conf.get(parts)):
         spark.conf.set(parts, wanted)
     if n > read:
+        if in_bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) > TOGETHER:
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", f"{TOGETHER}b")
         folder = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         size = max(1 << 20, sum(f.getFileSystem(conf).getFileStatus(f).getLen() for f in folder) * read // n)
-        now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(split))
-        if size < now:
+        if size < in_bytes(spark.conf.get(split)):
             spark.conf.set(split, f"{size}b")
     return df
 
