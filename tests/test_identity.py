@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tracequill.operators import identity, sets
 
@@ -126,3 +127,22 @@ def test_explorer(spark):
     assert explorer.example_rows(model, links, "v1").count() == 1
     with pytest.raises(ValueError, match="both phases"):
         explorer.build(first, first, observations, links, accounting, runs, experiments, provenance)
+
+
+def test_pairs_of_a_group_are_the_work_of_many_tasks(spark):
+    from collections import Counter
+
+    df = spark.createDataFrame([(i, "g" if i < 90 else "h" if i < 95 else None, i % 2 if i < 90 else 0) for i in range(99)], "id long, g string, s int")
+    pairs = identity.pairs_within(df, "id", ["g", "s"], tile=8, share=50)
+    got = Counter(tuple(sorted(r)) for r in pairs.select("a_id", "b_id").collect())
+    want = {(a, b) for a in range(95) for b in range(a + 1, 95) if (a < 90) == (b < 90) and (a >= 90 or a % 2 == b % 2)}
+    assert set(got) == want and set(got.values()) == {1}
+    tasks = Counter(r[0] for r in pairs.select(F.spark_partition_id()).collect())
+    assert len(tasks) > 10 and max(tasks.values()) < len(want) / 4
+
+
+def test_pairs_are_classified_in_more_than_one_task(spark):
+    from tracequill.plans import registered
+
+    df = registered.queries()["pair_classification"](spark, "/root/testdata/sf0.01")
+    assert df.select(F.spark_partition_id()).distinct().count() > 1

@@ -5,7 +5,10 @@ Nothing is guessed: what can't be decided is UNRESOLVED and carries its reason.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,9 @@ NON_EQUIVALENT = "NON_EQUIVALENT"
 UNRESOLVED = "UNRESOLVED"
 ALLELE = ("assembly", "contig", "start", "end", "ref", "alt")
 
+#: About how many rows of a group meet as many others in one place, and how many pairs are a task's work.
+TILE, SHARE = 2_048, 50_000_000
+
 
 @dataclass(frozen=True)
 class Method:
@@ -55,6 +61,30 @@ def classify(a: str = "a_", b: str = "b_") -> Column:
     )
 
 
+def pairs_within(rows: DataFrame, key: str, by: Sequence[str], tile: int = TILE, share: int = SHARE) -> DataFrame:
+    """Each pair of rows with equal ``by`` and different keys once, columns a_* and b_*; which of the two is a_ is open.
+
+    Every pair of a group is asked for, so the work is its square. A group is dealt to tiles of about ``tile`` rows by a hash of the
+    key, and a pair of tiles, not a group, is what meets in one place; tasks are made for about ``share`` pairs each.
+    """
+    by, of = list(by), [F.col(c).alias(f"__of_{c}") for c in by]
+    sizes = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("__n"))
+    pairs = sizes.agg(F.sum(F.col("__n").cast("double") * F.col("__n") / 2)).first()[0] or 0
+    tiles = sizes.select(*[f"__of_{c}" for c in by], F.ceil(F.col("__n") / tile).alias("__tiles"))
+    on = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__of_{c}") for c in by])
+    dealt = rows.join(tiles, on).withColumn("__tile", F.pmod(F.xxhash64(key), "__tiles"))
+    first, last = F.lit(0).cast("long"), F.col("__tiles") - 1
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / share))
+
+    def side(p: str, low: Column, high: Column) -> DataFrame:
+        met = dealt.select(*[F.col(c).alias(f"{p}{c}") for c in rows.columns], low.alias(f"{p}low"), high.alias(f"{p}high"))
+        return met.repartition(n, *[f"{p}{c}" for c in (*by, "low", "high")])
+
+    a, b = side("a_", F.col("__tile"), F.explode(F.sequence(F.col("__tile"), last))), side("b_", F.explode(F.sequence(first, F.col("__tile"))), F.col("__tile"))
+    met = reduce(lambda x, y: x & y, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in (*by, "low", "high")])
+    return a.join(b, met & ((F.col("a_low") < F.col("a_high")) | (F.col(f"a_{key}") < F.col(f"b_{key}")))).drop("a_low", "a_high", "b_low", "b_high")
+
+
 def structural_class(n_alleles: Column) -> Column:
     return F.when(n_alleles == 0, F.lit("NO_ALLELE")).when(n_alleles == 1, F.lit("SINGLE_ALLELE")).otherwise(F.lit("MULTIPLE_ALLELES"))
 

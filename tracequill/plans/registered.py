@@ -296,10 +296,12 @@ def stable_ids(r: Roles) -> DataFrame:
 @query("""SELECT a.variant_id AS a_id, b.variant_id AS b_id, CASE WHEN a.kind <> b.kind THEN 'NON_EQUIVALENT' WHEN a.size = b.size AND a.variant_id % 5 = b.variant_id % 5 AND a.variant_id % 3 = b.variant_id % 3 THEN 'EXACT_NORMALIZED_ALLELE' WHEN a.size = b.size AND a.variant_id % 5 = b.variant_id % 5 THEN 'NON_EQUIVALENT' ELSE 'UNRESOLVED' END AS status
 FROM variants a JOIN variants b ON a.contig = b.contig AND a.size = b.size AND a.variant_id < b.variant_id""")
 def pair_classification(r: Roles) -> DataFrame:
-    v = r.variants.select("variant_id", "contig", "size", F.lit("A1").alias("assembly"), F.col("kind").alias("chrom"), (F.col("size") + F.pmod("variant_id", F.lit(5)) * 1000).alias("start"), F.pmod("variant_id", F.lit(3)).cast("string").alias("ref"))
-    side = lambda p: v.select(F.col("variant_id").alias(f"{p}id"), F.col("contig").alias(f"{p}group"), F.col("size").alias(f"{p}size"), F.col("assembly").alias(f"{p}assembly"), F.col("chrom").alias(f"{p}contig"), F.col("start").alias(f"{p}start"), (F.col("start") + 1).alias(f"{p}end"), F.col("ref").alias(f"{p}ref"), F.lit("T").alias(f"{p}alt"))
-    pairs = side("a_").join(side("b_"), (F.col("a_group") == F.col("b_group")) & (F.col("a_size") == F.col("b_size")) & (F.col("a_id") < F.col("b_id")))
-    return pairs.select("a_id", "b_id", identity.classify().alias("status"))
+    start = F.col("size") + F.pmod("variant_id", F.lit(5)) * 1000
+    v = r.variants.select(F.col("variant_id").alias("id"), F.col("contig").alias("group"), "size", F.col("kind").alias("contig"), start.alias("start"), F.pmod("variant_id", F.lit(3)).cast("string").alias("ref"))
+    pairs = identity.pairs_within(v, "id", ["group", "size"])
+    fixed = {f"{p}{k}": x for p in ("a_", "b_") for k, x in (("assembly", F.lit("A1")), ("end", F.col(f"{p}start") + 1), ("alt", F.lit("T")))}
+    status = identity.classify()  # the same whichever comes first
+    return pairs.withColumns(fixed).select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), status.alias("status"))
 
 
 def _identity_inputs(r: Roles) -> tuple[DataFrame, DataFrame]:
