@@ -298,3 +298,16 @@ def test_hash_trees(spark):
     assert differ(df.filter("k <> 20")) == [(2, '{"k":16}', '{"k":23}', '{"k":16}', '{"k":24}')]
     assert differ(df.filter("k < 96")) == [(12, '{"k":96}', '{"k":99}', None, None)]
     assert differ(df.filter("k < 20"))[0][0] == 2 and differ(df.limit(0))[0][0] == 0 and hashtree.first_difference(tree(df.limit(0)), tree(df.limit(0)), 3).count() == 0
+
+
+def test_hash_tree_makes_digests_after_rows_are_dealt(spark, monkeypatch):
+    """Dealing by range reads its rows twice, and moves them: not with their digests, and not by a few tasks."""
+    from tracequill.operators import hashtree
+    from tracequill.plans import contracts, registered  # noqa: F401
+
+    dealt = []
+    numbered = hashtree.numbered
+    monkeypatch.setattr(hashtree, "numbered", lambda df, *names: dealt.append(df) or numbered(df, *names))
+    assert registered.queries()["first_difference"](spark, "/root/testdata/sf0.001").count() <= 1
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in dealt]
+    assert len(plans) == 2 and not [p for p in plans if "sha2" in p or "Repartition" in p]

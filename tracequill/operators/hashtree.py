@@ -33,8 +33,9 @@ def hash_tree(df: DataFrame, *order: str, chunk: int = CHUNK, fan: int = FAN) ->
     ``order`` must be total. The highest level has one node; an empty table has no node.
     """
     key = canonical.canonical_json({c: F.col(c) for c in order}, ascii=False)
-    rows = df.select(*order, F.sha2(canonical.row_json(df, ascii=False), 256).alias("digest"), key.alias("first"))
-    rows = numbered(rows, "at", *order).select("at", "digest", "first", F.col("first").alias("last"), F.lit(1).cast("long").alias("n_rows"))
+    rows = numbered(df, "__place", *order)  # before digests are made: dealing by range reads its rows twice
+    rows = rows.select(F.col("__place").alias("at"), F.sha2(canonical.row_json(df, ascii=False), 256).alias("digest"), key.alias("first"))
+    rows = rows.select("at", "digest", "first", F.col("first").alias("last"), F.lit(1).cast("long").alias("n_rows"))
     level, n = cut(_combined(rows, F.floor((F.col("at") - 1) / chunk), 0)), 0
     tree = level
     while level.select("node").limit(2).count() > 1:
