@@ -111,3 +111,8 @@ def test_little_is_put_together_for_a_task_of_a_large_table(spark):
     finally:
         for n, v in before.items():
             spark.conf.set(n, v)
+
+
+def test_files_are_aggregated_where_their_runs_lie(spark):
+    keys, plan = dealt(spark, "record_bundles")
+    assert keys == ["run_id", "run_id"]  # runs, and their files; not again by the file

@@ -90,7 +90,8 @@ def artifacts(df: DataFrame, key: str, specs: Mapping[str, tuple[str, str, str,
         parts_of = [F.split(F.coalesce(F.col(c), F.lit("")), ";", -1) for c in (urls, sums, sizes)]
         one = _file_of(rank, label, kind, *parts_of[1:])
         parts.append(F.when(F.coalesce(F.col(urls), F.lit("")) != "", F.transform(parts_of[0], one)).otherwise(F.array().cast("array<struct<rank:int,label:string,kind:string,index:int,uri:string,md5:string,size_bytes:bigint>>")))
-    rows = df.select(key, F.explode(F.concat(*parts)).alias("a")).select(key, "a.*")
+    # dealt by the key first: a task that reads many rows would hold all their files to aggregate them
+    rows = df.repartition(key).select(key, F.explode(F.concat(*parts)).alias("a")).select(key, "a.*")
     best = rows.groupBy(key, "uri").agg(F.min(F.struct("rank", "index", "label", "kind", "md5", "size_bytes")).alias("a"))
     rows = best.select(key, "uri", "a.*").drop("rank").withColumn("md5", F.when(text.is_md5(F.col("md5")), F.col("md5")))
     return rows.withColumn("artifact_id", F.concat_ws(":", F.lit("artifact"), key, "label", F.col("index").cast("string"), canonical.artifact_token(F.col("uri"))))
