@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracequill.functions import documents, entities
 from tracequill.functions.documents import Compiler, Registry, SchemaError
+from tracequill.plans import contracts, registered  # noqa: F401
 
 DOCUMENTS = entities.catalog() | entities.registry()
 SHA = "ab" * 32
@@ -297,3 +298,35 @@ def test_a_small_file_is_work_for_all_tasks(spark):
     spread = documents.spread(parts, "p_partkey")
     assert spread.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism and spread.exceptAll(parts).isEmpty() and spread.count() == parts.count()
     assert "REPARTITION_BY_NUM" in registered.queries()["run_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_structs_are_the_documents_that_json_makes_of_them(spark):
+    inner = "struct<n: bigint, t: string, d: double, l: array<string>, x: decimal(10, 2)>"
+    rows = spark.sql(f"""SELECT id, from_json(text, 's struct<n: bigint, b: boolean, d: double, f: float, t: string, `odd``"n`: int, o: {inner}, e: struct<>, l: array<bigint>, w: array<array<string>>, r: array<{inner}>, m: map<string, int>, Z: int>').s AS s FROM VALUES
+        (1, '{{"s": {{}}}}'), (2, '{{"s": {{"n": 3, "b": true, "d": 1.0, "f": 0.1, "t": "SHIPPED", "o": {{}}, "e": {{}}, "l": [], "r": [], "m": {{}}}}}}'),
+        (3, '{{"s": {{"n": -1, "b": false, "d": 2.5, "t": "", "odd`\\"n": 1, "o": {{"n": 1, "t": "ab", "d": 0.5, "l": ["a", "a", null], "x": 1.50}}, "l": [1, null, 1, 7], "w": [["a"], null, ["a"], [null]], "Z": 5}}}}'),
+        (4, '{{"s": {{"n": 9007199254740993, "d": -0.0, "t": "x\\u00e9", "r": [null, {{"n": 2}}, {{"t": "SHIPPED", "l": []}}, {{"n": 2}}], "m": {{"k": 1, "t": 2}}, "l": [2, 3]}}}}'), (5, '{{"s": null}}') AS t(id, text)
+        UNION ALL SELECT 6, named_struct('n', 1L, 'b', NULL, 'd', double('NaN'), 'f', float('Infinity'), 't', NULL, 'odd`"n', NULL, 'o', named_struct('n', 1L, 't', 't', 'd', double('-Infinity'), 'l', array('q'), 'x', 2.00), 'e', NULL, 'l', array(4L), 'w', NULL, 'r', NULL, 'm', NULL, 'Z', NULL)""")
+    kinds = ("object", "array", "string", "boolean", "null", "number", "integer")
+    of_any = [{"type": k} for k in kinds] + [{"const": x} for x in (1, 1.0, True, "SHIPPED", None, [], {}, [1, None, 1, 7], "NaN")] + [{"enum": [3, "SHIPPED", None, False]}, {"pattern": "^[A-Z]+$"}, {"minLength": 2}, {"maxLength": 2}, {"minimum": 2}]
+    of_any += [{"maximum": 2}, {"exclusiveMinimum": 1}, {"exclusiveMaximum": 1}, {"multipleOf": 0.5}, {"multipleOf": 2}, {"minItems": 1}, {"maxItems": 1}, {"uniqueItems": True}, {"minProperties": 1}, {"maxProperties": 1}, False]
+    of_any += [{"items": s} for s in of_any] + [{"anyOf": of_any[:3]}, {"oneOf": [{"type": "number"}, {"minimum": 2}]}, {"not": {"type": "string"}}, {"required": ["n", "gone"]}, {"properties": {"n": {"minimum": 2}, "x": {"type": "number"}, "l": {"items": {"const": "a"}}, "gone": False}}]
+    of_any += [{"if": {"type": "array", "minItems": 1}, "then": {"items": {"required": ["n"]}}, "else": {"additionalProperties": False, "properties": {"n": True}}}]
+    names = ["n", "b", "d", "f", "t", 'odd`"n', "o", "e", "l", "w", "r", "m", "Z", "z", "gone"]
+    schemas = [{"properties": dict.fromkeys(names, s)} for s in of_any] + [{"required": names}, {"additionalProperties": False, "properties": {"n": True}}, {"additionalProperties": {"type": "number"}}, {"patternProperties": {"^[a-m]$": {"type": "number"}}, "additionalProperties": False}]
+    schemas += [{"propertyNames": {"maxLength": 1}}, {"dependentRequired": {"n": ["t", "gone"], "gone": ["n"]}}, {"minProperties": 2}, {"const": {"n": 1}}, {"type": "object"}, {"type": "array"}, {"properties": {"r": {"items": {"additionalProperties": False, "required": ["n"], "properties": {"n": {"minimum": 3}}}}}}]
+    compiler = Compiler(Registry({"all": {"allOf": schemas}}))
+    of = lambda value: sorted((r.id, r.path, r.keyword, r.detail) for r in documents.violations(rows, compiler, "all", value, "id").collect())
+    assert of(F.col("s")) == of(documents.document(F.col("s"))) and len(of(F.col("s"))) > 500
+
+
+def test_fields_that_differ_in_case_alone(spark):
+    rows = spark.sql("SELECT 1 AS i, named_struct('a', 1, 'A', 'x') AS s")
+    got = documents.violations(rows, Compiler(Registry({"s": {"properties": {"a": {"type": "string"}, "A": {"type": "string"}}}})), "s", F.col("s"), "i").collect()
+    assert [(r.path, r.keyword) for r in got] == [("a", "type")]
+
+
+@pytest.mark.parametrize("name", ["event_documents", "run_documents", "catalog_documents"])
+def test_tables_are_judged_without_making_documents_of_them(spark, name):
+    plan = registered.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant" not in plan and "json" not in plan.lower()

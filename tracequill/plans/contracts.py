@@ -47,7 +47,7 @@ def event_documents(r: Roles) -> DataFrame:
         schema_version="1.0.0", event_id=key, identity_scope=scope, benchmark_run_id=F.col("o_custkey").cast("string"), reference_artifact_id="reference", assembly="A1", contig=F.col("o_orderpriority"), start_0based=start, end_0based=start + 1,
         source_event_id=F.when(~urgent, F.concat(F.lit("order-"), key)), derivation_method="orders", cross_run_equivalence_asserted=F.col("o_orderpriority") == "5-LOW", priority=F.when(F.col("o_orderpriority") == "2-HIGH", "high"),
     )
-    rows = o.select(key.alias("key"), documents.document(doc).alias("document"))
+    rows = o.select(key.alias("key"), doc.alias("document"))
     return documents.violations(rows, entities.compiler(), "event", F.col("document"), "key")
 
 
@@ -76,7 +76,7 @@ def run_documents(r: Roles) -> DataFrame:
         platform=_struct(technology_family=good, vendor=value, instrument_family=good, instrument_model=good, chemistry=F.array(value, value), read_mode=good), basecaller=F.when(whole % 2 == 1, "dorado").otherwise("NOT_APPLICABLE"),
         coverage=_struct(status=status, value=size.cast("double") + 1), public_file_artifact_ids=F.array(F.lit("file")), source_record_ids=F.when(size <= 10, F.array(record, record)).otherwise(F.array(record)),
     )
-    rows = p.select(key.alias("key"), documents.document(doc).alias("document"))
+    rows = p.select(key.alias("key"), doc.alias("document"))
     return documents.violations(rows, entities.compiler(), "sequencing_run", F.col("document"), "key")
 
 
@@ -114,7 +114,7 @@ def catalog_documents(r: Roles) -> DataFrame:
         source_record_ids=F.array(F.concat(F.lit("src-"), key)), duplicate_cluster_id=F.concat(F.lit("cluster-"), F.col("o_custkey").cast("string")), canonical_in_cluster=F.col("n") % 2 == 1,
         terms=_struct(terms_id="terms", compatibility=F.when(F.col("n") > 4, "UNREVIEWED").otherwise("COMPATIBLE"), snapshot_sha256=digest, snapshot_retrieved_at=at),
     )
-    rows = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(key.alias("key"), documents.document(doc).alias("document"))
+    rows = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(key.alias("key"), doc.alias("document"))
     return documents.violations(rows, entities.compiler(), "catalog_record", F.col("document"), "key")
 
 
