@@ -77,3 +77,27 @@ def test_candidates_keep_the_first_anchor(spark):
     rows = selection.candidates(anchors, cover, {"assembly": "A"}, "w", "s", selection.Rules(half_window=50, least_assessable=10))
     assert _rows(rows, "start", "end", "ordinal", "assessable_bp") == [(0, 100, 3, 100), (55, 155, 1, 100)]
     assert rows.filter(F.sha2(F.concat(F.lit("s|"), "candidate_id"), 256) != F.col("selection_hash")).count() == 0
+
+
+@pytest.mark.parametrize("width", [5, 64])
+def test_ordered_pairs_are_all_pairs_by_position(spark, width):
+    frames = [spark.createDataFrame([(i, *r) for i, r in enumerate(_random(seed, 200))], "id long, " + SCHEMA) for seed in (7, 8)]
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")  # as for tables that are too large to be broadcast
+        parts = intervals.overlap_join(*frames, width=width, ordered=True).rdd.glom().collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert sorted((r.a_id, r.b_id) for p in parts for r in p) == _rows(intervals.overlap_join(*frames, width=width), "a_id", "b_id")
+    for part in parts:
+        of_bins = {}
+        for r in part:
+            of_bins.setdefault((r.a_contig, max(r.a_start, r.b_start) // width), []).append((r.a_start, r.a_end, r.a_id, r.b_start, r.b_end))
+        for rows in of_bins.values():
+            assert [r[:2] for r in rows] == sorted(r[:2] for r in rows)  # a's pairs come by position,
+            runs = [i for i, r in enumerate(rows) if i == 0 or r[2] != rows[i - 1][2]]
+            assert len(runs) == len({r[2] for r in rows})  # follow each other,
+            for i, j in zip(runs, [*runs[1:], len(rows)], strict=True):
+                assert [r[3:] for r in rows[i:j]] == sorted(r[3:] for r in rows[i:j])  # and come by b's position
