@@ -65,6 +65,30 @@ def test_a_large_shard_is_divided_to_files(spark, tmp_path):
         delivery.write(model(spark, parts()), str(tmp_path / "none"), most_bytes=50, divide=True)
 
 
+def test_packed_shards_have_the_digests_of_their_lines(spark, tmp_path):
+    one, packed = str(tmp_path / "one"), str(tmp_path / "packed")
+    whole, got = delivery.write(model(spark, parts()), one), delivery.write(model(spark, parts()), packed, most_bytes=150, divide=True, compression="gzip")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert {f.suffix for f in (tmp_path / "packed").rglob("part-*")} == {".gz"}
+    assert key(delivery.shard_digests(spark, packed)) == key(delivery.shard_digests(spark, one))  # sizes too
+    assert delivery.build_differences(spark, one, packed).isEmpty()
+    assert key(got.manifest) == key(whole.manifest) and key(got.search) == key(whole.search) and key(got.shards) == key(whole.shards)
+
+
+def test_delivery_deals_events_once(spark, tmp_path):
+    m = model(spark, parts())
+    got = delivery.write(m, str(tmp_path / "d"), compression="gzip")
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert dealt(delivery._indices(m, got.evidence, got.search, got.shards, 2)) == 1
+    defects = lambda search: {r.rule for r in delivery._indices(m, got.evidence, search, got.shards, 2).collect()}
+    assert defects(got.search) == set()
+    assert defects(got.search.filter("event_id <> 'e1'")) == {"SEARCH_INDEX_LACKS", "COUNT_DIFFERS"}
+    assert defects(got.search.unionAll(got.search.filter("event_id = 'e1'"))) == {"SEARCH_INDEX_DOUBLED"}
+    assert defects(got.search.withColumn("observation_count", F.lit(1).cast("long"))) == {"COUNT_DIFFERS"}
+    assert defects(got.search.withColumn("evidence_shard", F.lit("x"))) == {"SEARCH_INDEX_SHARD"}
+    assert defects(got.search.withColumn("event_id", F.when(F.col("event_id") == "e1", "ghost").otherwise(F.col("event_id")))) >= {"SEARCH_INDEX_LACKS", "SEARCH_INDEX_STRAY", "COUNT_DIFFERS"}
+
+
 DEFECTS = {
     "OBSERVATION_WITHOUT_EVENT": lambda p: p["events"].pop(), "EVENT_WITHOUT_EVIDENCE": lambda p: p["observations"].pop(0), "OBSERVATION_COUNT": lambda p: p["observations"].pop(), "SAMPLES_DISAGREE": lambda p: p["observations"][-1].__setitem__(2, "other"),
     "TECHNOLOGIES_DISAGREE": lambda p: p["observations"][-1].__setitem__(3, None), "IDENTITY_STATE": lambda p: p["events"][2].__setitem__(1, "NEW"), "EXACT_WITHOUT_VARIANT": lambda p: p["events"][0].__setitem__(2, "none"), "VARIANT_WITHOUT_EXACT": lambda p: p["events"][1].__setitem__(2, "v1"),

@@ -49,6 +49,12 @@ def _doubles(df: DataFrame, key: str, rule: str) -> DataFrame:
     return df.groupBy(F.col(key).cast("string").alias("key")).count().filter((F.col("count") > 1) | F.col("key").isNull()).select(F.lit(rule).alias("rule"), "key")
 
 
+def _may_be_doubled(df: DataFrame, key: str) -> bool:
+    """Whether two rows' keys share a hash, or one is null. Hashes are a fraction of long keys when they are dealt."""
+    mark = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string"))).alias("mark")
+    return not df.select(mark).groupBy("mark").count().filter((F.col("count") > 1) | F.col("mark").isNull()).isEmpty()
+
+
 def _of_events(observations: DataFrame) -> DataFrame:
     """What the observations of each event say together."""
     distinct = lambda c: F.array_sort(F.collect_set(F.col(c).cast("string")))
@@ -61,33 +67,39 @@ def _of_events(observations: DataFrame) -> DataFrame:
 def model_violations(model: Model) -> DataFrame:
     """rule and key of everything that keeps a model from being delivered."""
     events, text = model.events, lambda c: F.col(c).cast("string")
-    seen = events.join(_of_events(model.observations), F.col("event_id") == F.col("o_event"), "full_outer")
-    seen = seen.join(model.variants.select(F.col("variant_id").alias("v_id")).distinct(), F.col("variant_id") == F.col("v_id"), "left")
-    seen = seen.join(model.unresolved.select(F.col("event_id").alias("u_event")).distinct(), F.coalesce("event_id", "o_event") == F.col("u_event"), "full_outer")
-    here, state = F.col("event_id").isNotNull(), F.col("identity_state")
-    uneven = lambda c: here & F.col("o_event").isNotNull() & ((F.col(f"no_{c}") > 0) | ~F.col(f"least_{c}").eqNullSafe(F.col(f"most_{c}")))
+    named = model.observations.withColumn("unresolved", F.lit(False)).unionByName(model.unresolved.select("event_id", F.lit(True).alias("unresolved")), allowMissingColumns=True)
+    named = named.groupBy(F.col("event_id").alias("o_event")).agg(
+        F.count_if(~F.col("unresolved")).alias("n"), F.bool_or("unresolved").alias("named"), *[f(F.col(c)).alias(f"{n}_{c}") for c in ("sample_id", "technology") for n, f in (("least", F.min), ("most", F.max))],
+        *[F.count_if(~F.col("unresolved") & F.col(c).isNull()).alias(f"no_{c}") for c in ("sample_id", "technology")],
+    )
+    seen = events.join(named, F.col("event_id") == F.col("o_event"), "full_outer").withColumns({"n": F.coalesce("n", F.lit(0)), "named": F.coalesce("named", F.lit(False))})
+    here, state, some = F.col("event_id").isNotNull(), F.col("identity_state"), F.col("n") > 0
+    uneven = lambda c: here & some & ((F.col(f"no_{c}") > 0) | ~F.col(f"least_{c}").eqNullSafe(F.col(f"most_{c}")))
     rules = {
-        "OBSERVATION_WITHOUT_EVENT": ~here & F.col("o_event").isNotNull(),
-        "EVENT_WITHOUT_EVIDENCE": here & F.col("o_event").isNull(),
-        "OBSERVATION_COUNT": here & F.col("o_event").isNotNull() & ~F.col("n").eqNullSafe(F.col("observation_count")),
+        "OBSERVATION_WITHOUT_EVENT": ~here & some,
+        "EVENT_WITHOUT_EVIDENCE": here & ~some,
+        "OBSERVATION_COUNT": here & some & ~F.col("n").eqNullSafe(F.col("observation_count")),
         "SAMPLES_DISAGREE": uneven("sample_id"),
         "TECHNOLOGIES_DISAGREE": uneven("technology"),
         "IDENTITY_STATE": here & ~F.coalesce(state.isin(*STATES), F.lit(False)),
-        "EXACT_WITHOUT_VARIANT": here & (state == EXACT) & F.col("v_id").isNull(),
         "VARIANT_WITHOUT_EXACT": here & (state != EXACT) & F.col("variant_id").isNotNull(),
-        "UNRESOLVED_WITHOUT_EVENT": ~here & F.col("u_event").isNotNull(),
-        "UNRESOLVED_SET": here & F.col("state_differs"),
+        "UNRESOLVED_WITHOUT_EVENT": ~here & F.col("named"),
+        "UNRESOLVED_SET": here & ((F.coalesce(state, F.lit("")) == UNRESOLVED) != F.col("named")),
     }
-    seen = seen.withColumn("state_differs", (F.coalesce(state, F.lit("")) == UNRESOLVED) != F.col("u_event").isNotNull())
     found = F.explode(F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(rule)) for rule, broken in rules.items()])))
-    rows = seen.select(found.alias("rule"), F.coalesce(text("event_id"), text("o_event"), text("u_event")).alias("key"))
-    return rows.unionByName(_doubles(events, "event_id", "DUPLICATE_EVENT")).unionByName(_doubles(model.observations, "observation_id", "DUPLICATE_OBSERVATION")).unionByName(_doubles(model.variants, "variant_id", "DUPLICATE_VARIANT"))
+    parts = [seen.select(found.alias("rule"), F.coalesce(text("event_id"), text("o_event")).alias("key"))]
+    exact = events.filter(here & (state == EXACT)).select("event_id", "variant_id").join(model.variants.select("variant_id"), "variant_id", "left_anti")
+    parts += [exact.select(F.lit("EXACT_WITHOUT_VARIANT").alias("rule"), text("event_id").alias("key")), _doubles(events, "event_id", "DUPLICATE_EVENT"), _doubles(model.variants, "variant_id", "DUPLICATE_VARIANT")]
+    if _may_be_doubled(model.observations, "observation_id"):
+        parts.append(_doubles(model.observations, "observation_id", "DUPLICATE_OBSERVATION"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search_records(model: Model, evidence: DataFrame, digits: int = 2) -> DataFrame:
     """A record an event: its place, state, what its evidence says, and its allele where it has an exact one."""
-    alleles = model.variants.select(F.col("variant_id").alias("v_id"), *ALLELE_FIELDS)
-    rows = model.events.join(_of_events(evidence), F.col("event_id") == F.col("o_event")).join(alleles, (F.col("variant_id") == F.col("v_id")) & (F.col("identity_state") == EXACT), "left")
+    exact = model.events.filter(F.col("identity_state") == EXACT).select(F.col("event_id").alias("x_event"), "variant_id")
+    alleles = exact.join(model.variants.select("variant_id", *ALLELE_FIELDS), "variant_id").drop("variant_id")  # whole events are dealt by their id alone
+    rows = model.events.join(_of_events(evidence), F.col("event_id") == F.col("o_event")).join(alleles, F.col("event_id") == F.col("x_event"), "left")
     return rows.select(
         "event_id", evidence_shard(F.col("event_id"), digits).alias("evidence_shard"), "variant_id", "identity_state", *EVENT_FIELDS,
         F.col("least_sample_id").alias("sample_id"), F.col("least_technology").alias("technology"), "raw_decisions", "raw_variant_types", F.col("n").alias("observation_count"), *ALLELE_FIELDS,
@@ -110,9 +122,9 @@ def _read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("value string, shard string").text(f"{folder}/evidence")
 
 
-def _ordered(df: DataFrame, path: str, *order: str) -> None:
+def _ordered(df: DataFrame, path: str, *order: str, compression: str = "none") -> None:
     """Canonical JSON lines in files that follow each other by ``order``."""
-    df.repartitionByRange(*order).sortWithinPartitions(*order).select(canonical.row_json(df, ascii=False).alias("value")).write.text(path)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select(canonical.row_json(df, ascii=False).alias("value")).write.text(path, compression=compression)
 
 
 def _refuse(rows: DataFrame) -> None:
@@ -121,36 +133,42 @@ def _refuse(rows: DataFrame) -> None:
         raise ValueError("; ".join(f"{r.rule}: {r.n}, as {r.key}" for r in first))
 
 
-def write(model: Model, folder: str, digits: int = 2, most_bytes: int = MOST_BYTES, divide: bool = False) -> Delivered:
+def write(model: Model, folder: str, digits: int = 2, most_bytes: int = MOST_BYTES, divide: bool = False, compression: str = "none") -> Delivered:
     """Check the model, write its evidence once, and make the indices from what was written.
 
     A shard of more than ``most_bytes`` fails before anything is written; more digits make more and smaller shards. With ``divide``
-    such a shard is written to several files of ``most_bytes`` at most, and only a line of more fails.
+    such a shard is written to several files of ``most_bytes`` at most, and only a line of more fails. With ``compression`` (gzip) files are stored
+    packed, as a web server hands them out; sizes and digests of shards stay those of their lines.
     """
     spark = model.events.sparkSession
     _refuse(model_violations(model))
     if names := sorted({n for df in (model.events, model.observations, model.variants) for n in gates.forbidden_fields(df)}):
         raise ValueError(f"forbidden fields: {names}")
-    rows = model.observations.select(canonical.shard_key(F.col("event_id").cast("string"), digits).alias("shard"), F.col("event_id").alias("__event"), F.col("observation_id").alias("__observation"), canonical.row_json(model.observations, ascii=False).alias("value"))
+    # Rows are dealt as columns; their text, which names every field, is made where it is written.
+    columns = model.observations.columns
+    rows = model.observations.select(canonical.shard_key(F.col("event_id").cast("string"), digits).alias("shard"), F.struct(*columns).alias("o"))
+    lined = lambda df: df.select("shard", canonical.canonical_json({c: F.col("o")[c] for c in columns}, ascii=False).alias("value"))
     size = F.octet_length("value") + 1
-    sizes = rows.groupBy("shard").agg(F.sum(size).alias("n_bytes"), F.max(size).alias("n_line"))
+    sizes = lined(rows).groupBy("shard").agg(F.sum(size).alias("n_bytes"), F.max(size).alias("n_line"))
     most = sizes.filter(F.col("n_line" if divide else "n_bytes") > most_bytes).orderBy("shard").first()
     if most is not None:
         raise ValueError(f"shard {most['shard']} has {most['n_bytes']} bytes, {most['n_line']} of them in a line")
     large = sizes.agg(F.max("n_bytes").alias("n_bytes"), F.max("n_line").alias("n_line")).first() if divide else None
     lines = most_bytes // large["n_line"] if large and (large["n_bytes"] or 0) > most_bytes else 0  # 0: as many as there are
     seen, mark = Observation(), F.xxhash64("shard", "value").cast("decimal(38,0)")
+    rows = lined(rows.repartition("shard").sortWithinPartitions("shard", "o.event_id", "o.observation_id"))
     rows = rows.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(mark), F.lit(0).cast("decimal(38,0)")).alias("checksum"))
-    rows.repartition("shard").sortWithinPartitions("shard", "__event", "__observation").select("shard", "value").write.option("maxRecordsPerFile", lines).partitionBy("shard").text(f"{folder}/evidence")
+    rows.write.option("maxRecordsPerFile", lines).partitionBy("shard").text(f"{folder}/evidence", compression=compression)
 
     back = _read(spark, folder)
     evidence = back.select("shard", F.from_json("value", model.observations.schema).alias("o")).select("shard", "o.*")
     _refuse(_read_back(model, back, evidence, seen.get, mark, digits))
     search = search_records(model, evidence, digits)
-    _ordered(search, f"{folder}/search_index", "event_id")
-    _ordered(search.select("event_id", "evidence_shard"), f"{folder}/shard_index", "event_id")
-    found = spark.read.schema("value string").text(f"{folder}/search_index").select(F.from_json("value", search.schema).alias("s")).select("s.*")
-    shards = spark.read.schema("value string").text(f"{folder}/shard_index").select(F.from_json("value", search.select("event_id", "evidence_shard").schema).alias("s")).select("s.*")
+    _ordered(search, f"{folder}/search_index", "event_id", compression=compression)
+    read = lambda name, schema: spark.read.schema("value string").text(f"{folder}/{name}").select(F.from_json("value", schema).alias("s")).select("s.*")
+    found = read("search_index", search.schema)
+    _ordered(found.select("event_id", "evidence_shard"), f"{folder}/shard_index", "event_id", compression=compression)
+    shards = read("shard_index", search.select("event_id", "evidence_shard").schema)
     _refuse(_indices(model, evidence, found, shards, digits))
     checksums = sinks.checksum_manifest(spark, folder)
     return Delivered(found, shards, evidence, manifest(model, found, back), checksums)
@@ -160,28 +178,42 @@ def _read_back(model: Model, back: DataFrame, evidence: DataFrame, seen: dict, m
     """rule and key: rows that differ from what the write has seen, lost and doubled observations, events in a wrong shard or in several."""
     now = back.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(mark), F.lit(0).cast("decimal(38,0)")).alias("checksum"))
     differs = now.filter((F.col("n_rows") != F.lit(seen["n_rows"])) | (F.col("checksum") != F.lit(seen["checksum"]).cast("decimal(38,0)"))).select(F.lit("WRITTEN_DIFFERS").alias("rule"), F.col("n_rows").cast("string").alias("key"))
-    ids = model.observations.select("observation_id")
-    lost = ids.join(evidence, "observation_id", "left_anti").select(F.lit("OBSERVATION_LOST").alias("rule"), F.col("observation_id").cast("string").alias("key"))
-    stray = evidence.join(ids, "observation_id", "left_anti").select(F.lit("OBSERVATION_STRAY").alias("rule"), F.col("observation_id").cast("string").alias("key"))
-    places = evidence.groupBy("event_id").agg(F.min("shard").alias("least"), F.max("shard").alias("most"))
-    spread = places.filter((F.col("least") != F.col("most")) | (F.col("least") != canonical.shard_key(F.col("event_id").cast("string"), digits))).select(F.lit("EVENT_SHARD").alias("rule"), F.col("event_id").cast("string").alias("key"))
-    return reduce(DataFrame.unionByName, (differs, lost, stray, spread, _doubles(evidence, "observation_id", "OBSERVATION_DOUBLED")))
+    shard, own, there = F.col("shard"), model.observations.select("event_id", "observation_id"), evidence.select("event_id", "observation_id", "shard")
+    rows = own.withColumn("side", F.lit(1)).unionByName(there.withColumn("side", F.lit(-1)), allowMissingColumns=True)
+    places = rows.groupBy("event_id").agg(
+        F.sum("side").alias("more"), F.bit_xor(F.xxhash64("observation_id")).alias("unlike"), F.bool_or(F.col("observation_id").isNull()).alias("unnamed"), F.min(shard).alias("least"), F.max(shard).alias("most"),
+    )
+    unlike = (F.col("more") != 0) | (F.col("unlike") != 0) | F.col("unnamed")
+    spread = F.coalesce((F.col("least") != F.col("most")) | (F.col("least") != canonical.shard_key(F.col("event_id").cast("string"), digits)), F.lit(False))
+    found = places.agg(F.bool_or(unlike).alias("unlike"), F.bool_or(spread).alias("spread")).first()
+    parts = [differs]
+    if found["spread"]:
+        parts.append(places.filter(spread).select(F.lit("EVENT_SHARD").alias("rule"), F.col("event_id").cast("string").alias("key")))
+    if found["unlike"]:  # some event's observations aren't those of the model: ids are compared one by one
+        ids = own.select("observation_id")
+        parts.append(ids.join(evidence, "observation_id", "left_anti").select(F.lit("OBSERVATION_LOST").alias("rule"), F.col("observation_id").cast("string").alias("key")))
+        parts.append(evidence.join(ids, "observation_id", "left_anti").select(F.lit("OBSERVATION_STRAY").alias("rule"), F.col("observation_id").cast("string").alias("key")))
+        parts.append(_doubles(evidence, "observation_id", "OBSERVATION_DOUBLED"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _indices(model: Model, evidence: DataFrame, search: DataFrame, shards: DataFrame, digits: int) -> DataFrame:
     """rule and key of events that an index lacks, has twice or has with another shard, and of evidence that no record counts."""
-    key = F.col("event_id").cast("string")
-    own = model.events.select(key.alias("key"))
-    parts = []
-    for name, index in (("SEARCH", search), ("SHARD", shards)):
-        there = index.select(key.alias("key"))
-        parts.append(own.join(there, "key", "left_anti").select(F.lit(f"{name}_INDEX_LACKS").alias("rule"), "key"))
-        parts.append(there.join(own, "key", "left_anti").select(F.lit(f"{name}_INDEX_STRAY").alias("rule"), "key"))
-        parts.append(_doubles(index, "event_id", f"{name}_INDEX_DOUBLED"))
-        parts.append(index.filter(F.col("evidence_shard") != evidence_shard(F.col("event_id"), digits)).select(F.lit(f"{name}_INDEX_SHARD").alias("rule"), key.alias("key")))
-    counts = evidence.groupBy(key.alias("e_key")).agg(F.count(F.lit(1)).alias("n"))
-    parts.append(search.join(counts, key == F.col("e_key"), "full_outer").filter(~F.col("n").eqNullSafe(F.col("observation_count"))).select(F.lit("COUNT_DIFFERS").alias("rule"), F.coalesce(key, F.col("e_key")).alias("key")))
-    return reduce(DataFrame.unionByName, parts)
+    key, n = F.col("event_id").cast("string").alias("key"), lambda *names: [F.lit(int(x in names)).alias(x) for x in ("own", "in_search", "in_shard")]
+    wrong = lambda name: F.coalesce(F.col("evidence_shard") != evidence_shard(F.col("event_id"), digits), F.lit(False)).alias(name)
+    no = lambda name: F.lit(False).alias(name)
+    rows = model.events.select(key, *n("own"), no("wrong_search"), no("wrong_shard"), F.lit(0).cast("long").alias("counted"))
+    rows = rows.unionByName(search.select(key, *n("in_search"), wrong("wrong_search"), no("wrong_shard"), F.coalesce(F.col("observation_count").cast("long"), F.lit(-1)).alias("counted")))
+    rows = rows.unionByName(shards.select(key, *n("in_shard"), no("wrong_search"), wrong("wrong_shard"), F.lit(0).cast("long").alias("counted")))
+    rows = rows.unionByName(evidence.select(key, *n(), no("wrong_search"), no("wrong_shard"), F.lit(-1).cast("long").alias("counted")))
+    events = rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("own", "in_search", "in_shard", "counted")], *[F.bool_or(c).alias(c) for c in ("wrong_search", "wrong_shard")])
+    rules = {"COUNT_DIFFERS": (F.col("in_search") < 2) & (F.col("counted") != 0)}
+    for name, there, other in (("SEARCH", "in_search", "wrong_search"), ("SHARD", "in_shard", "wrong_shard")):
+        rules |= {
+            f"{name}_INDEX_LACKS": (F.col("own") > 0) & (F.col(there) == 0), f"{name}_INDEX_STRAY": (F.col("own") == 0) & (F.col(there) > 0),
+            f"{name}_INDEX_DOUBLED": (F.col(there) > 1) | (F.col("key").isNull() & (F.col(there) > 0)), f"{name}_INDEX_SHARD": F.col(other),
+        }
+    return events.select(F.explode(F.array_compact(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]))).alias("rule"), "key")
 
 
 def manifest(model: Model, search: DataFrame, back: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from tracequill.operators import delivery, explorer, gates, hashtree, intervals,
 from tracequill.plans.registered import query
 from tracequill.plans.roles import Roles
 from tracequill.plans.stored import _path
+from tracequill.sources.storage import stored
 
 
 def _shown(value) -> str:
@@ -125,19 +126,20 @@ def _model(r: Roles) -> delivery.Model:
     """Orders that have items, with their items; an item's id holds all its columns."""
     c, text = F.col, lambda n: F.col(n).cast("string")
     runs = r.runs.join(r.experiments, "experiment_id").select("benchmark_run_id", c("sample").alias("sample_id"), "technology")
-    of_event = r.raw("orders").join(runs, c("o_custkey") == c("benchmark_run_id")).select(c("o_orderkey").alias("e"), "sample_id", "technology")
+    places = r.raw("orders").join(runs, c("o_custkey") == c("benchmark_run_id")).select("o_orderkey", "o_orderstatus", "o_orderpriority", F.floor("o_totalprice").alias("place"), "sample_id", "technology")
     columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
-    items = r.raw("lineitem").select(*columns).distinct()
+    items = r.raw("lineitem").select(*columns).repartition("l_orderkey").distinct().join(places, c("l_orderkey") == c("o_orderkey")).drop("o_orderkey")
+    items = stored(items.sortWithinPartitions("l_orderkey"), _path(r, "web-items"))  # read several times; an event's rows stay together
     ids = F.concat_ws("-", *[c(n).cast("long").cast("string") if n == "l_quantity" else text(n) for n in columns])
-    observations = items.join(of_event, c("l_orderkey") == c("e")).select(ids.alias("observation_id"), text("l_orderkey").alias("event_id"), "sample_id", "technology", c("l_linestatus").alias("raw_decision"), F.nullif(c("l_returnflag"), F.lit("N")).alias("raw_variant_type"))
-    counts = items.groupBy(c("l_orderkey").alias("e_order")).agg(F.count(F.lit(1)).alias("observation_count"), F.min("l_partkey").cast("string").alias("least_part"))
+    observations = items.select(ids.alias("observation_id"), text("l_orderkey").alias("event_id"), "sample_id", "technology", c("l_linestatus").alias("raw_decision"), F.nullif(c("l_returnflag"), F.lit("N")).alias("raw_variant_type"))
+    fixed = ("o_orderstatus", "o_orderpriority", "place")
+    of_order = items.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("observation_count"), F.min("l_partkey").cast("string").alias("least_part"), *[F.min(n).alias(n) for n in fixed])
     state = F.when(c("o_orderstatus") == "F", delivery.EXACT).when(c("o_orderstatus") == "O", delivery.UNRESOLVED).otherwise(delivery.NOT_EVALUATED)
-    place = F.floor(c("o_totalprice"))
-    events = r.raw("orders").join(of_event.select("e"), c("o_orderkey") == c("e")).join(counts, c("o_orderkey") == c("e_order"))
-    events = events.select(
-        text("o_orderkey").alias("event_id"), state.alias("identity_state"), F.when(c("o_orderstatus") == "F", c("least_part")).alias("variant_id"), "observation_count", F.when(c("o_orderstatus") == "P", "PHASE1A").otherwise("PHASE2C").alias("phase_origin"),
-        F.lit("A1").alias("assembly"), c("o_orderpriority").alias("contig"), place.alias("start_0based"), (place + 1).alias("end_0based"),
+    events = of_order.select(
+        text("l_orderkey").alias("event_id"), state.alias("identity_state"), F.when(c("o_orderstatus") == "F", c("least_part")).alias("variant_id"), "observation_count", F.when(c("o_orderstatus") == "P", "PHASE1A").otherwise("PHASE2C").alias("phase_origin"),
+        F.lit("A1").alias("assembly"), c("o_orderpriority").alias("contig"), c("place").alias("start_0based"), (c("place") + 1).alias("end_0based"),
     )
+    events = stored(events, _path(r, "web-events"))
     size = c("p_size").cast("long")
     variants = r.raw("part").select(text("p_partkey").alias("variant_id"), size.alias("normalized_start_0based"), (size + 1).alias("normalized_end_0based"), c("p_brand").alias("normalized_ref"), c("p_type").alias("normalized_alt"))
     return delivery.Model(events, observations, variants, events.filter(c("identity_state") == delivery.UNRESOLVED).select("event_id"))
@@ -156,14 +158,14 @@ search AS (SELECT event_id, any_value(evidence_shard) AS evidence_shard, CASE WH
 @query(_ITEMS + "SELECT search.*, p_size::BIGINT AS normalized_start_0based, (p_size + 1)::BIGINT AS normalized_end_0based, p_brand AS normalized_ref, p_type AS normalized_alt FROM search LEFT JOIN part ON variant_id = p_partkey::VARCHAR", plain=True)
 def web_search_index(r: Roles) -> DataFrame:
     """The search index as it was delivered and read back."""
-    found = delivery.write(_model(r), _path(r, "web-search"), divide=True).search
+    found = delivery.write(_model(r), _path(r, "web-search"), divide=True, compression="gzip").search
     lists = {n: F.array_join(n, ";") for n in ("raw_decisions", "raw_variant_types")}
     return found.withColumns(lists).drop("assembly", "end_0based")
 
 
 @query(_ITEMS + "SELECT event_id, evidence_shard FROM search", plain=True)
 def web_shard_index(r: Roles) -> DataFrame:
-    return delivery.write(_model(r), _path(r, "web-shards"), divide=True).shards
+    return delivery.write(_model(r), _path(r, "web-shards"), divide=True, compression="gzip").shards
 
 
 @query(_ITEMS + """, lines AS (SELECT evidence_shard, event_id, observation_id, json_object('event_id', event_id, 'observation_id', observation_id, 'raw_decision', raw_decision, 'raw_variant_type', raw_variant_type, 'sample_id', sample_id, 'technology', technology)::VARCHAR || chr(10) AS line FROM evidence)
@@ -171,7 +173,7 @@ SELECT evidence_shard, sum(strlen(line))::BIGINT AS size_bytes, sha256(string_ag
 def web_evidence(r: Roles) -> DataFrame:
     """Size and digest of every shard's file, which are those of its lines in order."""
     path = _path(r, "web-evidence")
-    delivery.write(_model(r), path, divide=True)
+    delivery.write(_model(r), path, divide=True, compression="gzip")
     return delivery.shard_digests(r.spark, path)
 
 
@@ -179,7 +181,7 @@ def web_evidence(r: Roles) -> DataFrame:
 SELECT 'event_count' AS name, count(*)::VARCHAR AS value FROM search UNION ALL SELECT 'observation_count', count(*)::VARCHAR FROM evidence UNION ALL SELECT 'variant_count', count(*)::VARCHAR FROM part UNION ALL SELECT 'identity_state:' || identity_state, count(*)::VARCHAR FROM search GROUP BY identity_state
 UNION ALL SELECT DISTINCT 'sample_id_value', sample_id FROM search UNION ALL SELECT DISTINCT 'technology_value', technology FROM search UNION ALL SELECT 'shard_count', count(*)::VARCHAR FROM sizes UNION ALL SELECT 'maximum_shard_byte_size', max(n)::BIGINT::VARCHAR FROM sizes""", plain=True)
 def web_manifest(r: Roles) -> DataFrame:
-    return delivery.write(_model(r), _path(r, "web-manifest"), divide=True).manifest
+    return delivery.write(_model(r), _path(r, "web-manifest"), divide=True, compression="gzip").manifest
 
 
 @query("""SELECT rule, key FROM (SELECT 'EVENT_WITHOUT_EVIDENCE' AS rule, o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)

@@ -28,3 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(scratch(spark))
         _set.add(app)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df written once as zstd Parquet and read back, for tables that are read several times."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
