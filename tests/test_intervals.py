@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,23 @@ def test_ordered_pairs_are_all_pairs_by_position(spark, width):
             assert len(runs) == len({r[2] for r in rows})  # follow each other,
             for i, j in zip(runs, [*runs[1:], len(rows)], strict=True):
                 assert [r[3:] for r in rows[i:j]] == sorted(r[3:] for r in rows[i:j])  # and come by b's position
+
+
+@pytest.mark.parametrize(("width", "least", "tile"), [(5, 1, 4), (64, 1, 4), (64, 9, 2), (10_000, 3, 128)])
+def test_tiles_give_each_pair_once(spark, width, least, tile):
+    a, b = _random(7, 90), [*_random(8, 90), *[("a", 50, 70)] * 20]
+    da, db = [spark.createDataFrame([(i, i % 3, *r) for i, r in enumerate(rows)], "id long, g long, " + SCHEMA) for rows in (a, b)]
+    want = sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x[0] == y[0] and min(x[2], y[2]) - max(x[1], y[1]) >= least)
+    assert _rows(intervals.tiled_join(da, db, width=width, least=least, tile=tile), "a_id", "b_id") == want
+    apart = [(i, j) for i, j in want if i % 3 != j % 3]
+    assert _rows(intervals.tiled_join(da, db, width=width, least=least, tile=tile, group="g"), "a_id", "b_id") == apart
+    own = sorted((i, j, min(x[2], y[2]) - max(x[1], y[1])) for i, x in enumerate(b) for j, y in enumerate(b) if i < j and x[0] == y[0] and min(x[2], y[2]) - max(x[1], y[1]) >= least)
+    assert _rows(intervals.crossing_pairs(db, "id", least, width=width), "a_id", "b_id", "overlap") == own
+    assert _rows(intervals.crossing_pairs(db, "id", least, "g", width=width), "a_id", "b_id", "overlap") == [r for r in own if r[0] % 3 != r[1] % 3]
+
+
+def test_tiles_meet_intervals_by_their_bounds(spark):
+    """What is joined is tiles of rows; they are opened behind the join."""
+    df = spark.range(3000).selectExpr("id", "id % 2 g", "'a' contig", "id div 5 start", "id div 5 + 5 + id % 6 `end`")
+    plan = intervals.crossing_pairs(df, "id", 9, "g", width=40)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and re.search(r"Join Inner, .*__most", plan)

@@ -16,6 +16,8 @@ BIN = 25_000
 BLOCK = 1_000_000
 #: About how many intervals of one side a task pairs where pairs are ordered: a file's dictionary of ids then holds them all.
 PAIRED_ROWS = 50_000
+#: How many intervals of a bin's one side are paired with the other side as a whole.
+TILE = 128
 Keys = Sequence[str]
 
 
@@ -92,6 +94,42 @@ def overlap_join(a: DataFrame, b: DataFrame, by: Keys = ("contig",), width: int
     return x.join(y, on & (F.col("a_bin") == first)).drop("a_bin", "b_bin")
 
 
+def _dealt(df: DataFrame, by: Keys, width: int, least: int, prefix: str, tasks: int) -> DataFrame:
+    """Rows with the end that an interval of the other side must begin before, dealt by the bins that they touch up to there."""
+    start, short = F.col("start"), F.col("end") - (least - 1)
+    rows = df.filter(short > start).select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns], short.alias(f"{prefix}short"))
+    bins = F.sequence(F.floor(F.col(f"{prefix}start") / width), F.floor((F.col(f"{prefix}short") - 1) / width))
+    return rows.withColumn(f"{prefix}bin", F.explode(bins)).repartition(tasks, *[f"{prefix}{k}" for k in (*by, "bin")])
+
+
+def tiled_join(a: DataFrame, b: DataFrame, by: Keys = ("contig",), width: int = BIN, least: int = 1, group: str | None = None, tile: int = TILE) -> DataFrame:
+    """All pairs of a and b that share ``least`` positions, each once; columns a_* and b_* (by as a_* alone).
+
+    With a group column a pair's groups differ. The intervals of b in a bin (and group) are put to tiles by position; a tile meets each
+    interval of a as one row, if their bounds do, and is opened then. So little is compared one by one that isn't kept, a task holds a
+    bin's rows of a and one tile, and a tile's pairs follow each other by a's position: a columnar file of them holds runs and repeats.
+    """
+    spark = a.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(a.count() + b.count()) // PAIRED_ROWS))
+    keys, groups = [*by, "bin"], [group] if group else []
+    x, y = _dealt(a, by, width, least, "a_", tasks), _dealt(b, by, width, least, "b_", tasks)
+    place = F.row_number().over(Window.partitionBy(*[f"a_{k}" for k in keys]).orderBy("a_start", "a_end"))
+    x = x.withColumn("__place", place).filter("__place > 0").drop("__place")  # in order of position; Spark drops a plain sort below a join
+    place = F.row_number().over(Window.partitionBy(*[f"b_{k}" for k in (*keys, *groups)]).orderBy("b_start", "b_end"))
+    fields = [c for c in y.columns if c not in {f"b_{k}" for k in (*keys, *groups, "start")}]
+    y = y.withColumn("__tile", F.floor((place - 1) / tile)).groupBy(*[F.col(f"b_{k}").alias(f"__{k}") for k in (*keys, *groups)], "__tile")
+    y = y.agg(F.min("b_start").alias("__least"), F.max("b_short").alias("__most"), F.sort_array(F.collect_list(F.struct("b_start", *sorted(fields)))).alias("__rows"))
+    on = (F.col("a_start") < F.col("__most")) & (F.col("a_short") > F.col("__least"))
+    for k in keys:
+        on &= F.col(f"a_{k}") == F.col(f"__{k}")
+    if group:
+        on &= F.col(f"a_{group}") != F.col(f"__{group}")
+    met = y.join(x, on).select(*x.columns, *[F.col(f"__{g}").alias(f"b_{g}") for g in groups], F.inline("__rows"))
+    both = (F.col("a_start") < F.col("b_short")) & (F.col("a_short") > F.col("b_start"))
+    first = F.floor(F.greatest("a_start", "b_start") / width)
+    return met.filter(both & (F.col("a_bin") == first)).drop("a_bin", "a_short", "b_short")
+
+
 def intersect(a: DataFrame, b: DataFrame, by: Keys = ("contig",), width: int = BIN) -> DataFrame:
     """Positions in both: the sets are merged, intersected and merged again."""
     pairs = overlap_join(merge(a, by), merge(b, by), by, width)
@@ -158,16 +196,11 @@ def autosomes(df: DataFrame, without: Sequence[str] = ()) -> DataFrame:
 
 
 def crossing_pairs(df: DataFrame, key: str, least: int, group: str | None = None, width: int = BIN) -> DataFrame:
-    """Pairs of intervals (of different groups, if a group column is given) that share ``least`` positions or more.
-
-    A bin compares all its intervals, so ``width`` should be near their length.
-    """
-    pairs = overlap_join(df, df, width=width)
+    """Pairs of intervals (of different groups, if a group column is given) that share ``least`` positions or more, the lesser key first."""
+    rows = df.select(*dict.fromkeys(("contig", "start", "end", key, *([group] if group else []))))
+    pairs = tiled_join(rows, rows, width=width, least=least, group=group).filter(F.col(f"a_{key}") < F.col(f"b_{key}"))
     length = overlap_length(*[F.col(c) for c in ("a_start", "a_end", "b_start", "b_end")])
-    kept = pairs.filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & (length >= least))
-    if group:
-        kept = kept.filter(F.col(f"a_{group}") != F.col(f"b_{group}"))
-    return kept.select(f"a_{key}", f"b_{key}", length.alias("overlap"))
+    return pairs.select(f"a_{key}", f"b_{key}", length.alias("overlap"))
 
 
 def boundary_diagnostics(records: DataFrame, core: DataFrame, key: str, event: str) -> DataFrame:
