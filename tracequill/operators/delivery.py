@@ -150,11 +150,11 @@ def write(model: Model, folder: str, digits: int = 2, most_bytes: int = MOST_BYT
     lined = lambda df: df.select("shard", canonical.canonical_json({c: F.col("o")[c] for c in columns}, ascii=False).alias("value"))
     size = F.octet_length("value") + 1
     sizes = lined(rows).groupBy("shard").agg(F.sum(size).alias("n_bytes"), F.max(size).alias("n_line"))
-    most = sizes.filter(F.col("n_line" if divide else "n_bytes") > most_bytes).orderBy("shard").first()
-    if most is not None:
+    over = F.when(F.col("n_line" if divide else "n_bytes") > most_bytes, F.struct("shard", "n_bytes", "n_line"))
+    large = sizes.agg(F.max("n_bytes").alias("n_bytes"), F.max("n_line").alias("n_line"), F.min(over).alias("over")).first()
+    if (most := large["over"]) is not None:
         raise ValueError(f"shard {most['shard']} has {most['n_bytes']} bytes, {most['n_line']} of them in a line")
-    large = sizes.agg(F.max("n_bytes").alias("n_bytes"), F.max("n_line").alias("n_line")).first() if divide else None
-    lines = most_bytes // large["n_line"] if large and (large["n_bytes"] or 0) > most_bytes else 0  # 0: as many as there are
+    lines = most_bytes // large["n_line"] if (large["n_bytes"] or 0) > most_bytes else 0  # 0: as many as there are
     seen, mark = Observation(), F.xxhash64("shard", "value").cast("decimal(38,0)")
     rows = lined(rows.repartition("shard").sortWithinPartitions("shard", "o.event_id", "o.observation_id"))
     rows = rows.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(mark), F.lit(0).cast("decimal(38,0)")).alias("checksum"))
